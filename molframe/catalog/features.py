@@ -1,5 +1,8 @@
 """Tokens, fingerprints, vocabularies and training examples over whole texts."""
 
+import re
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -10,6 +13,7 @@ from molframe.functions.hashing import hash32
 from molframe.functions.tokens import WORD_CLASSES, hashed_fp, mask_tokens, tokenize
 from molframe.operators.features import describe, descriptor_labels, featurize, pad_and_mask
 from molframe.operators.vocab import build_vocab, encode
+from molframe.plans.lineage import cut, spread
 
 TOKENS_SQL = r"toks AS (SELECT doc_id, regexp_extract_all(text, '[^ \n]+') AS t FROM documents)"
 PLACED_SQL = f"{TOKENS_SQL}, placed AS (SELECT doc_id, unnest(t) AS tok, generate_subscripts(t, 1) - 1 AS pos FROM toks)"
@@ -19,7 +23,7 @@ VOCAB_SIZE = 30_000
 
 
 def documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
 
 
 def hashed_ids(tokens):
@@ -149,16 +153,17 @@ def labels(spark, sf_dir):
 
 def composition_of_batch(texts: pd.Series) -> pd.Series:
     """A user's featurizer: the same counts as ``descriptors``, and the entropy, per text."""
-    out = []
-    for text in texts:
-        toks = pd.Series(text.replace("\n", " ").split(" "), dtype=object)
-        toks = toks[toks != ""]
-        counts = toks.value_counts().to_numpy(dtype=float)
-        total = counts.sum()
-        entropy = float(np.log(total) - (counts * np.log(counts)).sum() / total) if total else 0.0
-        classes = [float(toks.str.contains(p, regex=True).sum()) if total else 0.0 for p in WORD_CLASSES.values()]
-        out.append([float(total), float(len(counts)), *classes, entropy])
-    return pd.Series(out)
+    classes = [re.compile(p) for p in WORD_CLASSES.values()]
+
+    def describe(text: str) -> list[float]:
+        counts = Counter(t for t in re.split("[ \n]", text) if t)
+        n = np.fromiter(counts.values(), dtype=float, count=len(counts))
+        total = n.sum()
+        entropy = np.log(total) - (n * np.log(n)).sum() / total if total else 0.0
+        per_class = [float(sum(c for t, c in counts.items() if p.search(t))) for p in classes]
+        return [float(total), float(len(counts)), *per_class, float(entropy)]
+
+    return texts.map(describe)
 
 
 @register("featurize_udf", f"WITH {DESCRIPTOR_SQL} SELECT * FROM described")
@@ -204,7 +209,7 @@ def vocabulary(spark, sf_dir):
     """,
 )
 def encoded(spark, sf_dir):
-    found = encode(documents(spark, sf_dir), "doc_id", tokenize(F.col("text")), _vocab(spark, sf_dir))
+    found = encode(documents(spark, sf_dir), "doc_id", tokenize(F.col("text")), cut(_vocab(spark, sf_dir)))
     return found.select(
         "doc_id",
         F.size("input_ids").cast("bigint").alias("n_ids"),

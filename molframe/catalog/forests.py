@@ -2,12 +2,13 @@
 
 from pyspark.sql import functions as F
 
-from molframe.catalog.base import DOC_TASKS, PART_TASKS, labelled_documents, part_tasks, register, table
+from molframe.catalog.base import DOC_TASKS, PART_TASKS, part_tasks, register, table
 from molframe.functions.tokens import hashed_fp, tokenize
 from molframe.operators.forest import bit_features, dense_features, fit_forest, fit_tasks, predict, run_repeated
 from molframe.operators.metrics import accuracy
 from molframe.operators.split import hash_split
 from molframe.operators.transform import fit_chain
+from molframe.plans.lineage import spread
 
 SMALL = {"trees": 10, "depth": 5}
 
@@ -33,7 +34,8 @@ def rf_predict_rows(spark, sf_dir):
 
 @register("rf_multitask")
 def rf_multitask(spark, sf_dir):
-    docs = labelled_documents(spark, sf_dir).select("doc_id", hashed_fp(tokenize(F.col("text")), 256, 1).alias("bits"), *DOC_TASKS)
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    docs = docs.join(table(spark, sf_dir, "labels"), "doc_id", "left").select("doc_id", hashed_fp(tokenize(F.col("text")), 256, 1).alias("bits"), *DOC_TASKS)
     rows = bit_features(hash_split(docs, "doc_id"), "bits", 256)
     return fit_tasks(rows, DOC_TASKS, "doc_id", **SMALL)
 

@@ -25,21 +25,24 @@ def pad_and_mask(
 ) -> DataFrame:
     """Pad each batch to its longest sequence, with the attention mask.
 
-    Batches are runs of ``batch`` rows in ``order``, so the window that finds
-    the longest sees at most ``batch`` rows per key.
+    Batches are runs of ``batch`` rows in ``order``. Only the order key and the
+    length of each row are numbered and windowed (at most ``batch`` rows per
+    window key); the sequences themselves meet the result in one join.
     """
-    batched = minibatches(df, order, batch, rows_per_slice)
-    longest = F.max(F.size(ids)).over(Window.partitionBy("batch_id"))
-    sized = batched.withColumn("padded_len", longest).withColumn("_gap", F.col("padded_len") - F.size(ids))
+    lengths = minibatches(df.select(*order, F.size(ids).alias("_len")), order, batch, rows_per_slice)
+    longest = F.max("_len").over(Window.partitionBy("batch_id"))
+    sized = df.join(lengths.withColumn("padded_len", longest), list(order)).withColumn(
+        "_gap", F.col("padded_len") - F.col("_len")
+    )
     item = df.schema[ids].dataType.elementType
     return sized.withColumns(
         {
             "input_ids": F.concat(F.col(ids), F.array_repeat(F.lit(PAD_ID).cast(item), F.col("_gap"))),
             "attention_mask": F.concat(
-                F.array_repeat(F.lit(1), F.size(ids)), F.array_repeat(F.lit(0), F.col("_gap"))
+                F.array_repeat(F.lit(1), F.col("_len")), F.array_repeat(F.lit(0), F.col("_gap"))
             ),
         }
-    ).drop("_gap")
+    ).drop("_gap", "_len")
 
 
 def describe(df: DataFrame, sequence: str, kind: str = "words") -> DataFrame:

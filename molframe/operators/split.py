@@ -151,23 +151,25 @@ def audit_split(df: DataFrame, id: str, key: str) -> DataFrame:
 def two_core(bonds: DataFrame, rounds_per_cut: int = 2) -> DataFrame:
     """Bonds left after repeatedly removing atoms with a single bond: rings and linkers.
 
-    Each round finds leaves by a map-side combined count on (molecule, atom) and
-    drops their bonds. Rounds number at most the longest side chain; the
-    shrinking bond table is written to the shared folder between cuts.
+    A leaf is found by a map-side combined aggregate on (molecule, atom), which
+    also names its only bond, so a round costs one aggregate and one anti join.
+    Rounds number at most the longest side chain; every few rounds the
+    shrinking bond table is written to the shared folder.
     """
-    left = bonds
-    before = None
-    while True:
+    left = cut(bonds)
+    before = left.count()
+    ends = {"_lo": F.least("src", "dst"), "_hi": F.greatest("src", "dst")}
+    while before:
         for _ in range(rounds_per_cut):
-            leaves = two_way(left).groupBy("mol", "a").count().filter("count = 1").select("mol", "a")
-            left = left.join(leaves.withColumnRenamed("a", "src"), ["mol", "src"], "left_anti").join(
-                leaves.withColumnRenamed("a", "dst"), ["mol", "dst"], "left_anti"
-            )
-        left = cut(left.select(*bonds.columns))
+            near = two_way(left).groupBy("mol", "a").agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("b"))
+            loose = near.filter("n = 1").select("mol", F.least("a", "b").alias("_lo"), F.greatest("a", "b").alias("_hi"))
+            left = left.withColumns(ends).join(loose, ["mol", "_lo", "_hi"], "left_anti").select(*bonds.columns)
+        left = cut(left)
         now = left.count()
-        if now == 0 or now == before:
-            return left
+        if now == before:
+            break
         before = now
+    return left
 
 
 def graph_key(bonds: DataFrame, atoms: DataFrame) -> DataFrame:

@@ -38,8 +38,24 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to reliable storage and continue from there."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_root(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the shared folder and continue from there.
+
+    A table survives lost executors, is pruned by column, and its footers give
+    later stages its true size, which a checkpointed RDD would not.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "cut")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Even out a plain scan that has fewer splits than the cluster has cores.
+
+    For heavy per-row work only. A large input has splits enough and is left
+    alone, so the shuffle this adds is never larger than a few splits.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)

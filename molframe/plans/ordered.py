@@ -70,18 +70,19 @@ def slice_by_range(
 ) -> Sliced:
     """Tag each row with the number of its value range of ``(keys, order)``.
 
-    ``derived`` says that ``df`` is costly to evaluate: beyond one slice it is
-    then written to the shared folder once instead of being computed per pass.
+    ``derived`` says that ``df`` is costly to evaluate, such as an aggregation
+    over a whole corpus: it is then written to the shared folder once instead
+    of being computed per pass.
     """
     columns = [*keys, *order]
+    if derived:
+        df = cut(df)
     total = df.count()
     wanted = min(MAX_SLICES, -(-total // rows_per_slice))
     if wanted <= 1:
         tagged = df.withColumn(SLICE, F.lit(0))
         return Sliced(tagged, tuple(keys), tuple(order), total, 1, None)
 
-    if derived:
-        df = cut(df)
     fraction = min(1.0, SAMPLES_PER_SLICE * wanted / total)
     sample = df.select(*columns).sample(False, fraction, 7).distinct().orderBy(*columns)
     # Text form of each value: one literal-building path for every column type.

@@ -80,7 +80,10 @@ def _versioned(
     def fold(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         state = spark.read.parquet(state_folder(target, number - 1)) if number > 0 else empty(spark)
+        # Several passes read the batch.
+        batch = batch.persist()
         step(state, batch).write.mode("overwrite").parquet(state_folder(target, number))
+        batch.unpersist()
         mark = spark.createDataFrame([(number,)], "batch bigint")
         mark.write.mode("append").parquet(f"{target}/done")
 
