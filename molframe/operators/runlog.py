@@ -59,20 +59,30 @@ def early_stop(
     finds the stop. ``state`` holds an earlier result to go on from.
     """
     rows = log.select(
-        F.col(run).alias("run"), F.col(epoch).cast("bigint").alias("epoch"), F.col(loss).cast("double").alias("loss")
+        F.col(run).alias("run"),
+        F.lit(1).alias("part"),
+        F.col(epoch).cast("bigint").alias("epoch"),
+        F.col(loss).cast("double").alias("loss"),
+        F.lit(None).cast("bigint").alias("stopped"),
     )
     rows = rows.withColumn("point", F.when(_improvable(F.col("loss")), F.struct("loss", "epoch")))
-    seen = running(slice_by_range(rows, ["epoch"], ["run"], rows_per_slice), so_far=Running("min", F.col("point")))
     if state is not None:
+        # Earlier results go in front of their run as one more row: no join on a skewed run.
         best = F.struct(F.col("best_loss").alias("loss"), F.col("best_epoch").alias("epoch"))
         earlier = state.select(
             "run",
+            F.lit(0).alias("part"),
+            F.lit(0).cast("bigint").alias("epoch"),
+            F.lit(None).cast("double").alias("loss"),
             F.col("stop_epoch").alias("stopped"),
-            F.when(F.col("best_loss").isNotNull(), best).alias("earlier"),
+            F.when(F.col("best_loss").isNotNull(), best).alias("point"),
         )
-        seen = seen.join(earlier, "run", "full").withColumn("so_far", F.least("so_far", "earlier"))
-    else:
-        seen = seen.withColumns({"stopped": F.lit(None).cast("bigint")})
+        rows = rows.unionByName(earlier)
+    seen = running(
+        slice_by_range(rows, ["part", "epoch"], ["run"], rows_per_slice),
+        so_far=Running("min", F.col("point")),
+        ended=Running("max", F.col("stopped")),
+    )
 
     best_loss = F.coalesce(F.col("so_far.loss"), F.lit(INFINITY))
     best_epoch = F.coalesce(F.col("so_far.epoch"), F.lit(0))
@@ -82,22 +92,24 @@ def early_stop(
         & ~F.isnan(gap)
         & (gap > min_delta)
         & (F.col("epoch") - best_epoch > patience)
-        & F.col("stopped").isNull()
+        & F.col("ended").isNull()
     )
-    marked = seen.withColumn("at_stop", F.when(stops, F.struct("epoch", "so_far")))
-    last = marked.groupBy("run").agg(
-        F.min("at_stop").alias("stop"), F.min("so_far").alias("overall"), F.max("stopped").alias("stopped"),
-        *([F.min("earlier").alias("earlier")] if state is not None else []),
+    last = seen.groupBy("run").agg(
+        F.min(F.when(stops, F.struct("epoch", "so_far"))).alias("stop"),
+        F.min("so_far").alias("overall"),
+        F.max("stopped").alias("stopped"),
+        F.min(F.when(F.col("part") == 0, F.col("point"))).alias("earlier"),
     )
     # A run that stopped before keeps the best it had then.
-    kept = F.col("overall")
-    if state is not None:
-        kept = F.when(F.col("stopped").isNotNull(), F.col("earlier")).otherwise(kept)
-    best = F.when(F.col("stop").isNotNull(), F.col("stop.so_far")).otherwise(kept)
+    best = (
+        F.when(F.col("stopped").isNotNull(), F.col("earlier"))
+        .when(F.col("stop").isNotNull(), F.col("stop.so_far"))
+        .otherwise(F.col("overall"))
+    )
     return last.select(
         "run",
-        F.coalesce("stopped", F.col("stop.epoch")).cast("bigint").alias("stop_epoch"),
-        F.coalesce(best["epoch"], F.lit(0)).cast("bigint").alias("best_epoch"),
+        F.coalesce("stopped", F.col("stop.epoch")).alias("stop_epoch"),
+        F.coalesce(best["epoch"], F.lit(0).cast("bigint")).alias("best_epoch"),
         best["loss"].alias("best_loss"),
     )
 

@@ -6,10 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from molframe.functions.hashing import hash60, seeded, unit_hash
 from molframe.operators.joins import two_way
-from molframe.plans.lineage import cut
+from molframe.plans.lineage import cut, scratch_path
 from molframe.plans.ordered import ROWS_PER_SLICE, indexed, row_index, slice_by_range
 
 
@@ -41,6 +42,7 @@ def group_assignment(
     sqrt(2 * rows), so they are the only thing the driver sees. Groups are
     ranked only inside sizes that mix splits.
     """
+    groups = cut(groups)
     sizes = groups.groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect()
     plan = fill([(r["n"], r["k"]) for r in sizes], fractions)
     spark = groups.sparkSession
@@ -148,28 +150,44 @@ def audit_split(df: DataFrame, id: str, key: str) -> DataFrame:
     ).withColumns({"ids_in_many": torn(id), "groups_in_many": torn(key)})
 
 
-def two_core(bonds: DataFrame, rounds_per_cut: int = 2) -> DataFrame:
+def two_core(bonds: DataFrame) -> DataFrame:
     """Bonds left after repeatedly removing atoms with a single bond: rings and linkers.
 
     A leaf is found by a map-side combined aggregate on (molecule, atom), which
-    also names its only bond, so a round costs one aggregate and one anti join.
-    Rounds number at most the longest side chain; every few rounds the
-    shrinking bond table is written to the shared folder.
+    also names its only bond. Rounds number at most the longest side chain, but
+    each round reads only molecules that had leaves in the round before. It
+    writes one table to the shared folder, divided into molecules that may go on
+    and molecules that are done.
     """
-    left = cut(bonds)
-    before = left.count()
+    spark = bonds.sparkSession
+    root = scratch_path(spark, "core")
+    active, at = T.StructField("active", T.BooleanType()), T.StructField("turn", T.IntegerType())
     ends = {"_lo": F.least("src", "dst"), "_hi": F.greatest("src", "dst")}
-    while before:
-        for _ in range(rounds_per_cut):
-            near = two_way(left).groupBy("mol", "a").agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("b"))
-            loose = near.filter("n = 1").select("mol", F.least("a", "b").alias("_lo"), F.greatest("a", "b").alias("_hi"))
-            left = left.withColumns(ends).join(loose, ["mol", "_lo", "_hi"], "left_anti").select(*bonds.columns)
-        left = cut(left)
-        now = left.count()
-        if now == before:
+
+    def written(path, *marks):
+        return spark.read.schema(T.StructType([*bonds.schema.fields, *marks])).parquet(path)
+
+    left, turn = cut(bonds), 0
+    while True:
+        near = two_way(left).groupBy("mol", "a").agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("b"))
+        loose = cut(near.filter("n = 1").select("mol", F.least("a", "b").alias("_lo"), F.greatest("a", "b").alias("_hi")))
+        if loose.isEmpty():
             break
-        before = now
-    return left
+        touched = loose.select("mol").distinct().withColumn("active", F.lit(True))
+        (
+            left.withColumns(ends)
+            .join(loose, ["mol", "_lo", "_hi"], "left_anti")
+            .join(touched, "mol", "left")
+            .select(*bonds.columns, F.coalesce("active", F.lit(False)).alias("active"))
+            .write.partitionBy("active")
+            .parquet(f"{root}/turn={turn}")
+        )
+        left = written(f"{root}/turn={turn}", active).filter("active").drop("active")
+        turn += 1
+    if turn == 0:
+        return left
+    done = written(root, at, active).filter("not active")
+    return done.select(*bonds.columns).unionByName(left)
 
 
 def graph_key(bonds: DataFrame, atoms: DataFrame) -> DataFrame:

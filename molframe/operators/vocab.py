@@ -92,7 +92,8 @@ def encode(df: DataFrame, id: str, tokens: Column, vocab: DataFrame, head: int =
     and at most ``head`` rows: those are broadcast. Only what is left of the
     tokens, if the vocabulary is larger, is shuffled to meet the rest.
     """
-    spread = df.select(id, F.posexplode(tokens).alias("pos", "token"))
+    # The outer form keeps sequences without tokens.
+    spread = df.select(id, F.posexplode_outer(tokens).alias("pos", "token"))
     small = vocab.filter(F.col("token_id") < head).select("token", "token_id")
     found = spread.join(F.broadcast(small), "token", "left")
     if vocab.agg(F.max("token_id")).first()[0] >= head:
@@ -100,9 +101,8 @@ def encode(df: DataFrame, id: str, tokens: Column, vocab: DataFrame, head: int =
         near = found.filter("token_id is not null")
         far = found.filter("token_id is null").drop("token_id").join(rest, "token", "left")
         found = near.unionByName(far.withColumnRenamed("_rare", "token_id"))
-    entry = F.struct("pos", F.coalesce("token_id", F.lit(UNK_ID).cast("bigint")).alias("token_id"))
+    code = F.coalesce("token_id", F.lit(UNK_ID).cast("bigint")).alias("token_id")
+    entry = F.when(F.col("pos").isNotNull(), F.struct("pos", code))
     # Each group is the tokens of one row, partially gathered before the shuffle.
     ordered = F.array_sort(F.collect_list(entry))
-    coded = found.groupBy(id).agg(F.transform(ordered, lambda e: e["token_id"]).alias("input_ids"))
-    blank = F.array().cast("array<bigint>")
-    return df.select(id).join(coded, id, "left").select(id, F.coalesce("input_ids", blank).alias("input_ids"))
+    return found.groupBy(id).agg(F.transform(ordered, lambda e: e["token_id"]).alias("input_ids"))
