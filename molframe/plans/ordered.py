@@ -21,12 +21,14 @@ the keys.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from molframe.plans.lineage import cut
 
@@ -75,6 +77,9 @@ def slice_by_range(
     of being computed per pass.
     """
     columns = [*keys, *order]
+    unsupported = [k for k in keys if isinstance(df.schema[k].dataType, (T.TimestampType, T.BinaryType))]
+    if unsupported:
+        raise TypeError(f"cannot slice by keys {unsupported}: cast them to a number or text")
     if derived:
         df = cut(df)
     total = df.count()
@@ -85,31 +90,40 @@ def slice_by_range(
 
     fraction = min(1.0, SAMPLES_PER_SLICE * wanted / total)
     sample = df.select(*columns).sample(False, fraction, 7).distinct().orderBy(*columns)
-    # Text form of each value: one literal-building path for every column type.
-    rows = sample.select(*[F.col(c).cast("string") for c in columns]).collect()
+    # Every column type travels as text and is cast back inside one folded literal.
+    names = [f"c{i}" for i in range(len(columns))]
+    values = [_exact(df, c) for c in columns]
+    text = [v.cast("string").alias(n) for v, n in zip(values, names)]
+    rows = [r.asDict() for r in sample.select(*text).collect()]
     picks = sorted({len(rows) * i // wanted for i in range(1, wanted)} - {0})
     bounds = [rows[i] for i in picks if i < len(rows)]
-    types = [df.schema[c].dataType for c in columns]
-
-    def as_struct(row):
-        return F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(row, types, columns)])
-
     if not bounds:
         tagged = df.withColumn(SLICE, F.lit(0))
         return Sliced(tagged, tuple(keys), tuple(order), total, 1, None)
-    edges = F.array(*[as_struct(row) for row in bounds])
-    tagged = df.withColumn(SLICE, _position(edges, len(bounds), F.struct(*columns)))
+    types = [f.dataType for f in df.select(*values).schema.fields]
+    plain = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in names]))
+    typed = T.ArrayType(T.StructType([T.StructField(n, t) for n, t in zip(names, types)]))
+    edges = F.from_json(F.lit(json.dumps(bounds)), plain).cast(typed)
+    value = F.struct(*[v.alias(n) for v, n in zip(values, names)])
+    tagged = df.withColumn(SLICE, _position(edges, len(bounds), value))
 
     spanning = None
     if keys:
-        key_rows = sorted({tuple(row[: len(keys)]) for row in bounds}, key=repr)
-        text = df.sparkSession.createDataFrame(key_rows, ", ".join(f"k{i} string" for i in range(len(keys))))
-        spanning = text.select(
+        key_rows = sorted({tuple(b[n] for n in names[: len(keys)]) for b in bounds}, key=repr)
+        listed = df.sparkSession.createDataFrame(key_rows, ", ".join(f"k{i} string" for i in range(len(keys))))
+        spanning = listed.select(
             *[F.col(f"k{i}").cast(types[i]).alias(f"_key{i}") for i in range(len(keys))]
         )
     return Sliced(tagged, tuple(keys), tuple(order), total, len(bounds) + 1, spanning)
 
 
+def _exact(df: DataFrame, column: str) -> Column:
+    """The column in a form whose text keeps its order: instants lose it when clocks go back."""
+    if isinstance(df.schema[column].dataType, T.TimestampType):
+        return F.unix_micros(column)
+    return F.col(column)
+
+
 def _position(edges: Column, count: int, value: Column) -> Column:
     """How many of the sorted ``edges`` are <= ``value`` (binary search)."""
     steps = [1 << b for b in reversed(range(count.bit_length()))]

@@ -97,3 +97,17 @@ def test_one_slice_has_no_join_or_sample(spark):
     df = spark.range(100).withColumn("k", F.col("id") % 3)
     plan = running(slice_by_range(df, ["id"], ["k"]), n=Running("count"))._jdf.queryExecution().toString()
     assert "Join" not in plan and "Sample" not in plan
+
+
+def test_instants_around_the_clock_change(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        # 2024-11-03 05:00 UTC: local time repeats an hour.
+        df = spark.range(400).select("id", F.timestamp_seconds(1730606400 + (F.col("id") * 7 % 400) * 30).alias("at"))
+        got = {r["id"]: r["idx"] for r in row_index(df, ["at", "id"], rows_per_slice=15).collect()}
+        assert got == {i: i * 7 % 400 for i in range(400)}
+        with pytest.raises(TypeError):
+            slice_by_range(df, ["id"], ["at"])
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
