@@ -12,7 +12,6 @@ from pyspark.sql import types as T
 from molframe.functions.tokens import PAD_ID, descriptors, tokenize
 from molframe.operators.clean import drop_empty_features
 from molframe.operators.split import minibatches
-from molframe.plans.ordered import ROWS_PER_SLICE
 
 
 def dummy(df: DataFrame, c: str) -> DataFrame:
@@ -21,7 +20,7 @@ def dummy(df: DataFrame, c: str) -> DataFrame:
 
 
 def pad_and_mask(
-    df: DataFrame, ids: str, order: Sequence[str], batch: int, rows_per_slice: int = ROWS_PER_SLICE
+    df: DataFrame, ids: str, order: Sequence[str], batch: int, rows_per_slice: int | None = None
 ) -> DataFrame:
     """Pad each batch to its longest sequence, with the attention mask.
 

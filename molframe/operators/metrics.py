@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from molframe.plans.ordered import ROWS_PER_SLICE, Running, running, slice_by_range
+from molframe.plans.ordered import Running, running, slice_by_range
 
 
 def total_steps(df: DataFrame, batch: int, workers: int, epochs: int) -> DataFrame:
@@ -124,7 +124,7 @@ def cross_entropy(df: DataFrame, logits: str, label: str, by: Sequence[str] = ()
 
 
 def roc_auc(
-    df: DataFrame, y: str, p: str, by: Sequence[str] = (), rows_per_slice: int = ROWS_PER_SLICE
+    df: DataFrame, y: str, p: str, by: Sequence[str] = (), rows_per_slice: int | None = None
 ) -> DataFrame:
     """Exact area under the ROC curve, ties counted half; null with one class only.
 

@@ -11,13 +11,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from molframe.plans.ordered import ROWS_PER_SLICE, Running, running, slice_by_range
+from molframe.plans.ordered import Running, running, slice_by_range
 
 INFINITY = float("inf")
 
 
 def global_step(
-    log: DataFrame, run: str, order: Sequence[str], name: str = "step", rows_per_slice: int = ROWS_PER_SLICE
+    log: DataFrame, run: str, order: Sequence[str], name: str = "step", rows_per_slice: int | None = None
 ) -> DataFrame:
     """Number the records of each run from 1, across epochs."""
     return running(slice_by_range(log, order, [run], rows_per_slice), **{name: Running("count")})
@@ -49,7 +49,7 @@ def early_stop(
     epoch: str = "epoch",
     loss: str = "loss",
     state: DataFrame | None = None,
-    rows_per_slice: int = ROWS_PER_SLICE,
+    rows_per_slice: int | None = None,
 ) -> DataFrame:
     """Where each run stops, with the best epoch and loss known by then.
 
@@ -135,7 +135,7 @@ def improvement_trail(
     mode: str = "min",
     run: str = "run",
     epoch: str = "epoch",
-    rows_per_slice: int = ROWS_PER_SLICE,
+    rows_per_slice: int | None = None,
 ) -> DataFrame:
     """The epochs at which a strictly better score was reached."""
     usable = log.filter(F.col(metric).isNotNull() & ~F.isnan(F.col(metric).cast("double")))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from molframe.functions.hashing import hash32, seeded, unit_hash
-from molframe.plans.ordered import ROWS_PER_SLICE, row_index
+from molframe.plans.ordered import row_index
 
 CELLS = 65_536
 
@@ -33,7 +33,7 @@ def mixture(parts: Sequence[tuple[DataFrame, float]], id: str, seed: int = 0) ->
 
 
 def subset_exact(
-    df: DataFrame, id: str, n: int, seed: int = 0, rows_per_slice: int = ROWS_PER_SLICE
+    df: DataFrame, id: str, n: int, seed: int = 0, rows_per_slice: int | None = None
 ) -> DataFrame:
     """Exactly ``n`` rows: those with the smallest (hash, id).
 

@@ -11,14 +11,14 @@ from pyspark.sql import types as T
 from molframe.functions.hashing import hash60, seeded, unit_hash
 from molframe.operators.joins import two_way
 from molframe.plans.lineage import cut, scratch_path
-from molframe.plans.ordered import ROWS_PER_SLICE, indexed, row_index, slice_by_range
+from molframe.plans.ordered import indexed, row_index, slice_by_range
 
 
 def group_split(
     df: DataFrame,
     key: str,
     fractions: tuple[int, int, int] = (8, 1, 1),
-    rows_per_slice: int = ROWS_PER_SLICE,
+    rows_per_slice: int | None = None,
 ) -> DataFrame:
     """Add ``split`` so that rows sharing ``key`` share a split.
 
@@ -33,7 +33,7 @@ def group_split(
 
 
 def group_assignment(
-    groups: DataFrame, key: str, fractions: tuple[int, int, int] = (8, 1, 1), rows_per_slice: int = ROWS_PER_SLICE
+    groups: DataFrame, key: str, fractions: tuple[int, int, int] = (8, 1, 1), rows_per_slice: int | None = None
 ) -> DataFrame:
     """Split of each group, from one row ``(key, n)`` per group.
 
@@ -109,7 +109,7 @@ def no_split(df: DataFrame) -> DataFrame:
 
 
 def contiguous_parts(
-    df: DataFrame, order: Sequence[str], n: int, rows_per_slice: int = ROWS_PER_SLICE
+    df: DataFrame, order: Sequence[str], n: int, rows_per_slice: int | None = None
 ) -> DataFrame:
     """Part 0 .. n-1 of each row; sizes differ by at most one and no row is dropped."""
     sliced = slice_by_range(df, order, (), rows_per_slice)
@@ -118,7 +118,7 @@ def contiguous_parts(
 
 
 def worker_shard(
-    df: DataFrame, order: Sequence[str], workers: int, rows_per_slice: int = ROWS_PER_SLICE
+    df: DataFrame, order: Sequence[str], workers: int, rows_per_slice: int | None = None
 ) -> DataFrame:
     """Round-robin worker of each row."""
     numbered = row_index(df, order, "_idx", rows_per_slice)
@@ -126,7 +126,7 @@ def worker_shard(
 
 
 def minibatches(
-    df: DataFrame, order: Sequence[str], size: int, rows_per_slice: int = ROWS_PER_SLICE
+    df: DataFrame, order: Sequence[str], size: int, rows_per_slice: int | None = None
 ) -> DataFrame:
     """Batch number and place in the batch of each row; the last batch may be short."""
     numbered = row_index(df, order, "_idx", rows_per_slice)

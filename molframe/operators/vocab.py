@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from molframe.functions.tokens import SPECIALS, UNK_ID
 from molframe.operators.joins import two_way
-from molframe.plans.ordered import ROWS_PER_SLICE, row_index
+from molframe.plans.ordered import row_index
 
 # Vocabulary entries an executor can hold: a few ten megabytes.
 HEAD = 500_000
@@ -21,7 +21,7 @@ def build_vocab(
     specials: Sequence[str] = SPECIALS,
     min_count: int = 1,
     max_size: int | None = None,
-    rows_per_slice: int = ROWS_PER_SLICE,
+    rows_per_slice: int | None = None,
 ) -> DataFrame:
     """Rows ``(token, n, token_id)``: specials first, then by falling count, token ascending."""
     counts = df.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
@@ -33,7 +33,7 @@ def number_tokens(
     specials: Sequence[str] = SPECIALS,
     min_count: int = 1,
     max_size: int | None = None,
-    rows_per_slice: int = ROWS_PER_SLICE,
+    rows_per_slice: int | None = None,
 ) -> DataFrame:
     """Ids for counted tokens ``(token, n)``."""
     usable = counts.filter((F.col("n") >= min_count) & ~F.col("token").isin(*specials))

@@ -67,14 +67,14 @@ def slice_by_range(
     df: DataFrame,
     order: Sequence[str],
     keys: Sequence[str] = (),
-    rows_per_slice: int = ROWS_PER_SLICE,
+    rows_per_slice: int | None = None,
     derived: bool = False,
 ) -> Sliced:
     """Tag each row with the number of its value range of ``(keys, order)``.
 
     ``derived`` says that ``df`` is costly to evaluate, such as an aggregation
     over a whole corpus: it is then written to the shared folder once instead
-    of being computed per pass.
+    of being computed per pass. ``rows_per_slice`` defaults to ROWS_PER_SLICE.
     """
     columns = [*keys, *order]
     unsupported = [k for k in keys if isinstance(df.schema[k].dataType, (T.TimestampType, T.BinaryType))]
@@ -83,7 +83,7 @@ def slice_by_range(
     if derived:
         df = cut(df)
     total = df.count()
-    wanted = min(MAX_SLICES, -(-total // rows_per_slice))
+    wanted = min(MAX_SLICES, -(-total // (rows_per_slice or ROWS_PER_SLICE)))
     if wanted <= 1:
         tagged = df.withColumn(SLICE, F.lit(0))
         return Sliced(tagged, tuple(keys), tuple(order), total, 1, None)
@@ -235,7 +235,7 @@ def row_index(
     df: DataFrame,
     order: Sequence[str],
     name: str = "idx",
-    rows_per_slice: int = ROWS_PER_SLICE,
+    rows_per_slice: int | None = None,
     derived: bool = False,
 ) -> DataFrame:
     """Zero-based position of every row in the global order of ``order``."""

@@ -8,11 +8,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from molframe.plans.ordered import ROWS_PER_SLICE, row_index
+from molframe.plans.ordered import row_index
 
 
 def with_shard(
-    df: DataFrame, order: Sequence[str], rows: int = 4096, rows_per_slice: int = ROWS_PER_SLICE
+    df: DataFrame, order: Sequence[str], rows: int = 4096, rows_per_slice: int | None = None
 ) -> DataFrame:
     """Shard number of each row when shards of ``rows`` rows follow ``order``."""
     numbered = row_index(df, order, "_idx", rows_per_slice)

@@ -28,3 +28,18 @@ def test_entry(spark):
 
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+ORDERED = [
+    "shard_sizes", "merge_shard_metadata", "shard_assignment", "cadence_filter", "roc_auc_by_task", "group_split",
+    "contiguous_parts", "worker_shard", "minibatches", "row_index", "global_step", "windowed_loss", "early_stop",
+    "improvement_trail", "subset_exact_n", "pad_and_mask", "vocab_tokens", "atoms_bonds", "negative_edges",
+    "vocab_node_context", "stream_early_stop",
+]
+
+
+@pytest.mark.parametrize("name", ORDERED)
+def test_many_slices_give_the_same_rows(spark, con, monkeypatch, name):
+    monkeypatch.setattr("molframe.plans.ordered.ROWS_PER_SLICE", 150)
+    result = compare(spark, con, name, entry.queries()[name], entry.oracle_sql()[name], SF_DIR)
+    assert result.startswith("ok"), result
