@@ -6,6 +6,7 @@ from molframe.catalog.base import GRAPH_SQL, GROUP_KEY, group_key, molecule_grap
 from molframe.operators.split import (
     audit_split,
     contiguous_parts,
+    graph_key,
     group_split,
     hash_split,
     minibatches,
@@ -66,6 +67,26 @@ def core(spark, sf_dir):
     return two_core(molecule_graphs(spark, sf_dir)[1])
 
 
+@register(
+    "graph_group_key",
+    f"""
+    WITH {GRAPH_SQL},
+    core AS (SELECT mol, src, dst, kind FROM bonds JOIN sizes USING (mol)
+             WHERE n - 1 - n // 3 >= 2 AND src >= n // 3),
+    hashed AS (
+      SELECT core.mol, ('0x' || substr(md5(least(a.symbol, b.symbol) || '|' || greatest(a.symbol, b.symbol)
+                                           || '|' || kind), 1, 15))::BIGINT AS h
+      FROM core JOIN atoms a ON core.mol = a.mol AND src = a.pos JOIN atoms b ON core.mol = b.mol AND dst = b.pos),
+    digests AS (
+      SELECT mol, md5(count(*) || ':' || bit_xor(h) || ':' || sum(h % 2147483648)) AS group_key FROM hashed GROUP BY 1)
+    SELECT mol, coalesce(group_key, '') AS group_key FROM sizes LEFT JOIN digests USING (mol)
+    """,
+)
+def molecule_keys(spark, sf_dir):
+    atoms, bonds = molecule_graphs(spark, sf_dir)
+    return graph_key(bonds, atoms)
+
+
 @register("hash_split", f"SELECT o_orderkey, {split_sql('o_orderkey', 42)} AS split FROM orders")
 def by_hash(spark, sf_dir):
     return hash_split(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 42)

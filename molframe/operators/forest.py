@@ -97,11 +97,10 @@ def evaluate(
         return roc_auc(predict(model, df, [*by, "y"]), "y", "score", by).select(*by, F.col("roc_auc").alias("score"))
     scored = predict(model, df, [*by, "id", "task", "y", "w"])
     if chain is not None:
-        back = {}
-        for side in ("y", "y_pred"):
-            one = scored.select(*by, "id", "task", F.col(side).alias("y"), "w")
-            back[side] = chain.invert(one).select(*by, "id", "task", F.col("y").alias(side))
-        scored = back["y"].join(back["y_pred"], [*by, "id", "task"])
+        # The inverse works on ``y``: first the truth, then the prediction in its place.
+        swap = {"y": "_truth", "y_pred": "y"}
+        back = chain.invert(chain.invert(scored).withColumnsRenamed(swap))
+        scored = back.withColumnsRenamed({"y": "y_pred", "_truth": "y"})
     return rmse(scored, "y", "y_pred", by=by).select(*by, F.col("rmse").alias("score"))
 
 
