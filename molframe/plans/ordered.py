@@ -2,17 +2,19 @@
 
 A window partitioned by a key puts every row of that key into one task, and a
 window without a key puts the whole table there. Both fail when one key holds a
-third of the data. Here the rows are cut into value ranges of ``(keys, order)``
-first:
+third of the data. Here large keys are cut into value ranges of the order first:
 
 1. ``slice_by_range`` counts the rows, samples the sort columns and keeps a
-   bounded list of boundary values. Each row's slice number is a pure function
-   of its own values (a binary search in a literal array), so recomputing a
-   lost partition always gives the same slice.
-2. ``running`` evaluates an ordinary window inside (slice, keys), and adds what
-   the earlier slices of the same key contribute. Only keys that occur among
-   the boundary values can span slices, so that carry table has fewer than two
-   rows per slice and is safe to broadcast whatever the size of the data.
+   bounded list of boundary values of ``(keys, order)``. A key with two or more
+   boundaries is hot: it is cut at them. A row's slice number is a pure function
+   of its own values (a binary search in a literal array), so recomputing a lost
+   partition always gives the same slice. Rows of all other keys stay in slice 0
+   of their key, since no such key exceeds about two slices. Without keys,
+   everything is cut.
+2. ``running`` evaluates an ordinary window inside (keys, slice), and adds what
+   the earlier slices of the same key contribute. That carry table has at most
+   one row per boundary and hot key, so it is safe to broadcast whatever the
+   size of the data.
 
 Input small enough for one slice skips sampling and carry: the plan is then a
 plain window. Inputs must be deterministic, and ``order`` must be unique within
@@ -22,6 +24,7 @@ the keys.
 from __future__ import annotations
 
 import json
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -30,9 +33,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from molframe.functions.arrays import let
 from molframe.plans.lineage import cut
 
 SLICE = "_slice"
+HOT = "_hot"
 ROWS_PER_SLICE = 1_000_000
 MAX_SLICES = 8_192
 SAMPLES_PER_SLICE = 32
@@ -47,10 +52,10 @@ class Sliced:
     order: tuple[str, ...]
     total: int
     slices: int
-    spanning: DataFrame | None
+    hot_keys: int
 
     def window(self) -> Window:
-        by = self.keys if self.slices == 1 else (SLICE, *self.keys)
+        by = self.keys if self.slices == 1 else (*self.keys, SLICE)
         return Window.partitionBy(*by).orderBy(*self.order)
 
 
@@ -84,9 +89,9 @@ def slice_by_range(
         df = cut(df)
     total = df.count()
     wanted = min(MAX_SLICES, -(-total // (rows_per_slice or ROWS_PER_SLICE)))
+    whole = Sliced(df.withColumn(SLICE, F.lit(0)), tuple(keys), tuple(order), total, 1, 0)
     if wanted <= 1:
-        tagged = df.withColumn(SLICE, F.lit(0))
-        return Sliced(tagged, tuple(keys), tuple(order), total, 1, None)
+        return whole
 
     fraction = min(1.0, SAMPLES_PER_SLICE * wanted / total)
     sample = df.select(*columns).sample(False, fraction, 7).distinct().orderBy(*columns)
@@ -97,24 +102,36 @@ def slice_by_range(
     rows = [r.asDict() for r in sample.select(*text).collect()]
     picks = sorted({len(rows) * i // wanted for i in range(1, wanted)} - {0})
     bounds = [rows[i] for i in picks if i < len(rows)]
+    counted = Counter(tuple(b[n] for n in names[: len(keys)]) for b in bounds)
+    hot = sorted((k for k, n in counted.items() if n > 1 or not keys), key=repr)
+    bounds = [b for b in bounds if tuple(b[n] for n in names[: len(keys)]) in set(hot)]
     if not bounds:
-        tagged = df.withColumn(SLICE, F.lit(0))
-        return Sliced(tagged, tuple(keys), tuple(order), total, 1, None)
+        return whole
     types = [f.dataType for f in df.select(*values).schema.fields]
     plain = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in names]))
     typed = T.ArrayType(T.StructType([T.StructField(n, t) for n, t in zip(names, types)]))
     edges = F.from_json(F.lit(json.dumps(bounds)), plain).cast(typed)
     value = F.struct(*[v.alias(n) for v, n in zip(values, names)])
-    tagged = df.withColumn(SLICE, _position(edges, len(bounds), value))
-
-    spanning = None
-    if keys:
-        key_rows = sorted({tuple(b[n] for n in names[: len(keys)]) for b in bounds}, key=repr)
-        listed = df.sparkSession.createDataFrame(key_rows, ", ".join(f"k{i} string" for i in range(len(keys))))
-        spanning = listed.select(
-            *[F.col(f"k{i}").cast(types[i]).alias(f"_key{i}") for i in range(len(keys))]
-        )
-    return Sliced(tagged, tuple(keys), tuple(order), total, len(bounds) + 1, spanning)
+    if len(names) == 1:
+        edges, value = edges[names[0]], values[0]
+    position = _position(edges, len(bounds), value)
+    if not keys:
+        return Sliced(df.withColumn(SLICE, position), (), tuple(order), total, len(bounds) + 1, 0)
+
+    # Fewer hot keys than boundaries.
+    listed = df.sparkSession.createDataFrame(hot, ", ".join(f"k{i} string" for i in range(len(keys))))
+    marks = listed.select(
+        *[F.col(f"k{i}").cast(types[i]).alias(f"_key{i}") for i in range(len(keys))], F.lit(True).alias(HOT)
+    )
+    match = reduce(
+        lambda a, b: a & b, [F.col(f"_key{i}").eqNullSafe(F.col(k)) for i, k in enumerate(keys)]
+    )
+    tagged = (
+        df.join(F.broadcast(marks), match, "left")
+        .withColumn(SLICE, F.when(F.col(HOT), position).otherwise(0))
+        .drop(*[f"_key{i}" for i in range(len(keys))])
+    )
+    return Sliced(tagged, tuple(keys), tuple(order), total, len(bounds) + 1, len(hot))
 
 
 def _exact(df: DataFrame, column: str) -> Column:
@@ -126,14 +143,17 @@ def _exact(df: DataFrame, column: str) -> Column:
 
 def _position(edges: Column, count: int, value: Column) -> Column:
     """How many of the sorted ``edges`` are <= ``value`` (binary search)."""
-    steps = [1 << b for b in reversed(range(count.bit_length()))]
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(count.bit_length()))])
+
+    def search(bound):
+        def advance(found, step):
+            reach = found + step
+            fits = (reach <= F.lit(count)) & (F.get(edges, reach - 1) <= bound)
+            return F.when(fits, reach).otherwise(found)
 
-    def advance(found, step):
-        reach = found + step
-        fits = (reach <= F.lit(count)) & (F.get(edges, reach - 1) <= value)
-        return F.when(fits, reach).otherwise(found)
+        return F.aggregate(steps, F.lit(0), advance)
 
-    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), advance)
+    return let(value, search)
 
 
 def running(sliced: Sliced, **outputs: Running) -> DataFrame:
@@ -146,6 +166,7 @@ def running(sliced: Sliced, **outputs: Running) -> DataFrame:
     }
     if sliced.slices == 1:
         return frame.withColumns({n: _finish(outputs[n], c) for n, c in local.items()}).drop(SLICE)
+    frame = frame.drop(HOT)
 
     carry = _carry(sliced, outputs)
     keys = [f"_key{i}" for i in range(len(sliced.keys))]
@@ -165,19 +186,15 @@ def running(sliced: Sliced, **outputs: Running) -> DataFrame:
 
 
 def _carry(sliced: Sliced, outputs: dict[str, Running]) -> DataFrame:
-    """Per (slice, spanning key): the value over all earlier slices of that key."""
-    rows = sliced.frame
+    """Per (hot key, slice): the value over all earlier slices of that key."""
+    rows = sliced.frame.filter(HOT) if sliced.keys else sliced.frame
     names = [f"_key{i}" for i in range(len(sliced.keys))]
-    if sliced.keys:
-        match = reduce(
-            lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(c)) for n, c in zip(names, sliced.keys)]
-        )
-        rows = rows.join(F.broadcast(sliced.spanning), match, "inner")
+    rows = rows.withColumns({n: F.col(k) for n, k in zip(names, sliced.keys)}) if names else rows
     order = F.struct(*sliced.order)
     summary = rows.groupBy(SLICE, *names).agg(
         *[_summary(o, order).alias(f"_sum_{n}") for n, o in outputs.items()]
     )
-    # Fewer than two rows per slice reach this window, whatever the input size.
+    # About one row per boundary reaches this window, whatever the input size.
     before = Window.partitionBy(*names).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     return summary.select(
         F.col(SLICE).alias("_carry_slice"),

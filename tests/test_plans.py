@@ -62,7 +62,7 @@ def test_no_query_has_a_cross_join(spark):
 
 
 def test_known_bounds_for_broadcast(spark):
-    """With many slices, only the carry table is broadcast by hint."""
+    """With many slices, only the list of hot keys and the carry table are broadcast by hint."""
     from molframe.plans.ordered import Running, running, slice_by_range
 
     df = spark.range(2000).withColumn("k", F.col("id") % 5)
