@@ -11,8 +11,9 @@ from molframe.functions.tokens import SPECIALS, UNK_ID
 from molframe.operators.joins import two_way
 from molframe.plans.ordered import row_index
 
-# Vocabulary entries an executor can hold: a few ten megabytes.
+# What every executor can hold of a vocabulary, in entries and in bytes of text.
 HEAD = 500_000
+HEAD_BYTES = 256 << 20
 
 
 def build_vocab(
@@ -89,14 +90,19 @@ def encode(df: DataFrame, id: str, tokens: Column, vocab: DataFrame, head: int =
     """Rows ``(id, input_ids)``; tokens outside the vocabulary become ``<unk>``.
 
     Ids follow falling frequency, so ids below ``head`` are the hottest tokens
-    and at most ``head`` rows: those are broadcast. Only what is left of the
-    tokens, if the vocabulary is larger, is shuffled to meet the rest.
+    and at most ``head`` rows: those are broadcast, unless their text is too
+    large to hold. Only what is left of the tokens, if the vocabulary is larger,
+    is shuffled to meet the rest.
     """
+    text = F.when(F.col("token_id") < head, F.octet_length("token"))
+    size = vocab.agg(F.max("token_id").alias("last"), F.sum(text).alias("bytes")).first()
+    if (size["bytes"] or 0) > HEAD_BYTES:
+        head = 0
     # The outer form keeps sequences without tokens.
     spread = df.select(id, F.posexplode_outer(tokens).alias("pos", "token"))
     small = vocab.filter(F.col("token_id") < head).select("token", "token_id")
     found = spread.join(F.broadcast(small), "token", "left")
-    if vocab.agg(F.max("token_id")).first()[0] >= head:
+    if size["last"] is not None and size["last"] >= head:
         rest = vocab.filter(F.col("token_id") >= head).select("token", F.col("token_id").alias("_rare"))
         near = found.filter("token_id is not null")
         far = found.filter("token_id is null").drop("token_id").join(rest, "token", "left")

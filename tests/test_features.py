@@ -90,8 +90,9 @@ def test_vocabulary_order_and_limits(spark):
     assert [tuple(r) for r in sliced] == [tuple(r) for r in full]
 
 
-@pytest.mark.parametrize("head", [500_000, 7, 1])
-def test_encoding_is_the_same_however_much_is_broadcast(spark, head):
+@pytest.mark.parametrize("head,limit", [(500_000, 1 << 20), (7, 1 << 20), (1, 1 << 20), (500_000, 3)])
+def test_encoding_is_the_same_however_much_is_broadcast(spark, monkeypatch, head, limit):
+    monkeypatch.setattr("molframe.operators.vocab.HEAD_BYTES", limit)
     df = texts(spark, "b a b c zzz", "a b d zzz zzz", "")
     words = tokenize(F.col("s"))
     vocab = build_vocab(texts(spark, "b a b c", "a b d"), words)

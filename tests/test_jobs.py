@@ -6,6 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from molframe.operators.clean import unpivot_tasks
+from molframe.registry import TASKS
 from molframe.jobs import benchmark_datasets, featurize_datasets, main, split_datasets
 
 RINGS = ["C1CC1", "C1CCC1", "c1ccccc1", "C1CCNCC1", "c1ccoc1", "C1CCOC1", "c1ccncc1", "C1CCCCCC1"]
@@ -59,3 +61,21 @@ def test_command_line_reports_failures(spark, data, tmp_path):
     with pytest.raises(SystemExit):
         main(["split", "--data", data[0], "--out", str(tmp_path / "s"), "--datasets", "bbbp,nope", "--splitter", "random"])
     assert spark.read.parquet(str(tmp_path / "s" / "bbbp")).select("split").distinct().count() == 3
+
+
+def test_many_tasks_with_awkward_names(spark, data, tmp_path):
+    """All 27 tasks of the dataset whose task names hold blanks, commas and brackets."""
+    rng = random.Random(2)
+    root = tmp_path / "in"
+    root.mkdir()
+    with open(root / "sider.csv", "w", newline="") as f:
+        w = csv.writer(f)
+        w.writerow(["smiles", *TASKS["sider"]])
+        w.writerows([s, *[rng.randint(0, 1) for _ in TASKS["sider"]]] for s in data[1])
+    splits, features = str(tmp_path / "s"), str(tmp_path / "f")
+    assert split_datasets(spark, ["sider"], str(root), splits, "random").first()["status"] == "done"
+    assert featurize_datasets(spark, ["sider"], ["ecfp"], splits, features).first()["status"] == "done"
+    rows = spark.read.parquet(f"{features}/ecfp_featurized/sider")
+    assert set(TASKS["sider"]) <= set(rows.columns) and rows.count() == len(data[1])
+    long = unpivot_tasks(rows.drop("x"), ["smiles", "split"], TASKS["sider"])
+    assert long.filter("y is not null").count() == 27 * len(data[1])
