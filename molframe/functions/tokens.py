@@ -50,10 +50,10 @@ def hashed_fp(tokens: Column, size: int = 1024, radius: int = 2) -> Column:
     """
 
     def layer(toks, r):
-        def identifier(_, i):
-            start = F.greatest(i - r, F.lit(0))
-            around = F.slice(toks, start + 1, i + r + 1 - start)
-            return hash32(F.concat(F.lit(f"{r}:"), F.array_join(around, " "))) % size
+        def identifier(token, i):
+            # Places beyond the ends read as null, which the concatenation leaves out.
+            around = [token if d == 0 else F.get(toks, i + d) for d in range(-r, r + 1)]
+            return hash32(F.concat(F.lit(f"{r}:"), F.concat_ws(" ", *around))) % size
 
         return F.transform(toks, identifier)
 

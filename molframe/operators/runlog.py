@@ -81,8 +81,10 @@ def early_stop(
     seen = running(
         slice_by_range(rows, ["part", "epoch"], ["run"], rows_per_slice),
         so_far=Running("min", F.col("point")),
-        ended=Running("max", F.col("stopped")),
+        **({"ended": Running("max", F.col("stopped"))} if state is not None else {}),
     )
+    if state is None:
+        seen = seen.withColumn("ended", F.col("stopped"))
 
     best_loss = F.coalesce(F.col("so_far.loss"), F.lit(INFINITY))
     best_epoch = F.coalesce(F.col("so_far.epoch"), F.lit(0))
