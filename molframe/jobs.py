@@ -1,11 +1,13 @@
-"""Whole jobs over named datasets: split and clean, featurize, benchmark.
+"""Whole jobs over named datasets: split and clean, featurize, build vocabularies, benchmark.
 
 Each job handles every dataset it can and returns a status row for each,
 including unknown names and missing files; nothing is skipped silently.
 
     python -m molframe.jobs split     --data IN --out SPLITS --datasets bbbp,tox21
     python -m molframe.jobs featurize --data SPLITS --out FEATURES --datasets bbbp,tox21 --featurizers ecfp,graph
+    python -m molframe.jobs vocabulary --data SPLITS --out VOCAB --datasets bbbp
     python -m molframe.jobs benchmark --data FEATURES --out METRICS --datasets bbbp,tox21
+    python -m molframe.jobs library   --data LIB/ --out BLOCKS --datasets 1b --featurizers ecfp
 """
 
 from __future__ import annotations
@@ -25,10 +27,11 @@ from molframe.operators.forest import bit_features, run_repeated
 from molframe.operators.graph import atoms_bonds
 from molframe.operators.split import graph_key, group_split, hash_split, no_split
 from molframe.operators.transform import fit_chain
+from molframe.operators.vocab import build_vocab, node_context_vocab
 from molframe.plans.lineage import cut
 from molframe.registry import TASKS, TRANSFORMERS, DatasetSpec, resolve
-from molframe.sources.readers import read_spec
-from molframe.sources.sinks import append_metrics, write_new, write_splits
+from molframe.sources.readers import labelled_schema, read_library, read_spec
+from molframe.sources.sinks import append_metrics, write_blocks, write_new, write_splits, write_vocab
 
 STATUS = "dataset string, step string, status string, detail string"
 FINGERPRINT_SIZE = 1024
@@ -150,6 +153,44 @@ def featurize_datasets(
     return reduce(DataFrame.unionByName, parts)
 
 
+def featurize_library(
+    spark: SparkSession, size: str, featurizer: str, root: str, out: str, partitions: int | None = None
+) -> str:
+    """Featurize a chunked library (``smiles``, ``logp``) into blocks of ``x`` and ``smiles``.
+
+    One stage from scan to sink after the rebalance; an existing target is refused.
+    """
+    spec = DatasetSpec("smiles", ("logp",), "smiles")
+    rows = read_library(spark, size, root, labelled_schema("smiles", ["logp"]), partitions)
+    found = FEATURIZERS[featurizer](rows, spec)
+    if found.schema["x"].dataType.typeName() == "array":
+        found = drop_empty_features(found)
+    target = f"{out}/{featurizer}_{size.lower()}"
+    write_blocks(found, target, ["x", "smiles"])
+    return target
+
+
+def build_vocabularies(
+    spark: SparkSession, names: Sequence[str], data: str, out: str, train_only: bool = True,
+    specs: Mapping[str, DatasetSpec] | None = None,
+) -> DataFrame:
+    """Token, atom-context and bond-context vocabularies of split datasets, as JSON lines."""
+    def work(dataset: str) -> str:
+        spec = (specs or {}).get(dataset) or spec_of(dataset)
+        rows = spark.read.parquet(f"{data}/{dataset}")
+        if train_only:
+            rows = rows.filter("split = 'train'")
+        write_vocab(build_vocab(rows, tokenize(F.col(spec.feature), "smiles")), f"{out}/{dataset}/tokens")
+        unique = rows.select(spec.id, spec.feature).dropDuplicates([spec.id])
+        atoms, bonds = (cut(t) for t in atoms_bonds(unique, spec.id, spec.feature))
+        of_atoms, of_bonds = node_context_vocab(atoms, bonds)
+        write_vocab(of_atoms, f"{out}/{dataset}/atoms")
+        write_vocab(of_bonds, f"{out}/{dataset}/bonds")
+        return f"{out}/{dataset}"
+
+    return _each(spark, names, "vocabulary", work)
+
+
 def benchmark_datasets(
     spark: SparkSession, names: Sequence[str], data: str, out: str, seeds: Sequence[int] = (0, 1, 2),
     transform: bool = True, specs: Mapping[str, DatasetSpec] | None = None, **params,
@@ -188,8 +229,8 @@ def benchmark_datasets(
 
 def main(argv: Sequence[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description="Split, featurize and benchmark labelled sequence datasets.")
-    parser.add_argument("job", choices=("split", "featurize", "benchmark"))
-    parser.add_argument("--datasets", required=True, help="comma-separated names")
+    parser.add_argument("job", choices=("split", "featurize", "vocabulary", "benchmark", "library"))
+    parser.add_argument("--datasets", required=True, help="comma-separated names; for library jobs, sizes")
     parser.add_argument("--data", required=True, help="input folder")
     parser.add_argument("--out", required=True, help="output folder")
     parser.add_argument("--featurizers", default="ecfp", help="comma-separated names")
@@ -205,6 +246,15 @@ def main(argv: Sequence[str] | None = None) -> None:
         status = split_datasets(spark, names, args.data, args.out, args.splitter, args.max_len)
     elif args.job == "featurize":
         status = featurize_datasets(spark, names, args.featurizers.split(","), args.data, args.out, args.max_len)
+    elif args.job == "vocabulary":
+        status = build_vocabularies(spark, names, args.data, args.out)
+    elif args.job == "library":
+        rows = [
+            (size, f"library:{f}", "done", featurize_library(spark, size, f, args.data, args.out))
+            for size in names
+            for f in args.featurizers.split(",")
+        ]
+        status = spark.createDataFrame(rows, STATUS)
     else:
         status = benchmark_datasets(
             spark, names, args.data, args.out, transform=not args.no_transform, trees=args.trees, depth=args.depth

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -67,3 +67,14 @@ def featurize(
     """
     out = df.withColumn("x", F.pandas_udf(fn, schema)(F.col(column)))
     return drop_empty_features(out) if isinstance(out.schema["x"].dataType, T.ArrayType) else out.filter("x is not null")
+
+
+def featurize_rows(
+    df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], columns: Sequence[str], schema: T.StructType | str
+) -> DataFrame:
+    """Run a user's function that turns each batch of rows into any number of rows."""
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield fn(frame)
+
+    return df.select(*columns).mapInPandas(batches, schema)

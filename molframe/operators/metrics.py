@@ -7,7 +7,7 @@ the map side.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -150,3 +150,17 @@ def roc_auc(
 def task_mean(metric: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Mean over tasks; tasks without a value do not count."""
     return metric.groupBy(*by).agg(F.avg(value).alias(value), F.count(value).alias("n_tasks"))
+
+
+def user_metric(
+    df: DataFrame, name: str, build: Callable[[Column, Column], Column], y: str, p: str,
+    by: Sequence[str] = (), average_over: str | None = None,
+) -> DataFrame:
+    """A user's metric: ``build`` makes the aggregate from truth and prediction.
+
+    With ``average_over`` the metric is taken per value of that column (a task,
+    say) and then averaged.
+    """
+    groups = [*by, average_over] if average_over else list(by)
+    found = _known(df, y, p).groupBy(*groups).agg(build(F.col(y), F.col(p)).alias(name))
+    return task_mean(found, name, by) if average_over else found

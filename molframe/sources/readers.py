@@ -69,6 +69,18 @@ def rebalance(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return df.repartition(partitions) if partitions else df.hint("rebalance")
 
 
+def read_library(
+    spark: SparkSession, size: str, root: str, schema: T.StructType, partitions: int | None = None
+) -> DataFrame:
+    """All chunks of a library of the named size, in even partitions.
+
+    The manifest has at most a few hundred paths. Sequences hold no line
+    breaks, so every chunk file is split over many tasks.
+    """
+    paths = [r["path"] for r in chunk_manifest(spark, size, root).orderBy("chunk").collect()]
+    return rebalance(read_chunks(spark, paths, schema), partitions)
+
+
 def read_blocks(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
     """Array blocks written by ``write_blocks``; only the named columns are scanned."""
     df = spark.read.parquet(path)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from molframe.functions.tokens import IGNORED, MASK_ID, SPECIALS, UNK_ID, descriptors, hashed_fp, mask_tokens, tokenize
-from molframe.operators.features import describe, descriptor_labels, dummy, featurize, pad_and_mask
+from molframe.operators.features import describe, descriptor_labels, dummy, featurize, featurize_rows, pad_and_mask
 from molframe.operators.vocab import build_vocab, encode
 
 
@@ -109,3 +109,11 @@ def test_user_featurizer_drops_empty_results(spark):
     out = featurize(texts(spark, "CC", "", "CCC"), lengths, "s", "array<double>")
     assert sorted(r["x"][0] for r in out.collect()) == [2.0, 3.0]
     assert dummy(texts(spark, "CC"), "s").first()["x"] == "CC"
+
+
+def test_user_function_may_return_many_rows(spark):
+    def letters(frame: pd.DataFrame) -> pd.DataFrame:
+        return frame.assign(letter=frame["s"].map(list)).explode("letter").dropna()[["id", "letter"]]
+
+    out = featurize_rows(texts(spark, "CO", "", "N"), letters, ["id", "s"], "id bigint, letter string")
+    assert sorted(map(tuple, out.collect())) == [(0, "C"), (0, "O"), (2, "N")]

@@ -4,11 +4,19 @@ import csv
 import random
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from molframe.operators.clean import unpivot_tasks
 from molframe.registry import TASKS
-from molframe.jobs import benchmark_datasets, featurize_datasets, main, split_datasets
+from molframe.jobs import (
+    benchmark_datasets,
+    build_vocabularies,
+    featurize_datasets,
+    featurize_library,
+    main,
+    split_datasets,
+)
 
 RINGS = ["C1CC1", "C1CCC1", "c1ccccc1", "C1CCNCC1", "c1ccoc1", "C1CCOC1", "c1ccncc1", "C1CCCCCC1"]
 
@@ -79,3 +87,24 @@ def test_many_tasks_with_awkward_names(spark, data, tmp_path):
     assert set(TASKS["sider"]) <= set(rows.columns) and rows.count() == len(data[1])
     long = unpivot_tasks(rows.drop("x"), ["smiles", "split"], TASKS["sider"])
     assert long.filter("y is not null").count() == 27 * len(data[1])
+
+
+def test_vocabularies(spark, data, tmp_path):
+    splits, out = str(tmp_path / "s"), str(tmp_path / "v")
+    split_datasets(spark, ["bbbp"], data[0], splits, "none")
+    assert build_vocabularies(spark, ["bbbp"], splits, out).first()["status"] == "done"
+    tokens = {r["token"]: r["n"] for r in spark.read.json(f"{out}/bbbp/tokens").collect()}
+    assert tokens["N"] == sum(s.count("N") for s in data[1])
+    assert spark.read.json(f"{out}/bbbp/atoms").count() > 10 and spark.read.json(f"{out}/bbbp/bonds").count() > 5
+
+
+def test_chunked_library(spark, tmp_path):
+    root = tmp_path / "lib"
+    root.mkdir()
+    for i in range(10):
+        (root / f"chunk_{i:03d}.csv").write_text("smiles,logp\n" + "".join(f"{'C' * (j + 1)}O,{i}.5\n" for j in range(20)) + ",0.0\n")
+    target = featurize_library(spark, "100M", "ecfp", f"{root}/", str(tmp_path / "out"), partitions=4)
+    blocks = spark.read.parquet(target)
+    assert blocks.columns == ["x", "smiles"] and blocks.count() == 200
+    with pytest.raises(AnalysisException):
+        featurize_library(spark, "100M", "ecfp", f"{root}/", str(tmp_path / "out"))

@@ -98,3 +98,10 @@ def test_user_transformer_in_a_chain(spark):
     double = lambda train: Fitted("double", None, (), {"y": F.col("y") * 2}, {"y": F.col("y") / 2})
     chain = fit_chain([double, "log"], rows)
     assert values(chain.invert(chain.apply(rows))) == pytest.approx([3.0])
+
+
+def test_user_metric_with_task_average(spark):
+    df = spark.createDataFrame([("a", 1.0, 2.0), ("a", 1.0, 5.0), ("b", 1.0, 1.0)], "task string, y double, p double")
+    worst = lambda y, p: F.max(F.abs(y - p))
+    assert M.user_metric(df, "worst", worst, "y", "p").first()["worst"] == 4.0
+    assert M.user_metric(df, "worst", worst, "y", "p", average_over="task").first()["worst"] == 2.0
