@@ -44,55 +44,54 @@ def atoms_bonds(df: DataFrame, mol: str, sequence: str) -> tuple[DataFrame, Data
     step = F.when(F.col("opens"), 1).when(F.col("tok") == ")", -1).otherwise(0)
     placed = tokens.withColumns(
         {
-            "atom": F.sum(F.col("is_atom").cast("int")).over(upto) - 1,
+            "pos": F.sum(F.col("is_atom").cast("int")).over(upto) - 1,
             "fragment": F.sum((F.col("tok") == ".").cast("int")).over(upto),
             # An opening parenthesis counts at the depth it opens from.
             "depth": F.sum(step).over(upto) - F.when(F.col("opens"), 1).otherwise(0),
             "prev_tok": F.lag("tok").over(here),
             "prev_real": F.last(F.when(~F.col("is_bond"), F.col("tok")), ignorenulls=True).over(before),
         }
-    )
-    level = Window.partitionBy("mol", "fragment", "depth").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    chained = placed.withColumn(
-        "same_level", F.last(F.when(F.col("is_atom"), F.col("atom")), ignorenulls=True).over(level)
-    ).withColumn("hangs_on", F.last(F.when(F.col("opens"), F.col("same_level")), ignorenulls=True).over(before))
-    aromatic = F.regexp_like("tok", F.lit(AROMATIC))
-    linked = chained.withColumns(
+    ).withColumns(
         {
-            "parent": F.when(
-                F.col("is_atom"),
-                F.when(F.col("prev_real") == "(", F.col("hangs_on")).otherwise(F.col("same_level")),
+            # An atom travels with its aromaticity, so bonds need no join to know their ends.
+            "atom": F.when(
+                F.col("is_atom"), F.struct("pos", F.regexp_like("tok", F.lit(AROMATIC)).alias("aromatic"))
             ),
             "written": F.when(F.regexp_like("prev_tok", F.lit(BOND)), F.col("prev_tok")),
-            "aromatic": aromatic,
         }
     )
+    level = Window.partitionBy("mol", "fragment", "depth").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    linked = (
+        placed.withColumn("same_level", F.last("atom", ignorenulls=True).over(level))
+        .withColumns(
+            {
+                "hangs_on": F.last(F.when(F.col("opens"), F.col("same_level")), ignorenulls=True).over(before),
+                "owner": F.last("atom", ignorenulls=True).over(upto),
+            }
+        )
+        .withColumn("parent", F.when(F.col("prev_real") == "(", F.col("hangs_on")).otherwise(F.col("same_level")))
+    )
 
-    atoms = linked.filter("is_atom").select("mol", F.col("atom").alias("pos"), F.col("tok").alias("symbol"), "aromatic")
+    atoms = linked.filter("is_atom").select("mol", "pos", F.col("tok").alias("symbol"))
     chain = linked.filter("is_atom and parent is not null").select(
-        "mol", F.col("parent").alias("src"), F.col("atom").alias("dst"), "written"
+        "mol", F.col("parent.pos").alias("src"), F.col("pos").alias("dst"), "written",
+        (F.col("parent.aromatic") & F.col("atom.aromatic")).alias("aromatic"),
     )
     label = F.regexp_replace("tok", "%", "").cast("int")
-    uses = linked.filter("is_ring").select("mol", "i", "atom", "written", label.alias("label"))
+    uses = linked.filter("is_ring").select("mol", "i", "owner", "written", label.alias("label"))
     nth = F.row_number().over(Window.partitionBy("mol", "label").orderBy("i"))
     rings = (
         uses.withColumn("pair", F.floor((nth - 1) / 2))
         .groupBy("mol", "label", "pair")
         .agg(
-            F.min("atom").alias("src"), F.max("atom").alias("dst"),
-            F.max("written").alias("written"), F.count(F.lit(1)).alias("ends"),
+            F.min("owner.pos").alias("src"), F.max("owner.pos").alias("dst"), F.max("written").alias("written"),
+            F.min("owner.aromatic").alias("aromatic"), F.count(F.lit(1)).alias("ends"),
         )
         .filter("ends = 2")
-        .select("mol", "src", "dst", "written")
-    )
-    marks = atoms.select("mol", "pos", "aromatic")
-    both = (
-        chain.unionByName(rings)
-        .join(marks.toDF("mol", "src", "a1"), ["mol", "src"])
-        .join(marks.toDF("mol", "dst", "a2"), ["mol", "dst"])
+        .drop("label", "pair", "ends")
     )
-    kind = F.coalesce("written", F.when(F.col("a1") & F.col("a2"), ":").otherwise("-"))
-    return atoms.select("mol", "pos", "symbol"), both.select("mol", "src", "dst", kind.alias("kind"))
+    kind = F.coalesce("written", F.when(F.col("aromatic"), ":").otherwise("-"))
+    return atoms, chain.unionByName(rings).select("mol", "src", "dst", kind.alias("kind"))
 
 
 def node_degree(bonds: DataFrame) -> DataFrame:
