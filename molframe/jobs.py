@@ -29,6 +29,7 @@ from molframe.operators.split import graph_key, group_split, hash_split, no_spli
 from molframe.operators.transform import fit_chain
 from molframe.operators.vocab import build_vocab, node_context_vocab
 from molframe.plans.lineage import cut
+from molframe.plans.ordered import row_index
 from molframe.registry import TASKS, TRANSFORMERS, DatasetSpec, resolve
 from molframe.sources.readers import labelled_schema, read_library, read_spec
 from molframe.sources.sinks import append_metrics, write_blocks, write_new, write_splits, write_vocab
@@ -65,11 +66,17 @@ FEATURIZERS: dict[str, Callable[[DataFrame, DatasetSpec], DataFrame]] = {
 GRAPH = "graph"
 
 
+def molecules_of(df: DataFrame, spec: DatasetSpec) -> DataFrame:
+    """Distinct sequences under a short number ``mol``: graph tables repeat it on every row."""
+    unique = df.select(*dict.fromkeys((spec.id, spec.feature))).dropDuplicates([spec.id])
+    return cut(row_index(unique, [spec.id], "mol", derived=True))
+
+
 def scaffold_split(df: DataFrame, spec: DatasetSpec) -> DataFrame:
     """80/10/10 by ring systems and linkers; equal scaffolds share a split."""
-    atoms, bonds = atoms_bonds(df.select(spec.id, spec.feature).dropDuplicates([spec.id]), spec.id, spec.feature)
-    atoms, bonds = cut(atoms), cut(bonds)
-    keys = graph_key(bonds, atoms).withColumnRenamed("mol", spec.id)
+    molecules = molecules_of(df, spec)
+    atoms, bonds = (cut(t) for t in atoms_bonds(molecules, "mol", spec.feature))
+    keys = graph_key(bonds, atoms).join(molecules.select("mol", spec.id), "mol").select(spec.id, "group_key")
     return group_split(df.join(keys, spec.id, "left"), "group_key").drop("group_key")
 
 
@@ -138,8 +145,9 @@ def featurize_datasets(
             target = f"{out}/{featurizer}_featurized/{dataset}"
             rows = clean_by_length(spark.read.parquet(f"{data}/{dataset}"), spec.feature, max_len)
             if featurizer == GRAPH:
-                unique = rows.select(spec.id, spec.feature).dropDuplicates([spec.id])
-                atoms, bonds = atoms_bonds(unique, spec.id, spec.feature)
+                molecules = molecules_of(rows, spec)
+                atoms, bonds = atoms_bonds(molecules, "mol", spec.feature)
+                write_new(molecules, f"{target}/molecules")
                 write_new(atoms, f"{target}/atoms")
                 write_new(bonds, f"{target}/bonds")
                 return target
@@ -181,8 +189,7 @@ def build_vocabularies(
         if train_only:
             rows = rows.filter("split = 'train'")
         write_vocab(build_vocab(rows, tokenize(F.col(spec.feature), "smiles")), f"{out}/{dataset}/tokens")
-        unique = rows.select(spec.id, spec.feature).dropDuplicates([spec.id])
-        atoms, bonds = (cut(t) for t in atoms_bonds(unique, spec.id, spec.feature))
+        atoms, bonds = (cut(t) for t in atoms_bonds(molecules_of(rows, spec), "mol", spec.feature))
         of_atoms, of_bonds = node_context_vocab(atoms, bonds)
         write_vocab(of_atoms, f"{out}/{dataset}/atoms")
         write_vocab(of_bonds, f"{out}/{dataset}/bonds")

@@ -19,79 +19,93 @@ AROMATIC = r"^(\[[0-9]*[bcnops].*\]|[bcnops])$"
 def atoms_bonds(df: DataFrame, mol: str, sequence: str) -> tuple[DataFrame, DataFrame]:
     """Atoms and bonds of written molecules, by windows over their tokens.
 
-    The compact strings are shuffled once by molecule; every window then works
-    inside one string, so its size is bounded by that string. An atom bonds to
-    the previous atom of its branch, or, opening a branch, to the atom the
-    branch hangs on. The odd and even uses of a ring label close rings.
-    ``mol`` must be unique.
+    The compact strings are shuffled once by molecule; two windows then work
+    inside one string, so their size is bounded by that string: one along the
+    string, one along its lanes, which are the atoms of one branch depth or the
+    uses of one ring label. An atom bonds to the previous atom of its lane, an
+    opening parenthesis bonds the last atom of its lane to the atom it opens
+    with, and every second use of a ring label closes a ring. ``mol`` must be
+    unique.
     """
+    here = Window.partitionBy("mol").orderBy("i")
+    upto = here.rowsBetween(Window.unboundedPreceding, 0)
+    lane = Window.partitionBy("mol", "lane", "level").orderBy("i")
+
+    def tokens_like(name, pattern):
+        return F.coalesce(F.regexp_like(name, F.lit(pattern)), F.lit(False))
+
     tokens = (
         df.select(F.col(mol).alias("mol"), F.col(sequence).alias("seq"))
         .repartition("mol")
         .select("mol", F.posexplode(tokenize(F.col("seq"), "smiles")).alias("i", "tok"))
         .withColumns(
             {
-                "is_atom": F.regexp_like("tok", F.lit(ATOM)),
-                "is_bond": F.regexp_like("tok", F.lit(BOND)),
-                "is_ring": F.regexp_like("tok", F.lit(RING)),
+                "is_atom": tokens_like("tok", ATOM),
+                "is_ring": tokens_like("tok", RING),
                 "opens": F.col("tok") == "(",
             }
         )
     )
-    here = Window.partitionBy("mol").orderBy("i")
-    upto = here.rowsBetween(Window.unboundedPreceding, 0)
-    before = here.rowsBetween(Window.unboundedPreceding, -1)
-    step = F.when(F.col("opens"), 1).when(F.col("tok") == ")", -1).otherwise(0)
+    atoms_so_far = F.sum(F.col("is_atom").cast("int")).over(upto) - 1
+    if_atom = F.when(F.col("is_atom"), F.struct("pos", tokens_like("tok", AROMATIC).alias("aromatic")))
     placed = tokens.withColumns(
         {
-            "pos": F.sum(F.col("is_atom").cast("int")).over(upto) - 1,
+            "pos": atoms_so_far,
             "fragment": F.sum((F.col("tok") == ".").cast("int")).over(upto),
-            # An opening parenthesis counts at the depth it opens from.
-            "depth": F.sum(step).over(upto) - F.when(F.col("opens"), 1).otherwise(0),
-            "prev_tok": F.lag("tok").over(here),
-            "prev_real": F.last(F.when(~F.col("is_bond"), F.col("tok")), ignorenulls=True).over(before),
+            "depth": F.sum(F.when(F.col("opens"), 1).when(F.col("tok") == ")", -1).otherwise(0)).over(upto),
+            "prev": F.lag("tok").over(here),
+            "prev2": F.lag("tok", 2).over(here),
+            "next": F.lead("tok").over(here),
+            "next2": F.lead("tok", 2).over(here),
+        }
+    )
+    atoms = placed.filter("is_atom").select("mol", "pos", F.col("tok").alias("symbol"))
+
+    label = F.regexp_replace("tok", "%", "").cast("int")
+    laned = placed.withColumns(
+        {
+            "atom": if_atom,
+            "after_bond": tokens_like("prev", BOND),
+            "before_bond": tokens_like("next", BOND),
+            # Ring labels get lanes below zero; an opening parenthesis stays at the depth it opens from.
+            "lane": F.when(F.col("is_ring"), -1 - label).otherwise(F.col("fragment")),
+            "level": F.when(F.col("is_ring"), 0).otherwise(F.col("depth") - F.col("opens").cast("int")),
         }
     ).withColumns(
         {
-            # An atom travels with its aromaticity, so bonds need no join to know their ends.
-            "atom": F.when(
-                F.col("is_atom"), F.struct("pos", F.regexp_like("tok", F.lit(AROMATIC)).alias("aromatic"))
-            ),
-            "written": F.when(F.regexp_like("prev_tok", F.lit(BOND)), F.col("prev_tok")),
+            "owner": F.last("atom", ignorenulls=True).over(upto),
+            "opened": F.when(F.col("after_bond"), F.col("prev2")).otherwise(F.col("prev")) == "(",
+            "opens_with": F.when(F.col("before_bond"), F.col("next2")).otherwise(F.col("next")),
+            "written": F.when(F.col("after_bond"), F.col("prev")),
+            "will_write": F.when(F.col("before_bond"), F.col("next")),
         }
     )
-    level = Window.partitionBy("mol", "fragment", "depth").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    linked = (
-        placed.withColumn("same_level", F.last("atom", ignorenulls=True).over(level))
-        .withColumns(
-            {
-                "hangs_on": F.last(F.when(F.col("opens"), F.col("same_level")), ignorenulls=True).over(before),
-                "owner": F.last("atom", ignorenulls=True).over(upto),
-            }
-        )
-        .withColumn("parent", F.when(F.col("prev_real") == "(", F.col("hangs_on")).otherwise(F.col("same_level")))
+    linked = laned.withColumns(
+        {
+            "same": F.last("atom", ignorenulls=True).over(lane.rowsBetween(Window.unboundedPreceding, -1)),
+            "nth": F.row_number().over(lane),
+            "twin": F.lag(F.struct("owner", "written")).over(lane),
+        }
     )
 
-    atoms = linked.filter("is_atom").select("mol", "pos", F.col("tok").alias("symbol"))
-    chain = linked.filter("is_atom and parent is not null").select(
-        "mol", F.col("parent.pos").alias("src"), F.col("pos").alias("dst"), "written",
-        (F.col("parent.aromatic") & F.col("atom.aromatic")).alias("aromatic"),
+    def bond(src, dst, written, aromatic):
+        mark = F.coalesce(written, F.when(aromatic, ":").otherwise("-"))
+        return F.struct(src.alias("src"), dst.alias("dst"), mark.alias("kind"))
+
+    same, owner, twin = F.col("same"), F.col("owner"), F.col("twin")
+    chain = bond(same["pos"], F.col("pos"), F.col("written"), same["aromatic"] & F.col("atom.aromatic"))
+    branch = bond(same["pos"], F.col("pos") + 1, F.col("will_write"), same["aromatic"] & tokens_like("opens_with", AROMATIC))
+    ring = bond(
+        F.least(owner["pos"], twin["owner"]["pos"]), F.greatest(owner["pos"], twin["owner"]["pos"]),
+        F.coalesce(twin["written"], F.col("written")), owner["aromatic"] & twin["owner"]["aromatic"],
     )
-    label = F.regexp_replace("tok", "%", "").cast("int")
-    uses = linked.filter("is_ring").select("mol", "i", "owner", "written", label.alias("label"))
-    nth = F.row_number().over(Window.partitionBy("mol", "label").orderBy("i"))
-    rings = (
-        uses.withColumn("pair", F.floor((nth - 1) / 2))
-        .groupBy("mol", "label", "pair")
-        .agg(
-            F.min("owner.pos").alias("src"), F.max("owner.pos").alias("dst"), F.max("written").alias("written"),
-            F.min("owner.aromatic").alias("aromatic"), F.count(F.lit(1)).alias("ends"),
-        )
-        .filter("ends = 2")
-        .drop("label", "pair", "ends")
+    hangs = same.isNotNull()
+    found = (
+        F.when(F.col("is_atom") & hangs & ~F.coalesce("opened", F.lit(False)), chain)
+        .when(F.col("opens") & hangs & tokens_like("opens_with", ATOM), branch)
+        .when(F.col("is_ring") & (F.col("nth") % 2 == 0), ring)
     )
-    kind = F.coalesce("written", F.when(F.col("aromatic"), ":").otherwise("-"))
-    return atoms, chain.unionByName(rings).select("mol", "src", "dst", kind.alias("kind"))
+    return atoms, linked.select("mol", found.alias("bond")).filter("bond is not null").select("mol", "bond.*")
 
 
 def node_degree(bonds: DataFrame) -> DataFrame:

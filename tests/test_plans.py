@@ -72,11 +72,11 @@ def test_known_bounds_for_broadcast(spark):
 
 
 def test_reading_molecules_shuffles_the_strings_only(spark):
-    """Chain bonds take one shuffle, of the compact strings; ring bonds the same one."""
     from molframe.operators.graph import atoms_bonds
 
     df = spark.createDataFrame([(1, "CC1CC1")], "id int, smi string")
     atoms, bonds = atoms_bonds(df, "id", "smi")
-    assert plan(atoms).count("Exchange") == 1
-    text = plan(bonds)
-    assert "Join" not in text and text.count("Exchange") == 2
+    for table in (atoms, bonds):
+        text = plan(table)
+        assert "Join" not in text and text.count("Exchange") == 1
+    assert plan(bonds).count("Sort [") == 2
