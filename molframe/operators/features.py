@@ -20,7 +20,7 @@ def dummy(df: DataFrame, c: str) -> DataFrame:
 
 
 def pad_and_mask(
-    df: DataFrame, ids: str, order: Sequence[str], batch: int, rows_per_slice: int | None = None
+    df: DataFrame, ids: str, order: Sequence[str], batch: int, slices: int | None = None
 ) -> DataFrame:
     """Pad each batch to its longest sequence, with the attention mask.
 
@@ -28,7 +28,7 @@ def pad_and_mask(
     length of each row are numbered and windowed (at most ``batch`` rows per
     window key); the sequences themselves meet the result in one join.
     """
-    lengths = minibatches(df.select(*order, F.size(ids).alias("_len")), order, batch, rows_per_slice)
+    lengths = minibatches(df.select(*order, F.size(ids).alias("_len")), order, batch, slices)
     longest = F.max("_len").over(Window.partitionBy("batch_id"))
     sized = df.join(lengths.withColumn("padded_len", longest), list(order)).withColumn(
         "_gap", F.col("padded_len") - F.col("_len")

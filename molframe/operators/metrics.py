@@ -124,7 +124,7 @@ def cross_entropy(df: DataFrame, logits: str, label: str, by: Sequence[str] = ()
 
 
 def roc_auc(
-    df: DataFrame, y: str, p: str, by: Sequence[str] = (), rows_per_slice: int | None = None
+    df: DataFrame, y: str, p: str, by: Sequence[str] = (), slices: int | None = None
 ) -> DataFrame:
     """Exact area under the ROC curve, ties counted half; null with one class only.
 
@@ -137,7 +137,7 @@ def roc_auc(
         .groupBy(*by, p)
         .agg(F.count_if(F.col(y) == 1).alias("_pos"), F.count_if(F.col(y) != 1).alias("_neg"))
     )
-    sliced = slice_by_range(scored, [p], by, rows_per_slice, derived=True)
+    sliced = slice_by_range(scored, [p], by, slices, derived=True)
     ranked = running(sliced, _below=Running("sum", F.col("_neg"), inclusive=False))
     wins = F.sum(F.col("_pos") * (F.coalesce("_below", F.lit(0)) + F.col("_neg") / 2.0))
     pairs = F.sum("_pos").cast("double") * F.sum("_neg")

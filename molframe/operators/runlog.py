@@ -17,10 +17,10 @@ INFINITY = float("inf")
 
 
 def global_step(
-    log: DataFrame, run: str, order: Sequence[str], name: str = "step", rows_per_slice: int | None = None
+    log: DataFrame, run: str, order: Sequence[str], name: str = "step", slices: int | None = None
 ) -> DataFrame:
     """Number the records of each run from 1, across epochs."""
-    return running(slice_by_range(log, order, [run], rows_per_slice), **{name: Running("count")})
+    return running(slice_by_range(log, order, [run], slices), **{name: Running("count")})
 
 
 def windowed_loss(log: DataFrame, k: int, run: str = "run", step: str = "step", loss: str = "loss") -> DataFrame:
@@ -49,7 +49,7 @@ def early_stop(
     epoch: str = "epoch",
     loss: str = "loss",
     state: DataFrame | None = None,
-    rows_per_slice: int | None = None,
+    slices: int | None = None,
 ) -> DataFrame:
     """Where each run stops, with the best epoch and loss known by then.
 
@@ -79,7 +79,7 @@ def early_stop(
         )
         rows = rows.unionByName(earlier)
     seen = running(
-        slice_by_range(rows, ["part", "epoch"], ["run"], rows_per_slice),
+        slice_by_range(rows, ["part", "epoch"], ["run"], slices),
         so_far=Running("min", F.col("point")),
         **({"ended": Running("max", F.col("stopped"))} if state is not None else {}),
     )
@@ -137,11 +137,11 @@ def improvement_trail(
     mode: str = "min",
     run: str = "run",
     epoch: str = "epoch",
-    rows_per_slice: int | None = None,
+    slices: int | None = None,
 ) -> DataFrame:
     """The epochs at which a strictly better score was reached."""
     usable = log.filter(F.col(metric).isNotNull() & ~F.isnan(F.col(metric).cast("double")))
-    sliced = slice_by_range(usable, [epoch], [run], rows_per_slice)
+    sliced = slice_by_range(usable, [epoch], [run], slices)
     seen = running(sliced, _before=Running(mode, F.col(metric), inclusive=False))
     better = F.col(metric) < F.col("_before") if mode == "min" else F.col(metric) > F.col("_before")
     return seen.filter(F.col("_before").isNull() | better).drop("_before")

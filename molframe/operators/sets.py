@@ -33,7 +33,7 @@ def mixture(parts: Sequence[tuple[DataFrame, float]], id: str, seed: int = 0) ->
 
 
 def subset_exact(
-    df: DataFrame, id: str, n: int, seed: int = 0, rows_per_slice: int | None = None
+    df: DataFrame, id: str, n: int, seed: int = 0, slices: int | None = None
 ) -> DataFrame:
     """Exactly ``n`` rows: those with the smallest (hash, id).
 
@@ -52,5 +52,5 @@ def subset_exact(
         return df
     whole = hashed.filter(F.col("_cell") < edge["_cell"])
     border = hashed.filter(F.col("_cell") == edge["_cell"]).withColumn("_h", hash32(seeded(seed, F.col(id))))
-    picked = row_index(border, ["_h", id], "_idx", rows_per_slice).filter(F.col("_idx") < n - edge["before"])
+    picked = row_index(border, ["_h", id], "_idx", slices).filter(F.col("_idx") < n - edge["before"])
     return whole.unionByName(picked.drop("_h", "_idx")).drop("_cell")

@@ -18,7 +18,7 @@ def group_split(
     df: DataFrame,
     key: str,
     fractions: tuple[int, int, int] = (8, 1, 1),
-    rows_per_slice: int | None = None,
+    slices: int | None = None,
 ) -> DataFrame:
     """Add ``split`` so that rows sharing ``key`` share a split.
 
@@ -26,14 +26,14 @@ def group_split(
     to train while it fits under the train share, else to valid while it fits
     under train plus valid, else to test.
     """
-    groups = group_assignment(df.groupBy(key).agg(F.count(F.lit(1)).alias("n")), key, fractions, rows_per_slice)
+    groups = group_assignment(df.groupBy(key).agg(F.count(F.lit(1)).alias("n")), key, fractions, slices)
     assigned = groups.select(F.col(key).alias("_key"), "split")
     # A huge group makes a skewed join key; the group side is unique, so AQE can split it.
     return df.join(assigned, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
 
 
 def group_assignment(
-    groups: DataFrame, key: str, fractions: tuple[int, int, int] = (8, 1, 1), rows_per_slice: int | None = None
+    groups: DataFrame, key: str, fractions: tuple[int, int, int] = (8, 1, 1), slices: int | None = None
 ) -> DataFrame:
     """Split of each group, from one row ``(key, n)`` per group.
 
@@ -60,7 +60,7 @@ def group_assignment(
     if all(t == k or v == k or (t == 0 and v == 0) for _, k, t, v, _ in plan):
         return whole.select(*columns)
     mixed = planned.filter(~pure).withColumn("_larger", -F.col("n"))
-    ranked = row_index(mixed, ["_larger", key], "_rank", rows_per_slice, derived=True)
+    ranked = row_index(mixed, ["_larger", key], "_rank", slices, derived=True)
     place = F.col("_rank") - F.col("first")
     parted = ranked.withColumn(
         "split",
@@ -109,27 +109,27 @@ def no_split(df: DataFrame) -> DataFrame:
 
 
 def contiguous_parts(
-    df: DataFrame, order: Sequence[str], n: int, rows_per_slice: int | None = None
+    df: DataFrame, order: Sequence[str], n: int, slices: int | None = None
 ) -> DataFrame:
     """Part 0 .. n-1 of each row; sizes differ by at most one and no row is dropped."""
-    sliced = slice_by_range(df, order, (), rows_per_slice)
+    sliced = slice_by_range(df, order, (), slices)
     total = max(sliced.total, 1)
     return indexed(sliced, "_idx").withColumn("part", F.expr(f"(_idx * {n}) div {total}")).drop("_idx")
 
 
 def worker_shard(
-    df: DataFrame, order: Sequence[str], workers: int, rows_per_slice: int | None = None
+    df: DataFrame, order: Sequence[str], workers: int, slices: int | None = None
 ) -> DataFrame:
     """Round-robin worker of each row."""
-    numbered = row_index(df, order, "_idx", rows_per_slice)
+    numbered = row_index(df, order, "_idx", slices)
     return numbered.withColumn("worker", F.pmod("_idx", F.lit(workers))).drop("_idx")
 
 
 def minibatches(
-    df: DataFrame, order: Sequence[str], size: int, rows_per_slice: int | None = None
+    df: DataFrame, order: Sequence[str], size: int, slices: int | None = None
 ) -> DataFrame:
     """Batch number and place in the batch of each row; the last batch may be short."""
-    numbered = row_index(df, order, "_idx", rows_per_slice)
+    numbered = row_index(df, order, "_idx", slices)
     return numbered.withColumns(
         {
             "batch_id": F.floor(F.col("_idx") / size).cast("bigint"),

@@ -22,11 +22,11 @@ def build_vocab(
     specials: Sequence[str] = SPECIALS,
     min_count: int = 1,
     max_size: int | None = None,
-    rows_per_slice: int | None = None,
+    slices: int | None = None,
 ) -> DataFrame:
     """Rows ``(token, n, token_id)``: specials first, then by falling count, token ascending."""
     counts = df.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    return number_tokens(counts, specials, min_count, max_size, rows_per_slice)
+    return number_tokens(counts, specials, min_count, max_size, slices)
 
 
 def number_tokens(
@@ -34,11 +34,11 @@ def number_tokens(
     specials: Sequence[str] = SPECIALS,
     min_count: int = 1,
     max_size: int | None = None,
-    rows_per_slice: int | None = None,
+    slices: int | None = None,
 ) -> DataFrame:
     """Ids for counted tokens ``(token, n)``."""
     usable = counts.filter((F.col("n") >= min_count) & ~F.col("token").isin(*specials))
-    ranked = row_index(usable.withColumn("_rarer", -F.col("n")), ["_rarer", "token"], "token_id", rows_per_slice, derived=True)
+    ranked = row_index(usable.withColumn("_rarer", -F.col("n")), ["_rarer", "token"], "token_id", slices, derived=True)
     words = ranked.select("token", "n", (F.col("token_id") + len(specials)).alias("token_id"))
     if max_size is not None:
         words = words.filter(F.col("token_id") < max_size)

@@ -1,35 +1,26 @@
 """Where intermediate data lives, and how lineage is cut.
 
-A cluster names its shared folder in ``spark.checkpoint.dir``. Only a local
-master with that setting unset (tests, laptops) falls back to a temporary
-folder; anywhere else a missing setting is an error, since a machine-local
-folder is lost together with its machine.
+The session names a folder that every executor can reach: ``spark.checkpoint.dir``,
+or ``SparkContext.setCheckpointDir`` where that setting is not given. Nothing is
+ever kept in a folder of one machine.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
-_local_root: list[str] = []
-
 
 def shared_root(spark: SparkSession) -> str:
     """Folder every executor can reach."""
-    named = spark.conf.get(CHECKPOINT_SETTING, None)
-    if named is None:
-        named = spark.sparkContext.getConf().get(CHECKPOINT_SETTING)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    named = context.getConf().get(CHECKPOINT_SETTING) or context.getCheckpointDir()
+    if not named:
         raise ValueError(f"set {CHECKPOINT_SETTING} to a folder shared by all executors")
-    if not _local_root:
-        _local_root.append(tempfile.mkdtemp(prefix="molframe-"))
-    return _local_root[0]
+    return named.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:

@@ -2,61 +2,60 @@
 
 A window partitioned by a key puts every row of that key into one task, and a
 window without a key puts the whole table there. Both fail when one key holds a
-third of the data. Here large keys are cut into value ranges of the order first:
-
-1. ``slice_by_range`` counts the rows, samples the sort columns and keeps a
-   bounded list of boundary values of ``(keys, order)``. A key with two or more
-   boundaries is hot: it is cut at them. A row's slice number is a pure function
-   of its own values (a binary search in a literal array), so recomputing a lost
-   partition always gives the same slice. Rows of all other keys stay in slice 0
-   of their key, since no such key exceeds about two slices. Without keys,
-   everything is cut.
+third of the data. Here every input, whatever its size, takes the same path:
+
+1. ``slice_by_range`` range-partitions the rows by ``(keys, order)`` and writes
+   them with the number of their partition, the slice, as a column. Spark finds
+   the boundaries; none passes the driver. The written table fixes the slices,
+   so a recomputed partition cannot move a row into another one.
 2. ``running`` evaluates an ordinary window inside (keys, slice), and adds what
-   the earlier slices of the same key contribute. That carry table has at most
-   one row per boundary and hot key, so it is safe to broadcast whatever the
-   size of the data.
+   the earlier slices of the same key contribute. Rows lie in key order, so
+   only a key that ends one slice and begins the next needs such a carry: there
+   are fewer of them than slices, and their table is safe to broadcast.
 
-Input small enough for one slice skips sampling and carry: the plan is then a
-plain window. Inputs must be deterministic, and ``order`` must be unique within
-the keys.
+The number of slices is ``spark.sql.shuffle.partitions`` unless given; set it as
+for any shuffle, so that a partition fits a task. Inputs must be deterministic,
+and ``order`` must be unique within the keys.
 """
 
 from __future__ import annotations
 
-import json
-from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from molframe.functions.arrays import let
-from molframe.plans.lineage import cut
+from molframe.plans.lineage import cut, scratch_path
 
 SLICE = "_slice"
-HOT = "_hot"
-ROWS_PER_SLICE = 1_000_000
-MAX_SLICES = 8_192
-SAMPLES_PER_SLICE = 32
 
 
 @dataclass(frozen=True)
 class Sliced:
-    """Rows tagged with their slice, and what is needed to carry across slices."""
+    """Rows in a table that names the slice of each."""
 
     frame: DataFrame
     keys: tuple[str, ...]
     order: tuple[str, ...]
-    total: int
-    slices: int
-    hot_keys: int
+
+    @property
+    def total(self) -> int:
+        """Rows in all, from the footers of the table."""
+        return self.frame.count()
 
     def window(self) -> Window:
-        by = self.keys if self.slices == 1 else (*self.keys, SLICE)
-        return Window.partitionBy(*by).orderBy(*self.order)
+        return Window.partitionBy(*self.keys, SLICE).orderBy(*self.order)
+
+    def spanning(self) -> DataFrame:
+        """Keys whose rows lie in several slices: less than one per slice."""
+        key = F.struct(*self.keys)
+        ends = self.frame.groupBy(SLICE).agg(F.min(key).alias("first"), F.max(key).alias("last"))
+        # One row per slice reaches this window.
+        following = F.lead("first").over(Window.orderBy(SLICE))
+        torn = ends.select("last", following.alias("next")).filter(F.col("last") == F.col("next"))
+        return torn.select(*[F.col("last")[k].alias(f"_key{i}") for i, k in enumerate(self.keys)]).distinct()
 
 
 @dataclass(frozen=True)
@@ -72,88 +71,23 @@ def slice_by_range(
     df: DataFrame,
     order: Sequence[str],
     keys: Sequence[str] = (),
-    rows_per_slice: int | None = None,
+    slices: int | None = None,
     derived: bool = False,
 ) -> Sliced:
-    """Tag each row with the number of its value range of ``(keys, order)``.
+    """Write the rows with the number of their value range of ``(keys, order)``.
 
     ``derived`` says that ``df`` is costly to evaluate, such as an aggregation
-    over a whole corpus: it is then written to the shared folder once instead
-    of being computed per pass. ``rows_per_slice`` defaults to ROWS_PER_SLICE.
+    over a whole corpus: it is then written to the shared folder first instead
+    of being computed both for the boundaries and for the rows.
     """
-    columns = [*keys, *order]
-    unsupported = [k for k in keys if isinstance(df.schema[k].dataType, (T.TimestampType, T.BinaryType))]
-    if unsupported:
-        raise TypeError(f"cannot slice by keys {unsupported}: cast them to a number or text")
+    spark = df.sparkSession
     if derived:
         df = cut(df)
-    total = df.count()
-    wanted = min(MAX_SLICES, -(-total // (rows_per_slice or ROWS_PER_SLICE)))
-    whole = Sliced(df.withColumn(SLICE, F.lit(0)), tuple(keys), tuple(order), total, 1, 0)
-    if wanted <= 1:
-        return whole
-
-    fraction = min(1.0, SAMPLES_PER_SLICE * wanted / total)
-    sample = df.select(*columns).sample(False, fraction, 7).distinct().orderBy(*columns)
-    # Every column type travels as text and is cast back inside one folded literal.
-    names = [f"c{i}" for i in range(len(columns))]
-    values = [_exact(df, c) for c in columns]
-    text = [v.cast("string").alias(n) for v, n in zip(values, names)]
-    rows = [r.asDict() for r in sample.select(*text).collect()]
-    picks = sorted({len(rows) * i // wanted for i in range(1, wanted)} - {0})
-    bounds = [rows[i] for i in picks if i < len(rows)]
-    counted = Counter(tuple(b[n] for n in names[: len(keys)]) for b in bounds)
-    hot = sorted((k for k, n in counted.items() if n > 1 or not keys), key=repr)
-    bounds = [b for b in bounds if tuple(b[n] for n in names[: len(keys)]) in set(hot)]
-    if not bounds:
-        return whole
-    types = [f.dataType for f in df.select(*values).schema.fields]
-    plain = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in names]))
-    typed = T.ArrayType(T.StructType([T.StructField(n, t) for n, t in zip(names, types)]))
-    edges = F.from_json(F.lit(json.dumps(bounds)), plain).cast(typed)
-    value = F.struct(*[v.alias(n) for v, n in zip(values, names)])
-    if len(names) == 1:
-        edges, value = edges[names[0]], values[0]
-    position = _position(edges, len(bounds), value)
-    if not keys:
-        return Sliced(df.withColumn(SLICE, position), (), tuple(order), total, len(bounds) + 1, 0)
-
-    # Fewer hot keys than boundaries.
-    listed = df.sparkSession.createDataFrame(hot, ", ".join(f"k{i} string" for i in range(len(keys))))
-    marks = listed.select(
-        *[F.col(f"k{i}").cast(types[i]).alias(f"_key{i}") for i in range(len(keys))], F.lit(True).alias(HOT)
-    )
-    match = reduce(
-        lambda a, b: a & b, [F.col(f"_key{i}").eqNullSafe(F.col(k)) for i, k in enumerate(keys)]
-    )
-    tagged = (
-        df.join(F.broadcast(marks), match, "left")
-        .withColumn(SLICE, F.when(F.col(HOT), position).otherwise(0))
-        .drop(*[f"_key{i}" for i in range(len(keys))])
-    )
-    return Sliced(tagged, tuple(keys), tuple(order), total, len(bounds) + 1, len(hot))
-
-
-def _exact(df: DataFrame, column: str) -> Column:
-    """The column in a form whose text keeps its order: instants lose it when clocks go back."""
-    if isinstance(df.schema[column].dataType, T.TimestampType):
-        return F.unix_micros(column)
-    return F.col(column)
-
-
-def _position(edges: Column, count: int, value: Column) -> Column:
-    """How many of the sorted ``edges`` are <= ``value`` (binary search)."""
-    steps = F.array(*[F.lit(1 << b) for b in reversed(range(count.bit_length()))])
-
-    def search(bound):
-        def advance(found, step):
-            reach = found + step
-            fits = (reach <= F.lit(count)) & (F.get(edges, reach - 1) <= bound)
-            return F.when(fits, reach).otherwise(found)
-
-        return F.aggregate(steps, F.lit(0), advance)
-
-    return let(value, search)
+    count = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(count, *keys, *order).withColumn(SLICE, F.spark_partition_id())
+    path = scratch_path(spark, "slices")
+    ranged.write.parquet(path)
+    return Sliced(spark.read.schema(ranged.schema).parquet(path), tuple(keys), tuple(order))
 
 
 def running(sliced: Sliced, **outputs: Running) -> DataFrame:
@@ -164,10 +98,6 @@ def running(sliced: Sliced, **outputs: Running) -> DataFrame:
         name: _local(out, window.rowsBetween(Window.unboundedPreceding, 0 if out.inclusive else -1))
         for name, out in outputs.items()
     }
-    if sliced.slices == 1:
-        return frame.withColumns({n: _finish(outputs[n], c) for n, c in local.items()}).drop(SLICE)
-    frame = frame.drop(HOT)
-
     carry = _carry(sliced, outputs)
     keys = [f"_key{i}" for i in range(len(sliced.keys))]
     match = reduce(
@@ -186,15 +116,19 @@ def running(sliced: Sliced, **outputs: Running) -> DataFrame:
 
 
 def _carry(sliced: Sliced, outputs: dict[str, Running]) -> DataFrame:
-    """Per (hot key, slice): the value over all earlier slices of that key."""
-    rows = sliced.frame.filter(HOT) if sliced.keys else sliced.frame
+    """Per (key, slice): the value over all earlier slices of that key, where there are any."""
     names = [f"_key{i}" for i in range(len(sliced.keys))]
-    rows = rows.withColumns({n: F.col(k) for n, k in zip(names, sliced.keys)}) if names else rows
+    rows = sliced.frame
+    if names:
+        match = reduce(
+            lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(k)) for n, k in zip(names, sliced.keys)]
+        )
+        rows = rows.join(F.broadcast(sliced.spanning()), match)
     order = F.struct(*sliced.order)
     summary = rows.groupBy(SLICE, *names).agg(
         *[_summary(o, order).alias(f"_sum_{n}") for n, o in outputs.items()]
     )
-    # About one row per boundary reaches this window, whatever the input size.
+    # At most two rows per slice reach this window, whatever the input size.
     before = Window.partitionBy(*names).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     return summary.select(
         F.col(SLICE).alias("_carry_slice"),
@@ -252,11 +186,11 @@ def row_index(
     df: DataFrame,
     order: Sequence[str],
     name: str = "idx",
-    rows_per_slice: int | None = None,
+    slices: int | None = None,
     derived: bool = False,
 ) -> DataFrame:
     """Zero-based position of every row in the global order of ``order``."""
-    return indexed(slice_by_range(df, order, (), rows_per_slice, derived), name)
+    return indexed(slice_by_range(df, order, (), slices, derived), name)
 
 
 def indexed(sliced: Sliced, name: str = "idx") -> DataFrame:

@@ -12,10 +12,10 @@ from molframe.plans.ordered import row_index
 
 
 def with_shard(
-    df: DataFrame, order: Sequence[str], rows: int = 4096, rows_per_slice: int | None = None
+    df: DataFrame, order: Sequence[str], rows: int = 4096, slices: int | None = None
 ) -> DataFrame:
     """Shard number of each row when shards of ``rows`` rows follow ``order``."""
-    numbered = row_index(df, order, "_idx", rows_per_slice)
+    numbered = row_index(df, order, "_idx", slices)
     return numbered.withColumn("shard", F.floor(F.col("_idx") / rows).cast("bigint")).drop("_idx")
 
 

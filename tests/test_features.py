@@ -86,7 +86,7 @@ def test_vocabulary_order_and_limits(spark):
     assert [r["token_id"] for r in full] == list(range(9)) and full[5]["n"] == 3
     assert build_vocab(df, words, min_count=2).count() == 7
     assert build_vocab(df, words, max_size=6).count() == 6
-    sliced = build_vocab(df, words, rows_per_slice=1).orderBy("token_id").collect()
+    sliced = build_vocab(df, words, slices=1).orderBy("token_id").collect()
     assert [tuple(r) for r in sliced] == [tuple(r) for r in full]
 
 

@@ -52,7 +52,8 @@ AGGREGATES = ["clean_report", "dataset_summary", "group_sizes", "triplicate_summ
 @pytest.mark.parametrize("name", AGGREGATES)
 def test_aggregates_combine_before_the_shuffle(spark, name):
     text = plan(entry.queries()[name](spark, SF_DIR))
-    assert "partial_" in text and "SinglePartition" not in text
+    # One task sees the ends of the slices at most: one row per slice.
+    assert "partial_" in text and text.count("SinglePartition") <= text.count("windowspecdefinition(_slice")
 
 
 def test_no_query_has_a_cross_join(spark):
@@ -62,11 +63,11 @@ def test_no_query_has_a_cross_join(spark):
 
 
 def test_known_bounds_for_broadcast(spark):
-    """With many slices, only the list of hot keys and the carry table are broadcast by hint."""
+    """With many slices, only the keys that span slices and the carry table are broadcast by hint."""
     from molframe.plans.ordered import Running, running, slice_by_range
 
     df = spark.range(2000).withColumn("k", F.col("id") % 5)
-    sliced = slice_by_range(df, ["id"], ["k"], 100)
+    sliced = slice_by_range(df, ["id"], ["k"], 10)
     text = running(sliced, n=Running("count"))._jdf.queryExecution().optimizedPlan().toString()
     assert "strategy=broadcast" in text
 

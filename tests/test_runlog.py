@@ -43,8 +43,8 @@ def test_stop_fixture(spark):
     assert result(early_stop(lost, 0)) == {"a": (None, 0, None)}
 
 
-@pytest.mark.parametrize("rows_per_slice", [10_000, 40])
-def test_stop_equals_the_walk(spark, rows_per_slice):
+@pytest.mark.parametrize("slices", [1, 9])
+def test_stop_equals_the_walk(spark, slices):
     rng = random.Random(9)
     runs = {}
     for i in range(40):
@@ -55,7 +55,7 @@ def test_stop_equals_the_walk(spark, rows_per_slice):
         runs[f"r{i}"] = losses
     log = spark.createDataFrame([(r, e, v) for r, vs in runs.items() for e, v in enumerate(vs)], LOG).repartition(7)
     for patience, delta in [(0, 0.0), (2, 0.0), (3, 0.5)]:
-        got = result(early_stop(log, patience, delta, rows_per_slice=rows_per_slice))
+        got = result(early_stop(log, patience, delta, slices=slices))
         assert got == {r: walk(v, patience, delta) for r, v in runs.items()}
 
 
@@ -75,15 +75,15 @@ def test_loss_windows(spark):
     assert last_window_loss(log, 3).first()["last_loss"] == 7.0
 
 
-@pytest.mark.parametrize("rows_per_slice", [1000, 6])
-def test_trail_steps_and_checkpoints(spark, rows_per_slice):
+@pytest.mark.parametrize("slices", [1, 6])
+def test_trail_steps_and_checkpoints(spark, slices):
     losses = [5.0, 6.0, 4.0, 4.0, math.nan, 3.0, 3.5]
     log = spark.createDataFrame([("a", i, v) for i, v in enumerate(losses)] + [("b", 0, 1.0)], LOG)
-    trail = improvement_trail(log, "loss", rows_per_slice=rows_per_slice).filter("run = 'a'").orderBy("epoch")
+    trail = improvement_trail(log, "loss", slices=slices).filter("run = 'a'").orderBy("epoch")
     assert [r["epoch"] for r in trail.collect()] == [0, 2, 5]
-    up = improvement_trail(log, "loss", "max", rows_per_slice=rows_per_slice).filter("run = 'a'").orderBy("epoch")
+    up = improvement_trail(log, "loss", "max", slices=slices).filter("run = 'a'").orderBy("epoch")
     assert [r["epoch"] for r in up.collect()] == [0, 1]
-    steps = global_step(log, "run", ["epoch"], rows_per_slice=rows_per_slice)
+    steps = global_step(log, "run", ["epoch"], slices=slices)
     assert {(r["run"], r["epoch"]): r["step"] for r in steps.collect()}[("a", 6)] == 7
     top = topk_checkpoints(log, 2, step="epoch").filter("run = 'a'").orderBy("rank").collect()
     assert [(r["epoch"], r["loss"]) for r in top] == [(5, 3.0), (6, 3.5)]

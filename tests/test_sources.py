@@ -168,7 +168,7 @@ def test_uri(spark):
 def test_subset_is_exact_and_stable(spark):
     df = spark.range(5000)
     a = {r["id"] for r in subset_exact(df.repartition(3), "id", 777, 1).collect()}
-    b = {r["id"] for r in subset_exact(df.repartition(11), "id", 777, 1, rows_per_slice=2).collect()}
+    b = {r["id"] for r in subset_exact(df.repartition(11), "id", 777, 1, slices=2).collect()}
     assert len(a) == 777 and a == b
     assert {r["id"] for r in subset_exact(df, "id", 500, 1).collect()} < a
     assert subset_exact(df, "id", 9999).count() == 5000 and subset_exact(df, "id", 0).count() == 0
@@ -203,6 +203,9 @@ class Session:
     def getConf(self):
         return self
 
+    def getCheckpointDir(self):
+        return None
+
 
 def test_shared_folder_comes_from_the_session():
     assert shared_root(Session("yarn", "hdfs:///shared/")) == "hdfs:///shared"

@@ -48,10 +48,10 @@ def as_rows(sizes):
         {f"k{i:03d}": 1 + i % 4 for i in range(120)},
     ],
 )
-@pytest.mark.parametrize("rows_per_slice", [1000, 10])
-def test_group_split_equals_greedy_walk(spark, sizes, rows_per_slice):
+@pytest.mark.parametrize("slices", [1, 10])
+def test_group_split_equals_greedy_walk(spark, sizes, slices):
     df = spark.createDataFrame(as_rows(sizes), "key string, i int").repartition(5)
-    got = group_split(df, "key", rows_per_slice=rows_per_slice).select("key", "split").distinct().collect()
+    got = group_split(df, "key", slices=slices).select("key", "split").distinct().collect()
     assert {r["key"]: r["split"] for r in got} == greedy(sizes)
 
 
@@ -89,12 +89,12 @@ def test_parts_lose_no_row(spark):
     df = spark.range(10)
     parts = contiguous_parts(df, ["id"], 4)
     assert [r["count"] for r in parts.groupBy("part").count().orderBy("part").collect()] == [3, 2, 3, 2]
-    sliced = contiguous_parts(spark.range(1000), ["id"], 7, rows_per_slice=40)
+    sliced = contiguous_parts(spark.range(1000), ["id"], 7, slices=40)
     assert {r["id"]: r["part"] for r in sliced.collect()} == {i: i * 7 // 1000 for i in range(1000)}
 
 
 def test_batches_and_workers(spark):
-    got = minibatches(spark.range(10), ["id"], 4, rows_per_slice=3).orderBy("id").collect()
+    got = minibatches(spark.range(10), ["id"], 4, slices=3).orderBy("id").collect()
     assert [(r["batch_id"], r["in_batch"]) for r in got] == [(i // 4, i % 4) for i in range(10)]
     got = worker_shard(spark.range(10), ["id"], 3).orderBy("id").collect()
     assert [r["worker"] for r in got] == [i % 3 for i in range(10)]
