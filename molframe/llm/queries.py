@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from molframe.llm import licenses, mixing, secrets
+from molframe.llm import licenses, mixing, secrets, simhash
 from molframe.llm.registry import LLM_ORACLE, LLM_QUERIES, query, table, word_count  # noqa: F401
 
 
@@ -39,3 +39,9 @@ def op3_secret_scan(spark, sf_dir):
 @query("op6_license_scan")
 def op6_license_scan(spark, sf_dir):
     return licenses.scan_licenses(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query("op7_simhash_dedup")
+def op7_simhash_dedup(spark, sf_dir):
+    rows = simhash.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
