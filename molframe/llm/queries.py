@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from molframe.llm import licenses, mixing, secrets, simhash
+from molframe.llm import covertree, licenses, mixing, permutation, secrets, simhash
 from molframe.llm.registry import LLM_ORACLE, LLM_QUERIES, query, table, word_count  # noqa: F401
 
 
@@ -45,3 +45,13 @@ def op6_license_scan(spark, sf_dir):
 def op7_simhash_dedup(spark, sf_dir):
     rows = simhash.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op1_exact_topk")
+def op1_exact_topk(spark, sf_dir):
+    return covertree.search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 20 == 0)
+
+
+@query("op8_permutation_ann")
+def op8_permutation_ann(spark, sf_dir):
+    return permutation.search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 20 == 0)
