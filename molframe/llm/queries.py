@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from molframe.llm import covertree, licenses, mixing, permutation, secrets, simhash
+from molframe.llm import covertree, licenses, mixing, permutation, secrets, simhash, toxicity
 from molframe.llm.registry import LLM_ORACLE, LLM_QUERIES, query, table, word_count  # noqa: F401
 
 
@@ -55,3 +55,15 @@ def op1_exact_topk(spark, sf_dir):
 @query("op8_permutation_ann")
 def op8_permutation_ann(spark, sf_dir):
     return permutation.search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 20 == 0)
+
+
+@query("op4_toxicity_crf")
+def op4_toxicity_crf(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    trainable = toxicity.fold(F.col("doc_id")) != 1
+    rows = toxicity.score_documents(docs, labels, "doc_id", "text", "toxic", trainable)
+    rows = rows.select("doc_id", "toxicity.score", F.size("toxicity.spans").cast("bigint").alias("n_spans"))
+    held_out = F.coalesce(toxicity.fold(F.col("doc_id")) == 1, F.lit(False))
+    predicted = (F.col("score") >= 0.7).cast("int")
+    return rows.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"), "n_spans")
