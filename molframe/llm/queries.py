@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from molframe.llm import covertree, licenses, mixing, permutation, secrets, simhash, toxicity
+from molframe.llm import covertree, licenses, mixing, permutation, quotes, secrets, simhash, toxicity
 from molframe.llm.registry import LLM_ORACLE, LLM_QUERIES, query, table, word_count  # noqa: F401
 
 
@@ -67,3 +67,8 @@ def op4_toxicity_crf(spark, sf_dir):
     held_out = F.coalesce(toxicity.fold(F.col("doc_id")) == 1, F.lit(False))
     predicted = (F.col("score") >= 0.7).cast("int")
     return rows.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"), "n_spans")
+
+
+@query("op5_quote_links")
+def op5_quote_links(spark, sf_dir):
+    return quotes.link_quotes(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", keep=("role",))
