@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from molframe.llm import covertree, licenses, mixing, permutation, quotes, secrets, simhash, toxicity
+from molframe.llm import covertree, licenses, mixing, permutation, quotes, secrets, simhash, tokenfile, toxicity
 from molframe.llm.registry import LLM_ORACLE, LLM_QUERIES, query, table, word_count  # noqa: F401
 
 
@@ -72,3 +72,11 @@ def op4_toxicity_crf(spark, sf_dir):
 @query("op5_quote_links")
 def op5_quote_links(spark, sf_dir):
     return quotes.link_quotes(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", keep=("role",))
+
+
+@query("op2_token_file")
+def op2_token_file(spark, sf_dir):
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return tokenfile.token_digest(table(spark, sf_dir, "documents"), "doc_id", "text", path)
