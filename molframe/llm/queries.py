@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from molframe.llm import covertree, licenses, mixing, permutation, quotes, secrets, simhash, tokenfile, toxicity
+from molframe.llm import covertree, lattice, licenses, mixing, permutation, quotes, secrets, simhash, tokenfile, toxicity
 from molframe.llm.registry import LLM_ORACLE, LLM_QUERIES, query, table, word_count  # noqa: F401
 
 
@@ -80,3 +80,12 @@ def op2_token_file(spark, sf_dir):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     return tokenfile.token_digest(table(spark, sf_dir, "documents"), "doc_id", "text", path)
+
+
+@query("op10_sentencepiece")
+def op10_sentencepiece(spark, sf_dir):
+    import public_tokenizers
+
+    pieces = lattice.read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    rows = lattice.encode(table(spark, sf_dir, "documents"), "doc_id", "text", pieces)
+    return rows.select("doc_id", F.size("ids").alias("n_pieces"), "ids")
