@@ -33,13 +33,16 @@ def nearest_pivots(x: np.ndarray, pivots: np.ndarray, places: int) -> np.ndarray
     return np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :places]
 
 
-def inverted_files(order: np.ndarray, pivots: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each pivot the rows that list it, and at which place."""
-    rows, places = np.indices(order.shape)
-    by_pivot = np.argsort(order.ravel(), kind="stable")
-    ends = np.cumsum(np.bincount(order.ravel(), minlength=pivots))
-    rows, places = rows.ravel()[by_pivot], places.ravel()[by_pivot].astype(np.int32)
-    return [(rows[a:b], places[a:b]) for a, b in zip(np.concatenate(([0], ends[:-1])), ends)]
+def inverted_files(order: np.ndarray, pivots: int) -> np.ndarray:
+    """One file per pivot: at which place each row lists it, and one past the end where it does not.
+
+    Most pivots are listed by a good part of the rows, so files are dense.
+    """
+    rows, places = order.shape
+    kind = np.int16 if places * places < 1 << 15 else np.int32
+    files = np.full((pivots, rows), places, kind)
+    files[order, np.arange(rows)[:, None]] = np.arange(places, dtype=kind)
+    return files
 
 
 def _searcher(pivots: np.ndarray, places: int, share: float, least: int, k: int):
@@ -53,10 +56,9 @@ def _searcher(pivots: np.ndarray, places: int, share: float, least: int, k: int)
         q = matrix(queries["v"])
         out = []
         for query_id, vector, listed in zip(queries["query_id"], q, nearest_pivots(q, pivots, places)):
-            footrule = np.full(len(ids), int((places - np.arange(len(listed))).sum()), np.int32)
-            for place, pivot in enumerate(listed):
-                rows, there = files[pivot]
-                footrule[rows] += np.abs(there - place) - (places - place)
+            gaps = files[listed]
+            gaps -= np.arange(len(listed), dtype=files.dtype)[:, None]
+            footrule = np.abs(gaps, out=gaps).sum(axis=0, dtype=files.dtype)
             # The own row does not count; ties go to the smaller id, in whose order the rows are.
             ranked = np.argsort(footrule, kind="stable")[: wanted + 1]
             ranked = ranked[ids[ranked] != query_id][:wanted]
