@@ -28,7 +28,7 @@ def label_attach(spark, sf_dir):
 def pred_truth_join(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumn("task", F.lit("length"))
     means = docs.groupBy("lang").agg(F.avg("n_chars").alias("y_pred"))
-    preds = docs.join(means, "lang").select("doc_id", "task", F.round("y_pred", 4).alias("y_pred"))
+    preds = docs.join(F.broadcast(means), "lang").select("doc_id", "task", F.round("y_pred", 4).alias("y_pred"))
     truth = docs.select("doc_id", "task", F.col("n_chars").alias("y"))
     return align(preds, truth, ["doc_id", "task"])
 

@@ -117,11 +117,11 @@ def rmse_by_group(spark, sf_dir):
 def denormalized(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderpriority", "o_totalprice")
     stats = M.label_stats(orders, ["o_totalprice"], ["o_orderstatus"])
-    scaled = orders.join(stats, "o_orderstatus").withColumn(
+    scaled = orders.join(F.broadcast(stats), "o_orderstatus").withColumn(
         "y", (F.col("o_totalprice") - F.col("mean_o_totalprice")) / F.col("std_o_totalprice")
     )
     preds = scaled.groupBy("o_orderstatus", "o_orderpriority").agg(F.avg("y").alias("p"))
-    both = scaled.join(preds, ["o_orderstatus", "o_orderpriority"])
+    both = scaled.join(F.broadcast(preds), ["o_orderstatus", "o_orderpriority"])
     found = M.rmse_denormalized(both, "y", "p", "mean_o_totalprice", "std_o_totalprice", ["o_orderstatus"])
     return found.withColumn("rmse", rounded("rmse", 4))
 

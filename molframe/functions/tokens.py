@@ -58,7 +58,7 @@ def hashed_fp(tokens: Column, size: int = 1024, radius: int = 2) -> Column:
         return F.transform(toks, identifier)
 
     def bits(toks):
-        return F.array_sort(F.array_distinct(F.concat(*[layer(toks, r) for r in range(radius + 1)])))
+        return F.sort_array(F.array_distinct(F.concat(*[layer(toks, r) for r in range(radius + 1)])))
 
     return let(tokens, bits)
 

@@ -48,8 +48,10 @@ def forest(
     Spark bounds rows per child, not per split; half the split size is its
     nearest setting. Regression considers all features at each split.
     """
+    if depth > 30:
+        raise ValueError(f"a depth of {depth} is more than the 30 that Spark can do")
     common = dict(
-        featuresCol=FEATURES, labelCol=label, predictionCol="y_pred", numTrees=trees, maxDepth=min(depth, 30),
+        featuresCol=FEATURES, labelCol=label, predictionCol="y_pred", numTrees=trees, maxDepth=depth,
         minInstancesPerNode=max(1, min_samples_split // 2), bootstrap=bootstrap, seed=seed,
     )
     if kind == "classification":

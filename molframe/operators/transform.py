@@ -1,7 +1,7 @@
 """Label transformers on long rows ``(id, task, y, w)``: fit on train, apply, invert.
 
-Fitted statistics have one row per task (per task and class for balancing), so
-the optimizer's size check lets them travel by broadcast.
+Fitted statistics have one row per task (per task and class for balancing): a
+number bounded by the data set's columns, not its rows, so they are broadcast.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ class Fitted:
 
 def attach_stats(df: DataFrame, stats: DataFrame, on: Sequence[str] = ("task",)) -> DataFrame:
     """Fitted statistics next to each row of the task."""
-    return df.join(stats, list(on), "left")
+    return df.join(F.broadcast(stats), list(on), "left")
 
 
 def _labelled(train: DataFrame) -> DataFrame:

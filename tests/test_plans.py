@@ -81,3 +81,12 @@ def test_reading_molecules_shuffles_the_strings_only(spark):
         text = plan(table)
         assert "Join" not in text and text.count("Exchange") == 1
     assert plan(bonds).count("Sort [") == 2
+
+
+def test_statistics_do_not_shuffle_the_rows(spark):
+    from molframe.operators.transform import attach_stats
+
+    rows = spark.range(10**11).select("id", (F.col("id") % 3).alias("task"))
+    stats = rows.groupBy("task").agg(F.avg("id").alias("m"))
+    text = plan(attach_stats(rows, stats))
+    assert "SortMergeJoin" not in text and "BroadcastHashJoin" in text
