@@ -10,7 +10,8 @@ units. Of paths with equal scores the one whose last piece is longest wins, at
 every place.
 
 Documents are dealt to blocks by their position, so copies spread evenly, and a
-block's units never leave its partition. The piece table is a fixed file of
+block's units never leave its partition. Units frequent in a sample of the rows,
+a bounded number, go through the same lattice once and are handed to all blocks. The piece table is a fixed file of
 bounded size; its rows are broadcast.
 
 Rows: null and empty texts have no ids. Each input row gives one output row,
@@ -25,7 +26,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from molframe.functions.arrays import let
@@ -39,6 +41,8 @@ MOST_PIECES = 1 << 20
 #: Characters whose substrings are made together; edges folded together.
 WINDOW, FOLD = 128, 512
 UNKNOWN_PENALTY = 10.0
+#: Units worked out once: from one row in ``SAMPLED``, at most so many in each of so many buckets, of so many characters.
+SAMPLED, BUCKETS, IN_BUCKET, COMMON_LENGTH = 32, 256, 1024, 64
 
 
 @dataclass(frozen=True)
@@ -138,42 +142,41 @@ def viterbi(edges: Column, pieces: Pieces) -> Column:
     scores = F.from_json(F.lit(json.dumps([*pieces.scores, pieces.unknown_score])), "array<double>")
     last_id = F.lit(len(pieces.scores))
     longest = pieces.longest
-    none = F.struct(F.lit(float("-inf")).alias("total"), F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("edge"))
-    longs, state_of = "array<bigint>", "struct<total:double,n:int,edge:bigint>"
+    worst, no_edge = F.lit(float("-inf")), F.lit(0).cast("bigint")
+    longs = "array<bigint>"
+
+    def state_of(last, total, edge, picked):
+        return F.struct(last.alias("last"), total.alias("total"), edge.alias("edge"), picked.alias("picked"))
 
     def forward(state, edge):
-        n = _length(edge)
-        total = F.element_at(state["last"], -n) + F.get(scores, F.least(_name(edge), last_id))
-        # Of equal totals the longest edge is the greater one.
-        one = F.struct(total.alias("total"), n.alias("n"), edge.alias("edge"))
-
-        def settle(best):
-            return F.when(
-                best["settled"],
-                F.struct(
-                    F.concat(state["last"], F.array(best["best"]["total"])).alias("last"),
-                    none.alias("best"),
-                    F.concat(state["picked"], F.array(best["best"]["edge"])).alias("picked"),
-                ),
-            ).otherwise(F.struct(state["last"].alias("last"), best["best"].alias("best"), state["picked"].alias("picked")))
-
-        return let(F.struct(F.greatest(state["best"], one).alias("best"), (n == 1).alias("settled")), settle)
+        total = F.element_at(state["last"], -_length(edge)) + F.get(scores, F.least(_name(edge), last_id))
+        # Edges of one end come longest first, so of equal totals the first stays.
+        better = total > state["total"]
+
+        def settled(best, chosen):
+            return state_of(F.concat(state["last"], F.array(best)), worst, no_edge, F.concat(state["picked"], F.array(chosen)))
+
+        return (
+            F.when((_length(edge) == 1) & better, settled(total, edge))
+            .when(_length(edge) == 1, settled(state["total"], state["edge"]))
+            .when(better, state_of(state["last"], total, edge, state["picked"]))
+            .otherwise(state)
+        )
 
     def forward_block(state, block):
-        begun = F.struct(
-            F.slice(state["last"], -longest, longest).alias("last"), state["best"].alias("best"), F.array().cast(longs).alias("picked")
-        )
+        begun = state_of(F.slice(state["last"], -longest, longest), state["total"], state["edge"], F.array().cast(longs))
         return let(
             F.aggregate(block, begun, forward),
             lambda r: F.struct(
-                r["last"].alias("last"), r["best"].alias("best"), F.concat(state["parts"], F.array(r["picked"])).alias("parts")
+                *[r[c].alias(c) for c in ("last", "total", "edge")], F.concat(state["parts"], F.array(r["picked"])).alias("parts")
             ),
         )
 
     nowhere = [F.lit(float("-inf"))] * (longest - 1)
     start = F.struct(
         F.array(*nowhere, F.lit(0.0)).alias("last"),
-        none.cast(state_of).alias("best"),
+        worst.alias("total"),
+        no_edge.alias("edge"),
         F.array().cast(f"array<{longs}>").alias("parts"),
     )
 
@@ -245,14 +248,37 @@ def encode_units(units: DataFrame, keys: list[str], pieces: Pieces) -> DataFrame
     return lattice.select(*keys, _spelled(viterbi(F.col("edges"), pieces), pieces.first_byte).alias("ids"))
 
 
-def _speller(named: tuple[str, ...]):
+def common_units(rows: DataFrame, pieces: Pieces) -> pa.Table:
+    """``unit, ids`` of units frequent in every ``SAMPLED``-th row, to be worked out once and not in every block.
+
+    Which units these are changes only the work done, not the ids. At most
+    ``BUCKETS * IN_BUCKET`` units of at most ``COMMON_LENGTH`` characters, so they can be held anywhere.
+    """
+    some = rows.filter(F.pmod("at", F.lit(SAMPLED)) == 0)
+    units = some.select(F.explode(units_of(F.col("text"))).alias("unit")).filter(F.length("unit") <= COMMON_LENGTH)
+    bucket = F.pmod(F.xxhash64("unit"), F.lit(BUCKETS)).alias("bucket")
+    counts = units.groupBy(bucket, "unit").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    first = Window.partitionBy("bucket").orderBy(F.desc("n"), "unit")
+    hot = counts.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= IN_BUCKET)
+    return encode_units(hot.select("bucket", "unit"), ["bucket", "unit"], pieces).select("unit", "ids").toArrow()
+
+
+def _speller(named: tuple[str, ...], common: pa.Table):
     pattern = re.compile(UNIT)
 
+    def lists(ids: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ends and values of lists of ids."""
+        sizes = pc.list_value_length(ids).to_numpy()
+        return np.cumsum(sizes, dtype=np.int64), pc.list_flatten(ids).to_numpy()
+
+    known = common["unit"].to_pylist()
+    known_ends, known_ids = lists(common["ids"])
+
     def spell(docs: pa.Table, units: pa.Table) -> pa.Table:
-        number = {u: i for i, u in enumerate(units["unit"].to_pylist())}
-        lists = units["ids"].combine_chunks()
-        lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(units["ids"].chunks or [pa.array([], pa.list_(pa.int32()))])
-        offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+        number = {u: i for i, u in enumerate(known + units["unit"].to_pylist())}
+        ends, ids = lists(units["ids"])
+        offsets = np.concatenate(([0], known_ends, ends + len(known_ids)))
+        flat = np.concatenate((known_ids, ids))
         made, sizes = [], []
         for text in docs["text"].to_pylist():
             found = pattern.findall(BLANK + text.replace(" ", BLANK)) if text else []
@@ -275,21 +301,23 @@ def _speller(named: tuple[str, ...]):
 def encode(df: DataFrame, id: str, text: str, pieces: Pieces, blocks: int | None = None) -> DataFrame:
     """``doc_id, ids`` of each row."""
     count = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.select(
-        column(id).alias("doc_id"),
-        column(text).alias("text"),
-        F.pmod(F.monotonically_increasing_id(), F.lit(count)).cast("int").alias("block"),
-    )
+    rows = df.select(column(id).alias("doc_id"), column(text).alias("text"), F.monotonically_increasing_id().alias("at"))
+    common = common_units(rows, pieces)
     # Both uses below read the same columns of this exchange, so Spark runs it once.
-    dealt = rows.repartition(count, "block")
+    block = F.pmod("at", F.lit(count)).cast("int").alias("block")
+    dealt = rows.select("doc_id", "text", block).repartition(count, "block")
     units = dealt.select("block", "doc_id", F.explode(units_of(F.col("text"))).alias("unit"))
+    if common.num_rows:
+        # Bounded by BUCKETS * IN_BUCKET.
+        listed = df.sparkSession.createDataFrame(common.select(["unit"]))
+        units = units.join(F.broadcast(listed), "unit", "left_anti")
     distinct = units.groupBy("unit", "block").agg(F.min("doc_id").alias("first")).select("block", "unit")
     encoded = encode_units(distinct, ["block", "unit"], pieces).withColumnRenamed("block", "of_block")
     kind = dealt.schema["doc_id"].dataType.simpleString()
     return (
         dealt.groupBy("block")
         .cogroup(encoded.groupBy("of_block"))
-        .applyInArrow(_speller(("doc_id",)), f"doc_id {kind}, ids array<int>")
+        .applyInArrow(_speller(("doc_id",), common), f"doc_id {kind}, ids array<int>")
     )
 
 
