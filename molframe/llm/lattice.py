@@ -42,7 +42,7 @@ MOST_PIECES = 1 << 20
 WINDOW, FOLD = 128, 512
 UNKNOWN_PENALTY = 10.0
 #: Units worked out once: from one row in ``SAMPLED``, at most so many in each of so many buckets, of so many characters.
-SAMPLED, BUCKETS, IN_BUCKET, COMMON_LENGTH = 32, 256, 1024, 64
+SAMPLED, BUCKETS, IN_BUCKET, COMMON_LENGTH = 8, 512, 1024, 64
 
 
 @dataclass(frozen=True)
