@@ -303,7 +303,7 @@ def encode(df: DataFrame, id: str, text: str, pieces: Pieces, blocks: int | None
     count = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(column(id).alias("doc_id"), column(text).alias("text"), F.monotonically_increasing_id().alias("at"))
     common = common_units(rows, pieces)
-    # Both uses below read the same columns of this exchange, so Spark runs it once.
+    # Both uses below read the same columns of this exchange, so Spark runs it once: ``any_doc`` keeps doc_id in the second.
     block = F.pmod("at", F.lit(count)).cast("int").alias("block")
     dealt = rows.select("doc_id", "text", block).repartition(count, "block")
     units = dealt.select("block", "doc_id", F.explode(units_of(F.col("text"))).alias("unit"))
@@ -311,8 +311,8 @@ def encode(df: DataFrame, id: str, text: str, pieces: Pieces, blocks: int | None
         # Bounded by BUCKETS * IN_BUCKET.
         listed = df.sparkSession.createDataFrame(common.select(["unit"]))
         units = units.join(F.broadcast(listed), "unit", "left_anti")
-    distinct = units.groupBy("unit", "block").agg(F.min("doc_id").alias("first")).select("block", "unit")
-    encoded = encode_units(distinct, ["block", "unit"], pieces).withColumnRenamed("block", "of_block")
+    distinct = units.groupBy("block", "unit").agg(F.min("doc_id").alias("any_doc"))
+    encoded = encode_units(distinct, ["block", "any_doc", "unit"], pieces).withColumnRenamed("block", "of_block")
     kind = dealt.schema["doc_id"].dataType.simpleString()
     return (
         dealt.groupBy("block")
