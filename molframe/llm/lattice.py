@@ -9,8 +9,8 @@ piece becomes its UTF-8 bytes. Documents are then spelled with their block's
 units. Of paths with equal scores the one whose last piece is longest wins, at
 every place.
 
-Documents are dealt to blocks by their position, so copies spread evenly, and a
-block's units never leave its partition. Units frequent in a sample of the rows,
+Documents are dealt to blocks by their position, so copies spread evenly; units
+become distinct in their block's partition. Units frequent in a sample of the rows,
 a bounded number, go through the same lattice once and are handed to all blocks. The piece table is a fixed file of
 bounded size; its rows are broadcast.
 
@@ -233,18 +233,59 @@ def _spelled(names: Column, first_byte: int) -> Column:
     return let(names, all_of)
 
 
+def _gather(others: tuple[str, ...]):
+    def lists(edges: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        """One row per run of edges; a run has one unit, on one of its edges."""
+        edge, ends = edges["edge"].to_numpy(), np.append(starts, len(edges))
+        order = np.lexsort((edge, np.repeat(np.arange(len(starts)), np.diff(ends))))
+        made = {c: edges[c].take(pa.array(starts)).combine_chunks() for c in others}
+        made["unit"] = edges["unit"].drop_null().combine_chunks()
+        made["edges"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(edge[order]))
+        return pa.RecordBatch.from_pydict(made)
+
+    def gather(batches):
+        rest = None
+        for batch in batches:
+            edges = pa.Table.from_batches([batch])
+            if rest is not None:
+                edges = pa.concat_tables([rest, edges])
+            if not len(edges):
+                continue
+            steps = np.diff(edges["u"].to_numpy())
+            if (steps < 0).any():
+                raise ValueError("edges of a unit are torn")
+            starts = np.concatenate(([0], np.flatnonzero(steps) + 1))
+            # The last run may go on in the next batch.
+            rest = edges.slice(starts[-1])
+            if len(starts) > 1:
+                yield lists(edges.slice(0, starts[-1]), starts[:-1])
+        if rest is not None:
+            yield lists(rest, np.zeros(1, np.int64))
+
+    return gather
+
+
 def encode_units(units: DataFrame, keys: list[str], pieces: Pieces) -> DataFrame:
-    """``ids`` of each row of ``units``, distinct in ``keys``, whose last is the unit."""
+    """``ids`` of each row of ``units``, whose last key is ``unit``.
+
+    Units are numbered and their edges stay in a row through the explosion and
+    the broadcast join, so they are gathered in passing, without a sort; only one
+    unit's edges and a batch are held.
+    """
     spark: SparkSession = units.sparkSession
-    ids = pieces.ordinary
+    ids, others = pieces.ordinary, keys[:-1]
     listed = pa.table({"piece": [pieces.texts[i] for i in ids], "id": pa.array(ids, pa.int32())})
     # Bounded by MOST_PIECES.
     table = F.broadcast(spark.createDataFrame(listed))
-    found = substrings(units, keys, pieces.longest).join(table, F.col("s") == F.col("piece"), "left")
+    numbered = units.withColumn("u", F.monotonically_increasing_id())
+    found = substrings(numbered, [*others, "u", "unit"], pieces.longest).join(table, F.col("s") == F.col("piece"), "left")
     name = F.coalesce("id", F.ascii("s") + UNKNOWN)
-    edges = found.filter("id IS NOT NULL OR n = 1").select(*keys, _packed(F.col("at"), F.col("n"), name).alias("edge"))
-    # Rows of a unit are in one partition, so this needs no exchange.
-    lattice = edges.groupBy(*keys).agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+    # Every unit has this edge: its first character.
+    text = F.when((F.col("at") == 0) & (F.col("n") == 1), F.col("unit")).alias("unit")
+    edge = _packed(F.col("at"), F.col("n"), name).alias("edge")
+    edges = found.filter("id IS NOT NULL OR n = 1").select(*others, "u", text, edge)
+    kinds = ", ".join(f"{c} {units.schema[c].dataType.simpleString()}" for c in others)
+    lattice = edges.mapInArrow(_gather(tuple(others)), f"{kinds}, unit string, edges array<bigint>")
     return lattice.select(*keys, _spelled(viterbi(F.col("edges"), pieces), pieces.first_byte).alias("ids"))
 
 
@@ -312,7 +353,8 @@ def encode(df: DataFrame, id: str, text: str, pieces: Pieces, blocks: int | None
         listed = df.sparkSession.createDataFrame(common.select(["unit"]))
         units = units.join(F.broadcast(listed), "unit", "left_anti")
     distinct = units.groupBy("block", "unit").agg(F.min("doc_id").alias("any_doc"))
-    encoded = encode_units(distinct, ["block", "any_doc", "unit"], pieces).withColumnRenamed("block", "of_block")
+    spelled = encode_units(distinct, ["block", "any_doc", "unit"], pieces)
+    encoded = spelled.select(F.col("block").alias("of_block"), "unit", "ids")
     kind = dealt.schema["doc_id"].dataType.simpleString()
     return (
         dealt.groupBy("block")
