@@ -13,7 +13,7 @@ from molframe.operators.joins import two_way
 ATOM = r"^(\[.*\]|Br|Cl|[BCNOSPFI]|[bcnops]|\*)$"
 BOND = r"^[-=#:~/\\$]$"
 RING = r"^(%[0-9]{2}|[0-9])$"
-AROMATIC = r"^(\[[0-9]*[bcnops].*\]|[bcnops])$"
+AROMATIC = r"^(\[[0-9]*([bcnops]|te|as).*\]|[bcnops])$"
 
 
 def atoms_bonds(df: DataFrame, mol: str, sequence: str) -> tuple[DataFrame, DataFrame]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -190,18 +190,39 @@ def two_core(bonds: DataFrame) -> DataFrame:
     return done.select(*bonds.columns).unionByName(left)
 
 
+# Fixed value: the element of an atom written in brackets, after its isotope.
+ELEMENT = r"^\[[0-9]*([A-Z][a-z]?|[a-z][a-z]?|\*).*\]$"
+
+
+def _element(symbol: Column) -> Column:
+    """What an atom is, without isotope, hydrogens, charge and stereo marks."""
+    return F.when(symbol.rlike(ELEMENT), F.regexp_extract(symbol, ELEMENT, 1)).otherwise(symbol)
+
+
+def _plain_kind(kind: Column, s1: Column, s2: Column) -> Column:
+    """Kind of a bond without its direction; between two aromatic atoms ``-`` and ``:`` are one kind."""
+    single = F.when(kind.isin("/", "\\"), "-").otherwise(kind)
+    aromatic = s1.rlike("^[a-z]") & s2.rlike("^[a-z]")
+    return F.when(aromatic & single.isin("-", ":"), ":").otherwise(single)
+
+
 def graph_key(bonds: DataFrame, atoms: DataFrame) -> DataFrame:
     """Group key of each molecule: an order-free digest of its typed two-core bonds.
 
+    Atoms count by element and aromatic spelling only, so molecules that differ
+    in stereo marks, charges, isotopes or written hydrogens share a key, and so
+    do two ways of writing the bond between aromatic rings. The digest is of
+    bonds, not of their places: scaffolds with the same bonds also share one.
+
     Bond hashes are summed and xor-ed, so a molecule of any size is combined
     bond by bond and never collected. Acyclic molecules get the empty key.
     """
-    symbols = atoms.select("mol", "pos", "symbol")
+    symbols = atoms.select("mol", "pos", _element(F.col("symbol")).alias("symbol"))
     core = two_core(bonds)
     typed = core.join(symbols.toDF("mol", "src", "s1"), ["mol", "src"]).join(
         symbols.toDF("mol", "dst", "s2"), ["mol", "dst"]
     )
-    bond = hash60(F.concat_ws("|", F.least("s1", "s2"), F.greatest("s1", "s2"), F.col("kind")))
+    bond = hash60(F.concat_ws("|", F.least("s1", "s2"), F.greatest("s1", "s2"), _plain_kind(F.col("kind"), F.col("s1"), F.col("s2"))))
     digest = typed.groupBy("mol").agg(
         F.count(F.lit(1)).alias("n"),
         F.bit_xor(bond).alias("x"),

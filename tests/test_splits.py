@@ -134,3 +134,18 @@ def test_group_key_ignores_order(spark):
     )
     keys = {r["mol"]: r["group_key"] for r in graph_key(b, a).collect()}
     assert keys[1] == keys[2] != ""
+
+
+def test_one_scaffold_written_in_two_ways_has_one_key(spark):
+    pairs = [
+        ("NC1CCCC1C2CC2", "N[C@@H]1CCC[C@H]1C2CC2"),
+        ("c1ccccc1-c1ccccc1", "c1ccccc1c1ccccc1"),
+        ("C1CC1/C=C/C1CC1", "C1CC1C=CC1CC1"),
+        ("c1cc[nH]c1", "c1ccn(C)c1"),
+        ("[13CH2]1C[NH2+]C1", "C1CNC1"),
+    ]
+    written = [text for pair in pairs for text in pair]
+    atoms, bonds = atoms_bonds(spark.createDataFrame(list(enumerate(written)), "id int, smi string"), "id", "smi")
+    keys = {r["mol"]: r["group_key"] for r in graph_key(bonds, atoms).collect()}
+    assert all(keys[2 * i] == keys[2 * i + 1] for i in range(len(pairs)))
+    assert len(set(keys.values())) == len(pairs)
