@@ -1,11 +1,13 @@
 """Secret scans by corpus-wide ownership frequency.
 
 Candidate values are found by three patterns. Their digests are aggregated over
-the corpus by distinct owners and distinct repositories: a value that several
-owners have is a copied example, a value that one owner has in few repositories
-and that looks live is a credential of that owner. Only built-in functions run
-on the texts; digests are aggregated in three steps that each combine before the
-shuffle, so a value copied into a third of all documents is no hot key.
+the corpus by distinct owners and distinct repositories: a value that a wide
+share of all owners has is a copied example, any other that looks live is a
+credential, in however many repositories it lies. Copies of one document count
+as one owner's, so filing a document under other owners hides nothing in it. Only
+built-in functions run on the texts; digests are aggregated in steps that each
+combine before the shuffle, so a value copied into a third of all documents is
+no hot key.
 
 Rows: a null text is empty and has no spans. Null owners and null ids count as
 one owner or repository. Each input row gives one output row, repeated ids too.
@@ -33,6 +35,12 @@ KINDS = (("assign", ASSIGN, 1, 8), ("access", ACCESS, 0, 16), ("hex", HEX, 0, 32
 LIVE = "live"
 PLACEHOLDER = r"(?i)example|sample|change|dummy|test|your|xxxx|0000|1234|abcd"
 
+#: A value is a copied example if at least this share of all owners has it, and no fewer owners than this.
+EXAMPLE_SHARE = 0.5
+EXAMPLE_OWNERS = 3
+#: Equal texts of so many characters are copies of one document; a shorter one is hardly more than the value itself.
+COPY_CHARS = 200
+
 
 def candidates(text: Column) -> Column:
     """array<struct(start, kind, end, from, digest, looks_live)>; places in characters, ``end`` exclusive.
@@ -77,35 +85,55 @@ def looks_live(value: Column) -> Column:
 
 
 def ownership(occurrences: DataFrame) -> DataFrame:
-    """``digest, n_owners, n_repos`` from rows ``digest, owner, repo``; a repository belongs to an owner."""
+    """``digest, n_owners, n_repos, n_apart`` from rows ``digest, owner, repo, copy``; a repository belongs to an owner.
+
+    ``n_apart`` counts owners too, but all rows of one ``copy`` as those of its first owner; a null is no copy.
+    """
     repos = occurrences.groupBy("digest", "owner", "repo").agg(F.count(F.lit(1)).alias("n"))
     owners = repos.groupBy("digest", "owner").agg(F.count(F.lit(1)).alias("n_repos"))
-    return owners.groupBy("digest").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("n_repos").alias("n_repos"))
+    counts = owners.groupBy("digest").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("n_repos").alias("n_repos"))
+    own = F.when(F.col("copy").isNull(), F.struct("owner"))
+    firsts = occurrences.groupBy("digest", "copy", own.alias("own")).agg(F.min("owner").alias("owner"))
+    apart = firsts.groupBy("digest", "owner").agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(apart.groupBy("digest").agg(F.count(F.lit(1)).alias("n_apart")), "digest")
 
 
 def scan_secrets(
-    df: DataFrame, id: str, text: str, owner: str, repo: str, most_owners: int = 1, most_repos: int = 10, keep: tuple = ()
+    df: DataFrame,
+    id: str,
+    text: str,
+    owner: str,
+    repo: str,
+    example_share: float = EXAMPLE_SHARE,
+    example_owners: int = EXAMPLE_OWNERS,
+    keep: tuple = (),
 ) -> DataFrame:
     """One row per input row: ``doc_id, found, live`` and the columns in ``keep``.
 
     ``found`` are the candidates, each with ``n_owners`` and ``n_repos``; ``live``
     are the distinct places ``(start, kind, end)`` of values that look live and
-    that at most ``most_owners`` owners have in at most ``most_repos`` repositories.
+    are no example: fewer than ``example_share`` of all owners or fewer than
+    ``example_owners`` have them, copies of a document counted once.
     """
+    whole = F.coalesce(column(text), F.lit(""))
     rows = df.select(
         F.monotonically_increasing_id().alias("row"),
         column(id).alias("doc_id"),
         column(owner).alias("owner"),
         column(repo).alias("repo"),
-        candidates(F.coalesce(column(text), F.lit(""))).alias("found"),
+        F.when(F.length(whole) >= COPY_CHARS, F.xxhash64(whole)).alias("copy"),
+        candidates(whole).alias("found"),
         *[column(c).alias(f"keep_{c}") for c in keep],
     )
     # The table fixes the row numbers and spares a second scan of the texts.
     rows = cut(rows)
-    each = rows.select("row", "owner", "repo", F.explode("found").alias("c")).select("row", "owner", "repo", "c.*")
-    counts = ownership(each.select("digest", "owner", "repo"))
+    wide = max(example_owners, example_share * rows.select("owner").distinct().count())
+    each = rows.select("row", "owner", "repo", "copy", F.explode("found").alias("c")).select(
+        "row", "owner", "repo", "copy", "c.*"
+    )
+    counts = ownership(each.select("digest", "owner", "repo", "copy"))
     told = each.join(counts, "digest", "left")
-    live = F.col("looks_live") & (F.col("n_owners") <= most_owners) & (F.col("n_repos") <= most_repos)
+    live = F.col("looks_live") & (F.col("n_apart") < wide)
     place = F.struct(F.col("from").alias("start"), F.lit(len(KINDS)).alias("kind"), "end")
     fields = ["start", "kind", "end", "n_owners", "n_repos"]
     # Bounded by the candidates of one document.

@@ -78,6 +78,20 @@ def test_secret_span_text(spark):
     assert hashlib.sha256(b"").hexdigest() == df.select(F.sha2(F.lit(""), 256)).first()[0]
 
 
+def test_secret_is_no_example_before_a_wide_share_of_owners_has_it(spark):
+    keys = [hashlib.md5(bytes([i])).hexdigest() for i in range(4)]
+    assert all(re.search("[a-f]", k) and len(set(k)) >= 8 for k in keys)
+    prose_of = " ".join(f"word{i}" for i in range(60))
+    rows = [("two owners " + keys[0], "o1"), ("two owners, again " + keys[0], "o2")]
+    rows += [(f"many repositories {i} {keys[1]}", "o3") for i in range(30)]
+    rows += [(f"{prose_of} copied document {keys[2]}", f"o{i}") for i in range(10)]
+    rows += [(f"example {i} of most owners {keys[3]}", f"o{i}") for i in range(5)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id int, text string, source string")
+    got = secrets.scan_secrets(df, "doc_id", "text", "source", "doc_id", keep=("text",)).collect()
+    live = [r["text"][s["start"] : s["end"]] for r in got for s in r["live"]]
+    assert {k: live.count(k) for k in keys} == {keys[0]: 2, keys[1]: 30, keys[2]: 10, keys[3]: 0}
+
+
 # Licenses
 
 
