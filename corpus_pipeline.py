@@ -37,10 +37,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents; credentials of one owner that look live are replaced in the text."""
+    """All documents; every value found is replaced in the text, except copied examples."""
     rows = docs.select("doc_id", "text", "source", F.struct("*").alias("doc"))
     found = secrets.scan_secrets(rows, "doc_id", "text", owner="source", repo="doc_id", keep=("doc",))
-    masked = secrets.redact(F.col("doc.text"), F.col("live"))
+    masked = secrets.redact(F.col("doc.text"), F.col("owned"))
     return found.select(F.col("doc").withField("text", masked).alias("doc")).select("doc.*")
 
 

@@ -33,7 +33,14 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 KINDS = (("assign", ASSIGN, 1, 8), ("access", ACCESS, 0, 16), ("hex", HEX, 0, 32))
 LIVE = "live"
-PLACEHOLDER = r"(?i)example|sample|change|dummy|test|your|xxxx|0000|1234|abcd"
+#: Placeholder words are whole runs of letters and digits; a filler begins or ends such a run.
+WORD_BEGINS, WORD_ENDS = "(?<![A-Za-z0-9])", "(?![A-Za-z0-9])"
+FILLER = "(?:xxxx|0000|1234|abcd)"
+PLACEHOLDER = (
+    f"(?i){WORD_BEGINS}(?:example|sample|change(?:me)?|dummy|test|your){WORD_ENDS}|{WORD_BEGINS}{FILLER}|{FILLER}{WORD_ENDS}"
+)
+#: Different characters of a value that looks live.
+DISTINCT = 8
 
 #: A value is a copied example if at least this share of all owners has it, and no fewer owners than this.
 EXAMPLE_SHARE = 0.5
@@ -58,7 +65,7 @@ def candidates(text: Column) -> Column:
                 m["end"].alias("end"),
                 (m["end"] - F.length(m["value"])).alias("from"),
                 F.unhex(F.sha2(m["value"], 256)).alias("digest"),
-                looks_live(m["value"]).alias("looks_live"),
+                looks_live(m["value"], least).alias("looks_live"),
             ),
         )
         # The costly passes run only on texts that match at all.
@@ -72,14 +79,14 @@ def spans_like() -> Column:
     return F.array().cast(kind)
 
 
-def looks_live(value: Column) -> Column:
-    """Long, mixed and no placeholder."""
+def looks_live(value: Column, least: int) -> Column:
+    """As long as its kind asks for, mixed and no placeholder."""
     distinct = F.size(F.array_distinct(F.split(value, "")))
     return (
-        (F.length(value) >= 16)
+        (F.length(value) >= least)
         & F.regexp_like(value, F.lit("[0-9]"))
         & F.regexp_like(value, F.lit("[A-Za-z]"))
-        & (distinct >= 8)
+        & (distinct >= F.least(F.lit(DISTINCT), F.ceil(F.length(value) * 0.75)))
         & ~F.regexp_like(value, F.lit(PLACEHOLDER))
     )
 
@@ -108,12 +115,13 @@ def scan_secrets(
     example_owners: int = EXAMPLE_OWNERS,
     keep: tuple = (),
 ) -> DataFrame:
-    """One row per input row: ``doc_id, found, live`` and the columns in ``keep``.
+    """One row per input row: ``doc_id, found, live, owned`` and the columns in ``keep``.
 
     ``found`` are the candidates, each with ``n_owners`` and ``n_repos``; ``live``
     are the distinct places ``(start, kind, end)`` of values that look live and
     are no example: fewer than ``example_share`` of all owners or fewer than
-    ``example_owners`` have them, copies of a document counted once.
+    ``example_owners`` have them, copies of a document counted once. ``owned`` are
+    the places of all values that are no example, whatever they look like.
     """
     whole = F.coalesce(column(text), F.lit(""))
     rows = df.select(
@@ -133,13 +141,14 @@ def scan_secrets(
     )
     counts = ownership(each.select("digest", "owner", "repo", "copy"))
     told = each.join(counts, "digest", "left")
-    live = F.col("looks_live") & (F.col("n_apart") < wide)
+    owned = F.col("n_apart") < wide
     place = F.struct(F.col("from").alias("start"), F.lit(len(KINDS)).alias("kind"), "end")
     fields = ["start", "kind", "end", "n_owners", "n_repos"]
     # Bounded by the candidates of one document.
     per_row = told.groupBy("row").agg(
         F.sort_array(F.collect_list(F.struct(*fields))).alias("counted"),
-        F.sort_array(F.collect_set(F.when(live, place))).alias("live"),
+        F.sort_array(F.collect_set(F.when(F.col("looks_live") & owned, place))).alias("live"),
+        F.sort_array(F.collect_set(F.when(owned, place))).alias("owned"),
     )
     joined = rows.join(per_row, "row", "left")
     none = "array<struct<start:bigint,kind:int,end:bigint>>"
@@ -148,6 +157,7 @@ def scan_secrets(
         "doc_id",
         F.coalesce("counted", F.array().cast(nothing)).alias("found"),
         F.coalesce("live", F.array().cast(none)).alias("live"),
+        F.coalesce("owned", F.array().cast(none)).alias("owned"),
         *[F.col(f"keep_{c}").alias(c) for c in keep],
     )
 
@@ -164,8 +174,8 @@ def span_text(spans: Column) -> Column:
     )
 
 
-def redact(text: Column, live: Column, mark: str = "[SECRET]") -> Column:
-    """The text with each live place replaced; places that overlap are replaced together."""
+def redact(text: Column, places: Column, mark: str = "[SECRET]") -> Column:
+    """The text with each of the places replaced; places that overlap are replaced together."""
 
     def piece(state, span):
         last = state["last"]
@@ -181,4 +191,4 @@ def redact(text: Column, live: Column, mark: str = "[SECRET]") -> Column:
     def finish(state):
         return F.concat(F.array_join(state["parts"], ""), F.substring(text, (state["last"] + 1).cast("int"), F.length(text)))
 
-    return F.when(F.size(live) > 0, F.aggregate(live, start, piece, finish)).otherwise(text)
+    return F.when(F.size(places) > 0, F.aggregate(places, start, piece, finish)).otherwise(text)

@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from molframe.llm import lattice, licenses, mixing, quotes, rangecoder, secrets, simhash, spans, tokenfile, toxicity
 from molframe.llm.registry import ascii_lower, word_count
 
@@ -92,6 +93,23 @@ def test_secret_is_no_example_before_a_wide_share_of_owners_has_it(spark):
     assert {k: live.count(k) for k in keys} == {keys[0]: 2, keys[1]: 30, keys[2]: 10, keys[3]: 0}
 
 
+def test_short_values_and_values_with_placeholder_letters(spark):
+    values = {"Tr0ub4dor9x": True, "contest9Kx7Lq2mZ": True, "9f81234e7d6c5b4a": True, "hunter2a": True}
+    values |= {"your-key-9f8e7d6c5b": False, "9f8e7d6c5b4a-test": False, "password": False, "aaaaaaa1": False}
+    df = spark.createDataFrame([(v, f"password: {v} end", "o") for v in values], "doc_id string, text string, source string")
+    got = secrets.scan_secrets(df, "doc_id", "text", "source", "doc_id").collect()
+    assert {r["doc_id"]: bool(r["live"]) for r in got} == values
+    assert all([(s["start"], s["end"]) for s in r["owned"]] == [(10, 10 + len(r["doc_id"]))] for r in got)
+
+
+def test_pipeline_masks_all_but_examples(spark):
+    rows = [("password: Tr0ub4dor9x.", "o1"), ("token = mytest1234value, secret=onlyletters", "o2")]
+    rows += [(f"example {i}: password: Examp1ePassw0rd", f"o{i}") for i in range(1, 5)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id int, text string, source string")
+    got = corpus_pipeline.mask_secrets(spark, df, "").orderBy("doc_id").collect()
+    assert [r["text"] for r in got] == ["password: [SECRET]", "token = [SECRET], secret=[SECRET]"] + [r[0] for r in rows[2:]]
+
+
 # Licenses
 
 
