@@ -2,7 +2,7 @@
 
 A text's words are lower-cased and joined by blanks; rules are regular
 expressions over that string. A rule is tried only where the text holds its
-keyword, and no rule at all where no license word occurs. Detections are sorted
+keyword, a word that each of its matches has. Detections are sorted
 by place; one that lies inside another of the same or a better level is
 suppressed. Only built-in functions are used and no row is shuffled.
 
@@ -21,15 +21,10 @@ from molframe.functions.arrays import let
 from molframe.llm.registry import ascii_lower, column
 from molframe.llm.spans import matches
 
-# Words of lower-cased text, the same words before lower-casing, and the base phrases.
+# Words of lower-cased text, and the base phrases; each phrase has a word that is a rule's keyword.
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORDS_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-#: A text without any of these has no detection and no base phrase.
-GATE = rf"(?i)licen[cs]|reserved|spdx|copyright|copyleft|cc{BETWEEN}|cc0|public{BETWEEN}domain"
-
 #: label, keyword that must be among the words, the name as a pattern over words, versions (empty: none).
 FAMILIES = (
     ("apache", "apache", "apache(?: software)?", ("1 0", "1 1", "2 0")),
@@ -153,13 +148,13 @@ def _kept(found: Column) -> Column:
 
 
 def _scan(words: Column) -> Column:
-    """struct(starts, base, kept) of one gated text from its words."""
+    """struct(n_words, base, kept) of one text from its words; the last two are null where no keyword occurs."""
     table = rules()
     kind = "array<struct<label:string,keyword:string,level:int,pattern:string>>"
     listed = F.from_json(F.lit(json.dumps(table)), kind)
     keywords = F.array(*[F.lit(k) for k in sorted({r["keyword"] for r in table})])
 
-    def scan(ws):
+    def scan(ws, present):
         joined = F.concat(F.lit(" "), F.array_join(ws, " "), F.lit(" "))
 
         def on(text):
@@ -170,10 +165,7 @@ def _scan(words: Column) -> Column:
                 )
                 for phrase, label in BASE
             ]
-            tried = let(
-                F.array_intersect(ws, keywords),
-                lambda present: F.filter(listed, lambda r: F.array_contains(present, r["keyword"])),
-            )
+            tried = F.filter(listed, lambda r: F.array_contains(present, r["keyword"]))
             found = F.flatten(
                 F.transform(
                     tried,
@@ -194,20 +186,22 @@ def _scan(words: Column) -> Column:
 
         return let(joined, on)
 
-    return let(words, scan)
+    def gated(ws):
+        found = let(F.array_intersect(ws, keywords), lambda present: F.when(F.size(present) > 0, scan(ws, present)))
+        return let(
+            found,
+            lambda f: F.struct(
+                F.size(ws).cast("bigint").alias("n_words"), f["base"].alias("base"), f["kept"].alias("kept")
+            ),
+        )
+
+    return let(words, gated)
 
 
 def scan_licenses(df: DataFrame, id: str, text: str) -> DataFrame:
     """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score`` of each row."""
-    whole = F.coalesce(column(text), F.lit(""))
-    scanned = F.when(
-        F.regexp_like(whole, F.lit(GATE)), _scan(F.regexp_extract_all(ascii_lower(whole), F.lit(WORDS), F.lit(0)))
-    )
-    rows = df.select(
-        column(id).alias("doc_id"),
-        F.regexp_count(whole, F.lit(WORDS_ANY_CASE)).cast("bigint").alias("n_words"),
-        scanned.alias("scan"),
-    )
+    words = F.regexp_extract_all(ascii_lower(F.coalesce(column(text), F.lit(""))), F.lit(WORDS), F.lit(0))
+    rows = df.select(column(id).alias("doc_id"), _scan(words).alias("scan"))
     starts = F.transform("scan.base", lambda b: b["start"])
     base_labels = F.transform("scan.base", lambda b: b["label"])
     found_labels = F.transform("scan.kept", lambda k: k["label"])
@@ -219,7 +213,7 @@ def scan_licenses(df: DataFrame, id: str, text: str) -> DataFrame:
 
     return rows.select(
         "doc_id",
-        "n_words",
+        "scan.n_words",
         F.coalesce(F.greatest(F.size("scan.base"), F.lit(0)), F.lit(0)).cast("bigint").alias("n_base"),
         F.array_min(starts).alias("first_word"),
         F.array_max(starts).alias("last_word"),

@@ -148,6 +148,16 @@ def test_license_base_columns_and_rules(spark):
     assert len(licenses.rules()) > 300
 
 
+def test_license_names_without_the_word_license(spark):
+    texts = {
+        "Released under the GPL v3.": ("gpl-3", 1.0), "distributed under Apache 2.0": ("apache-2.0", 1.0),
+        "MPL 2.0": ("mpl-2.0", 0.9), "Creative Commons Attribution 4.0": ("cc-by", 0.9), "no such name": ("", 0.0),
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = licenses.scan_licenses(df, "text", "text").collect()
+    assert {r["doc_id"]: (r["labels"], r["score"]) for r in got} == texts
+
+
 # SimHash
 
 
