@@ -2,7 +2,7 @@
 
 A text's words are lower-cased and joined by blanks; rules are regular
 expressions over that string. A rule is tried only where the text holds its
-keyword, a word that each of its matches has. Detections are sorted
+keywords, of which each of its matches has one. Detections are sorted
 by place; one that lies inside another of the same or a better level is
 suppressed. Only built-in functions are used and no row is shuffled.
 
@@ -25,58 +25,58 @@ from molframe.llm.spans import matches
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-#: label, keyword that must be among the words, the name as a pattern over words, versions (empty: none).
+#: label, keywords of which one must be among the words, the name as a pattern over words, versions (empty: none).
 FAMILIES = (
-    ("apache", "apache", "apache(?: software)?", ("1 0", "1 1", "2 0")),
-    ("mit", "mit", "(?:mit|expat)", ()),
-    ("mit-0", "mit", "mit (?:0|no attribution)", ()),
-    ("bsd-2-clause", "bsd", "(?:bsd 2 clause|simplified bsd|freebsd)", ()),
-    ("bsd-3-clause", "bsd", "(?:bsd 3 clause|new bsd|modified bsd|revised bsd)", ()),
-    ("bsd-4-clause", "bsd", "(?:bsd 4 clause|original bsd)", ()),
-    ("0bsd", "0bsd", "(?:0bsd|zero clause bsd)", ()),
-    ("gpl", "general", "(?:gnu )?general public", ("1", "2", "2 0", "3", "3 0")),
-    ("gpl", "gpl", "(?:gnu )?gpl", ("1", "2", "2 0", "3", "3 0")),
-    ("lgpl", "lesser", "(?:gnu )?(?:lesser|library) general public", ("2", "2 0", "2 1", "3", "3 0")),
-    ("lgpl", "lgpl", "(?:gnu )?lgpl", ("2", "2 0", "2 1", "3", "3 0")),
-    ("agpl", "affero", "(?:gnu )?affero general public", ("1", "3", "3 0")),
-    ("agpl", "agpl", "(?:gnu )?agpl", ("1", "3", "3 0")),
-    ("gfdl", "documentation", "(?:gnu )?free documentation", ("1 1", "1 2", "1 3")),
-    ("mpl", "mozilla", "mozilla public", ("1 0", "1 1", "2 0")),
-    ("mpl", "mpl", "mpl", ("1 0", "1 1", "2 0")),
-    ("epl", "eclipse", "eclipse public", ("1 0", "2 0")),
-    ("edl", "eclipse", "eclipse distribution", ("1 0",)),
-    ("eupl", "european", "european union public", ("1 0", "1 1", "1 2")),
-    ("cddl", "cddl", "cddl", ("1 0", "1 1")),
-    ("cddl", "distribution", "common development and distribution", ("1 0", "1 1")),
-    ("cpl", "common", "common public", ("1 0",)),
-    ("ipl", "ibm", "ibm public", ("1 0",)),
-    ("osl", "open", "open software", ("1 0", "2 0", "2 1", "3 0")),
-    ("afl", "academic", "academic free", ("1 1", "1 2", "2 0", "2 1", "3 0")),
-    ("artistic", "artistic", "artistic", ("1 0", "2 0")),
-    ("isc", "isc", "isc", ()),
-    ("zlib", "zlib", "zlib(?: libpng)?", ()),
-    ("libpng", "libpng", "libpng", ("2 0",)),
-    ("boost", "boost", "boost software", ("1 0",)),
-    ("bsl", "business", "business source", ("1 1",)),
-    ("unlicense", "unlicense", "unlicense", ()),
-    ("wtfpl", "wtfpl", "wtfpl", ("1", "2")),
-    ("python", "python", "python software foundation", ("2", "2 0")),
-    ("php", "php", "php", ("3 0", "3 01")),
-    ("ruby", "ruby", "ruby", ()),
-    ("postgresql", "postgresql", "postgresql", ()),
-    ("openssl", "openssl", "openssl", ()),
-    ("ofl", "font", "(?:sil )?open font", ("1 0", "1 1")),
-    ("ncsa", "ncsa", "(?:university of illinois )?ncsa(?: open source)?", ()),
-    ("ms-pl", "microsoft", "microsoft public", ()),
-    ("ms-rl", "microsoft", "microsoft reciprocal", ()),
-    ("odbl", "database", "open (?:data commons )?(?:open )?database", ("1 0",)),
-    ("sspl", "server", "server side public", ("1",)),
-    ("elastic", "elastic", "elastic", ("2 0",)),
-    ("cecill", "cecill", "cecill(?: b| c)?", ("1 0", "2 0", "2 1")),
-    ("blueoak", "oak", "blue oak model", ("1 0 0",)),
-    ("mulan", "mulan", "mulan (?:permissive software|psl)", ("1", "2")),
-    ("vim", "vim", "vim", ()),
-    ("x11", "x11", "x11", ()),
+    ("apache", ("apache",), "apache(?: software)?", ("1 0", "1 1", "2 0")),
+    ("mit", ("mit", "expat"), "(?:mit|expat)", ()),
+    ("mit-0", ("mit",), "mit (?:0|no attribution)", ()),
+    ("bsd-2-clause", ("bsd", "freebsd"), "(?:bsd 2 clause|simplified bsd|freebsd)", ()),
+    ("bsd-3-clause", ("bsd",), "(?:bsd 3 clause|new bsd|modified bsd|revised bsd)", ()),
+    ("bsd-4-clause", ("bsd",), "(?:bsd 4 clause|original bsd)", ()),
+    ("0bsd", ("0bsd", "zero"), "(?:0bsd|zero clause bsd)", ()),
+    ("gpl", ("general",), "(?:gnu )?general public", ("1", "2", "2 0", "3", "3 0")),
+    ("gpl", ("gpl",), "(?:gnu )?gpl", ("1", "2", "2 0", "3", "3 0")),
+    ("lgpl", ("lesser", "library"), "(?:gnu )?(?:lesser|library) general public", ("2", "2 0", "2 1", "3", "3 0")),
+    ("lgpl", ("lgpl",), "(?:gnu )?lgpl", ("2", "2 0", "2 1", "3", "3 0")),
+    ("agpl", ("affero",), "(?:gnu )?affero general public", ("1", "3", "3 0")),
+    ("agpl", ("agpl",), "(?:gnu )?agpl", ("1", "3", "3 0")),
+    ("gfdl", ("documentation",), "(?:gnu )?free documentation", ("1 1", "1 2", "1 3")),
+    ("mpl", ("mozilla",), "mozilla public", ("1 0", "1 1", "2 0")),
+    ("mpl", ("mpl",), "mpl", ("1 0", "1 1", "2 0")),
+    ("epl", ("eclipse",), "eclipse public", ("1 0", "2 0")),
+    ("edl", ("eclipse",), "eclipse distribution", ("1 0",)),
+    ("eupl", ("european",), "european union public", ("1 0", "1 1", "1 2")),
+    ("cddl", ("cddl",), "cddl", ("1 0", "1 1")),
+    ("cddl", ("distribution",), "common development and distribution", ("1 0", "1 1")),
+    ("cpl", ("common",), "common public", ("1 0",)),
+    ("ipl", ("ibm",), "ibm public", ("1 0",)),
+    ("osl", ("open",), "open software", ("1 0", "2 0", "2 1", "3 0")),
+    ("afl", ("academic",), "academic free", ("1 1", "1 2", "2 0", "2 1", "3 0")),
+    ("artistic", ("artistic",), "artistic", ("1 0", "2 0")),
+    ("isc", ("isc",), "isc", ()),
+    ("zlib", ("zlib",), "zlib(?: libpng)?", ()),
+    ("libpng", ("libpng",), "libpng", ("2 0",)),
+    ("boost", ("boost",), "boost software", ("1 0",)),
+    ("bsl", ("business",), "business source", ("1 1",)),
+    ("unlicense", ("unlicense",), "unlicense", ()),
+    ("wtfpl", ("wtfpl",), "wtfpl", ("1", "2")),
+    ("python", ("python",), "python software foundation", ("2", "2 0")),
+    ("php", ("php",), "php", ("3 0", "3 01")),
+    ("ruby", ("ruby",), "ruby", ()),
+    ("postgresql", ("postgresql",), "postgresql", ()),
+    ("openssl", ("openssl",), "openssl", ()),
+    ("ofl", ("font",), "(?:sil )?open font", ("1 0", "1 1")),
+    ("ncsa", ("ncsa",), "(?:university of illinois )?ncsa(?: open source)?", ()),
+    ("ms-pl", ("microsoft",), "microsoft public", ()),
+    ("ms-rl", ("microsoft",), "microsoft reciprocal", ()),
+    ("odbl", ("database",), "open (?:data commons )?(?:open )?database", ("1 0",)),
+    ("sspl", ("server",), "server side public", ("1",)),
+    ("elastic", ("elastic",), "elastic", ("2 0",)),
+    ("cecill", ("cecill",), "cecill(?: b| c)?", ("1 0", "2 0", "2 1")),
+    ("blueoak", ("oak",), "blue oak model", ("1 0 0",)),
+    ("mulan", ("mulan",), "mulan (?:permissive software|psl)", ("1", "2")),
+    ("vim", ("vim",), "vim", ()),
+    ("x11", ("x11",), "x11", ()),
 )
 
 #: Variants of the public copyright licenses whose names are built of parts.
@@ -88,36 +88,36 @@ SCORES = (1.0, 0.9, 0.6, 0.3)
 
 
 def rules() -> list[dict]:
-    """The ordered rules: label, keyword, level and pattern over blank-separated words."""
+    """The ordered rules: label, keywords, level and pattern over blank-separated words."""
     grant = r"(?:(?:re)?licen[cs]ed|released|distributed|available|published|provided) (?:to you )?(?:as \w+ )?under (?:the )?(?:terms of (?:the )?)?"
     made = []
 
-    def add(label, keyword, level, pattern):
-        made.append({"label": label, "keyword": keyword, "level": level, "pattern": f"(?<= ){pattern}(?= )"})
+    def add(label, keywords, level, pattern):
+        made.append({"label": label, "keywords": keywords, "level": level, "pattern": f"(?<= ){pattern}(?= )"})
 
-    for label, keyword, name, versions in FAMILIES:
+    for label, keywords, name, versions in FAMILIES:
         named = rf"{name} licen[cs]es?"
-        add(label, keyword, 0, rf"{grant}{named}")
-        add(label, keyword, 0, rf"spdx license identifier {name}")
-        add(label, keyword, 2, named)
-        add(label, keyword, 2, rf"licen[cs]ed? {name}")
+        add(label, keywords, 0, rf"{grant}{named}")
+        add(label, keywords, 0, rf"spdx license identifier {name}")
+        add(label, keywords, 2, named)
+        add(label, keywords, 2, rf"licen[cs]ed? {name}")
         for version in versions:
-            add(f"{label}-{version.replace(' ', '.')}", keyword, 0, rf"{grant}{name}(?: licen[cs]e)?(?: version| v)? v?{version}")
-            add(f"{label}-{version.replace(' ', '.')}", keyword, 1, rf"{name}(?: licen[cs]e)?(?: version| v)? v?{version}")
+            add(f"{label}-{version.replace(' ', '.')}", keywords, 0, rf"{grant}{name}(?: licen[cs]e)?(?: version| v)? v?{version}")
+            add(f"{label}-{version.replace(' ', '.')}", keywords, 1, rf"{name}(?: licen[cs]e)?(?: version| v)? v?{version}")
     for parts in COMMONS:
         words = "".join(f" {COMMONS_WORDS[p]}" for p in parts.split())
         label = "cc-by" + parts.replace(" ", "-")
         for version in ("1 0", "2 0", "2 5", "3 0", "4 0"):
-            add(f"{label}-{version.replace(' ', '.')}", "cc", 1, rf"cc by{parts} {version}")
-        add(label, "cc", 2, rf"cc by{parts}")
-        add(label, "cc", 0, rf"{grant}cc by{parts}")
-        add(label, "commons", 1, rf"(?:creative )?commons attribution{words}")
-    add("cc0", "cc0", 1, "cc0(?: 1 0)?")
-    add("public-domain", "domain", 2, "public domain")
-    add("copyright", "copyright", 3, r"copyright (?:c )?(?:[0-9]{4} )?\w+")
-    add("copyleft", "copyleft", 3, "copyleft")
-    add("reserved", "reserved", 2, "(?:all|some) rights reserved")
-    add("license-notice", "license", 3, "(?:this|the|see|under) (?:following )?licen[cs]e")
+            add(f"{label}-{version.replace(' ', '.')}", ("cc",), 1, rf"cc by{parts} {version}")
+        add(label, ("cc",), 2, rf"cc by{parts}")
+        add(label, ("cc",), 0, rf"{grant}cc by{parts}")
+        add(label, ("commons",), 1, rf"(?:creative )?commons attribution{words}")
+    add("cc0", ("cc0",), 1, "cc0(?: 1 0)?")
+    add("public-domain", ("domain",), 2, "public domain")
+    add("copyright", ("copyright",), 3, r"copyright (?:c )?(?:[0-9]{4} )?\w+")
+    add("copyleft", ("copyleft",), 3, "copyleft")
+    add("reserved", ("reserved",), 2, "(?:all|some) rights reserved")
+    add("license-notice", ("license", "licence"), 3, "(?:this|the|see|under) (?:following )?licen[cs]e")
     return made
 
 
@@ -150,9 +150,9 @@ def _kept(found: Column) -> Column:
 def _scan(words: Column) -> Column:
     """struct(n_words, base, kept) of one text from its words; the last two are null where no keyword occurs."""
     table = rules()
-    kind = "array<struct<label:string,keyword:string,level:int,pattern:string>>"
+    kind = "array<struct<label:string,keywords:array<string>,level:int,pattern:string>>"
     listed = F.from_json(F.lit(json.dumps(table)), kind)
-    keywords = F.array(*[F.lit(k) for k in sorted({r["keyword"] for r in table})])
+    keywords = F.array(*[F.lit(k) for k in sorted({k for r in table for k in r["keywords"]})])
 
     def scan(ws, present):
         joined = F.concat(F.lit(" "), F.array_join(ws, " "), F.lit(" "))
@@ -165,7 +165,7 @@ def _scan(words: Column) -> Column:
                 )
                 for phrase, label in BASE
             ]
-            tried = F.filter(listed, lambda r: F.array_contains(present, r["keyword"]))
+            tried = F.filter(listed, lambda r: F.arrays_overlap(present, r["keywords"]))
             found = F.flatten(
                 F.transform(
                     tried,

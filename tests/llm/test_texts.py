@@ -158,6 +158,52 @@ def test_license_names_without_the_word_license(spark):
     assert {r["doc_id"]: (r["labels"], r["score"]) for r in got} == texts
 
 
+def spelled(tree):
+    """All texts that a parsed pattern of literals, classes, branches and options can match, runs as one word."""
+    texts = [""]
+    for kind, value in tree:
+        name = str(kind)
+        if name == "LITERAL":
+            ways = [chr(value)]
+        elif name == "IN":
+            ways = [chr(v) if str(k) == "LITERAL" else "7" for k, v in value]
+        elif name == "BRANCH":
+            ways = [t for part in value[1] for t in spelled(part)]
+        elif name == "SUBPATTERN":
+            ways = spelled(value[3])
+        elif name == "MAX_REPEAT":
+            least, most, part = value
+            ways = [t * n for t in spelled(part) for n in {least, min(most, max(least, 1))}]
+        else:
+            assert name in ("ASSERT", "ASSERT_NOT"), name
+            ways = [""]
+        texts = [t + w for t in texts for w in dict.fromkeys(ways)]
+    return texts
+
+
+def test_license_rules_match_texts_that_hold_nothing_else(spark):
+    grant = licenses.rules()[0]["pattern"].removeprefix("(?<= )").split("apache")[0]
+    rows = []
+    for number, rule in enumerate(licenses.rules()):
+        plain = rule["pattern"].replace(grant, "released under ")
+        texts = list(dict.fromkeys(spelled(re._parser.parse(plain))))
+        for text in texts:
+            # A rule is tried only if one of these is a word of the text.
+            assert set(rule["keywords"]) & set(text.split()), (rule, text)
+        some = random.Random(number).sample(texts, min(len(texts), 3))
+        rows += [(f"{number}:{i}", text, rule["label"], rule["level"]) for i, text in enumerate(some)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, label string, level int").repartition(8)
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(df, "doc_id", "text").collect()}
+    for name, text, label, level in rows:
+        r = got[name]
+        # What lies in a detection of a better level is suppressed.
+        assert r["score"] > licenses.SCORES[level] or label in r["labels"].split(","), (text, label, r)
+    texts = {"FreeBSD license": "bsd-2-clause", "Expat License": "mit", "Zero Clause BSD license": "0bsd", "under this licence": "license-notice"}
+    named = licenses.scan_licenses(spark.createDataFrame([(t,) for t in texts], "text string"), "text", "text").collect()
+    assert {r["doc_id"]: r["labels"] for r in named} == texts
+
+
+
 # SimHash
 
 
