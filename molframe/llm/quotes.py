@@ -1,11 +1,14 @@
 """Quotation linking: who answers whom, read from quoted passages.
 
 Each message is parsed into its own text and quoted passages with their level
-(``>``, ``> >`` and so on, and the attribution line before them). A passage is
-normalised, cut into sentences and hashed. In each conversation the first
-message whose own text has a sentence is its origin; origins are aggregated
-before the join, so a sentence that a third of all messages share meets one row.
-A passage belongs to the origin of most of its sentences, the latest of these
+(``>``, ``> >`` and so on, and the attribution line before them). Passages and
+own texts are cut into units, normalised and hashed: each line, and the sentences
+of each line, of each paragraph and of the whole, so neither missing full stops
+nor other line breaks matter; a piece of a line that is no sentence is no unit.
+In each conversation the first message whose own text has a unit is its origin;
+origins are aggregated before the join, so a unit that a third of all messages
+share meets one row.
+A passage belongs to the origin of most of its units, the latest of these
 if several tie; a message answers the origin of its least deeply quoted linked
 passage, the first such if there are more. Messages without a linked quote
 begin a thread.
@@ -34,16 +37,27 @@ from molframe.plans.ordered import Running, running, slice_by_range
 
 MARKS = re.compile(r"[ \t]*((?:>[ \t]?)+)")
 ATTRIBUTION = re.compile(r"(?i)^(?:on\b.*\bwrote|.*\b(?:wrote|writes|said))\s*:\s*$")
-SENTENCE = re.compile(r"(?<=[.!?])\s+")
+#: Full stops of other scripts need no blank after them.
+SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？｡．।॥؟۔።։។။])\s*")
 SPACE = re.compile(r"\s+")
+PARAGRAPH = re.compile(r"\n\s*\n")
+WORD = re.compile(r"\w")
 
 PARSED = "body string, own array<binary>, quoted array<struct<level:int,passage:int,unit:binary>>"
 
 
 def units(text: str) -> list[bytes]:
-    """Hashes of the normalised sentences."""
-    whole = SPACE.sub(" ", text).strip().lower()
-    return [xxhash.xxh3_128_digest(s.encode("utf-8", "surrogatepass")) for s in SENTENCE.split(whole) if s]
+    """Hashes of the different normalised lines and sentences; a line without a word (a rule, a bracket) is no unit of its own."""
+    lines = [normal(line) for line in text.splitlines() if WORD.search(line)]
+    found = SENTENCE.split(normal(text)) + lines
+    for part in [normal(p) for p in PARAGRAPH.split(text)] + lines:
+        found += [s for s in SENTENCE.split(part) if WORD.search(s)]
+    return [xxhash.xxh3_128_digest(s.encode("utf-8", "surrogatepass")) for s in dict.fromkeys(found) if s]
+
+
+def normal(text: str) -> str:
+    """Lower-cased, with single blanks."""
+    return SPACE.sub(" ", text).strip().lower()
 
 
 def parse(text: str | None) -> tuple[str, list[tuple[int, str]]]:
@@ -72,7 +86,7 @@ def parse(text: str | None) -> tuple[str, list[tuple[int, str]]]:
 
 
 def parsed(text: Column) -> Column:
-    """``parse`` with hashed sentences: struct(body, own, quoted)."""
+    """``parse`` with hashed units: struct(body, own, quoted)."""
 
     @F.pandas_udf(PARSED)
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -85,7 +99,7 @@ def parsed(text: Column) -> Column:
                     for n, (level, passage) in enumerate(passages)
                     for u in units(passage)
                 ]
-                rows.append((body, list(dict.fromkeys(units(body))), quoted))
+                rows.append((body, units(body), quoted))
             yield pd.DataFrame(rows, columns=["body", "own", "quoted"])
 
     return of(text)

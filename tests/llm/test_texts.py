@@ -385,6 +385,15 @@ def test_quotes_are_linked(spark):
     assert quotes.link_quotes(df.limit(0), "conv_id", "turn", "text").count() == 0
 
 
+def test_quoted_lines_are_linked_without_full_stops(spark):
+    said = ["Hello there\nHow are you?", "- eggs\n- milk and honey\n---\n}", "今日は晴れです。明日は雨でしょう。", "first wrapped line\nsecond one\n\nthird part", "क्या हाल है। सब ठीक है।"]
+    quoted = ["> How are you?", "> - milk and honey", "> 明日は雨でしょう。", "> first wrapped\n> line second one", "> सब ठीक है।", "> ---\n> }", "> nothing of it"]
+    rows = [(1, i, t) for i, t in enumerate(said)] + [(1, 10 + i, f"{t}\nanswer {i}") for i, t in enumerate(quoted)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, text string")
+    got = {r["turn"]: r["parent_turn"] for r in quotes.link_quotes(df, "conv_id", "turn", "text").collect()}
+    assert got == {0: None, 1: None, 2: None, 3: None, 4: None, 10: 0, 11: 1, 12: 2, 13: 3, 14: 4, 15: None, 16: None}
+
+
 # Toxicity
 
 
