@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from molframe.llm import covertree, lattice, licenses, mixing, permutation, quotes, secrets, simhash, tokenfile, toxicity
+from molframe.llm import covertree, exactdedup, lattice, licenses, mixing, permutation, quotes, secrets, simhash, tokenfile, toxicity
 from molframe.llm.registry import LLM_ORACLE, LLM_QUERIES, query, table, word_count  # noqa: F401
 
 
@@ -89,3 +89,8 @@ def op10_sentencepiece(spark, sf_dir):
     pieces = lattice.read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
     rows = lattice.encode(table(spark, sf_dir, "documents"), "doc_id", "text", pieces)
     return rows.select("doc_id", F.size("ids").alias("n_pieces"), "ids")
+
+
+@query("op12_exact_dedup", exactdedup.SQL)
+def op12_exact_dedup(spark, sf_dir):
+    return exactdedup.exact_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")

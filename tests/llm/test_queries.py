@@ -11,7 +11,7 @@ SF_DIR = f"{TESTDATA}/sf0.001"
 
 
 def test_all_are_registered():
-    assert {n.split("_")[0] for n in LLM_QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in LLM_QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(LLM_QUERIES) | {"pipeline"} <= set(entry.queries())
 
 
