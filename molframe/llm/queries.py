@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from molframe.llm import covertree, exactdedup, lattice, licenses, mixing, permutation, quotes, secrets, simhash, tokenfile, toxicity
+from molframe.llm import covertree, exactdedup, lattice, licenses, mixing, permutation, quotes, repair, secrets, simhash
+from molframe.llm import tokenfile, toxicity, whitening
 from molframe.llm.registry import LLM_ORACLE, LLM_QUERIES, query, table, word_count  # noqa: F401
 
 
@@ -94,3 +95,15 @@ def op10_sentencepiece(spark, sf_dir):
 @query("op12_exact_dedup", exactdedup.SQL)
 def op12_exact_dedup(spark, sf_dir):
     return exactdedup.exact_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query("op11_whitening")
+def op11_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
+@query("op13_conversation_repair")
+def op13_conversation_repair(spark, sf_dir):
+    given = table(spark, sf_dir, "conversations")
+    broken = repair.damaged(given, "conv_id", "turn", "role", "text")
+    return repair.Repair(broken, "conv_id", "turn", "role", "text").summary(given)
