@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from molframe.catalog.base import GRAPH_SQL, GROUP_KEY, group_key, molecule_graphs, register, split_sql, table
+from molframe.operators.graph import atoms_bonds
+from molframe.operators.scaffold import scaffold_key
 from molframe.operators.split import (
     audit_split,
     contiguous_parts,
@@ -87,6 +89,49 @@ def molecule_keys(spark, sf_dir):
     return graph_key(bonds, atoms)
 
 
+# part stands in for written molecules: six-rings of c and n after a chain, two fused and two linked rings, chains.
+WRITTEN_SQL = """
+written AS (
+  SELECT p_partkey AS mol, p_partkey % 4 AS form, p_size,
+         concat(CASE WHEN p_partkey // 4 % 2 = 1 THEN 'n' ELSE 'c' END, CASE WHEN p_partkey // 8 % 2 = 1 THEN 'n' ELSE 'c' END,
+                CASE WHEN p_partkey // 16 % 2 = 1 THEN 'n' ELSE 'c' END, CASE WHEN p_partkey // 32 % 2 = 1 THEN 'n' ELSE 'c' END,
+                CASE WHEN p_partkey // 64 % 2 = 1 THEN 'n' ELSE 'c' END, CASE WHEN p_partkey // 128 % 2 = 1 THEN 'n' ELSE 'c' END) AS ring
+  FROM part)
+"""
+_TURNS = ", ".join(f"substr({r} || {r}, {i}, 6)" for r in ("ring", "reverse(ring)") for i in range(1, 7))
+
+
+def written_molecules(spark, sf_dir):
+    """``mol, sequence``; a ring is written from another atom in every size."""
+    bits = [F.when(F.expr(f"p_partkey div {4 << i} % 2") == 1, "n").otherwise("c") for i in range(6)]
+    ring = F.concat(*bits)
+    turned = F.substr(F.concat(ring, ring), F.expr("cast(p_size % 6 as int)") + 1, F.lit(6))
+    closed = F.concat(F.left(turned, F.lit(1)), F.lit("1"), F.substring(turned, 2, 5), F.lit("1"))
+    form = F.col("p_partkey") % 4
+    text = (
+        F.when(form == 0, F.concat(F.expr("repeat('C', cast(p_size % 5 as int))"), closed))
+        .when(form == 1, "C1CCC2CCCCC2C1")
+        .when(form == 2, "C1CCC(C)(C)1C1CCCC1")
+        .otherwise(F.expr("repeat('C', cast(p_size as int))"))
+    )
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("mol"), text.alias("sequence"))
+
+
+@register(
+    "scaffold_groups",
+    f"""
+    WITH {WRITTEN_SQL},
+    keyed AS (SELECT mol, CASE form WHEN 0 THEN list_min([{_TURNS}]) WHEN 1 THEN 'fused' WHEN 2 THEN 'linked' ELSE '' END AS key FROM written)
+    SELECT mol, min(mol) OVER (PARTITION BY key) AS first_mol, count(*) OVER (PARTITION BY key) AS n_mols, key <> '' AS cyclic FROM keyed
+    """,
+)
+def scaffold_groups(spark, sf_dir):
+    atoms, bonds = atoms_bonds(written_molecules(spark, sf_dir), "mol", "sequence")
+    keys = scaffold_key(bonds, atoms)
+    groups = keys.groupBy("group_key").agg(F.min("mol").alias("first_mol"), F.count(F.lit(1)).alias("n_mols"))
+    return keys.join(groups, "group_key").select("mol", "first_mol", "n_mols", (F.col("group_key") != "").alias("cyclic"))
+
+
 @register("hash_split", f"SELECT o_orderkey, {split_sql('o_orderkey', 42)} AS split FROM orders")
 def by_hash(spark, sf_dir):
     return hash_split(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 42)

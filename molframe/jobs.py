@@ -25,7 +25,8 @@ from molframe.operators.clean import clean_by_length, drop_empty_features, proje
 from molframe.operators.features import describe, dummy
 from molframe.operators.forest import bit_features, run_repeated
 from molframe.operators.graph import atoms_bonds
-from molframe.operators.split import graph_key, group_split, hash_split, no_split
+from molframe.operators.scaffold import scaffold_key
+from molframe.operators.split import group_split, hash_split, no_split
 from molframe.operators.transform import fit_chain
 from molframe.operators.vocab import build_vocab, node_context_vocab
 from molframe.plans.lineage import cut
@@ -76,7 +77,7 @@ def scaffold_split(df: DataFrame, spec: DatasetSpec) -> DataFrame:
     """80/10/10 by ring systems and linkers; equal scaffolds share a split."""
     molecules = molecules_of(df, spec)
     atoms, bonds = (cut(t) for t in atoms_bonds(molecules, "mol", spec.feature))
-    keys = graph_key(bonds, atoms).join(molecules.select("mol", spec.id), "mol").select(spec.id, "group_key")
+    keys = scaffold_key(bonds, atoms).join(molecules.select("mol", spec.id), "mol").select(spec.id, "group_key")
     return group_split(df.join(keys, spec.id, "left"), "group_key").drop("group_key")
 
 

@@ -19,17 +19,18 @@ AROMATIC = r"^(\[[0-9]*([bcnops]|te|as).*\]|[bcnops])$"
 def atoms_bonds(df: DataFrame, mol: str, sequence: str) -> tuple[DataFrame, DataFrame]:
     """Atoms and bonds of written molecules, by windows over their tokens.
 
-    The compact strings are shuffled once by molecule; two windows then work
+    The compact strings are shuffled once by molecule; three windows then work
     inside one string, so their size is bounded by that string: one along the
-    string, one along its lanes, which are the atoms of one branch depth or the
-    uses of one ring label. An atom bonds to the previous atom of its lane, an
-    opening parenthesis bonds the last atom of its lane to the atom it opens
-    with, and every second use of a ring label closes a ring. ``mol`` must be
-    unique.
+    string, one along its lanes, which are the tokens of one branch depth, and one
+    along the uses of each ring label. An atom bonds to the previous atom of its
+    lane, an opening parenthesis bonds the last atom of its lane to the atom it
+    opens with, and every second use of a ring label closes a ring between the
+    last atoms of their lanes. ``mol`` must be unique.
     """
     here = Window.partitionBy("mol").orderBy("i")
     upto = here.rowsBetween(Window.unboundedPreceding, 0)
-    lane = Window.partitionBy("mol", "lane", "level").orderBy("i")
+    lane = Window.partitionBy("mol", "fragment", "level").orderBy("i")
+    label = Window.partitionBy("mol", "label").orderBy("i")
 
     def tokens_like(name, pattern):
         return F.coalesce(F.regexp_like(name, F.lit(pattern)), F.lit(False))
@@ -61,19 +62,17 @@ def atoms_bonds(df: DataFrame, mol: str, sequence: str) -> tuple[DataFrame, Data
     )
     atoms = placed.filter("is_atom").select("mol", "pos", F.col("tok").alias("symbol"))
 
-    label = F.regexp_replace("tok", "%", "").cast("int")
     laned = placed.withColumns(
         {
             "atom": if_atom,
             "after_bond": tokens_like("prev", BOND),
             "before_bond": tokens_like("next", BOND),
-            # Ring labels get lanes below zero; an opening parenthesis stays at the depth it opens from.
-            "lane": F.when(F.col("is_ring"), -1 - label).otherwise(F.col("fragment")),
-            "level": F.when(F.col("is_ring"), 0).otherwise(F.col("depth") - F.col("opens").cast("int")),
+            "label": F.when(F.col("is_ring"), F.regexp_replace("tok", "%", "").cast("int")),
+            # An opening parenthesis stays at the depth it opens from.
+            "level": F.col("depth") - F.col("opens").cast("int"),
         }
     ).withColumns(
         {
-            "owner": F.last("atom", ignorenulls=True).over(upto),
             "opened": F.when(F.col("after_bond"), F.col("prev2")).otherwise(F.col("prev")) == "(",
             "opens_with": F.when(F.col("before_bond"), F.col("next2")).otherwise(F.col("next")),
             "written": F.when(F.col("after_bond"), F.col("prev")),
@@ -83,21 +82,19 @@ def atoms_bonds(df: DataFrame, mol: str, sequence: str) -> tuple[DataFrame, Data
     linked = laned.withColumns(
         {
             "same": F.last("atom", ignorenulls=True).over(lane.rowsBetween(Window.unboundedPreceding, -1)),
-            "nth": F.row_number().over(lane),
-            "twin": F.lag(F.struct("owner", "written")).over(lane),
         }
-    )
+    ).withColumns({"nth": F.row_number().over(label), "twin": F.lag(F.struct("same", "written")).over(label)})
 
     def bond(src, dst, written, aromatic):
         mark = F.coalesce(written, F.when(aromatic, ":").otherwise("-"))
         return F.struct(src.alias("src"), dst.alias("dst"), mark.alias("kind"))
 
-    same, owner, twin = F.col("same"), F.col("owner"), F.col("twin")
+    same, twin = F.col("same"), F.col("twin")
     chain = bond(same["pos"], F.col("pos"), F.col("written"), same["aromatic"] & F.col("atom.aromatic"))
     branch = bond(same["pos"], F.col("pos") + 1, F.col("will_write"), same["aromatic"] & tokens_like("opens_with", AROMATIC))
     ring = bond(
-        F.least(owner["pos"], twin["owner"]["pos"]), F.greatest(owner["pos"], twin["owner"]["pos"]),
-        F.coalesce(twin["written"], F.col("written")), owner["aromatic"] & twin["owner"]["aromatic"],
+        F.least(same["pos"], twin["same"]["pos"]), F.greatest(same["pos"], twin["same"]["pos"]),
+        F.coalesce(twin["written"], F.col("written")), same["aromatic"] & twin["same"]["aromatic"],
     )
     hangs = same.isNotNull()
     found = (

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from molframe.functions.hashing import hash60, seeded, unit_hash
-from molframe.operators.joins import two_way
-from molframe.plans.lineage import cut, scratch_path
+from molframe.operators.scaffold import element, plain_kind, two_core
+from molframe.plans.lineage import cut
 from molframe.plans.ordered import indexed, row_index, slice_by_range
 
 
@@ -150,79 +149,24 @@ def audit_split(df: DataFrame, id: str, key: str) -> DataFrame:
     ).withColumns({"ids_in_many": torn(id), "groups_in_many": torn(key)})
 
 
-def two_core(bonds: DataFrame) -> DataFrame:
-    """Bonds left after repeatedly removing atoms with a single bond: rings and linkers.
-
-    A leaf is found by a map-side combined aggregate on (molecule, atom), which
-    also names its only bond. Rounds number at most the longest side chain, but
-    each round reads only molecules that had leaves in the round before. It
-    writes one table to the shared folder, divided into molecules that may go on
-    and molecules that are done.
-    """
-    spark = bonds.sparkSession
-    root = scratch_path(spark, "core")
-    active, at = T.StructField("active", T.BooleanType()), T.StructField("turn", T.IntegerType())
-    ends = {"_lo": F.least("src", "dst"), "_hi": F.greatest("src", "dst")}
-
-    def written(path, *marks):
-        return spark.read.schema(T.StructType([*bonds.schema.fields, *marks])).parquet(path)
-
-    left, turn = cut(bonds), 0
-    while True:
-        near = two_way(left).groupBy("mol", "a").agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("b"))
-        loose = cut(near.filter("n = 1").select("mol", F.least("a", "b").alias("_lo"), F.greatest("a", "b").alias("_hi")))
-        if loose.isEmpty():
-            break
-        touched = loose.select("mol").distinct().withColumn("active", F.lit(True))
-        (
-            left.withColumns(ends)
-            .join(loose, ["mol", "_lo", "_hi"], "left_anti")
-            .join(touched, "mol", "left")
-            .select(*bonds.columns, F.coalesce("active", F.lit(False)).alias("active"))
-            .write.partitionBy("active")
-            .parquet(f"{root}/turn={turn}")
-        )
-        left = written(f"{root}/turn={turn}", active).filter("active").drop("active")
-        turn += 1
-    if turn == 0:
-        return left
-    done = written(root, at, active).filter("not active")
-    return done.select(*bonds.columns).unionByName(left)
-
-
-# Fixed value: the element of an atom written in brackets, after its isotope.
-ELEMENT = r"^\[[0-9]*([A-Z][a-z]?|[a-z][a-z]?|\*).*\]$"
-
-
-def _element(symbol: Column) -> Column:
-    """What an atom is, without isotope, hydrogens, charge and stereo marks."""
-    return F.when(symbol.rlike(ELEMENT), F.regexp_extract(symbol, ELEMENT, 1)).otherwise(symbol)
-
-
-def _plain_kind(kind: Column, s1: Column, s2: Column) -> Column:
-    """Kind of a bond without its direction; between two aromatic atoms ``-`` and ``:`` are one kind."""
-    single = F.when(kind.isin("/", "\\"), "-").otherwise(kind)
-    aromatic = s1.rlike("^[a-z]") & s2.rlike("^[a-z]")
-    return F.when(aromatic & single.isin("-", ":"), ":").otherwise(single)
-
-
 def graph_key(bonds: DataFrame, atoms: DataFrame) -> DataFrame:
-    """Group key of each molecule: an order-free digest of its typed two-core bonds.
+    """Coarse group key of each molecule: an order-free digest of its typed two-core bonds.
 
     Atoms count by element and aromatic spelling only, so molecules that differ
     in stereo marks, charges, isotopes or written hydrogens share a key, and so
     do two ways of writing the bond between aromatic rings. The digest is of
-    bonds, not of their places: scaffolds with the same bonds also share one.
+    bonds, not of their places: scaffolds with the same bonds also share one
+    (``scaffold.scaffold_key`` tells them apart).
 
     Bond hashes are summed and xor-ed, so a molecule of any size is combined
     bond by bond and never collected. Acyclic molecules get the empty key.
     """
-    symbols = atoms.select("mol", "pos", _element(F.col("symbol")).alias("symbol"))
+    symbols = atoms.select("mol", "pos", element(F.col("symbol")).alias("symbol"))
     core = two_core(bonds)
     typed = core.join(symbols.toDF("mol", "src", "s1"), ["mol", "src"]).join(
         symbols.toDF("mol", "dst", "s2"), ["mol", "dst"]
     )
-    bond = hash60(F.concat_ws("|", F.least("s1", "s2"), F.greatest("s1", "s2"), _plain_kind(F.col("kind"), F.col("s1"), F.col("s2"))))
+    bond = hash60(F.concat_ws("|", F.least("s1", "s2"), F.greatest("s1", "s2"), plain_kind(F.col("kind"), F.col("s1"), F.col("s2"))))
     digest = typed.groupBy("mol").agg(
         F.count(F.lit(1)).alias("n"),
         F.bit_xor(bond).alias("x"),

@@ -23,6 +23,7 @@ def test_atoms_and_bonds_equal_a_stack_reading(spark):
     rng = random.Random(4)
     rows = SEQUENCES + [(100 + i, grow(rng) + ("." + grow(rng) if i % 5 == 0 else "")) for i in range(60)]
     rows += [(500, "C1CC2C1CC2C1CC1"), (501, "N1CC(C2CC2)C1=O"), (502, "C")]
+    rows += [(503, "C(C)1CCC1"), (504, "C1CC(C(C)(O)2)CC2C1"), (505, "CC(C(C)C)(N)1CC(C)(Cl)C1")]
     atoms, bonds = atoms_bonds(spark.createDataFrame(rows, "id int, smi string"), "id", "smi")
     found_atoms, found_bonds = {}, {}
     for r in atoms.collect():
