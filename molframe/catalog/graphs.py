@@ -3,7 +3,16 @@
 from pyspark.sql import functions as F
 
 from molframe.catalog.base import GRAPH_SQL, UNIT_SQL, molecule_graphs, register, rounded
-from molframe.operators.graph import mask_nodes, negative_edges, neighbor_agg, node_degree, nodes_by_degree, readout
+from molframe.operators.graph import (
+    exact_negative_edges,
+    mask_nodes,
+    negative_edges,
+    negatives_short,
+    neighbor_agg,
+    node_degree,
+    nodes_by_degree,
+    readout,
+)
 from molframe.operators.vocab import node_contexts, number_tokens
 
 ARCS_SQL = f"""
@@ -89,6 +98,44 @@ def non_bonds(spark, sf_dir):
     return negative_edges(*molecule_graphs(spark, sf_dir), k=2, seed=13)
 
 
+# Every pair of a molecule with its place in the keyed order; the first non-bonds are the sample.
+PLACED_SQL = f"""
+{GRAPH_SQL},
+real AS (SELECT DISTINCT mol, least(src, dst) AS u, greatest(src, dst) AS v FROM bonds WHERE src <> dst),
+wanted AS (SELECT mol, count(*) AS m FROM real GROUP BY 1),
+keyed AS (SELECT mol, n, n * (n - 1) // 2 AS pairs,
+                 ('0x' || substr(md5('13|' || CAST(mol AS VARCHAR) || '|shift'), 1, 15))::BIGINT % (n * (n - 1) // 2) AS shift,
+                 ('0x' || substr(md5('13|' || CAST(mol AS VARCHAR) || '|turn'), 1, 15))::BIGINT % n AS turn FROM sizes WHERE n > 1),
+ends AS (SELECT mol, n, pairs, shift, turn, unnest(range(n)) AS u FROM keyed),
+every AS (SELECT mol, n, pairs, shift, u, unnest(range(u + 1, n)) AS v, turn FROM ends),
+turned AS (SELECT mol, n, pairs, shift, u, v, least((u + turn) % n, (v + turn) % n) AS low, greatest((u + turn) % n, (v + turn) % n) AS high FROM every),
+placed AS (SELECT mol, u, v, (CASE WHEN 2 * (high - low) <= n THEN (high - low - 1) * n + low ELSE (n - high + low - 1) * n + high END
+                              * (2 * n - 1) + shift) % pairs AS place FROM turned),
+ranked AS (SELECT mol, u, v, row_number() OVER (PARTITION BY mol ORDER BY place) AS r FROM placed ANTI JOIN real USING (mol, u, v)),
+drawn AS (SELECT mol, u, v FROM ranked JOIN wanted USING (mol) WHERE r <= 2 * m)
+"""
+
+
+@register(
+    "exact_negative_edges",
+    f"WITH {PLACED_SQL} SELECT mol, u, v, 1 AS label FROM real UNION ALL SELECT mol, u, v, 0 AS label FROM drawn",
+)
+def exact_non_bonds(spark, sf_dir):
+    return exact_negative_edges(*molecule_graphs(spark, sf_dir), k=2, seed=13)
+
+
+@register(
+    "negatives_short",
+    f"""
+    WITH {PLACED_SQL}, made AS (SELECT mol, count(*) AS c FROM drawn GROUP BY 1)
+    SELECT mol, m AS n_bonds, coalesce(c, 0) AS n_negatives, 2 * m - coalesce(c, 0) AS short
+    FROM wanted LEFT JOIN made USING (mol) WHERE 2 * m > coalesce(c, 0)
+    """,
+)
+def too_dense(spark, sf_dir):
+    return negatives_short(exact_negative_edges(*molecule_graphs(spark, sf_dir), k=2, seed=13), 2)
+
+
 @register(
     "vocab_node_context",
     f"""

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from molframe.functions.tokens import PAD_ID, descriptors, tokenize
 from molframe.operators.clean import drop_empty_features
 from molframe.operators.split import minibatches
+from molframe.plans.lineage import cut
 
 
 def dummy(df: DataFrame, c: str) -> DataFrame:
@@ -24,13 +25,17 @@ def pad_and_mask(
 ) -> DataFrame:
     """Pad each batch to its longest sequence, with the attention mask.
 
-    Batches are runs of ``batch`` rows in ``order``. Only the order key and the
-    length of each row are numbered and windowed (at most ``batch`` rows per
-    window key); the sequences themselves meet the result in one join.
+    Batches are runs of ``batch`` rows in ``order``; rows alike in it, or null in
+    it, are rows like any others and come as they are stored. The rows are written
+    once, so what makes them is not run twice. Only the order key and the length
+    of each are numbered and windowed (at most ``batch`` rows per window key); the
+    sequences themselves meet the result in one join on the number of the row.
     """
-    lengths = minibatches(df.select(*order, F.size(ids).alias("_len")), order, batch, slices)
+    rows = cut(df.withColumn("_row", F.monotonically_increasing_id()))
+    keys = [*order, "_row"]
+    lengths = minibatches(rows.select(*keys, F.size(ids).alias("_len")), keys, batch, slices).drop(*order)
     longest = F.max("_len").over(Window.partitionBy("batch_id"))
-    sized = df.join(lengths.withColumn("padded_len", longest), list(order)).withColumn(
+    sized = rows.join(lengths.withColumn("padded_len", longest), "_row").withColumn(
         "_gap", F.col("padded_len") - F.col("_len")
     )
     item = df.schema[ids].dataType.elementType
@@ -41,7 +46,7 @@ def pad_and_mask(
                 F.array_repeat(F.lit(1), F.col("_len")), F.array_repeat(F.lit(0), F.col("_gap"))
             ),
         }
-    ).drop("_gap", "_len")
+    ).drop("_gap", "_len", "_row")
 
 
 def describe(df: DataFrame, sequence: str, kind: str = "words") -> DataFrame:

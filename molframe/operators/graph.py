@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from molframe.functions.hashing import hash32, seeded, unit_hash
+from molframe.functions.hashing import hash32, hash60, seeded, unit_hash
 from molframe.functions.tokens import tokenize
 from molframe.operators.joins import two_way
+from molframe.plans.lineage import cut
+from molframe.plans.ordered import Running, running, slice_by_range
 
 # What each written token means.
 ATOM = r"^(\[.*\]|Br|Cl|[BCNOSPFI]|[bcnops]|\*)$"
@@ -130,9 +132,9 @@ def mask_nodes(
 
 
 def negative_edges(atoms: DataFrame, bonds: DataFrame, k: int = 1, seed: int = 0) -> DataFrame:
-    """Edge-prediction examples: bonds (label 1) and sampled non-bonds (label 0).
+    """Edge-prediction examples: bonds (label 1) and sampled non-bonds (label 0), at most ``k`` for each bond.
 
-    Each bond proposes ``k`` hashed atom pairs of its molecule; proposals that
+    ``exact_negative_edges`` finds exactly as many. Here each bond proposes ``k`` hashed atom pairs of its molecule; proposals that
     repeat, loop or are bonds go. Linear in the bonds whatever the molecule size.
     """
     real = bonds.select("mol", F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v"))
@@ -149,6 +151,80 @@ def negative_edges(atoms: DataFrame, bonds: DataFrame, k: int = 1, seed: int = 0
     return real.withColumn("label", F.lit(1)).unionByName(proposed.withColumn("label", F.lit(0)))
 
 
+def exact_negative_edges(
+    atoms: DataFrame, bonds: DataFrame, k: int = 1, seed: int = 0, slices: int | None = None
+) -> DataFrame:
+    """Bonds (label 1) and exactly ``k`` different non-bonds for each (label 0), or all if there are fewer.
+
+    The pairs of a molecule of n atoms are numbered by distance around the ring
+    of all atoms, d, and start, u: (d - 1) * n + u. Multiplying by 2n - 1, whose
+    square leaves 1 over a multiple of the number of pairs, and adding a keyed
+    shift puts them in a keyed order that is its own inverse; atoms are turned by
+    another keyed shift first. The non-bonds are the first of that order, with
+    bonds skipped. Bonds are ranked by their own places in it, by the ordered scan;
+    how many of them stand before the end tells where that is, and every bond then
+    names k + 1 places, so a molecule of any size is dealt out bond by bond.
+
+    Bonds count once, whatever their direction; those of an atom with itself, with
+    a null end or with an atom that is not there take no part.
+    """
+    sizes = atoms.groupBy("mol").agg((F.max("pos") + 1).cast("bigint").alias("n"))
+    pairs = bonds.select("mol", F.least("src", "dst").cast("bigint").alias("u"), F.greatest("src", "dst").cast("bigint").alias("v"))
+    real = cut(pairs.filter("u < v").distinct().join(sizes, "mol").filter("u >= 0 AND v < n"))
+    real = real.join(real.groupBy("mol").agg(F.count(F.lit(1)).alias("m")), "mol")
+    order = _PairOrder(seed)
+    sliced = slice_by_range(real.withColumn("place", order.place("u", "v")), ["place"], ["mol"], slices, derived=True)
+    ranked = cut(running(sliced, rank=Running("count")))
+    before = F.count_if(F.col("place") - (F.col("rank") - 1) < k * F.col("m")).alias("before")
+    ends = ranked.groupBy("mol").agg(before).select("mol", "before")
+    first = (F.col("rank") - 1) * (k + 1)
+    named = (
+        ranked.join(ends, "mol")
+        .withColumn("place", F.explode(F.sequence(first, first + k)))
+        .filter((F.col("place") < order.pairs) & (F.col("place") < k * F.col("m") + F.col("before")))
+    )
+    drawn = named.select("mol", order.pair("place").alias("p")).select("mol", "p.u", "p.v").join(ranked, ["mol", "u", "v"], "left_anti")
+    return ranked.select("mol", "u", "v", F.lit(1).alias("label")).unionByName(drawn.withColumn("label", F.lit(0)))
+
+
+class _PairOrder:
+    """Keyed order of the atom pairs of molecules with ``n`` atoms; columns ``mol`` and ``n`` must be there."""
+
+    def __init__(self, seed: int):
+        self.n = F.col("n")
+        self.pairs = F.expr("n * (n - 1) div 2")
+        self.shift = hash60(seeded(seed, F.col("mol"), F.lit("shift"))) % self.pairs
+        self.turn = hash60(seeded(seed, F.col("mol"), F.lit("turn"))) % self.n
+
+    def _stride(self, x: Column) -> Column:
+        """(2n - 1) * x modulo the number of pairs; beyond 64 bits in decimals."""
+        wide = "decimal(19,0)"
+        product = (2 * self.n - 1).cast(wide) * x.cast(wide) % self.pairs.cast(wide)
+        return F.when(self.n < 2_000_000, (2 * self.n - 1) * x % self.pairs).otherwise(product.cast("bigint"))
+
+    def place(self, u: str, v: str) -> Column:
+        n, a, b = self.n, (F.col(u) + self.turn) % self.n, (F.col(v) + self.turn) % self.n
+        low, high = F.least(a, b), F.greatest(a, b)
+        apart = high - low
+        number = F.when(2 * apart <= n, (apart - 1) * n + low).otherwise((n - apart - 1) * n + high)
+        return (self._stride(number) + self.shift) % self.pairs
+
+    def pair(self, place: str) -> Column:
+        n = self.n
+        number = self._stride(F.pmod(F.col(place) - self.shift, self.pairs))
+        start = number % n
+        end = (start + (number - start) / n + 1).cast("bigint") % n
+        a, b = F.pmod(start - self.turn, n), F.pmod(end - self.turn, n)
+        return F.struct(F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
+
+
+def negatives_short(edges: DataFrame, k: int) -> DataFrame:
+    """Molecules of ``exact_negative_edges`` too dense for ``k`` non-bonds a bond: ``mol, n_bonds, n_negatives, short``."""
+    counts = edges.groupBy("mol").agg(F.count_if(F.col("label") == 1).alias("n_bonds"), F.count_if(F.col("label") == 0).alias("n_negatives"))
+    short = k * F.col("n_bonds") - F.col("n_negatives")
+    return counts.withColumn("short", short).filter("short > 0")
+
+
 HOW = {"mean": F.avg, "max": F.max, "sum": F.sum}
 
 

@@ -8,6 +8,8 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from molframe.plans.lineage import cut
+
 
 def attach_labels(df: DataFrame, labels: DataFrame, on: str) -> DataFrame:
     """Left join of labels on id: unknown labels stay null."""
@@ -56,16 +58,30 @@ def two_way(bonds: DataFrame) -> DataFrame:
     return bonds.select("mol", F.inline(F.array(arc("src", "dst"), arc("dst", "src"))))
 
 
-def pairs_within_2(bonds: DataFrame) -> DataFrame:
+#: Bonds of one atom that meet each other in one task.
+GRID = 1024
+
+
+def pairs_within_2(bonds: DataFrame, grid: int = GRID) -> DataFrame:
     """Node pairs at graph distance 1 or 2, each once with u < v.
 
-    The two-hop join is keyed by (molecule, middle node), so a large molecule
-    spreads over many tasks. Its output is what was asked for: about degree
-    squared halves per middle node.
+    The two-hop join is keyed by (molecule, middle node, cell). The bonds of a
+    middle node of more than ``grid`` are dealt by hash into as many blocks as it
+    has times ``grid``, and each pair of blocks is a cell of its own: a cell sees
+    about ``grid`` bonds from either side whatever the degree. Other nodes are one
+    cell. The output, about half the degree squared for each node, is what was
+    asked for.
     """
     arcs = two_way(bonds)
     one = arcs.filter("a < b").select("mol", F.col("a").alias("u"), F.col("b").alias("v"), F.lit(1).alias("distance"))
-    left = arcs.select("mol", F.col("b").alias("mid"), F.col("a").alias("u"))
-    right = arcs.select("mol", F.col("a").alias("mid"), F.col("b").alias("v"))
-    two = left.join(right, ["mol", "mid"]).filter("u < v").select("mol", "u", "v", F.lit(2).alias("distance"))
+    # At most one row for every ``grid`` bonds.
+    hubs = arcs.groupBy("mol", "a").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > grid)
+    hubs = cut(hubs.select("mol", F.col("a").alias("mid"), F.ceil(F.col("n") / grid).cast("int").alias("blocks")))
+    ends = arcs.select("mol", F.col("a").alias("mid"), F.col("b").alias("end")).join(hubs, ["mol", "mid"], "left")
+    blocks = F.coalesce("blocks", F.lit(1))
+    dealt = ends.select("mol", "mid", "end", blocks.alias("blocks"), F.pmod(F.xxhash64("end"), blocks).cast("int").alias("block"))
+    left = dealt.select("mol", "mid", F.col("end").alias("x"), F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
+    right = dealt.select("mol", "mid", F.col("end").alias("y"), F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), "block")).alias("i"))
+    met = left.join(right, ["mol", "mid", "i", "j"]).filter("x < y OR (i < j AND x <> y)")
+    two = met.select("mol", F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"), F.lit(2).alias("distance"))
     return one.unionByName(two).groupBy("mol", "u", "v").agg(F.min("distance").alias("distance"))

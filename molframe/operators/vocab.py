@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from molframe.functions.tokens import SPECIALS, UNK_ID
 from molframe.operators.joins import two_way
+from molframe.plans.lineage import cut
 from molframe.plans.ordered import row_index
 
 # What every executor can hold of a vocabulary, in entries and in bytes of text.
 HEAD = 500_000
-HEAD_BYTES = 256 << 20
+HEAD_BYTES = 64 << 20
 
 
 def build_vocab(
@@ -87,28 +92,65 @@ def node_context_vocab(
 
 
 def encode(df: DataFrame, id: str, tokens: Column, vocab: DataFrame, head: int = HEAD) -> DataFrame:
-    """Rows ``(id, input_ids)``; tokens outside the vocabulary become ``<unk>``.
-
-    Ids follow falling frequency, so ids below ``head`` are the hottest tokens
-    and at most ``head`` rows: those are broadcast, unless their text is too
-    large to hold. Only what is left of the tokens, if the vocabulary is larger,
-    is shuffled to meet the rest.
+    """Rows ``(id, input_ids)``; tokens outside the vocabulary become ``<unk>``, null tokens too.
+
+    Ids follow falling frequency, so the hottest tokens are those below ``head``.
+    They are at most ``head``, each of at most HEAD_BYTES / ``head`` bytes, and go
+    to every task, where each distinct token of an Arrow batch is looked up once:
+    rows stay where they are. Only if the vocabulary is larger do the other
+    tokens of a row, each once, meet the rest of it, and only rows that have some
+    are joined with what was found. ``vocab`` should be a written table.
     """
-    text = F.when(F.col("token_id") < head, F.octet_length("token"))
-    size = vocab.agg(F.max("token_id").alias("last"), F.sum(text).alias("bytes")).first()
-    if (size["bytes"] or 0) > HEAD_BYTES:
-        head = 0
-    # The outer form keeps sequences without tokens.
-    spread = df.select(id, F.posexplode_outer(tokens).alias("pos", "token"))
-    small = vocab.filter(F.col("token_id") < head).select("token", "token_id")
-    found = spread.join(F.broadcast(small), "token", "left")
-    if size["last"] is not None and size["last"] >= head:
-        rest = vocab.filter(F.col("token_id") >= head).select("token", F.col("token_id").alias("_rare"))
-        near = found.filter("token_id is not null")
-        far = found.filter("token_id is null").drop("token_id").join(rest, "token", "left")
-        found = near.unionByName(far.withColumnRenamed("_rare", "token_id"))
-    code = F.coalesce("token_id", F.lit(UNK_ID).cast("bigint")).alias("token_id")
-    entry = F.when(F.col("pos").isNotNull(), F.struct("pos", code))
-    # Each group is the tokens of one row, partially gathered before the shuffle.
-    ordered = F.array_sort(F.collect_list(entry))
-    return found.groupBy(id).agg(F.transform(ordered, lambda e: e["token_id"]).alias("input_ids"))
+    spark = df.sparkSession
+    near = (F.col("token_id") < head) & (F.octet_length("token") <= HEAD_BYTES // max(1, head))
+    known = spark.sparkContext.broadcast(vocab.filter(near).select("token", "token_id").toArrow())
+    rest = vocab.filter(~near).select("token", F.col("token_id").alias("code"))
+    larger = not rest.isEmpty()
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = dict(zip(known.value["token"].to_pylist(), known.value["token_id"].to_pylist()))
+        for batch in batches:
+            yield _coded(batch, ids, larger)
+
+    rows = df.select(F.col(id).alias("id"), tokens.alias("tokens"))
+    ids = T.ArrayType(T.LongType())
+    schema = T.StructType([rows.schema["id"], T.StructField("input_ids", ids), T.StructField("others", T.ArrayType(T.StringType()))])
+    found = rows.mapInArrow(coded, schema)
+    if not larger:
+        return found.select(F.col("id").alias(id), "input_ids")
+    found = cut(found.withColumn("row", F.monotonically_increasing_id()))
+    open_rows = found.filter(F.size("others") > 0)
+    asked = open_rows.select("row", F.posexplode("others").alias("k", "token")).join(rest, "token", "left")
+    code = F.coalesce("code", F.lit(UNK_ID).cast("bigint")).alias("code")
+    # Each group is the distinct rare tokens of one row.
+    codes = asked.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("k", code))).alias("codes"))
+    told = F.transform("input_ids", lambda v: F.when(v < 0, F.get("codes.code", (-v - 1).cast("int"))).otherwise(v))
+    filled = open_rows.join(codes, "row").select("id", told.alias("input_ids"))
+    whole = found.filter(F.size("others") == 0).select("id", "input_ids").unionByName(filled)
+    return whole.select(F.col("id").alias(id), "input_ids")
+
+
+def _coded(batch: pa.RecordBatch, ids: dict[str, int], larger: bool) -> pa.RecordBatch:
+    """Ids of the tokens of each row, and its distinct tokens that ``ids`` lacks; the k-th of them stands as -1 - k."""
+    lists = batch.column(1)
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+    words = lists.flatten().dictionary_encode()
+    names = words.dictionary.to_pylist()
+    absent = -1 if larger else UNK_ID
+    codes = np.array([*(ids.get(t, absent) for t in names), UNK_ID], np.int64)
+    places = words.indices.fill_null(len(names)).to_numpy()
+    found = codes[places]
+    others, counts = pa.array([], pa.string()), np.zeros(len(lengths), np.int64)
+    far = np.flatnonzero(found == -1)
+    if len(far):
+        row = np.repeat(np.arange(len(lengths)), lengths)[far]
+        pairs, at = np.unique(row * len(names) + places[far], return_inverse=True)
+        counts = np.bincount(pairs // len(names), minlength=len(lengths))
+        first = np.concatenate([[0], np.cumsum(counts)])[:-1]
+        found[far] = -1 - (at - first[row])
+        others = words.dictionary.take(pa.array(pairs % len(names)))
+
+    def listed(values: pa.Array, sizes: np.ndarray) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values)
+
+    return pa.RecordBatch.from_arrays([batch.column(0), listed(pa.array(found), lengths), listed(others, counts)], ["id", "input_ids", "others"])

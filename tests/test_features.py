@@ -60,6 +60,31 @@ def test_pad_and_mask(spark):
     assert rows[3]["attention_mask"] == [0, 0]
 
 
+def test_padding_keeps_rows_with_null_or_equal_keys(spark):
+    rows = [(None, [1]), (None, [1, 2, 3]), (1, [4]), (1, [5]), (1, [5]), (2, None)]
+    got = pad_and_mask(spark.createDataFrame(rows, "id bigint, ids array<bigint>"), "ids", ["id"], 2)
+    assert got.columns[:2] == ["id", "ids"] and sorted(str(r["ids"]) for r in got.collect()) == sorted(str(r[1]) for r in rows)
+    assert sorted(r["batch_id"] for r in got.collect()) == [0, 0, 1, 1, 2, 2]
+
+
+def test_encoding_moves_no_rows(spark):
+    df = texts(spark, "b a b c zzz", "a b d zzz zzz", "")
+    vocab = build_vocab(texts(spark, "b a b c", "a b d"), tokenize(F.col("s")))
+    plan = encode(df, "id", tokenize(F.col("s")), vocab)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+@pytest.mark.parametrize("head", [500_000, 6])
+def test_encoding_of_odd_rows(spark, head):
+    """Null rows and tokens, repeated ids, a long row whose rare tokens repeat."""
+    vocab = build_vocab(texts(spark, "b a b c", "a b d e f"), tokenize(F.col("s")))
+    ids = {r["token"]: r["token_id"] for r in vocab.collect()}
+    rows = [(1, ["a", None, "q"]), (1, ["f", "f", "a"]), (1, ["f", "f", "a"]), (None, None), (2, []), (3, ["e", "q", "f"] * 5000)]
+    df = spark.createDataFrame(rows, "id bigint, t array<string>")
+    got = encode(df, "id", F.col("t"), vocab, head).collect()
+    assert sorted((str(r["id"]), r["input_ids"]) for r in got) == sorted((str(i), [ids.get(t, UNK_ID) for t in w or []]) for i, w in rows)
+
+
 def test_masking_rates(spark):
     ids = F.transform(F.sequence(F.lit(0), F.lit(199)), lambda i: (i + 5).cast("bigint"))
     df = spark.range(200).select("id", mask_tokens(ids, F.col("id"), 30_000, seed=1).alias("m"))

@@ -2,7 +2,17 @@ import random
 
 from pyspark.sql import functions as F
 
-from molframe.operators.graph import atoms_bonds, mask_nodes, negative_edges, neighbor_agg, node_degree, nodes_by_degree, readout
+from molframe.operators.graph import (
+    atoms_bonds,
+    exact_negative_edges,
+    mask_nodes,
+    negative_edges,
+    negatives_short,
+    neighbor_agg,
+    node_degree,
+    nodes_by_degree,
+    readout,
+)
 from molframe.operators.joins import pairs_within_2
 from molframe.operators.vocab import node_context_vocab
 from tests.molecules import BOND_COUNTS, SEQUENCES, read_molecule
@@ -95,3 +105,44 @@ def test_context_vocabulary_of_a_hub(spark):
         ("<unk>", 0, 0), ("O_Fe1", 300, 1), ("Fe_O300", 1, 2),
     ]
     assert of_bonds.filter(F.col("token") == "Fe_-_O").first()["n"] == 300
+
+
+def test_exactly_as_many_negatives(spark):
+    """Random molecules, a complete one, a large sparse one, one whose atoms number more than products in 64 bits allow."""
+    rng = random.Random(6)
+    sizes, pairs = {}, {}
+    for mol in range(40):
+        sizes[mol] = rng.randint(2, 12)
+        pairs[mol] = {tuple(sorted(rng.sample(range(sizes[mol]), 2))) for _ in range(rng.randint(1, 14))}
+    sizes[50], pairs[50] = 6, {(i, j) for i in range(6) for j in range(i + 1, 6)}
+    sizes[51], pairs[51] = 400, {(i, i + 1) for i in range(399)}
+    sizes[52], pairs[52] = 3_000_000, {(i, 2_999_999 - i) for i in range(50)}
+    atoms = spark.createDataFrame([(m, n - 1, "C") for m, n in sizes.items()], "mol int, pos bigint, symbol string")
+    rows = [(m, v, u, "-") if u % 2 else (m, u, v, "-") for m, p in pairs.items() for u, v in p]
+    odd = [(0, 0, 0, "-"), (0, 0, None, "-"), (0, 0, 99, "-"), *rows[:5], (77, 0, 1, "-")]
+    bonds = spark.createDataFrame(rows + odd, "mol int, src bigint, dst bigint, kind string")
+    for k in (1, 3):
+        edges = exact_negative_edges(atoms, bonds, k, seed=5)
+        got = {}
+        for r in edges.collect():
+            got.setdefault((r["mol"], r["label"]), []).append((r["u"], r["v"]))
+        short = {r["mol"]: r["short"] for r in negatives_short(edges, k).collect()}
+        for mol, n in sizes.items():
+            real, drawn = got[mol, 1], got.get((mol, 0), [])
+            assert sorted(real) == sorted(pairs[mol]) and not set(real) & set(drawn)
+            assert all(0 <= u < v < n for u, v in drawn) and len(set(drawn)) == len(drawn)
+            assert len(drawn) == min(k * len(real), n * (n - 1) // 2 - len(real))
+            assert short.get(mol, 0) == k * len(real) - len(drawn)
+        other = {(r["mol"], r["u"], r["v"]) for r in exact_negative_edges(atoms, bonds, k, seed=6).filter("label = 0 and mol = 51").collect()}
+        assert other != {(51, *p) for p in got[51, 0]}
+
+
+def test_a_hub_is_spread_over_cells(spark):
+    """A hub of 3,000 bonds in cells of 100: no (middle node, cell) meets more than a few hundred bonds."""
+    star = [(1, 0, i, "-") for i in range(1, 3001)] + [(2, 0, 1, "-"), (2, 1, 2, "-"), (2, 2, 0, "-"), (2, 1, 2, "=")]
+    bonds = spark.createDataFrame(star, "mol int, src bigint, dst bigint, kind string")
+    found = pairs_within_2(bonds, grid=100)
+    counted = {(r["mol"], r["distance"]): r["count"] for r in found.groupBy("mol", "distance").count().collect()}
+    assert counted == {(1, 1): 3000, (1, 2): 3000 * 2999 // 2, (2, 1): 3}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(mol" in plan and "mid" in plan and ", i#" in plan
