@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from molframe.operators.clean import unpivot_tasks
 from molframe.operators.runlog import global_step
 from molframe.operators.split import hash_split
+from molframe.plans.lineage import cut
 from molframe.plans.ordered import Running, running, slice_by_range
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,18 +82,21 @@ bonds AS (
 
 
 def molecule_graphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    lines = table(spark, sf_dir, "lineitem")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus", "l_quantity", *ATOM_ORDER)
     placed = running(slice_by_range(lines, ATOM_ORDER, ["l_orderkey"]), pos=Running("count"))
-    atoms = placed.select(
-        F.col("l_orderkey").alias("mol"),
-        (F.col("pos") - 1).alias("pos"),
-        F.concat("l_returnflag", "l_linestatus").alias("symbol"),
-        F.col("l_quantity").alias("quantity"),
+    # Written once: every use of atoms or bonds would number the lines again.
+    atoms = cut(
+        placed.select(
+            F.col("l_orderkey").alias("mol"),
+            (F.col("pos") - 1).alias("pos"),
+            F.concat("l_returnflag", "l_linestatus").alias("symbol"),
+            F.col("l_quantity").alias("quantity"),
+        )
     )
     chain = atoms.filter("pos > 0").select(
         "mol", (F.col("pos") - 1).alias("src"), F.col("pos").alias("dst"), F.lit("chain").alias("kind")
     )
-    sizes = lines.groupBy(F.col("l_orderkey").alias("mol")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = atoms.groupBy("mol").agg(F.count(F.lit(1)).alias("n"))
     closing = sizes.filter("n - 1 - n div 3 >= 2").select(
         "mol", F.expr("n div 3").alias("src"), (F.col("n") - 1).alias("dst"), F.lit("ring").alias("kind")
     )
