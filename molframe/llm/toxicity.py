@@ -10,8 +10,10 @@ document's score is a logistic curve, fitted on the same documents, of the sum
 of the marginals' fourth powers and the length; tokens whose marginal passes one half are
 the offending spans.
 
-The model is fitted on a bounded sample: at most SAMPLE documents of each label,
-of at most SAMPLE_CHARS characters each. Every text is scored whole, row by row.
+The model is fitted by one task on a bounded sample: at most ``sample`` documents
+of each label, of at most ``sample_chars`` characters each; of the windows without
+a toxic token a quarter, drawn by a fixed seed, is fitted on. Every text is scored
+whole, row by row.
 
 Rows: null and empty texts have no tokens and score as the curve says for none.
 Without a document of either label in the sample every score is 0. Each input
@@ -21,6 +23,7 @@ row gives one output row. An empty table gives an empty result.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -109,17 +112,22 @@ def marginals(odds: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return both / (1 + both), ahead, back
 
 
-def _token_labels(docs: list[list[str]], toxic: np.ndarray) -> set[str]:
-    """Keys, words and their prefixes, that mark toxic tokens."""
-    places = {0: Counter(), 1: Counter()}
-    seen = set()
-    for words, label in zip(docs, toxic):
-        for before, word in zip(["", *words], words):
-            if word and (before, word, label) not in seen:
-                seen.add((before, word, label))
-                places[label][word] += 1
-                for prefix in prefixes(word) if len(word) > 3 else ():
-                    places[label][prefix] += 1
+def _token_labels(docs: list[np.ndarray], toxic: np.ndarray, words: list[str]) -> np.ndarray:
+    """Which words mark toxic tokens, by themselves or by a prefix; ``docs`` are numbers of words, 0 the empty one."""
+    size = len(words)
+    places = {}
+    for label in (0, 1):
+        own = [d for d, y in zip(docs, toxic) if y == label and len(d)]
+        # Distinct (word before, word), the empty word before the first.
+        pairs = [np.unique(np.concatenate([[0], d[:-1]]).astype(np.int64) * size + d) for d in own]
+        pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
+        by_word = np.bincount(pairs % size, minlength=size)
+        by_word[0] = 0
+        places[label] = Counter()
+        for word, n in zip(words, by_word.tolist()):
+            if n:
+                for key in (word, *prefixes(word)) if len(word) > 3 else (word,):
+                    places[label][key] += n
     ones, zeros = (sum(places[k].values()) or 1 for k in (1, 0))
     marked = set()
     for key, n in places[1].items():
@@ -128,7 +136,7 @@ def _token_labels(docs: list[list[str]], toxic: np.ndarray) -> set[str]:
         ratio = 2 * (n * math.log(n / ((n + m) * share)) + (m * math.log(m / ((n + m) * (1 - share))) if m else 0.0))
         if ratio > LEAST_RATIO and math.log((n + 0.1) / ones) - math.log((m + 0.1) / zeros) > LEAST_ODDS:
             marked.add(key)
-    return marked
+    return np.array([not marked.isdisjoint((w, *prefixes(w))) for w in words], bool)
 
 
 def fit(texts: list[str], toxic: list[int], seed: int = 0) -> Tagger | None:
@@ -136,14 +144,17 @@ def fit(texts: list[str], toxic: list[int], seed: int = 0) -> Tagger | None:
     toxic = np.asarray(toxic, int)
     if not len(toxic) or toxic.min() == toxic.max():
         return None
-    docs = [[normal(t) for t in TOKEN.findall(text or "")] for text in texts]
-    marked = _token_labels(docs, toxic)
-    numbers: dict[str, int] = {}
+    # Words are numbered as they are read, so that no text's words are held as objects.
+    numbers: dict[str, int] = {"": 0}
+    docs = [
+        np.fromiter((numbers.setdefault(normal(t[0]), len(numbers)) for t in TOKEN.finditer(text or "")), np.int32)
+        for text in texts
+    ]
+    marked = _token_labels(docs, toxic, list(numbers))
     windows, tags = [], []
     rng = np.random.default_rng(seed)
-    for words, label in zip(docs, toxic):
-        ids = np.array([numbers.setdefault(w, len(numbers)) for w in words], np.int64)
-        tag = np.array([label and not marked.isdisjoint((w, *prefixes(w))) for w in words], bool)
+    for ids, label in zip(docs, toxic):
+        tag = marked[ids] & bool(label)
         for at in range(0, len(ids), WINDOW):
             if tag[at : at + WINDOW].any() or rng.random() < 0.25:
                 windows.append(ids[at : at + WINDOW])
@@ -253,31 +264,50 @@ def _places(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, id: str, text: str, label: str) -> tuple[list[str], list[int]]:
-    """At most SAMPLE labelled texts of each label, those with the least hashes of their ids."""
+def training_sample(
+    docs: DataFrame, labels: DataFrame, id: str, text: str, label: str, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS
+) -> DataFrame:
+    """``id, label, text``: at most ``sample`` labelled texts of each label, those with the least hashes of their ids."""
     texts = docs.select(column(id).alias("id"), column(text).alias("text"))
     marks = labels.select(column(id).alias("id"), column(label).cast("int").alias("label")).filter("label IN (0, 1)")
     marks = marks.groupBy("id").agg(F.max("label").alias("label"))
-    sized = texts.select("id", F.length("text").alias("n")).filter(F.col("n") <= SAMPLE_CHARS)
+    sized = texts.select("id", F.length("text").alias("n")).filter(F.col("n") <= sample_chars)
     usable = marks.join(sized.select("id").distinct(), "id").withColumn("h", F.xxhash64("id"))
-    picked = [usable.filter(F.col("label") == k).orderBy("h", "id").limit(SAMPLE) for k in (0, 1)]
-    # At most 2 * SAMPLE rows.
+    picked = [usable.filter(F.col("label") == k).orderBy("h", "id").limit(sample) for k in (0, 1)]
+    # At most 2 * sample rows.
     chosen = F.broadcast(picked[0].unionByName(picked[1]).select("id", "label"))
-    found = texts.filter(F.length("text") <= SAMPLE_CHARS).join(chosen, "id").select("id", "label", "text")
-    rows = found.dropDuplicates(["id"]).orderBy("id").collect()
-    return [r["text"] for r in rows], [r["label"] for r in rows]
+    found = texts.filter(F.length("text") <= sample_chars).join(chosen, "id")
+    return found.groupBy("id", "label").agg(F.min("text").alias("text"))
+
+
+def fit_sample(sample: DataFrame) -> Tagger | None:
+    """The tagger of ``id, label, text``, fitted by one task; its weights alone reach the driver."""
+
+    def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = list(batches)
+        if parts:
+            rows = pd.concat(parts).sort_values("id")
+            tagger = fit(rows.pop("text").tolist(), rows["label"].tolist())
+            yield pd.DataFrame({"tagger": [pickle.dumps(tagger)]})
+
+    made = sample.repartition(1).mapInPandas(fitted, "tagger binary").collect()
+    return pickle.loads(made[0]["tagger"]) if made else None
 
 
 RESULT = "score double, spans array<struct<start:int,end:int>>"
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, id: str, text: str, label: str, trainable=None) -> DataFrame:
+def score_documents(
+    docs: DataFrame, labels: DataFrame, id: str, text: str, label: str, trainable=None,
+    sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS,
+) -> DataFrame:
     """The rows of ``docs`` with ``toxicity``: struct(score, spans).
 
-    ``trainable`` is a condition on the id column of ``labels``; rows that fail it are never fitted on.
+    ``trainable`` is a condition on the id column of ``labels``; rows that fail it are never fitted on. The fit
+    sees at most ``sample`` documents of each label, of at most ``sample_chars`` characters each.
     """
     marks = labels if trainable is None else labels.filter(trainable)
-    tagger = fit(*training_sample(docs, marks, id, text, label))
+    tagger = fit_sample(training_sample(docs, marks, id, text, label, sample, sample_chars))
 
     @F.pandas_udf(RESULT)
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
