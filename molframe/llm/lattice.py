@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from molframe.functions.arrays import let
 from molframe.llm.registry import column
+from molframe.plans.lineage import cut
 
 BLANK = "▁"
 #: The same in Java and Python. A unit is a line end, or blanks and what follows them.
@@ -69,6 +70,9 @@ def read_pieces(path: str) -> Pieces:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     ids = range(model.get_piece_size())
+    too_long = [t for t in map(model.id_to_piece, ids) if len(t) >= 1 << LENGTH_BITS]
+    if too_long:
+        raise ValueError(f"pieces of {1 << LENGTH_BITS} and more characters do not fit an edge: {too_long[:5]}")
     if len(ids) > MOST_PIECES:
         raise ValueError(f"{len(ids)} pieces are too many to broadcast")
     texts = tuple(model.id_to_piece(i) for i in ids)
@@ -289,8 +293,8 @@ def encode_units(units: DataFrame, keys: list[str], pieces: Pieces) -> DataFrame
     return lattice.select(*keys, _spelled(viterbi(F.col("edges"), pieces), pieces.first_byte).alias("ids"))
 
 
-def common_units(rows: DataFrame, pieces: Pieces) -> pa.Table:
-    """``unit, ids`` of units frequent in every ``SAMPLED``-th row, to be worked out once and not in every block.
+def common_units(rows: DataFrame, pieces: Pieces) -> DataFrame:
+    """``unit, ids``, written, of units frequent in every ``SAMPLED``-th row, to be worked out once and not in every block.
 
     Which units these are changes only the work done, not the ids. At most
     ``BUCKETS * IN_BUCKET`` units of at most ``COMMON_LENGTH`` characters, so they can be held anywhere.
@@ -301,7 +305,7 @@ def common_units(rows: DataFrame, pieces: Pieces) -> pa.Table:
     counts = units.groupBy(bucket, "unit").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     first = Window.partitionBy("bucket").orderBy(F.desc("n"), "unit")
     hot = counts.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= IN_BUCKET)
-    return encode_units(hot.select("bucket", "unit"), ["bucket", "unit"], pieces).select("unit", "ids").toArrow()
+    return cut(encode_units(hot.select("bucket", "unit"), ["bucket", "unit"], pieces).select("unit", "ids"))
 
 
 def _speller(named: tuple[str, ...], common: pa.Table):
@@ -312,11 +316,10 @@ def _speller(named: tuple[str, ...], common: pa.Table):
         sizes = pc.list_value_length(ids).to_numpy()
         return np.cumsum(sizes, dtype=np.int64), pc.list_flatten(ids).to_numpy()
 
-    known = common["unit"].to_pylist()
-    known_ends, known_ids = lists(common["ids"])
-
     def spell(docs: pa.Table, units: pa.Table) -> pa.Table:
-        number = {u: i for i, u in enumerate(known + units["unit"].to_pylist())}
+        # The common units travel as Arrow; only a task that spells makes them strings.
+        known_ends, known_ids = lists(common["ids"])
+        number = {u: i for i, u in enumerate(common["unit"].to_pylist() + units["unit"].to_pylist())}
         ends, ids = lists(units["ids"])
         offsets = np.concatenate(([0], known_ends, ends + len(known_ids)))
         flat = np.concatenate((known_ids, ids))
@@ -348,10 +351,8 @@ def encode(df: DataFrame, id: str, text: str, pieces: Pieces, blocks: int | None
     block = F.pmod("at", F.lit(count)).cast("int").alias("block")
     dealt = rows.select("doc_id", "text", block).repartition(count, "block")
     units = dealt.select("block", "doc_id", F.explode(units_of(F.col("text"))).alias("unit"))
-    if common.num_rows:
-        # Bounded by BUCKETS * IN_BUCKET.
-        listed = df.sparkSession.createDataFrame(common.select(["unit"]))
-        units = units.join(F.broadcast(listed), "unit", "left_anti")
+    # Bounded by BUCKETS * IN_BUCKET.
+    units = units.join(F.broadcast(common.select("unit")), "unit", "left_anti")
     distinct = units.groupBy("block", "unit").agg(F.min("doc_id").alias("any_doc"))
     spelled = encode_units(distinct, ["block", "any_doc", "unit"], pieces)
     encoded = spelled.select(F.col("block").alias("of_block"), "unit", "ids")
@@ -359,7 +360,7 @@ def encode(df: DataFrame, id: str, text: str, pieces: Pieces, blocks: int | None
     return (
         dealt.groupBy("block")
         .cogroup(encoded.groupBy("of_block"))
-        .applyInArrow(_speller(("doc_id",), common), f"doc_id {kind}, ids array<int>")
+        .applyInArrow(_speller(("doc_id",), common.toArrow()), f"doc_id {kind}, ids array<int>")
     )
 
 

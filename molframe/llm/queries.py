@@ -89,7 +89,8 @@ def op10_sentencepiece(spark, sf_dir):
 
     pieces = lattice.read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
     rows = lattice.encode(table(spark, sf_dir, "documents"), "doc_id", "text", pieces)
-    return rows.select("doc_id", F.size("ids").alias("n_pieces"), "ids")
+    decoded = F.md5(lattice.decode(F.col("ids"), pieces)).alias("decoded_md5")
+    return rows.select("doc_id", F.size("ids").alias("n_pieces"), "ids", decoded)
 
 
 @query("op12_exact_dedup", exactdedup.SQL)
