@@ -11,6 +11,7 @@ from molframe.catalog import (  # noqa: F401
     sources,
     splits,
     streams,
+    stumps,
     transforms,
 )
 from molframe.catalog.base import ORACLE, QUERIES  # noqa: F401

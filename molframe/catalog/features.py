@@ -11,7 +11,7 @@ from molframe.catalog.base import register, table
 from molframe.functions.arrays import joined
 from molframe.functions.hashing import hash32
 from molframe.functions.tokens import WORD_CLASSES, hashed_fp, mask_tokens, tokenize
-from molframe.operators.features import describe, descriptor_labels, featurize, pad_and_mask
+from molframe.operators.features import describe, descriptor_labels, featurize, pad_and_mask, table_function
 from molframe.operators.vocab import build_vocab, encode
 from molframe.plans.lineage import cut, spread
 
@@ -177,6 +177,28 @@ def user_featurizer(spark, sf_dir):
     )
 
 
+def letters_of_words(text: str):
+    """A user's function of one text: each word with its place and its first letter in upper case."""
+    for place, word in enumerate(text.split(" ")):
+        if word:
+            yield place, word, word[0].upper()
+
+
+@register(
+    "featurize_table",
+    r"""
+    WITH words AS (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part),
+    placed AS (SELECT p_partkey, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS place FROM words)
+    SELECT p_partkey, place, word, upper(word[1]) AS initial FROM placed WHERE word <> ''
+    """,
+)
+def table_featurizer(spark, sf_dir):
+    """A user's table function, called from SQL beside each row."""
+    table_function(spark, "letters_of_words", letters_of_words, "place bigint, word string, initial string")
+    table(spark, sf_dir, "part").select("p_partkey", "p_name").createOrReplaceTempView("named_parts")
+    return spark.sql("SELECT p_partkey, place, word, initial FROM named_parts, LATERAL letters_of_words(p_name)")
+
+
 VOCAB_SQL = f"""
 {PLACED_SQL},
 words AS (SELECT tok AS token, count(*) AS n FROM placed

@@ -218,3 +218,30 @@ def loss(spark, sf_dir):
     sides = vectors.select("label", F.get("e", F.lit(10)).alias("y"), F.get("e", F.lit(11)).alias("p"))
     found = M.cross_entropy(logits, "logits", "label", ["label"]).join(M.mse(sides, "y", "p", by=["label"]), "label")
     return found.select("label", rounded("cross_entropy").alias("cross_entropy"), rounded("mse").alias("mse"))
+
+
+def f1(y, p):
+    """A user's metric from three counts, which tasks add up before anything is shuffled."""
+    hits = F.count_if((y == 1) & (p == 1))
+    wrong = F.count_if(y != p)
+    return F.when(hits + wrong > 0, 2.0 * hits / (2 * hits + wrong))
+
+
+@register(
+    "user_metric",
+    """
+    WITH long AS (
+      SELECT lang, 'quality' AS task, quality AS y, CASE WHEN n_chars > 800 THEN 1 ELSE 0 END AS p FROM documents JOIN labels USING (doc_id)
+      UNION ALL
+      SELECT lang, 'toxic', toxic, CASE WHEN n_chars > 800 THEN 1 ELSE 0 END FROM documents JOIN labels USING (doc_id)),
+    counts AS (SELECT lang, task, count(*) FILTER (y = 1 AND p = 1) AS hits, count(*) FILTER (y <> p) AS wrong
+               FROM long WHERE y IS NOT NULL GROUP BY 1, 2),
+    scores AS (SELECT lang, CASE WHEN hits + wrong > 0 THEN 2.0::DOUBLE * hits / (2 * hits + wrong) END AS f1 FROM counts)
+    SELECT lang, round(avg(f1), 6) AS f1, count(f1) AS n_tasks FROM scores GROUP BY 1
+    """,
+)
+def user_scores(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    long = unpivot_tasks(docs.select("doc_id", "lang", "n_chars", *DOC_TASKS), ["doc_id", "lang", "n_chars"], DOC_TASKS)
+    scored = long.withColumn("p", (F.col("n_chars") > 800).cast("int"))
+    return M.user_metric(scored, "f1", f1, "y", "p", ["lang"], "task").withColumn("f1", rounded("f1"))

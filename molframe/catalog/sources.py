@@ -9,14 +9,16 @@ from molframe.plans.lineage import scratch_path
 from molframe.plans.ordered import Running, running, slice_by_range
 from molframe.sources.readers import (
     chunk_manifest,
+    labelled_schema,
     read_blocks,
+    read_checked,
     read_chunks,
     read_labelled,
     read_presplit,
     rebalance,
     rows_per_file,
 )
-from molframe.sources.shards import merged_metadata, shard_ranges, shard_sizes, with_shard
+from molframe.sources.shards import merge_shards, merged_metadata, shard_ranges, shard_sizes, with_shard
 from molframe.sources.sinks import write_blocks, write_splits
 
 
@@ -34,6 +36,60 @@ def src_csv_roundtrip(spark, sf_dir):
     return back.select("id", F.md5("text").alias("text_md5"), "n_chars")
 
 
+@register(
+    "src_csv_malformed",
+    """
+    SELECT 'good' AS lane, CAST(o_orderkey AS VARCHAR) AS id, o_totalprice AS price, 0::BIGINT AS n_rows, 0::BIGINT AS n_bad
+    FROM orders WHERE o_orderkey % 11 > 1
+    UNION ALL
+    SELECT 'bad', CAST(o_orderkey AS VARCHAR), NULL, 0, 0 FROM orders WHERE o_orderkey % 11 <= 1
+    UNION ALL
+    SELECT 'counts', NULL, NULL, count(*), count(*) FILTER (o_orderkey % 11 <= 1) FROM orders
+    """,
+)
+def src_csv_malformed(spark, sf_dir):
+    """Orders as CSV, some with a label that is no number and some with a field too many."""
+    orders = table(spark, sf_dir, "orders")
+    price = F.when(F.col("o_orderkey") % 11 == 0, "n/a").otherwise(F.col("o_totalprice").cast("string"))
+    extra = F.when(F.col("o_orderkey") % 11 == 1, ",1").otherwise("")
+    path, aside = scratch_path(spark, "malformed"), scratch_path(spark, "quarantine")
+    orders.select(F.concat(F.col("o_orderkey").cast("string"), F.lit(","), "o_orderstatus", F.lit(","), price, extra)).write.text(path)
+    schema = labelled_schema("status", ["price"], "id")
+    good, counts = read_checked(spark, path, "status", ["price"], aside, "id", schema=schema, header=False)
+    bad = spark.read.schema("record string").parquet(aside)
+    none = [F.lit(0).cast("bigint").alias(n) for n in ("n_rows", "n_bad")]
+    lanes = good.select(F.lit("good").alias("lane"), "id", "price", *none).unionByName(
+        bad.select(F.lit("bad").alias("lane"), F.split_part("record", F.lit(","), F.lit(1)).alias("id"), F.lit(None).cast("double").alias("price"), *none)
+    )
+    total = spark.range(1).select(
+        F.lit("counts").alias("lane"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("double").alias("price"),
+        *[F.lit(counts[n]).cast("bigint").alias(n) for n in ("n_rows", "n_bad")],
+    )
+    return lanes.unionByName(total)
+
+
+@register(
+    "merge_shards",
+    """
+    WITH numbered AS (SELECT vec_id % 2 AS part, (row_number() OVER (PARTITION BY vec_id % 2 ORDER BY vec_id) - 1) // 64 AS shard,
+                             vec_id, len(embedding) AS d FROM embeddings),
+    meta AS (SELECT part, shard, count(*) AS n_rows, max(d) AS d, row_number() OVER (ORDER BY part, shard) - 1 AS merged_shard FROM numbered GROUP BY 1, 2)
+    SELECT vec_id AS ids, merged_shard, n_rows, n_rows || '' AS ids_shape, n_rows || 'x' || meta.d AS x_shape, n_rows || 'x1' AS y_shape, n_rows || 'x1' AS w_shape
+    FROM numbered JOIN meta USING (part, shard)
+    """,
+)
+def merged_shards(spark, sf_dir):
+    """Two sharded halves of the vectors as one dataset of ids, X, y, w."""
+    vectors = table(spark, sf_dir, "embeddings")
+    y = F.array(F.col("label").cast("double"))
+    data = vectors.select(F.col("vec_id").alias("ids"), F.col("embedding").alias("x"), y.alias("y"), F.array(F.lit(1.0)).alias("w"))
+    halves = [with_shard(data.filter(F.col("ids") % 2 == i), ["ids"], 64) for i in (0, 1)]
+    names = ["ids", "x", "y", "w"]
+    rows, meta = merge_shards(*halves, shapes=names)
+    shapes = [F.array_join(f"{c}_shape", "x").alias(f"{c}_shape") for c in names]
+    return rows.select("ids", "merged_shard").join(meta.select("merged_shard", "n_rows", *shapes), "merged_shard")
+
+
 @register("src_multi_path", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
 def src_multi_path(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")

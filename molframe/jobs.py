@@ -31,7 +31,7 @@ from molframe.operators.transform import fit_chain
 from molframe.operators.vocab import build_vocab, node_context_vocab
 from molframe.plans.lineage import cut
 from molframe.plans.ordered import row_index
-from molframe.registry import TASKS, TRANSFORMERS, DatasetSpec, resolve
+from molframe.registry import BALANCED, TASKS, TRANSFORMERS, DatasetSpec, resolve
 from molframe.sources.readers import labelled_schema, read_library, read_spec
 from molframe.sources.sinks import append_metrics, write_blocks, write_new, write_splits, write_vocab
 
@@ -206,7 +206,8 @@ def benchmark_datasets(
     """Forests on fingerprints, one run per seed; metrics are appended to ``out``.
 
     Datasets with a registered label transformer are regressions scored by RMSE
-    in label units; the others are classifications scored by ROC-AUC. Several
+    in label units; the others are classifications scored by ROC-AUC, some with
+    their classes weighed alike (``registry.BALANCED``). Several
     tasks are averaged per run before runs are summarised.
     """
     def work(dataset: str) -> str:
@@ -219,8 +220,9 @@ def benchmark_datasets(
             long = unpivot_tasks(rows.select("id", "split", "_features", F.col(f"`{task}`")), ["id", "split", "_features"], [task])
             long = long.filter("y is not null").withColumn("w", F.lit(1.0))
             chain = None
-            if kind == "regression" and transform:
-                chain = fit_chain(TRANSFORMERS[dataset], long.filter("split = 'train'"))
+            steps = TRANSFORMERS.get(dataset) or (("balancing",) if dataset in BALANCED else ())
+            if steps and transform:
+                chain = fit_chain(steps, long.filter("split = 'train'"))
             scores, _ = run_repeated(long, kind, seeds, chain, **params)
             per_task.append(scores.withColumn("task", F.lit(task)))
         runs = reduce(DataFrame.unionByName, per_task).groupBy("split", "run").agg(F.avg("score").alias("score"))

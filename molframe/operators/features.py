@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from molframe.functions.tokens import PAD_ID, descriptors, tokenize
 from molframe.operators.clean import drop_empty_features
@@ -83,3 +84,26 @@ def featurize_rows(
             yield fn(frame)
 
     return df.select(*columns).mapInPandas(batches, schema)
+
+
+def table_function(spark: SparkSession, name: str, fn: Callable[[str], Iterator[tuple]], schema: str) -> None:
+    """Make a user's function of one text callable from SQL, as ``LATERAL name(text)``.
+
+    Each tuple it yields is a row of ``schema``. The table function states its
+    columns when the query is analyzed and refuses anything but one text; a null
+    text has no rows.
+    """
+    fields = T.StructType.fromDDL(schema)
+
+    class Rows:
+        @staticmethod
+        def analyze(*args: AnalyzeArgument) -> AnalyzeResult:
+            if len(args) != 1 or args[0].dataType != T.StringType():
+                raise ValueError(f"{name} takes one text")
+            return AnalyzeResult(fields)
+
+        def eval(self, text):
+            if text is not None:
+                yield from fn(text)
+
+    spark.udtf.register(name, F.udtf(Rows))

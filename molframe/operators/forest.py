@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from molframe.operators.metrics import rmse, roc_auc, run_summary
-from molframe.operators.transform import Chain
+from molframe.operators.transform import Chain, fit_balancing
+from molframe.plans.lineage import cut
 
 FEATURES = "_features"
 
@@ -42,31 +43,44 @@ def forest(
     bootstrap: bool = True,
     criterion: str | None = None,
     min_samples_split: int = 2,
+    weight: str | None = None,
+    feature_subset: str | None = None,
 ) -> Estimator:
     """Estimator by kind: ``classification`` or ``regression``.
 
     Spark bounds rows per child, not per split; half the split size is its
-    nearest setting. Regression considers all features at each split.
+    nearest setting. Regression considers all features at each split,
+    classification as many as Spark takes by itself, unless ``feature_subset``
+    says otherwise. ``weight`` names a column of row weights. One tree of depth 1
+    without bootstrap over all features is the decision stump of the best split.
     """
     if depth > 30:
         raise ValueError(f"a depth of {depth} is more than the 30 that Spark can do")
     common = dict(
         featuresCol=FEATURES, labelCol=label, predictionCol="y_pred", numTrees=trees, maxDepth=depth,
         minInstancesPerNode=max(1, min_samples_split // 2), bootstrap=bootstrap, seed=seed,
+        featureSubsetStrategy=feature_subset or ("auto" if kind == "classification" else "all"),
+        **({"weightCol": weight} if weight else {}),
     )
     if kind == "classification":
         return RandomForestClassifier(
             impurity=criterion or "gini", probabilityCol="_probability", rawPredictionCol="_raw", **common
         )
-    return RandomForestRegressor(impurity=criterion or "variance", featureSubsetStrategy="all", **common)
+    return RandomForestRegressor(impurity=criterion or "variance", **common)
 
 
 def fit_forest(train: DataFrame, kind: str, label: str = "y", **params) -> Model:
-    """Fit on labelled rows."""
+    """Fit on labelled rows; with a ``weight`` column, on those of positive weight."""
     known = train.filter(F.col(label).isNotNull()).withColumn(label, F.col(label).cast("double"))
+    if params.get("weight"):
+        known = known.filter(F.col(params["weight"]) > 0)
     return forest(kind, label, **params).fit(known)
 
 
+#: A forest of one tree with one exact split.
+STUMP = {"trees": 1, "depth": 1, "bootstrap": False, "feature_subset": "all"}
+
+
 def predict(model: Model, df: DataFrame, keep: Sequence[str]) -> DataFrame:
     """Predictions table: kept columns, ``y_pred`` and, for two or more classes, ``score`` of class 1."""
     out = model.transform(df)
@@ -77,12 +91,19 @@ def predict(model: Model, df: DataFrame, keep: Sequence[str]) -> DataFrame:
     return out.select(*columns)
 
 
-def fit_tasks(df: DataFrame, tasks: Sequence[str], id: str, **params) -> DataFrame:
-    """One forest per task on its labelled rows; predictions for all rows in long form."""
-    features = df.persist()
+def fit_tasks(df: DataFrame, tasks: Sequence[str], id: str, balanced: bool = False, **params) -> DataFrame:
+    """One forest per task on its labelled rows; predictions for all rows in long form.
+
+    ``balanced`` weighs the classes of each task alike, by the training rows.
+    """
+    features = cut(df)
     parts = []
     for task in tasks:
-        model = fit_forest(features.filter("split = 'train'"), "classification", task, **params)
+        train = features.filter("split = 'train'")
+        if balanced:
+            long = train.withColumns({"task": F.lit(task), "y": F.col(task), "w": F.lit(1.0)})
+            train, params["weight"] = fit_balancing(long).apply(long), "w"
+        model = fit_forest(train, "classification", task, **params)
         parts.append(
             predict(model, features, [id, "split", task])
             .withColumnRenamed(task, "y")
@@ -112,14 +133,14 @@ def run_repeated(
 ) -> tuple[DataFrame, DataFrame]:
     """One fit per seed on the train split: scores per run and split, and their summary.
 
-    ``build`` may return any Spark ML estimator for a seed instead of the forest.
+    Rows are fitted with their weight ``w``, as the chain leaves it. ``build`` may return any Spark ML estimator for a seed instead of the forest.
     """
-    data = (chain.apply(df) if chain is not None else df).persist()
+    data = cut(chain.apply(df) if chain is not None else df)
     train = data.filter("split = 'train'")
     runs = []
     for seed in seeds:
         known = train.filter("y is not null")
-        model = build(seed).fit(known) if build else fit_forest(train, kind, seed=seed, **params)
+        model = build(seed).fit(known) if build else fit_forest(train, kind, seed=seed, weight="w", **params)
         held = data.filter("split <> 'train'")
         runs.append(evaluate(model, held, kind, chain=chain).withColumn("run", F.lit(seed)))
     scores = reduce(DataFrame.unionByName, runs)

@@ -1,7 +1,7 @@
 """Label transformers on long rows ``(id, task, y, w)``: fit on train, apply, invert.
 
-Fitted statistics have one row per task (per task and class for balancing): a
-number bounded by the data set's columns, not its rows, so they are broadcast.
+Fitted statistics have one row per task, or for balancing per task and class, at
+most MOST_CLASSES: bounded whatever the rows, so they are broadcast.
 """
 
 from __future__ import annotations
@@ -12,6 +12,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Classes of all tasks together that balancing knows.
+MOST_CLASSES = 10_000
+
 
 @dataclass(frozen=True)
 class Fitted:
@@ -88,8 +91,14 @@ def fit_log(train: DataFrame) -> Fitted:
 
 
 def fit_balancing(train: DataFrame) -> Fitted:
-    """Weights that give each class of a task the same total; labels are untouched."""
+    """Weights that give each class of a task the same total; labels are untouched.
+
+    One row per class is broadcast, so labels that are no classes are refused.
+    """
     per_class = _labelled(train).groupBy("task", "y").agg(F.count(F.lit(1)).alias("_n"))
+    many = per_class.limit(MOST_CLASSES + 1).count()
+    if many > MOST_CLASSES:
+        raise ValueError(f"balancing is for classes; there are more than {MOST_CLASSES} distinct labels")
     totals = per_class.groupBy("task").agg(F.sum("_n").alias("_total"))
     stats = per_class.join(totals, "task").select("task", "y", (F.col("_total") / F.col("_n")).alias("_balance"))
     return Fitted("balancing", stats, ("task", "y"), {"w": F.coalesce("_balance", F.lit(0.0))}, {})

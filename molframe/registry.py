@@ -79,6 +79,9 @@ TRANSFORMERS = {
     "bace_regression": ("normalization",),
 }
 
+# Classifications whose classes are weighed alike.
+BALANCED = ("bace_classification", "bbbp", "hiv", "tox21")
+
 # Number of input chunks by library size.
 LIBRARY_CHUNKS = {"100m": 10, "250m": 25, "500m": 50, "1b": 100}
 

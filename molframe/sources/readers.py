@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from molframe.plans.lineage import cut
 from molframe.registry import LIBRARY_CHUNKS, DatasetSpec
 
 CSV_OPTIONS = {
@@ -48,6 +49,33 @@ def read_labelled(
     return spark.read.options(**CSV_OPTIONS, multiLine=multiline).schema(schema).csv(path)
 
 
+#: Holds the text of a row that does not fit the schema.
+CORRUPT = "_corrupt"
+
+
+def read_checked(
+    spark: SparkSession, path: str | list[str], feature: str, tasks: Sequence[str], quarantine: str,
+    id: str | None = None, multiline: bool = False, schema: T.StructType | None = None, header: bool = True,
+) -> tuple[DataFrame, dict[str, int]]:
+    """``read_labelled`` that keeps what it cannot read: good rows, and counts of all rows and of bad ones.
+
+    A row with a label that is no number, or with too few or too many fields, is
+    written to the folder ``quarantine`` with its text, file and the time of
+    reading, instead of passing as a row without label. The files are parsed once.
+    """
+    declared = schema or labelled_schema(feature, tasks, id)
+    checked = T.StructType([*declared.fields, T.StructField(CORRUPT, T.StringType())])
+    options = {**CSV_OPTIONS, "header": header, "multiLine": multiline, "columnNameOfCorruptRecord": CORRUPT}
+    rows = spark.read.options(**options).schema(checked).csv(path).withColumn("_file", F.col("_metadata.file_path"))
+    parsed = cut(rows)
+    # One column of the written table is read; ``observe`` would leave the session unfit for Spark ML.
+    counts = parsed.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col(CORRUPT).isNotNull()).alias("n_bad")).first().asDict()
+    if counts["n_bad"]:
+        bad = parsed.filter(F.col(CORRUPT).isNotNull())
+        bad.select(F.col(CORRUPT).alias("record"), F.col("_file").alias("file"), F.current_timestamp().alias("read_at")).write.mode("append").parquet(quarantine)
+    return parsed.filter(F.col(CORRUPT).isNull()).drop(CORRUPT, "_file"), counts
+
+
 def read_chunks(
     spark: SparkSession, paths: Sequence[str], schema: T.StructType, multiline: bool = False
 ) -> DataFrame:

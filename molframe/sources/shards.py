@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from molframe.plans.ordered import row_index
 
@@ -24,8 +25,27 @@ def shard_sizes(sharded: DataFrame, *by: str) -> DataFrame:
     return sharded.groupBy(*by, "shard").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-def merge_shards(*parts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Merge sharded datasets: rows with global shard numbers, and the shard table.
+def shard_shapes(sharded: DataFrame, columns: Sequence[str], *by: str) -> DataFrame:
+    """Rows per shard, and ``<column>_shape`` of each column: rows, and for arrays their length.
+
+    Tasks send one row a shard. The length is null where rows of a shard differ
+    in it, and for a null array.
+    """
+    arrays = [c for c in columns if isinstance(sharded.schema[c].dataType, T.ArrayType)]
+    ends = [f(F.coalesce(F.size(c), F.lit(-1))).alias(f"_{n}_{c}") for c in arrays for n, f in (("low", F.min), ("high", F.max))]
+    sizes = sharded.groupBy(*by, "shard").agg(F.count(F.lit(1)).alias("n_rows"), *ends)
+
+    def shape(c):
+        if c not in arrays:
+            return F.array("n_rows")
+        low, high = F.col(f"_low_{c}"), F.col(f"_high_{c}")
+        return F.array(F.col("n_rows"), F.when((low == high) & (low >= 0), low.cast("bigint")))
+
+    return sizes.select(*by, "shard", "n_rows", *[shape(c).alias(f"{c}_shape") for c in columns])
+
+
+def merge_shards(*parts: DataFrame, shapes: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Merge sharded datasets: rows with global shard numbers, and the shard table with the shapes of named columns.
 
     Each part has a local ``shard`` column. Only the shard table is ordered and
     numbered; rows stay where they are and look their number up.
@@ -33,7 +53,7 @@ def merge_shards(*parts: DataFrame) -> tuple[DataFrame, DataFrame]:
     tagged = reduce(
         DataFrame.unionByName, [p.withColumn("part", F.lit(i)) for i, p in enumerate(parts)]
     )
-    sizes = shard_sizes(tagged, "part")
+    sizes = shard_shapes(tagged, shapes, "part")
     meta = row_index(sizes, ["part", "shard"], "merged_shard", derived=True)
     rows = tagged.join(meta.select("part", "shard", "merged_shard"), ["part", "shard"])
     return rows, meta

@@ -4,10 +4,11 @@ from collections import Counter
 
 import pandas as pd
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from molframe.functions.tokens import IGNORED, MASK_ID, SPECIALS, UNK_ID, descriptors, hashed_fp, mask_tokens, tokenize
-from molframe.operators.features import describe, descriptor_labels, dummy, featurize, featurize_rows, pad_and_mask
+from molframe.operators.features import describe, descriptor_labels, dummy, featurize, featurize_rows, pad_and_mask, table_function
 from molframe.operators.vocab import build_vocab, encode
 
 
@@ -142,3 +143,15 @@ def test_user_function_may_return_many_rows(spark):
 
     out = featurize_rows(texts(spark, "CO", "", "N"), letters, ["id", "s"], "id bigint, letter string")
     assert sorted(map(tuple, out.collect())) == [(0, "C"), (0, "O"), (2, "N")]
+
+
+def test_table_functions_state_their_columns_and_refuse_other_types(spark):
+    def halves(text):
+        yield text[: len(text) // 2], len(text)
+
+    table_function(spark, "halves", halves, "half string, n int")
+    texts(spark, "abcd", "").union(spark.createDataFrame([(9, None)], "id bigint, s string")).createOrReplaceTempView("halved")
+    got = spark.sql("SELECT id, half, n FROM halved, LATERAL halves(s)")
+    assert got.schema.simpleString().endswith("half:string,n:int>") and sorted(map(tuple, got.collect())) == [(0, "ab", 4), (1, "", 0)]
+    with pytest.raises(AnalysisException, match="halves takes one text"):
+        spark.sql("SELECT * FROM halved, LATERAL halves(id)").collect()

@@ -4,9 +4,9 @@ import pytest
 from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
 
-from molframe.operators.forest import bit_features, dense_features, evaluate, fit_forest, fit_tasks, load, predict, run_repeated, save
+from molframe.operators.forest import STUMP, bit_features, dense_features, evaluate, fit_forest, fit_tasks, load, predict, run_repeated, save
 from molframe.operators.metrics import accuracy
-from molframe.operators.transform import fit_chain
+from molframe.operators.transform import fit_balancing, fit_chain
 
 SMALL = {"trees": 8, "depth": 4}
 
@@ -61,3 +61,24 @@ def test_bits_become_sparse_vectors(spark):
     df = bit_features(spark.createDataFrame([([1, 5],), ([],)], "bits array<int>"), "bits", 8)
     vectors = [r["_features"] for r in df.collect()]
     assert list(vectors[0].indices) == [1, 5] and vectors[0].size == 8 and vectors[1].numNonzeros() == 0
+
+
+def test_weights_decide_and_stumps_take_the_best_split(spark):
+    data = [(i, "train", [float(i % 2), float(i < 30)], float(i < 30 and i % 10 != 0)) for i in range(100)]
+    rows = dense_features(spark.createDataFrame(data, "id int, split string, x array<double>, t double"), "x")
+    plain = fit_tasks(rows, ["t"], "id", **STUMP)
+    assert plain.filter("y_pred = 1").count() == 30
+    # Class 1 is rare; weighed alike, both classes have half of all weight.
+    rare = rows.withColumn("t", F.when(F.col("id") < 30, (F.col("id") < 9).cast("double")).otherwise(0.0))
+    assert fit_tasks(rare, ["t"], "id", **STUMP).filter("y_pred = 1").count() == 0
+    assert fit_tasks(rare, ["t"], "id", balanced=True, **STUMP).filter("y_pred = 1").count() == 30
+    none = fit_forest(rows.withColumn("w", F.when(F.col("id") < 30, 1.0).otherwise(0.0)), "classification", "t", weight="w", **STUMP)
+    assert predict(none, rows, ["id"]).select("y_pred").distinct().count() == 1
+
+
+def test_balancing_refuses_labels_that_are_no_classes(spark, monkeypatch):
+    monkeypatch.setattr("molframe.operators.transform.MOST_CLASSES", 3)
+    rows = spark.createDataFrame([("a", float(i), 1.0) for i in range(4)], "task string, y double, w double")
+    with pytest.raises(ValueError, match="balancing"):
+        fit_balancing(rows)
+    fit_balancing(rows.filter("y < 3"))

@@ -227,3 +227,26 @@ def test_partitioning_helpers(spark):
     assert spread(wide, "id") is wide
     assert rebalance(wide, 3).rdd.getNumPartitions() == 3
     assert rebalance(wide).count() == 10
+
+
+def test_malformed_rows_are_set_aside_and_counted(spark, tmp_path):
+    from molframe.sources.readers import read_checked
+
+    (tmp_path / "a.csv").write_text('id,s,y\n1,C,0.5\n2,"C,N",n/a\n3,CC\n4,O,1,9\n5,N,\n6,"a ""b""",2\n')
+    good, counts = read_checked(spark, str(tmp_path / "a.csv"), "s", ["y"], str(tmp_path / "bad"), "id")
+    assert sorted(map(tuple, good.collect()), key=str) == [("1", "C", 0.5), ("5", "N", None), ("6", 'a "b"', 2.0)]
+    assert good.columns == ["id", "s", "y"] and counts == {"n_rows": 6, "n_bad": 3}
+    aside = spark.read.parquet(str(tmp_path / "bad")).collect()
+    assert {r["record"] for r in aside} == {'2,"C,N",n/a', "3,CC", "4,O,1,9"} and all(r["file"].endswith("a.csv") for r in aside)
+
+
+def test_shapes_of_merged_shards(spark):
+    from molframe.sources.shards import merge_shards
+
+    kind = "ids int, x array<float>, y array<double>, shard bigint"
+    a = spark.createDataFrame([(1, [1.0, 2.0], [0.0], 0), (2, [3.0, 4.0], [1.0], 0), (3, [5.0, 6.0], None, 1)], kind)
+    b = spark.createDataFrame([(4, [1.0], [0.0], 0), (5, [1.0, 2.0], [0.0], 0)], kind)
+    rows, meta = merge_shards(a, b, shapes=["ids", "x", "y"])
+    got = [(r["merged_shard"], r["n_rows"], r["ids_shape"], r["x_shape"], r["y_shape"]) for r in meta.orderBy("merged_shard").collect()]
+    assert got == [(0, 2, [2], [2, 2], [2, 1]), (1, 1, [1], [1, 2], [1, None]), (2, 2, [2], [2, None], [2, 1])]
+    assert {r["ids"]: r["merged_shard"] for r in rows.collect()} == {1: 0, 2: 0, 3: 1, 4: 2, 5: 2}
