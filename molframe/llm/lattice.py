@@ -22,11 +22,13 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -308,7 +310,29 @@ def common_units(rows: DataFrame, pieces: Pieces) -> DataFrame:
     return cut(encode_units(hot.select("bucket", "unit"), ["bucket", "unit"], pieces).select("unit", "ids"))
 
 
-def _speller(named: tuple[str, ...], common: pa.Table):
+def _units_in(text: str | None, pattern: re.Pattern) -> list[str]:
+    return pattern.findall(BLANK + text.replace(" ", BLANK)) if text else []
+
+
+def _rare(common: Broadcast):
+    """Distinct units of each block in a partition, without the common ones."""
+    pattern = re.compile(UNIT)
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, set[str]] = {}
+        for batch in batches:
+            for block, text in zip(batch.column("block").to_pylist(), batch.column("text").to_pylist()):
+                found.setdefault(block, set()).update(_units_in(text, pattern))
+        if found:
+            known = common.value["unit"].to_pylist()
+            for block, units in found.items():
+                units.difference_update(known)
+                yield from pa.table({"block": pa.array([block] * len(units), pa.int32()), "unit": pa.array(units, pa.string())}).to_batches(50_000)
+
+    return rare
+
+
+def _speller(named: tuple[str, ...], common: Broadcast):
     pattern = re.compile(UNIT)
 
     def lists(ids: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -317,15 +341,14 @@ def _speller(named: tuple[str, ...], common: pa.Table):
         return np.cumsum(sizes, dtype=np.int64), pc.list_flatten(ids).to_numpy()
 
     def spell(docs: pa.Table, units: pa.Table) -> pa.Table:
-        # The common units travel as Arrow; only a task that spells makes them strings.
-        known_ends, known_ids = lists(common["ids"])
-        number = {u: i for i, u in enumerate(common["unit"].to_pylist() + units["unit"].to_pylist())}
+        known_ends, known_ids = lists(common.value["ids"])
+        number = {u: i for i, u in enumerate(common.value["unit"].to_pylist() + units["unit"].to_pylist())}
         ends, ids = lists(units["ids"])
         offsets = np.concatenate(([0], known_ends, ends + len(known_ids)))
         flat = np.concatenate((known_ids, ids))
         made, sizes = [], []
         for text in docs["text"].to_pylist():
-            found = pattern.findall(BLANK + text.replace(" ", BLANK)) if text else []
+            found = _units_in(text, pattern)
             which = np.fromiter(map(number.__getitem__, found), np.int64, len(found))
             starts, counts = offsets[which], offsets[which + 1] - offsets[which]
             ends = np.cumsum(counts)
@@ -346,21 +369,19 @@ def encode(df: DataFrame, id: str, text: str, pieces: Pieces, blocks: int | None
     """``doc_id, ids`` of each row."""
     count = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(column(id).alias("doc_id"), column(text).alias("text"), F.monotonically_increasing_id().alias("at"))
-    common = common_units(rows, pieces)
-    # Both uses below read the same columns of this exchange, so Spark runs it once: ``any_doc`` keeps doc_id in the second.
+    # Bounded by BUCKETS * IN_BUCKET; sent to the executors once, as Arrow.
+    common = df.sparkSession.sparkContext.broadcast(common_units(rows, pieces).toArrow())
+    # Both uses below read all columns of this exchange, so Spark runs it once.
     block = F.pmod("at", F.lit(count)).cast("int").alias("block")
     dealt = rows.select("doc_id", "text", block).repartition(count, "block")
-    units = dealt.select("block", "doc_id", F.explode(units_of(F.col("text"))).alias("unit"))
-    # Bounded by BUCKETS * IN_BUCKET.
-    units = units.join(F.broadcast(common.select("unit")), "unit", "left_anti")
-    distinct = units.groupBy("block", "unit").agg(F.min("doc_id").alias("any_doc"))
-    spelled = encode_units(distinct, ["block", "any_doc", "unit"], pieces)
+    distinct = dealt.mapInArrow(_rare(common), "block int, unit string")
+    spelled = encode_units(distinct, ["block", "unit"], pieces)
     encoded = spelled.select(F.col("block").alias("of_block"), "unit", "ids")
     kind = dealt.schema["doc_id"].dataType.simpleString()
     return (
         dealt.groupBy("block")
         .cogroup(encoded.groupBy("of_block"))
-        .applyInArrow(_speller(("doc_id",), common.toArrow()), f"doc_id {kind}, ids array<int>")
+        .applyInArrow(_speller(("doc_id",), common), f"doc_id {kind}, ids array<int>")
     )
 
 
