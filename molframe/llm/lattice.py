@@ -46,6 +46,8 @@ WINDOW, FOLD = 128, 512
 UNKNOWN_PENALTY = 10.0
 #: Units worked out once: from one row in ``SAMPLED``, at most so many in each of so many buckets, of so many characters.
 SAMPLED, BUCKETS, IN_BUCKET, COMMON_LENGTH = 8, 512, 1024, 64
+#: Units a task makes strings of, or sends, at once.
+AT_ONCE = 50_000
 
 
 @dataclass(frozen=True)
@@ -324,10 +326,14 @@ def _rare(common: Broadcast):
             for block, text in zip(batch.column("block").to_pylist(), batch.column("text").to_pylist()):
                 found.setdefault(block, set()).update(_units_in(text, pattern))
         if found:
-            known = common.value["unit"].to_pylist()
-            for block, units in found.items():
-                units.difference_update(known)
-                yield from pa.table({"block": pa.array([block] * len(units), pa.int32()), "unit": pa.array(units, pa.string())}).to_batches(50_000)
+            # A part at a time, so that few of them are strings at once.
+            for part in common.value.select(["unit"]).to_batches(AT_ONCE):
+                known = part.column(0).to_pylist()
+                for units in found.values():
+                    units.difference_update(known)
+            while found:
+                block, units = found.popitem()
+                yield from pa.table({"block": pa.array([block] * len(units), pa.int32()), "unit": pa.array(units, pa.string())}).to_batches(AT_ONCE)
 
     return rare
 
@@ -347,7 +353,7 @@ def _speller(named: tuple[str, ...], common: Broadcast):
         offsets = np.concatenate(([0], known_ends, ends + len(known_ids)))
         flat = np.concatenate((known_ids, ids))
         made, sizes = [], []
-        for text in docs["text"].to_pylist():
+        for text in (t for part in docs.select(["text"]).to_batches(512) for t in part.column(0).to_pylist()):
             found = _units_in(text, pattern)
             which = np.fromiter(map(number.__getitem__, found), np.int64, len(found))
             starts, counts = offsets[which], offsets[which + 1] - offsets[which]
