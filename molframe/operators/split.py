@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from molframe.functions.hashing import hash60, seeded, unit_hash
 from molframe.operators.scaffold import element, plain_kind, two_core
 from molframe.plans.lineage import cut
-from molframe.plans.ordered import indexed, row_index, slice_by_range
+from molframe.plans.ordered import Running, indexed, row_index, running, slice_by_range
 
 
 def group_split(
@@ -36,60 +37,77 @@ def group_assignment(
 ) -> DataFrame:
     """Split of each group, from one row ``(key, n)`` per group.
 
-    The greedy fill depends on sizes only, and all groups of one size form a
-    train prefix, a valid prefix and a test rest. Distinct sizes number at most
-    sqrt(2 * rows), so they are the only thing the driver sees. Groups are
-    ranked only inside sizes that mix splits.
+    The greedy fill walks the groups by (size descending, key) and changes its
+    mind only where one stops fitting or a smaller one fits again: at most some
+    dozens of times, since what is left of a share halves each time. The driver
+    sees those turning points alone. Groups are ranked only inside the sizes
+    that a turning point cuts.
     """
     groups = cut(groups)
-    sizes = groups.groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect()
-    plan = fill([(r["n"], r["k"]) for r in sizes], fractions)
-    spark = groups.sparkSession
-    table = F.broadcast(
-        spark.createDataFrame(plan, "n bigint, k bigint, n_train bigint, n_valid bigint, first bigint")
-    )
-    planned = groups.join(table, "n")
-    pure = (F.col("n_train") == F.col("k")) | (F.col("n_valid") == F.col("k")) | (
-        (F.col("n_train") == 0) & (F.col("n_valid") == 0)
-    )
-    whole = planned.filter(pure).withColumn(
-        "split", F.when(F.col("n_train") > 0, "train").when(F.col("n_valid") > 0, "valid").otherwise("test")
-    )
-    columns = [key, "n", "split"]
-    if all(t == k or v == k or (t == 0 and v == 0) for _, k, t, v, _ in plan):
-        return whole.select(*columns)
-    mixed = planned.filter(~pure).withColumn("_larger", -F.col("n"))
-    ranked = row_index(mixed, ["_larger", key], "_rank", slices, derived=True)
-    place = F.col("_rank") - F.col("first")
-    parted = ranked.withColumn(
-        "split",
-        F.when(place < F.col("n_train"), "train")
-        .when(place < F.col("n_train") + F.col("n_valid"), "valid")
-        .otherwise("test"),
-    )
-    return whole.select(*columns).unionByName(parted.select(*columns))
-
-
-def fill(sizes: Sequence[tuple[int, int]], fractions: tuple[int, int, int]) -> list[tuple[int, int, int, int, int]]:
-    """Greedy fill over (size, groups of that size): (size, groups, to train, to valid, rank offset).
-
-    The offset counts groups in larger sizes that also need ranking.
-    """
-    rows = sum(n * k for n, k in sizes)
+    turns = fill_turns(groups, fractions, slices)
+    torn = sorted({t.size for t in turns if t.before})
+    place = F.lit(0).cast("bigint")
+    if torn:
+        inside = groups.filter(F.col("n").isin(torn))
+        ranked = running(slice_by_range(inside, [key], ["n"], slices), _place=Running("count"))
+        whole = groups.filter(~F.col("n").isin(torn)).withColumn("_place", F.lit(1).cast("bigint"))
+        groups = whole.unionByName(ranked)
+        place = F.col("_place") - 1
+    split = F.lit(None).cast("string")
+    for t in turns:
+        reached = (F.col("n") < t.size) | ((F.col("n") == t.size) & (place >= t.before))
+        split = F.when(reached, t.split).otherwise(split)
+    return groups.select(key, "n", split.alias("split"))
+
+
+@dataclass(frozen=True)
+class Turn:
+    """From group number ``before`` of this size on (and in smaller sizes), groups go to ``split``."""
+
+    size: int
+    before: int
+    split: str
+
+
+def fill_turns(groups: DataFrame, fractions: tuple[int, int, int], slices: int | None = None) -> list[Turn]:
+    """Turning points of the greedy fill, each found by one aggregate over running sums of sizes."""
+    sizes = groups.groupBy("n").agg(F.count(F.lit(1)).alias("k"))
+    sizes = sizes.withColumns({"_larger": -F.col("n"), "rows": F.col("n") * F.col("k")})
+    summed = cut(running(slice_by_range(sizes, ["_larger"], (), slices, derived=True), upto=Running("sum", F.col("rows"))))
+    top, rows = summed.agg(F.max("n"), F.max("upto")).first()
+    if top is None:
+        return []
     whole = sum(fractions)
-    train_cap = rows * fractions[0] // whole
-    valid_cap = rows * (fractions[0] + fractions[1]) // whole
-    train = valid = ranked = 0
-    plan = []
-    for n, k in sorted(sizes, reverse=True):
-        a = min(k, max(0, train_cap - train) // n)
-        train += a * n
-        b = min(k - a, max(0, valid_cap - train - valid) // n)
-        valid += b * n
-        plan.append((n, k, a, b, ranked))
-        if not (a == k or b == k or (a == 0 and b == 0)):
-            ranked += k
-    return plan
+    train = rows * fractions[0] // whole
+    valid = rows * (fractions[0] + fractions[1]) // whole
+    turns: list[Turn] = []
+    # The next group is number ``before`` of size ``n``; ``done`` rows lie in front of it.
+    n, before, done = top, 0, 0
+    while True:
+        ends = F.col("upto")
+        if n <= train:
+            split, changes = "train", ends > done + train
+        elif n <= valid:
+            split, changes = "valid", (ends > done + valid) | ((F.col("n") <= train) & (F.col("n") < n))
+        else:
+            split, changes = "test", F.col("n") <= max(train, valid)
+        turns.append(Turn(n, before, split))
+        found = summed.filter((F.col("n") <= n) & changes).agg(F.max_by(F.struct("n", "rows", "upto"), "n")).first()[0]
+        if found is None:
+            return turns
+        start = found["upto"] - found["rows"]
+        if split == "train":
+            before = (done + train - start) // found["n"]
+        elif split == "valid" and found["n"] > train:
+            before = (done + valid - start) // found["n"]
+        else:
+            before = 0
+        n, reached = found["n"], start + before * found["n"]
+        if split != "test":
+            # Both shares are counted from the first row: train leaves less for valid too.
+            valid -= reached - done
+            train -= reached - done if split == "train" else 0
+        done = reached
 
 
 def hash_split(

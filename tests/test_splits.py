@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from molframe.operators.split import (
     audit_split,
     contiguous_parts,
-    fill,
+    fill_turns,
     graph_key,
+    group_assignment,
     group_split,
     hash_split,
     minibatches,
@@ -64,15 +65,28 @@ def test_group_split_fixture_and_null_key(spark):
     assert len(out) == 3 and all(r["split"] for r in out)
 
 
-def test_fill_agrees_with_walk_in_random_trials():
+def test_fill_agrees_with_walk_in_random_trials(spark):
     rng = random.Random(5)
-    for _ in range(300):
-        sizes = {f"{i:04d}": rng.choice([1, 1, 1, 2, 3, 5, 8, 30]) for i in range(rng.randint(1, 60))}
-        want = Counter((sizes[k], s) for k, s in greedy(sizes).items())
-        got = Counter()
-        for n, k, a, b, _ in fill(list(Counter(sizes.values()).items()), (8, 1, 1)):
-            got.update({(n, "train"): a, (n, "valid"): b, (n, "test"): k - a - b})
-        assert +got == want
+    choices = [[1, 1, 1, 2, 3, 5, 8, 30], [1, 7, 64, 65, 130, 1000], [3, 4], list(range(1, 60))]
+    for trial in range(4):
+        sizes = {f"{i:04d}": rng.choice(choices[trial]) for i in range(rng.randint(1, 90))}
+        groups = spark.createDataFrame(list(sizes.items()), "key string, n bigint")
+        got = group_assignment(groups, "key", slices=rng.choice([1, 3, 8]))
+        assert {r["key"]: r["split"] for r in got.collect()} == greedy(sizes)
+
+
+def test_fill_keeps_no_table_of_sizes(spark):
+    """The turning points are few although every group has a size of its own, and no size is joined back."""
+    groups = spark.range(1, 3001).select(F.col("id").cast("string").alias("key"), F.col("id").alias("n"))
+    assert len(fill_turns(groups, (8, 1, 1))) < 40
+    got = group_assignment(groups, "key")
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().toString()
+    want = greedy({f"{n:04d}": n for n in range(1, 3001)})
+    assert {r["n"]: r["split"] for r in got.collect()} == {int(k): v for k, v in want.items()}
+
+
+def test_fill_of_no_groups(spark):
+    assert group_assignment(spark.createDataFrame([], "key string, n bigint"), "key").collect() == []
 
 
 def test_hash_split_is_stable_and_near_80_10_10(spark):
