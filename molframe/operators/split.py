@@ -69,40 +69,66 @@ class Turn:
     split: str
 
 
-def fill_turns(groups: DataFrame, fractions: tuple[int, int, int], slices: int | None = None) -> list[Turn]:
-    """Turning points of the greedy fill, each found by one aggregate over running sums of sizes."""
-    sizes = groups.groupBy("n").agg(F.count(F.lit(1)).alias("k"))
-    sizes = sizes.withColumns({"_larger": -F.col("n"), "rows": F.col("n") * F.col("k")})
-    summed = cut(running(slice_by_range(sizes, ["_larger"], (), slices, derived=True), upto=Running("sum", F.col("rows"))))
-    top, rows = summed.agg(F.max("n"), F.max("upto")).first()
-    if top is None:
+#: Distinct sizes up to this one are walked at the driver: there cannot be more of them.
+SMALL_SIZES = 1024
+
+
+def fill_turns(
+    groups: DataFrame, fractions: tuple[int, int, int], slices: int | None = None, small: int = SMALL_SIZES
+) -> list[Turn]:
+    """Turning points of the greedy fill.
+
+    Among sizes above ``small`` each is found by one aggregate over running sums
+    of the sizes; the others are at most ``small`` rows.
+    """
+    sizes = groups.groupBy("n").agg(F.count(F.lit(1)).alias("k")).withColumn("rows", F.col("n") * F.col("k"))
+    known = (
+        sizes.groupBy(F.least("n", F.lit(small + 1)).alias("class"))
+        .agg(F.sum("rows").alias("rows"), F.max("n").alias("n"))
+        .sort(F.desc("class"))
+        .collect()
+    )
+    if not known:
         return []
+    upto, walked, summed = 0, [], None
+    for r in known:
+        upto += r["rows"]
+        if r["class"] <= small:
+            walked.append((r["n"], r["rows"], upto))
+    if len(walked) < len(known):
+        large = sizes.filter(F.col("n") > small).withColumn("_larger", -F.col("n"))
+        summed = cut(running(slice_by_range(large, ["_larger"], (), slices), upto=Running("sum", F.col("rows"))))
+
+    def first(size: int, changes) -> tuple[int, int, int] | None:
+        """The largest size from ``size`` down at which ``changes(size, upto)`` holds, with its rows and their running sum."""
+        if summed is not None and size > small:
+            here = (F.col("n") <= size) & changes(F.col("n"), F.col("upto"))
+            found = summed.filter(here).agg(F.max_by(F.struct("n", "rows", "upto"), "n")).first()[0]
+            if found is not None:
+                return tuple(found)
+        return next((w for w in walked if w[0] <= size and changes(w[0], w[2])), None)
+
     whole = sum(fractions)
-    train = rows * fractions[0] // whole
-    valid = rows * (fractions[0] + fractions[1]) // whole
+    train = upto * fractions[0] // whole
+    valid = upto * (fractions[0] + fractions[1]) // whole
     turns: list[Turn] = []
     # The next group is number ``before`` of size ``n``; ``done`` rows lie in front of it.
-    n, before, done = top, 0, 0
+    n, before, done = known[0]["n"], 0, 0
     while True:
-        ends = F.col("upto")
         if n <= train:
-            split, changes = "train", ends > done + train
+            split, found = "train", first(n, lambda size, end: end > done + train)
         elif n <= valid:
-            split, changes = "valid", (ends > done + valid) | ((F.col("n") <= train) & (F.col("n") < n))
+            split = "valid"
+            found = first(n, lambda size, end: (end > done + valid) | ((size <= train) & (size < n)))
         else:
-            split, changes = "test", F.col("n") <= max(train, valid)
+            split, found = "test", first(n, lambda size, end: size <= max(train, valid))
         turns.append(Turn(n, before, split))
-        found = summed.filter((F.col("n") <= n) & changes).agg(F.max_by(F.struct("n", "rows", "upto"), "n")).first()[0]
         if found is None:
             return turns
-        start = found["upto"] - found["rows"]
-        if split == "train":
-            before = (done + train - start) // found["n"]
-        elif split == "valid" and found["n"] > train:
-            before = (done + valid - start) // found["n"]
-        else:
-            before = 0
-        n, reached = found["n"], start + before * found["n"]
+        size, rows, end = found
+        left = train if split == "train" else valid if split == "valid" and size > train else 0
+        before = (done + left - (end - rows)) // size if left else 0
+        n, reached = size, end - rows + before * size
         if split != "test":
             # Both shares are counted from the first row: train leaves less for valid too.
             valid -= reached - done

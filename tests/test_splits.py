@@ -71,8 +71,11 @@ def test_fill_agrees_with_walk_in_random_trials(spark):
     for trial in range(4):
         sizes = {f"{i:04d}": rng.choice(choices[trial]) for i in range(rng.randint(1, 90))}
         groups = spark.createDataFrame(list(sizes.items()), "key string, n bigint")
-        got = group_assignment(groups, "key", slices=rng.choice([1, 3, 8]))
+        got = group_assignment(groups, "key", slices=3)
         assert {r["key"]: r["split"] for r in got.collect()} == greedy(sizes)
+        # The same turning points wherever the driver takes over.
+        every = [fill_turns(groups, (8, 1, 1), 3, small) for small in (0, 6, 1024)]
+        assert every[0] == every[1] == every[2]
 
 
 def test_fill_keeps_no_table_of_sizes(spark):
