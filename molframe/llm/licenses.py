@@ -4,10 +4,12 @@ A text's words are lower-cased and joined by blanks; rules are regular
 expressions over that string. A rule is tried only where the text holds its
 keywords, of which each of its matches has one. Detections are sorted
 by place; one that lies inside another of the same or a better level is
-suppressed. Only built-in functions are used and no row is shuffled.
+suppressed; those that overlap in part both stay. Only built-in functions are used and no row is shuffled.
 
 Rows: a null text is empty: no words, no places, score 0, empty labels. Each
-input row gives one output row. An empty table gives an empty result.
+input row gives one output row, repeated ids and texts too. An empty table gives
+an empty result. A text of any length is scanned whole. Of equal detections the
+first rule's counts once. Other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -83,7 +85,41 @@ FAMILIES = (
 COMMONS = ("", " nc", " nd", " sa", " nc nd", " nc sa")
 COMMONS_WORDS = {"nc": "non ?commercial", "nd": "no ?deriv(?:ative)?s?(?: works)?", "sa": "share ?alike"}
 
-#: Level: 0 a grant, 1 a name with version or identifier, 2 a name, 3 a hint. Better levels suppress what lies inside.
+# Passages of license texts that name no license: label, keyword (a word of every match), pattern.
+PASSAGES = (
+    ("mit", "hereby", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "substantial", "shall be included in all copies or substantial portions of the software"),
+    ("ncsa", "hereby", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal with the software without restriction"),
+    ("boost", "hereby", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("ofl", "hereby", "permission is hereby granted free of charge to any person obtaining a copy of the font software"),
+    ("isc", "hereby", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted"),
+    ("postgresql", "hereby", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("hpnd", "hereby", "permission to use copy modify and distribute this software and its documentation for any purpose (?:and )?without fee is hereby granted"),
+    ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd-3-clause", "contributors", "nor the names of (?:its|their) contributors may be used to endorse or promote products"),
+    ("bsd-4-clause", "advertising", "all advertising materials mentioning features or use of this software must display"),
+    ("apache", "compliance", "you may not use this file except in compliance with the license"),
+    ("apache-2.0", "apache", "www apache org licenses license 2 0"),
+    ("apache-1.1", "apache", "this product includes software developed by the apache (?:software foundation|group)"),
+    ("mpl-2.0", "mozilla", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-1.1", "mozilla", "the contents of this file are subject to the mozilla public license version 1 1"),
+    ("zlib", "misrepresented", "the origin of this software must not be misrepresented"),
+    ("zlib", "authors", "in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
+    ("cc0", "waived", "has waived all copyright and related or neighbou?ring rights"),
+    ("wtfpl", "fuck", "do what the fuck you want to(?: public license)?"),
+    ("artistic", "package", "the intent of this document is to state the conditions under which a package may be copied"),
+    ("openssl", "openssl", "this product includes software developed by the openssl project"),
+    ("epl", "eclipse", "this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("gfdl", "documentation", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("proprietary", "proprietary", "(?:confidential and proprietary|proprietary and confidential)"),
+)
+#: Versions of the general public licenses as their notices name them.
+NOTICES = (("gpl", "", ("1", "2", "3")), ("lgpl", "lesser ", ("2 1", "3")), ("lgpl", "library ", ("2",)), ("agpl", "affero ", ("3",)))
+#: Names that are common words: before "license" they are a hint only.
+COMMON_WORDS = {"ruby", "elastic", "vim", "php"}
+
+#: Level: 0 a grant or a passage of a license, 1 a name with version or identifier, 2 a name, 3 a hint. Better levels suppress what lies inside.
 SCORES = (1.0, 0.9, 0.6, 0.3)
 
 
@@ -98,12 +134,26 @@ def rules() -> list[dict]:
     for label, keywords, name, versions in FAMILIES:
         named = rf"{name} licen[cs]es?"
         add(label, keywords, 0, rf"{grant}{named}")
-        add(label, keywords, 0, rf"spdx license identifier {name}")
-        add(label, keywords, 2, named)
-        add(label, keywords, 2, rf"licen[cs]ed? {name}")
+        add(label, ("spdx",), 0, rf"spdx license identifier {name}")
+        hint = 3 if label in COMMON_WORDS else 2
+        add(label, keywords, hint, named)
+        add(label, keywords, hint, rf"licen[cs]ed? {name}")
         for version in versions:
             add(f"{label}-{version.replace(' ', '.')}", keywords, 0, rf"{grant}{name}(?: licen[cs]e)?(?: version| v)? v?{version}")
             add(f"{label}-{version.replace(' ', '.')}", keywords, 1, rf"{name}(?: licen[cs]e)?(?: version| v)? v?{version}")
+            # The longer identifier suppresses the shorter ones it begins with.
+            add(f"{label}-{version.replace(' ', '.')}", ("spdx",), 0, rf"spdx license identifier {name} {version}(?: only)?")
+            add(f"{label}-{version.replace(' ', '.')}-or-later", ("spdx",), 0, rf"spdx license identifier {name} {version} or later")
+    for label, keyword, passage in PASSAGES:
+        add(label, (keyword,), 0, passage)
+    for label, kind, versions in NOTICES:
+        for version in versions:
+            notice = rf"gnu {kind}general public license as published by the free software foundation (?:either )?version {version}"
+            add(f"{label}-{version.replace(' ', '.')}", ("foundation",), 0, notice)
+            later = rf"{notice} of the license or at your option any later version"
+            add(f"{label}-{version.replace(' ', '.')}-or-later", ("foundation",), 0, later)
+    add("mit-or-apache-2.0", ("mit", "expat"), 0, "(?:mit|expat) (?:or |and )?apache 2 0")
+    add("mit-or-apache-2.0", ("mit", "expat"), 0, "apache 2 0 (?:or |and )?(?:mit|expat)")
     for parts in COMMONS:
         words = "".join(f" {COMMONS_WORDS[p]}" for p in parts.split())
         label = "cc-by" + parts.replace(" ", "-")

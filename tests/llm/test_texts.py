@@ -203,6 +203,31 @@ def test_license_rules_match_texts_that_hold_nothing_else(spark):
     assert {r["doc_id"]: r["labels"] for r in named} == texts
 
 
+def test_license_texts_and_identifiers(spark):
+    texts = {
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+        "documentation files (the \"Software\"), to deal in the Software without restriction": ("mit", 1.0),
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+        "documentation files (the \"Software\"), to deal with the Software without restriction": ("ncsa", 1.0),
+        "Redistribution and use in source and binary forms, with or without modification, are permitted": ("bsd", 1.0),
+        "under the terms of the GNU General Public License as published by the Free Software Foundation; either "
+        "version 2 of the License, or (at your option) any later version": ("gpl,gpl-2-or-later", 1.0),
+        "SPDX-License-Identifier: GPL-3.0-or-later": ("gpl-3.0-or-later", 1.0),
+        "SPDX-License-Identifier: GPL-2.0-only": ("gpl-2.0", 1.0),
+        "MIT/Apache-2.0": ("mit-or-apache-2.0", 1.0),
+        "the apple and ruby license shop": ("ruby", 0.3),
+        "permission to redistribute is not granted by any person": ("", 0.0),
+    }
+    long = "word " * 200_000 + "SPDX-License-Identifier: MIT"
+    df = spark.createDataFrame([(t,) for t in texts] + [(long,)], "text string")
+    # Columns with the names of the result do not get in the way.
+    got = licenses.scan_licenses(df.selectExpr("text", "1 AS labels", "2 AS score", "3 AS scan"), "text", "text").collect()
+    texts[long] = ("mit", 1.0)
+    assert {r["doc_id"]: (r["labels"], r["score"]) for r in got} == texts
+    none = licenses.scan_licenses(df.limit(0), "text", "text")
+    assert none.count() == 0 and none.columns == licenses.scan_licenses(df, "text", "text").columns
+
+
 
 # SimHash
 
