@@ -1,7 +1,8 @@
 """Whole jobs over named datasets: split and clean, featurize, build vocabularies, benchmark.
 
 Each job handles every dataset it can and returns a status row for each,
-including unknown names and missing files; nothing is skipped silently.
+including unknown names and missing files, with the number of rows it left out
+by reason (``removed``); nothing is skipped silently.
 
     python -m molframe.jobs split     --data IN --out SPLITS --datasets bbbp,tox21
     python -m molframe.jobs featurize --data SPLITS --out FEATURES --datasets bbbp,tox21 --featurizers ecfp,graph
@@ -21,7 +22,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from molframe.functions.tokens import hashed_fp, tokenize
-from molframe.operators.clean import clean_by_length, drop_empty_features, project_tasks, unpivot_tasks
+from molframe.operators.clean import (
+    clean_by_length,
+    drop_empty_features,
+    length_losses,
+    missing_labels,
+    project_tasks,
+    unpivot_tasks,
+)
 from molframe.operators.features import describe, dummy
 from molframe.operators.forest import bit_features, run_repeated
 from molframe.operators.graph import atoms_bonds
@@ -35,7 +43,7 @@ from molframe.registry import BALANCED, TASKS, TRANSFORMERS, DatasetSpec, resolv
 from molframe.sources.readers import labelled_schema, read_library, read_spec
 from molframe.sources.sinks import append_metrics, write_blocks, write_new, write_splits, write_vocab
 
-STATUS = "dataset string, step string, status string, detail string"
+STATUS = "dataset string, step string, status string, detail string, removed map<string,bigint>"
 FINGERPRINT_SIZE = 1024
 
 
@@ -88,18 +96,21 @@ SPLITTERS: dict[str, Callable[[DataFrame, DatasetSpec], DataFrame]] = {
 }
 
 
-def _each(spark: SparkSession, names: Sequence[str], step: str, work: Callable[[str], str]) -> DataFrame:
-    """Run ``work`` per dataset; the outcome of each becomes a status row."""
+def _each(
+    spark: SparkSession, names: Sequence[str], step: str, work: Callable[[str], tuple[str, Mapping[str, int]]]
+) -> DataFrame:
+    """Run ``work`` per dataset; where it wrote and what it left out become a status row."""
     rows = []
     for name in names:
         dataset = resolve(name)
         if dataset not in TASKS:
-            rows.append((name, step, "unknown", "not a registered dataset"))
+            rows.append((name, step, "unknown", "not a registered dataset", None))
             continue
         try:
-            rows.append((name, step, "done", work(dataset)))
+            detail, removed = work(dataset)
+            rows.append((name, step, "done", detail, {k: n for k, n in removed.items() if n}))
         except (PySparkException, OSError) as error:
-            rows.append((name, step, "failed", str(error).splitlines()[0]))
+            rows.append((name, step, "failed", str(error).splitlines()[0], None))
     return spark.createDataFrame(rows, STATUS)
 
 
@@ -112,51 +123,57 @@ def split_datasets(
     Long sequences go after the split, as the published splits do, unless
     ``clean_first``.
     """
-    def work(dataset: str) -> str:
+    def work(dataset: str) -> tuple[str, Mapping[str, int]]:
         spec = (specs or {}).get(dataset) or spec_of(dataset)
         rows = project_tasks(read_spec(spark, f"{data}/{dataset}.csv", spec), spec) if spec.id != spec.feature else (
             read_spec(spark, f"{data}/{dataset}.csv", spec)
         )
-        if clean_first and max_len:
+        removed = length_losses(rows, spec.feature, max_len)
+        if clean_first and max_len is not None:
             rows = clean_by_length(rows, spec.feature, max_len)
         parted = SPLITTERS[splitter](rows, spec)
-        if not clean_first and max_len:
+        if not clean_first and max_len is not None:
             parted = clean_by_length(parted, spec.feature, max_len)
         write_splits(parted, f"{out}/{dataset}")
-        return f"{out}/{dataset}"
+        return f"{out}/{dataset}", removed
 
     return _each(spark, names, "split", work)
 
 
 def featurize_datasets(
     spark: SparkSession, names: Sequence[str], featurizers: Sequence[str], data: str, out: str,
-    max_len: int = 200, specs: Mapping[str, DatasetSpec] | None = None,
+    max_len: int | None = 200, specs: Mapping[str, DatasetSpec] | None = None,
 ) -> DataFrame:
-    """Featurize split datasets into ``out/<featurizer>_featurized/<dataset>``."""
+    """Featurize split datasets into ``out/<featurizer>_featurized/<dataset>``; without ``max_len``, of any length."""
     parts = []
     for featurizer in featurizers:
         step = f"featurize:{featurizer}"
         if featurizer != GRAPH and featurizer not in FEATURIZERS:
-            rows = [(n, step, "unknown", "not a registered featurizer") for n in names]
+            rows = [(n, step, "unknown", "not a registered featurizer", None) for n in names]
             parts.append(spark.createDataFrame(rows, STATUS))
             continue
 
-        def work(dataset: str, featurizer: str = featurizer) -> str:
+        def work(dataset: str, featurizer: str = featurizer) -> tuple[str, Mapping[str, int]]:
             spec = (specs or {}).get(dataset) or spec_of(dataset)
             target = f"{out}/{featurizer}_featurized/{dataset}"
-            rows = clean_by_length(spark.read.parquet(f"{data}/{dataset}"), spec.feature, max_len)
+            rows = spark.read.parquet(f"{data}/{dataset}")
+            removed = length_losses(rows, spec.feature, max_len)
+            if max_len is not None:
+                rows = clean_by_length(rows, spec.feature, max_len)
             if featurizer == GRAPH:
                 molecules = molecules_of(rows, spec)
                 atoms, bonds = atoms_bonds(molecules, "mol", spec.feature)
                 write_new(molecules, f"{target}/molecules")
                 write_new(atoms, f"{target}/atoms")
                 write_new(bonds, f"{target}/bonds")
-                return target
+                return target, removed
             found = FEATURIZERS[featurizer](rows, spec)
             if found.schema["x"].dataType.typeName() == "array":
                 found = drop_empty_features(found)
             write_splits(found, target)
-            return target
+            # Both counts come from file footers unless the length limit filters.
+            empty = rows.count() - spark.read.parquet(target).count()
+            return target, {**removed, "no_features": empty}
 
         parts.append(_each(spark, names, step, work))
     return reduce(DataFrame.unionByName, parts)
@@ -184,7 +201,7 @@ def build_vocabularies(
     specs: Mapping[str, DatasetSpec] | None = None,
 ) -> DataFrame:
     """Token, atom-context and bond-context vocabularies of split datasets, as JSON lines."""
-    def work(dataset: str) -> str:
+    def work(dataset: str) -> tuple[str, Mapping[str, int]]:
         spec = (specs or {}).get(dataset) or spec_of(dataset)
         rows = spark.read.parquet(f"{data}/{dataset}")
         if train_only:
@@ -194,7 +211,7 @@ def build_vocabularies(
         of_atoms, of_bonds = node_context_vocab(atoms, bonds)
         write_vocab(of_atoms, f"{out}/{dataset}/atoms")
         write_vocab(of_bonds, f"{out}/{dataset}/bonds")
-        return f"{out}/{dataset}"
+        return f"{out}/{dataset}", {}
 
     return _each(spark, names, "vocabulary", work)
 
@@ -210,7 +227,7 @@ def benchmark_datasets(
     their classes weighed alike (``registry.BALANCED``). Several
     tasks are averaged per run before runs are summarised.
     """
-    def work(dataset: str) -> str:
+    def work(dataset: str) -> tuple[str, Mapping[str, int]]:
         spec = (specs or {}).get(dataset) or spec_of(dataset)
         kind = "regression" if dataset in TRANSFORMERS else "classification"
         rows = bit_features(spark.read.parquet(f"{data}/ecfp_featurized/{dataset}"), "x", FINGERPRINT_SIZE)
@@ -232,7 +249,7 @@ def benchmark_datasets(
             (F.max("score") - F.min("score")).alias("spread"),
         )
         append_metrics(summary.withColumns({"dataset": F.lit(dataset), "metric": F.lit(metric)}), out)
-        return out
+        return out, {f"unlabelled:{t}": n for t, n in missing_labels(rows, spec.tasks).items()}
 
     return _each(spark, names, "benchmark", work)
 
@@ -245,22 +262,23 @@ def main(argv: Sequence[str] | None = None) -> None:
     parser.add_argument("--out", required=True, help="output folder")
     parser.add_argument("--featurizers", default="ecfp", help="comma-separated names")
     parser.add_argument("--splitter", default="scaffold", choices=sorted(SPLITTERS))
-    parser.add_argument("--max-len", type=int, default=200)
+    parser.add_argument("--max-len", type=int, default=200, help="longer sequences go; below 0, none go")
     parser.add_argument("--trees", type=int, default=100)
     parser.add_argument("--depth", type=int, default=10)
     parser.add_argument("--no-transform", action="store_true")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName(f"molframe-{args.job}").getOrCreate()
     names = args.datasets.split(",")
+    max_len = args.max_len if args.max_len >= 0 else None
     if args.job == "split":
-        status = split_datasets(spark, names, args.data, args.out, args.splitter, args.max_len)
+        status = split_datasets(spark, names, args.data, args.out, args.splitter, max_len)
     elif args.job == "featurize":
-        status = featurize_datasets(spark, names, args.featurizers.split(","), args.data, args.out, args.max_len)
+        status = featurize_datasets(spark, names, args.featurizers.split(","), args.data, args.out, max_len)
     elif args.job == "vocabulary":
         status = build_vocabularies(spark, names, args.data, args.out)
     elif args.job == "library":
         rows = [
-            (size, f"library:{f}", "done", featurize_library(spark, size, f, args.data, args.out))
+            (size, f"library:{f}", "done", featurize_library(spark, size, f, args.data, args.out), None)
             for size in names
             for f in args.featurizers.split(",")
         ]

@@ -26,6 +26,21 @@ def clean_report(df: DataFrame, col: str, max_len: int, by: Sequence[str]) -> Da
     )
 
 
+def length_losses(df: DataFrame, col: str, max_len: int | None) -> dict[str, int]:
+    """How many rows ``clean_by_length`` removes, by reason; without a limit, none."""
+    if max_len is None:
+        return {}
+    counts = df.agg(
+        F.count_if(F.col(col).isNull()).alias("missing"), F.count_if(F.length(col) > max_len).alias("too_long")
+    )
+    return counts.first().asDict()
+
+
+def missing_labels(df: DataFrame, tasks: Sequence[str]) -> dict[str, int]:
+    """Rows without a label, per task, in one pass."""
+    return df.agg(*[F.count_if(F.col(f"`{t}`").isNull()).alias(t) for t in tasks]).first().asDict()
+
+
 def drop_missing(df: DataFrame, tasks: Sequence[str]) -> DataFrame:
     """Drop rows lacking any of the wanted labels."""
     return df.dropna(subset=list(tasks))

@@ -38,6 +38,21 @@ def data(tmp_path_factory):
     return str(root), smiles
 
 
+def test_removed_rows_are_counted(spark, tmp_path):
+    lines = ["smiles,p_np", "CCO,1", "CCN,", "C" * 250 + ",1", ",0", "C" * 300 + ",0", "c1ccccc1,0"]
+    (tmp_path / "bbbp.csv").write_text("\n".join(lines) + "\n")
+    split = split_datasets(spark, ["bbbp", "nope"], str(tmp_path), str(tmp_path / "s"), "none").collect()
+    assert [(r["status"], r["removed"]) for r in split] == [("done", {"missing": 1, "too_long": 2}), ("unknown", None)]
+    found = featurize_datasets(spark, ["bbbp"], ["ecfp"], str(tmp_path / "s"), str(tmp_path / "f"), 5).first()
+    assert found["removed"] == {"too_long": 1}
+    # Without a limit nothing goes for its length; a sequence without tokens has no features.
+    split = split_datasets(spark, ["bbbp"], str(tmp_path), str(tmp_path / "s2"), "none", None).first()
+    assert split["removed"] == {} and spark.read.parquet(str(tmp_path / "s2/bbbp")).count() == 6
+    found = featurize_datasets(spark, ["bbbp"], ["ecfp"], str(tmp_path / "s2"), str(tmp_path / "f2"), None).first()
+    assert found["removed"] == {"no_features": 1}
+    assert spark.read.parquet(str(tmp_path / "f2/ecfp_featurized/bbbp")).count() == 5
+
+
 def test_split_featurize_benchmark(spark, data, tmp_path):
     root, smiles = data
     splits, features, metrics = (str(tmp_path / n) for n in ("splits", "features", "metrics"))
