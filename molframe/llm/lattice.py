@@ -20,7 +20,6 @@ repeated ids too. An empty table gives an empty result.
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -118,99 +117,72 @@ def substrings(units: DataFrame, keys: list[str], longest: int) -> DataFrame:
 
 #: Names from here on are code points of characters that are no piece.
 UNKNOWN = 1 << 22
-# An edge as one number that sorts by its end, then by its start: end, 31 - length, name.
-NAME_BITS, LENGTH_BITS = 23, 5
+# Where an edge stands, as one number that sorts by its end, then by its start: end, 31 - length.
+LENGTH_BITS = 5
+# What an edge is called, as one number: its end and its name.
+NAME_BITS = 23
 
 
-def _packed(at: Column, n: Column, name: Column) -> Column:
-    end = F.shiftleft((at + n).cast("bigint"), NAME_BITS + LENGTH_BITS)
-    return end + F.shiftleft((F.lit(31) - n).cast("bigint"), NAME_BITS) + name
+def _end(mark: Column) -> Column:
+    return F.shiftright(mark, NAME_BITS).cast("int")
 
 
-def _end(edge: Column) -> Column:
-    return F.shiftright(edge, NAME_BITS + LENGTH_BITS).cast("int")
+def _name(mark: Column) -> Column:
+    return mark.bitwiseAND(F.lit((1 << NAME_BITS) - 1)).cast("int")
 
 
-def _length(edge: Column) -> Column:
-    return F.lit(31) - F.shiftright(edge, NAME_BITS).bitwiseAND(F.lit(31)).cast("int")
+def viterbi(places: Column, longest: int) -> Column:
+    """Names of the pieces of the best path over places, each with the edges that end there.
 
-
-def _name(edge: Column) -> Column:
-    return edge.bitwiseAND(F.lit((1 << NAME_BITS) - 1)).cast("int")
-
-
-def viterbi(edges: Column, pieces: Pieces) -> Column:
-    """Names of the pieces of the best path over sorted packed edges.
-
-    Every place ends an edge of length one, which sorts last among those that
-    end there; with it the place is settled: its score and the edge chosen are
-    appended. Both folds go block by block, since appending to an array copies it.
+    An edge has ``score, length, mark``. Every place ends an edge of length one.
+    The fold appends to each place its best total with the edge chosen: of equal
+    totals the longest edge. It goes block by block, since appending to an array
+    copies it; a block begins with the last ``longest`` places of the one before.
     """
-    # One literal: thousands of them in an array would slow down planning. Unknown names come after all ids.
-    scores = F.from_json(F.lit(json.dumps([*pieces.scores, pieces.unknown_score])), "array<double>")
-    last_id = F.lit(len(pieces.scores))
-    longest = pieces.longest
-    worst, no_edge = F.lit(float("-inf")), F.lit(0).cast("bigint")
-    longs = "array<bigint>"
-
-    def state_of(last, total, edge, picked):
-        return F.struct(last.alias("last"), total.alias("total"), edge.alias("edge"), picked.alias("picked"))
-
-    def forward(state, edge):
-        total = F.element_at(state["last"], -_length(edge)) + F.get(scores, F.least(_name(edge), last_id))
-        # Edges of one end come longest first, so of equal totals the first stays.
-        better = total > state["total"]
-
-        def settled(best, chosen):
-            return state_of(F.concat(state["last"], F.array(best)), worst, no_edge, F.concat(state["picked"], F.array(chosen)))
-
-        return (
-            F.when((_length(edge) == 1) & better, settled(total, edge))
-            .when(_length(edge) == 1, settled(state["total"], state["edge"]))
-            .when(better, state_of(state["last"], total, edge, state["picked"]))
-            .otherwise(state)
+    best = "array<struct<total:double,length:int,mark:bigint>>"
+    origin = F.array(F.struct(F.lit(0.0).alias("total"), F.lit(0).alias("length"), F.lit(0).alias("mark")))
+
+    def place(reached, edges):
+        # No edge reaches back before the unit's start or the places a block begins with.
+        candidates = F.transform(
+            edges,
+            lambda e: F.struct(
+                (F.element_at(reached, -e["length"])["total"] + e["score"]).alias("total"),
+                e["length"].alias("length"),
+                e["mark"].alias("mark"),
+            ),
         )
+        return F.array_append(reached, F.array_max(candidates))
 
     def forward_block(state, block):
-        begun = state_of(F.slice(state["last"], -longest, longest), state["total"], state["edge"], F.array().cast(longs))
+        reached = F.aggregate(block, state["last"], place)
         return let(
-            F.aggregate(block, begun, forward),
+            reached,
             lambda r: F.struct(
-                *[r[c].alias(c) for c in ("last", "total", "edge")], F.concat(state["parts"], F.array(r["picked"])).alias("parts")
+                F.slice(r, F.greatest(F.size(r) - longest, F.lit(0)) + 1, longest).alias("last"),
+                # Without the places it began with.
+                F.array_append(state["parts"], F.slice(r, F.size(state["last"]) + 1, FOLD)).alias("parts"),
             ),
         )
 
-    nowhere = [F.lit(float("-inf"))] * (longest - 1)
-    start = F.struct(
-        F.array(*nowhere, F.lit(0.0)).alias("last"),
-        worst.alias("total"),
-        no_edge.alias("edge"),
-        F.array().cast(f"array<{longs}>").alias("parts"),
-    )
-
-    def backward(state, edge):
-        on = _end(edge) == state["at"]
-        return F.when(
-            on,
-            F.struct(
-                (state["at"] - _length(edge)).alias("at"), F.concat(state["names"], F.array(_name(edge))).alias("names")
-            ),
-        ).otherwise(state)
+    def back(state, chosen):
+        on = F.struct(
+            (state["end"] - chosen["length"]).alias("end"),
+            F.array_append(state["names"], _name(chosen["mark"])).alias("names"),
+        )
+        return F.when(_end(chosen["mark"]) == state["end"], on).otherwise(state)
 
-    def backward_block(state, block):
-        begun = F.struct(state["at"].alias("at"), F.array().cast("array<int>").alias("names"))
+    def back_block(state, block):
+        begun = F.struct(state["end"].alias("end"), F.array().cast("array<int>").alias("names"))
         return let(
-            F.aggregate(F.reverse(block), begun, backward),
-            lambda r: F.struct(r["at"].alias("at"), F.concat(state["parts"], F.array(r["names"])).alias("parts")),
+            F.aggregate(F.reverse(block), begun, back),
+            lambda r: F.struct(r["end"].alias("end"), F.array_append(state["parts"], r["names"]).alias("parts")),
         )
 
-    def names(items):
-        picked = F.aggregate(_blocks(items), start, forward_block, lambda s: s["parts"])
-        last = F.struct(_end(F.element_at(items, -1)).alias("at"), F.array().cast("array<array<int>>").alias("parts"))
-        walked = let(picked, lambda parts: F.aggregate(F.reverse(parts), last, backward_block, lambda s: s["parts"]))
-        return F.reverse(F.flatten(walked))
-
-    return let(edges, names)
+    start = F.struct(origin.cast(best).alias("last"), F.array().cast(f"array<{best}>").alias("parts"))
+    end = F.struct(F.size(places).alias("end"), F.array().cast("array<array<int>>").alias("parts"))
+    parts = F.aggregate(_blocks(places), start, forward_block, lambda s: s["parts"])
+    return F.reverse(F.flatten(F.aggregate(F.reverse(parts), end, back_block, lambda s: s["parts"])))
 
 
 def _blocks(items: Column) -> Column:
@@ -243,12 +215,27 @@ def _spelled(names: Column, first_byte: int) -> Column:
 
 def _gather(others: tuple[str, ...]):
     def lists(edges: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
-        """One row per run of edges; a run has one unit, on one of its edges."""
-        edge, ends = edges["edge"].to_numpy(), np.append(starts, len(edges))
-        order = np.lexsort((edge, np.repeat(np.arange(len(starts)), np.diff(ends))))
+        """One row per run of edges, those of one end together; a run has one unit, on one of its edges."""
+        where, ends = edges["at_n"].to_numpy(), np.append(starts, len(edges))
+        run = np.repeat(np.arange(len(starts)), np.diff(ends))
+        order = np.lexsort((where, run))
+        where = where[order]
+        length, end = 31 - (where & 31), where >> LENGTH_BITS
+        # A place begins where the end or the run changes.
+        firsts = np.concatenate(([0], np.flatnonzero((np.diff(end) != 0) | (np.diff(run) != 0)) + 1))
+        bounds = np.searchsorted(firsts, ends)
+        edge = pa.StructArray.from_arrays(
+            [
+                pa.array(edges["score"].to_numpy()[order]),
+                pa.array(length.astype(np.int32)),
+                pa.array(end << NAME_BITS | edges["name"].to_numpy()[order]),
+            ],
+            names=["score", "length", "mark"],
+        )
+        at_end = pa.ListArray.from_arrays(pa.array(np.append(firsts, len(order)), pa.int32()), edge)
         made = {c: edges[c].take(pa.array(starts)).combine_chunks() for c in others}
         made["unit"] = edges["unit"].drop_null().combine_chunks()
-        made["edges"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(edge[order]))
+        made["places"] = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), at_end)
         return pa.RecordBatch.from_pydict(made)
 
     def gather(batches):
@@ -282,19 +269,27 @@ def encode_units(units: DataFrame, keys: list[str], pieces: Pieces) -> DataFrame
     """
     spark: SparkSession = units.sparkSession
     ids, others = pieces.ordinary, keys[:-1]
-    listed = pa.table({"piece": [pieces.texts[i] for i in ids], "id": pa.array(ids, pa.int32())})
+    scores = pa.array([pieces.scores[i] for i in ids], pa.float64())
+    listed = pa.table({"piece": [pieces.texts[i] for i in ids], "id": pa.array(ids, pa.int32()), "score": scores})
     # Bounded by MOST_PIECES.
     table = F.broadcast(spark.createDataFrame(listed))
     numbered = units.withColumn("u", F.monotonically_increasing_id())
     found = substrings(numbered, [*others, "u", "unit"], pieces.longest).join(table, F.col("s") == F.col("piece"), "left")
-    name = F.coalesce("id", F.ascii("s") + UNKNOWN)
     # Every unit has this edge: its first character.
     text = F.when((F.col("at") == 0) & (F.col("n") == 1), F.col("unit")).alias("unit")
-    edge = _packed(F.col("at"), F.col("n"), name).alias("edge")
-    edges = found.filter("id IS NOT NULL OR n = 1").select(*others, "u", text, edge)
-    kinds = ", ".join(f"{c} {units.schema[c].dataType.simpleString()}" for c in others)
-    lattice = edges.mapInArrow(_gather(tuple(others)), f"{kinds}, unit string, edges array<bigint>")
-    return lattice.select(*keys, _spelled(viterbi(F.col("edges"), pieces), pieces.first_byte).alias("ids"))
+    end = F.shiftleft((F.col("at") + F.col("n")).cast("bigint"), LENGTH_BITS)
+    edges = found.filter("id IS NOT NULL OR n = 1").select(
+        *others,
+        "u",
+        text,
+        (end + 31 - F.col("n")).alias("at_n"),
+        F.coalesce("score", F.lit(pieces.unknown_score)).alias("score"),
+        F.coalesce("id", F.ascii("s") + UNKNOWN).alias("name"),
+    )
+    kinds = "".join(f"{c} {units.schema[c].dataType.simpleString()}, " for c in others)
+    kinds += "unit string, places array<array<struct<score:double,length:int,mark:bigint>>>"
+    lattice = edges.mapInArrow(_gather(tuple(others)), kinds)
+    return lattice.select(*keys, _spelled(viterbi(F.col("places"), pieces.longest), pieces.first_byte).alias("ids"))
 
 
 def common_units(rows: DataFrame, pieces: Pieces) -> DataFrame:
