@@ -7,25 +7,31 @@ pivots and sums, for each vector, the differences of places (Spearman's
 footrule; a pivot missing from a vector's list counts as at its end). The best
 share of each block by that distance is reranked by the exact inner product.
 
-Vectors lie in blocks by the hash of their id, so a block is a random part of
-the table, whatever its size, and copies of one vector spread evenly; queries
-lie in batches. Each task has one block and one batch.
-
-Which vectors take part: see ``vector_table``; zero vectors do not.
+Equal vectors are one entry of the index, with the smallest ids that can be in
+a result; pivots are different vectors, and a vector asked for by many rows is
+searched once. So copies, however many, neither fill the pivots nor the share
+that is reranked. Entries lie in blocks by the hash of their smallest id, so a
+block is a random part of the different vectors, whatever its size; vectors asked
+for lie in batches. Each task has one block and one batch.
+
+Rows: which vectors take part, and repeated ids, see ``vector_table``; zero
+vectors do not. Ties go to the smaller id. An empty table gives an empty result.
+Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from molframe.llm.vectors import best_first, matrix, sampled, vector_table
+from molframe.llm.vectors import matrix, sampled, vector_table
+from molframe.plans.lineage import cut
 
 #: Vectors of one block and queries of one batch.
 BLOCK, BATCH = 8192, 1024
-FOUND = "query_id bigint, vec_id bigint, score double"
+FOUND = "query bigint, vec_id bigint, score double"
 
 
 def nearest_pivots(x: np.ndarray, pivots: np.ndarray, places: int) -> np.ndarray:
@@ -45,26 +51,37 @@ def inverted_files(order: np.ndarray, pivots: int) -> np.ndarray:
     return files
 
 
-def _searcher(pivots: np.ndarray, places: int, share: float, least: int, k: int):
+def entries(rows: DataFrame, most: int) -> DataFrame:
+    """``entry, v, ids``, written: each different vector with its ``most`` smallest ids, named by the smallest."""
+    order = Window.partitionBy("v").orderBy("vec_id")
+    # Spark keeps the first of each vector before the shuffle too, so copies do not gather in one task.
+    first = rows.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= most)
+    return cut(first.groupBy("v").agg(F.min("vec_id").alias("entry"), F.sort_array(F.collect_list("vec_id")).alias("ids")))
+
+
+def _searcher(pivots: np.ndarray, places: int, share: float, least: int, most: int):
     def search(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or block.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        block = block.sort_values("vec_id", kind="stable")
-        x, ids = matrix(block["v"]), block["vec_id"].to_numpy()
+            return pd.DataFrame({"query": [], "vec_id": [], "score": []})
+        block = block.sort_values("entry", kind="stable")
+        x, names, ids = matrix(block["v"]), block["entry"].to_numpy(), block["ids"].to_numpy()
         files = inverted_files(nearest_pivots(x, pivots, places), len(pivots))
-        wanted = min(len(ids), max(least, int(np.ceil(share * len(ids)))))
+        wanted = min(len(x), max(least, int(np.ceil(share * len(x)))))
         q = matrix(queries["v"])
         out = []
-        for query_id, vector, listed in zip(queries["query_id"], q, nearest_pivots(q, pivots, places)):
+        for query, vector, listed in zip(queries["query"], q, nearest_pivots(q, pivots, places)):
             gaps = files[listed]
             gaps -= np.arange(len(listed), dtype=files.dtype)[:, None]
             footrule = np.abs(gaps, out=gaps).sum(axis=0, dtype=files.dtype)
-            # The own row does not count; ties go to the smaller id, in whose order the rows are.
-            ranked = np.argsort(footrule, kind="stable")[: wanted + 1]
-            ranked = ranked[ids[ranked] != query_id][:wanted]
+            # Ties go to the smaller id, in whose order the entries are.
+            ranked = np.argsort(footrule, kind="stable")[:wanted]
             score = (x[ranked] * vector).sum(axis=1)
-            best = np.lexsort((ids[ranked], -score))[:k]
-            out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[ranked][best], "score": score[best]}))
+            # Each entry has an id ahead of all entries after it, so more entries cannot matter.
+            best = np.lexsort((names[ranked], -score))[:most]
+            copies = [ids[ranked[i]] for i in best]
+            found, scores = np.concatenate(copies), np.repeat(score[best], [len(c) for c in copies])
+            first = np.lexsort((found, -scores))[:most]
+            out.append(pd.DataFrame({"query": query, "vec_id": found[first], "score": scores[first]}))
         return pd.concat(out)
 
     return search
@@ -89,25 +106,38 @@ def search(
     """
     rows = vector_table(df, id, vector)
     rows = rows.filter(~_is_zero(F.col("v")))
-    n = rows.count()
-    chosen = sampled(rows, pivots)
+    # One more than asked for, since a row's own id may be among them.
+    kinds = entries(rows, k + 1)
+    chosen = sampled(kinds, pivots, "entry")
     places = min(places, max(len(chosen), 1))
-    blocks, batches = max(1, -(-n // BLOCK)), max(1, -(-rows.filter(is_query).count() // BATCH))
-    part = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
-    batch = F.pmod(F.xxhash64("vec_id"), F.lit(batches)).cast("int")
+    queries = rows.filter(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"))
+    # The entries are unique on their side, so a vector that many rows ask for is split by adaptive execution.
+    named = kinds.select(F.col("v").alias("kv"), F.col("entry").alias("query"))
+    queries = cut(queries.join(named, F.col("qv") == F.col("kv")).select("query_id", "query"))
+    asked = queries.select("query").distinct()
+    blocks, batches = max(1, -(-kinds.count() // BLOCK)), max(1, -(-asked.count() // BATCH))
+
+    def dealt(name, count):
+        return F.pmod(F.xxhash64(name), F.lit(count)).cast("int")
 
     def all_of(count):
         return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
 
-    asked = rows.filter(is_query).select(F.col("vec_id").alias("query_id"), "v", batch.alias("batch"))
+    wanted = kinds.select("entry", F.col("v").alias("v"))
+    asked = wanted.join(asked, F.col("entry") == F.col("query")).select("query", F.col("v").alias("v"), dealt("query", batches).alias("batch"))
     asked = asked.select("*", all_of(blocks).alias("block"))
-    held = rows.select("vec_id", "v", part.alias("block")).select("*", all_of(batches).alias("batch"))
+    held = kinds.select("entry", F.col("v").alias("v"), "ids", dealt("entry", blocks).alias("block")).select("*", all_of(batches).alias("batch"))
     found = (
         asked.groupBy("batch", "block")
         .cogroup(held.groupBy("batch", "block"))
-        .applyInPandas(_searcher(chosen, places, share, least, k), FOUND)
+        .applyInPandas(_searcher(chosen, places, share, least, k + 1), FOUND)
     )
-    return best_first(found, k)
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    first = found.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k + 1)
+    lists = first.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("r", "vec_id", "score"))).alias("best"))
+    others = F.slice(F.filter("best", lambda b: b["vec_id"] != F.col("query_id")), 1, k)
+    answers = queries.join(lists, "query").select("query_id", F.posexplode(others).alias("rank", "b"))
+    return answers.select("query_id", (F.col("rank") + 1).alias("rank"), F.col("b.vec_id"), F.col("b.score"))
 
 
 def _is_zero(v: Column) -> Column:

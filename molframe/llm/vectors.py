@@ -47,9 +47,9 @@ def vector_table(df: DataFrame, id: str, vector: str) -> DataFrame:
     return rows.filter(F.length("v") == (usual[0]["n"] if usual else 0))
 
 
-def sampled(rows: DataFrame, count: int) -> np.ndarray:
+def sampled(rows: DataFrame, count: int, id: str = "vec_id") -> np.ndarray:
     """At most ``count`` rows' vectors, the same in every run: those with the least hashes of their ids."""
-    some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(count).select("v").collect()
+    some = rows.orderBy(F.xxhash64(id), id).limit(count).select("v").collect()
     return matrix(pd.Series([bytes(r["v"]) for r in some])) if some else np.zeros((0, 1))
 
 

@@ -54,10 +54,12 @@ def test_bound_holds():
         assert (q @ r.T).max() <= top
 
 
-def test_permutation_recall_and_scores(spark):
-    x, df = vectors(spark, 1500, dim=16, copies=500)
+@pytest.mark.parametrize("n, dim, copies", [(1500, 16, 500), (4000, 64, 0), (6000, 64, 2000)])
+def test_permutation_recall_and_scores(spark, n, dim, copies):
+    """Production parameters; a third of the rows may be one vector."""
+    x, df = vectors(spark, n, dim=dim, copies=copies)
     wide = x.astype(np.float64)
-    got = found(permutation.search(df, "vec_id", "embedding", F.col("vec_id") % 20 == 0, share=0.3))
+    got = found(permutation.search(df, "vec_id", "embedding", F.col("vec_id") % 20 == 0))
     hits = total = 0
     for q, rows in got.items():
         best = expected(wide, q)
@@ -65,7 +67,16 @@ def test_permutation_recall_and_scores(spark):
         assert rows == sorted(rows, key=lambda r: (-r[1], r[0]))
         hits += len({i for i, _ in rows} & {i for i, _ in best})
         total += 20
-    assert len(got) == 75 and hits / total >= 0.9
+    assert len(got) == n // 20 and hits / total >= 0.9
+    if copies:
+        # Copies find each other, the smallest ids first, and not themselves.
+        assert [i for i, _ in got[20]] == [i for i in range(21) if i != 20]
+
+
+def test_equal_vectors_are_one_entry(spark):
+    x, df = vectors(spark, 300, copies=100)
+    rows = {r["entry"]: r["ids"] for r in permutation.entries(vector_table(df, "vec_id", "embedding"), 5).collect()}
+    assert rows == {0: [0, 1, 2, 3, 4]} | {i: [i] for i in range(100, 300)}
 
 
 def test_few_and_zero_vectors(spark):
