@@ -1,4 +1,4 @@
-"""Whole jobs over named datasets: split and clean, featurize, build vocabularies, benchmark.
+"""Whole jobs over named datasets: split and clean, featurize, build vocabularies, benchmark, train, predict.
 
 Each job handles every dataset it can and returns a status row for each,
 including unknown names and missing files, with the number of rows it left out
@@ -8,6 +8,8 @@ by reason (``removed``); nothing is skipped silently.
     python -m molframe.jobs featurize --data SPLITS --out FEATURES --datasets bbbp,tox21 --featurizers ecfp,graph
     python -m molframe.jobs vocabulary --data SPLITS --out VOCAB --datasets bbbp
     python -m molframe.jobs benchmark --data FEATURES --out METRICS --datasets bbbp,tox21
+    python -m molframe.jobs train     --data FEATURES --out MODELS --datasets bbbp,tox21
+    python -m molframe.jobs predict   --data FEATURES --models MODELS --out PREDICTIONS --datasets bbbp,tox21
     python -m molframe.jobs library   --data LIB/ --out BLOCKS --datasets 1b --featurizers ecfp
 """
 
@@ -31,16 +33,16 @@ from molframe.operators.clean import (
     unpivot_tasks,
 )
 from molframe.operators.features import describe, dummy
-from molframe.operators.forest import bit_features, run_repeated
+from molframe.operators.forest import bit_features, fit_forest, load, predict, run_repeated, save
 from molframe.operators.graph import atoms_bonds
 from molframe.operators.scaffold import scaffold_key
 from molframe.operators.split import group_split, hash_split, no_split
-from molframe.operators.transform import fit_chain
+from molframe.operators.transform import Chain, fit_chain, load_chain, save_chain
 from molframe.operators.vocab import build_vocab, node_context_vocab
 from molframe.plans.lineage import cut
 from molframe.plans.ordered import row_index
 from molframe.registry import BALANCED, TASKS, TRANSFORMERS, DatasetSpec, resolve
-from molframe.sources.readers import labelled_schema, read_library, read_spec
+from molframe.sources.readers import labelled_schema, read_library, read_presplit, read_spec
 from molframe.sources.sinks import append_metrics, write_blocks, write_new, write_splits, write_vocab
 
 STATUS = "dataset string, step string, status string, detail string, removed map<string,bigint>"
@@ -93,6 +95,8 @@ SPLITTERS: dict[str, Callable[[DataFrame, DatasetSpec], DataFrame]] = {
     "scaffold": scaffold_split,
     "random": lambda df, spec: hash_split(df, spec.id),
     "none": lambda df, spec: no_split(df),
+    # The files say it: ``data/<dataset>/train.csv`` and so on.
+    "given": lambda df, spec: df,
 }
 
 
@@ -121,13 +125,18 @@ def split_datasets(
     """Split ``data/<dataset>.csv`` and write ``out/<dataset>/split=...``.
 
     Long sequences go after the split, as the published splits do, unless
-    ``clean_first``.
+    ``clean_first``. The splitter ``given`` reads ``data/<dataset>/train.csv``,
+    ``valid.csv`` and ``test.csv``; a dataset that lacks one of them fails.
     """
+    def read(dataset: str, spec: DatasetSpec) -> DataFrame:
+        if splitter == "given":
+            return read_presplit(spark, f"{data}/{dataset}", labelled_schema(spec.feature, spec.tasks, spec.id))
+        rows = read_spec(spark, f"{data}/{dataset}.csv", spec)
+        return project_tasks(rows, spec) if spec.id != spec.feature else rows
+
     def work(dataset: str) -> tuple[str, Mapping[str, int]]:
         spec = (specs or {}).get(dataset) or spec_of(dataset)
-        rows = project_tasks(read_spec(spark, f"{data}/{dataset}.csv", spec), spec) if spec.id != spec.feature else (
-            read_spec(spark, f"{data}/{dataset}.csv", spec)
-        )
+        rows = read(dataset, spec)
         removed = length_losses(rows, spec.feature, max_len)
         if clean_first and max_len is not None:
             rows = clean_by_length(rows, spec.feature, max_len)
@@ -254,9 +263,80 @@ def benchmark_datasets(
     return _each(spark, names, "benchmark", work)
 
 
+def _kind_and_steps(dataset: str) -> tuple[str, Sequence[str]]:
+    """Kind of task and label transformers of a registered dataset."""
+    if dataset in TRANSFORMERS:
+        return "regression", TRANSFORMERS[dataset]
+    return "classification", ("balancing",) if dataset in BALANCED else ()
+
+
+def train_datasets(
+    spark: SparkSession, names: Sequence[str], data: str, out: str, seed: int = 0, transform: bool = True,
+    specs: Mapping[str, DatasetSpec] | None = None, **params,
+) -> DataFrame:
+    """One forest per task on the train split, kept in ``out/<dataset>`` with the statistics of its label transformers.
+
+    A task is named by its place, since task names may be no file names.
+    A dataset's folder that exists is refused, also one that a failed run left.
+    """
+    def work(dataset: str) -> tuple[str, Mapping[str, int]]:
+        spec = (specs or {}).get(dataset) or spec_of(dataset)
+        kind, steps = _kind_and_steps(dataset)
+        rows = spark.read.parquet(f"{data}/ecfp_featurized/{dataset}").filter("split = 'train'")
+        rows = cut(bit_features(rows, "x", FINGERPRINT_SIZE))
+        kind_of_task = "place int, task string, kind string, steps array<string>"
+        # First: an existing folder is refused before anything in it changes.
+        write_new(spark.createDataFrame([], kind_of_task), f"{out}/{dataset}/begun")
+        kept = []
+        for i, task in enumerate(spec.tasks):
+            target = f"{out}/{dataset}/task={i}"
+            long = unpivot_tasks(rows.select("_features", F.col(f"`{task}`")), ["_features"], [task])
+            long = long.filter("y is not null").withColumn("w", F.lit(1.0))
+            chain = fit_chain(steps if transform else (), long)
+            save_chain(chain, f"{target}/labels")
+            model = fit_forest(chain.apply(long), kind, seed=seed, weight="w", **params)
+            save(model, f"{target}/model")
+            kept.append((i, task, kind, [s.name for s in chain.steps]))
+        # Last: a dataset without this table has no whole set of models.
+        write_new(spark.createDataFrame(kept, kind_of_task).coalesce(1), f"{out}/{dataset}/tasks")
+        return f"{out}/{dataset}", {f"unlabelled:{t}": n for t, n in missing_labels(rows, spec.tasks).items()}
+
+    return _each(spark, names, "train", work)
+
+
+def predict_datasets(
+    spark: SparkSession, names: Sequence[str], data: str, models: str, out: str,
+    specs: Mapping[str, DatasetSpec] | None = None,
+) -> DataFrame:
+    """Predictions of saved models for all rows of featurized datasets, labelled or not, in ``out/<dataset>``.
+
+    Columns: the dataset's id, ``split`` where there is one, ``task``, ``y_pred``
+    in label units and, for classifications, ``score`` of class 1 (else null).
+    """
+    def work(dataset: str) -> tuple[str, Mapping[str, int]]:
+        spec = (specs or {}).get(dataset) or spec_of(dataset)
+        rows = spark.read.parquet(f"{data}/ecfp_featurized/{dataset}")
+        keep = [spec.id, *(["split"] if "split" in rows.columns else [])]
+        rows = bit_features(rows, "x", FINGERPRINT_SIZE).select(*keep, "_features")
+        parts = []
+        # One row per task.
+        for place in spark.read.parquet(f"{models}/{dataset}/tasks").orderBy("place").collect():
+            source = f"{models}/{dataset}/task={place['place']}"
+            found = predict(load(f"{source}/model", place["kind"]), rows.withColumn("task", F.lit(place["task"])), [*keep, "task"])
+            if place["kind"] == "regression":
+                chain: Chain = load_chain(spark, place["steps"], f"{source}/labels")
+                found = chain.invert(found.withColumnRenamed("y_pred", "y")).withColumnRenamed("y", "y_pred")
+            score = F.col("score") if "score" in found.columns else F.lit(None).cast("double")
+            parts.append(found.select(*keep, "task", "y_pred", score.alias("score")))
+        write_new(reduce(DataFrame.unionByName, parts), f"{out}/{dataset}")
+        return f"{out}/{dataset}", {}
+
+    return _each(spark, names, "predict", work)
+
+
 def main(argv: Sequence[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description="Split, featurize and benchmark labelled sequence datasets.")
-    parser.add_argument("job", choices=("split", "featurize", "vocabulary", "benchmark", "library"))
+    parser.add_argument("job", choices=("split", "featurize", "vocabulary", "benchmark", "train", "predict", "library"))
     parser.add_argument("--datasets", required=True, help="comma-separated names; for library jobs, sizes")
     parser.add_argument("--data", required=True, help="input folder")
     parser.add_argument("--out", required=True, help="output folder")
@@ -265,6 +345,11 @@ def main(argv: Sequence[str] | None = None) -> None:
     parser.add_argument("--max-len", type=int, default=200, help="longer sequences go; below 0, none go")
     parser.add_argument("--trees", type=int, default=100)
     parser.add_argument("--depth", type=int, default=10)
+    parser.add_argument("--seed", type=int, default=0, help="of a train job")
+    parser.add_argument("--criterion", help="impurity of forests; without it, Spark's for the kind of task")
+    parser.add_argument("--min-samples-split", type=int, default=2)
+    parser.add_argument("--no-bootstrap", action="store_true")
+    parser.add_argument("--models", help="folder that a train job wrote, for predict")
     parser.add_argument("--no-transform", action="store_true")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName(f"molframe-{args.job}").getOrCreate()
@@ -283,10 +368,17 @@ def main(argv: Sequence[str] | None = None) -> None:
             for f in args.featurizers.split(",")
         ]
         status = spark.createDataFrame(rows, STATUS)
+    elif args.job == "predict":
+        status = predict_datasets(spark, names, args.data, args.models or parser.error("predict needs --models"), args.out)
     else:
-        status = benchmark_datasets(
-            spark, names, args.data, args.out, transform=not args.no_transform, trees=args.trees, depth=args.depth
+        params = dict(
+            transform=not args.no_transform, trees=args.trees, depth=args.depth, criterion=args.criterion,
+            min_samples_split=args.min_samples_split, bootstrap=not args.no_bootstrap,
         )
+        if args.job == "train":
+            status = train_datasets(spark, names, args.data, args.out, args.seed, **params)
+        else:
+            status = benchmark_datasets(spark, names, args.data, args.out, **params)
     status.show(truncate=False)
     if status.filter("status <> 'done'").count():
         raise SystemExit(1)

@@ -7,9 +7,9 @@ most MOST_CLASSES: bounded whatever the rows, so they are broadcast.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Classes of all tasks together that balancing knows.
@@ -138,3 +138,20 @@ class Chain:
 def fit_chain(names: Sequence[str | Callable[[DataFrame], Fitted]], train: DataFrame) -> Chain:
     """Fit every step on the raw training rows; a callable is a user's own fit function."""
     return Chain(tuple(fit(n, train) if isinstance(n, str) else n(train) for n in names))
+
+
+def save_chain(chain: Chain, path: str) -> None:
+    """Write the statistics of each step, by its place in the chain."""
+    for i, step in enumerate(chain.steps):
+        if step.stats is not None:
+            step.stats.write.mode("errorifexists").parquet(f"{path}/step={i}")
+
+
+def load_chain(spark: SparkSession, names: Sequence[str], path: str) -> Chain:
+    """A chain of these steps with the statistics that ``save_chain`` wrote."""
+    none = spark.createDataFrame([], "task string, y double, w double")
+    unfitted = [fit(name, none) for name in names]
+    return Chain(tuple(
+        step if step.stats is None else replace(step, stats=spark.read.parquet(f"{path}/step={i}"))
+        for i, step in enumerate(unfitted)
+    ))

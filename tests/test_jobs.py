@@ -15,7 +15,9 @@ from molframe.jobs import (
     featurize_datasets,
     featurize_library,
     main,
+    predict_datasets,
     split_datasets,
+    train_datasets,
 )
 
 RINGS = ["C1CC1", "C1CCC1", "c1ccccc1", "C1CCNCC1", "c1ccoc1", "C1CCOC1", "c1ccncc1", "C1CCCCCC1"]
@@ -80,6 +82,42 @@ def test_split_featurize_benchmark(spark, data, tmp_path):
     assert scores[("lipo", "valid")]["mean"] < 6
 
 
+def test_train_and_predict(spark, data, tmp_path):
+    """Saved models predict all rows, in label units, as the written statistics say."""
+    root, smiles = data
+    splits, features, models, out = (str(tmp_path / n) for n in ("s", "f", "m", "p"))
+    split_datasets(spark, ["bbbp", "lipo"], root, splits, "random")
+    featurize_datasets(spark, ["bbbp", "lipo"], ["ecfp"], splits, features)
+    done = train_datasets(spark, ["bbbp", "lipo", "nope"], features, models, trees=10, depth=6).collect()
+    assert [r["status"] for r in done] == ["done", "done", "unknown"]
+    done = predict_datasets(spark, ["bbbp", "lipo", "hiv"], features, models, out).collect()
+    assert [r["status"] for r in done] == ["done", "done", "failed"]
+    truth = spark.read.parquet(f"{features}/ecfp_featurized/lipo").select("smiles", "exp")
+    rows = spark.read.parquet(f"{out}/lipo").join(truth, "smiles").collect()
+    assert len(rows) == len(smiles) and all(r["score"] is None and r["task"] == "exp" for r in rows)
+    # Labels lie between 10 and 22: untransformed predictions would be near 0.
+    assert sum(abs(r["y_pred"] - r["exp"]) for r in rows) / len(rows) < 2
+    rows = spark.read.parquet(f"{out}/bbbp").collect()
+    assert len(rows) == len(smiles) and {r["split"] for r in rows} == {"train", "valid", "test"}
+    assert all((r["score"] > 0.5) == (r["y_pred"] == 1.0) for r in rows if r["score"] != 0.5)
+    right = sum(r["y_pred"] == float("O" in r["smiles"]) for r in rows if r["split"] == "train")
+    assert right > 0.8 * sum(r["split"] == "train" for r in rows)
+    again = train_datasets(spark, ["lipo"], features, models, trees=2, depth=2).first()
+    assert again["status"] == "failed"
+
+
+def test_given_splits(spark, tmp_path):
+    for dataset, splits in (("bbbp", ("train", "valid", "test")), ("hiv", ("train", "test"))):
+        (tmp_path / dataset).mkdir()
+        for i, split in enumerate(splits):
+            label = TASKS[dataset][0]
+            (tmp_path / dataset / f"{split}.csv").write_text(f"smiles,{label}\n" + "".join(f"{'C' * (n + 1)},1\n" for n in range(i + 2)))
+    status = split_datasets(spark, ["bbbp", "hiv"], str(tmp_path), str(tmp_path / "s"), "given", 3).collect()
+    assert [(r["status"], r["removed"]) for r in status] == [("done", {"too_long": 1}), ("failed", None)]
+    counts = {r["split"]: r["count"] for r in spark.read.parquet(str(tmp_path / "s/bbbp")).groupBy("split").count().collect()}
+    assert counts == {"train": 2, "valid": 3, "test": 3}
+
+
 def test_command_line_reports_failures(spark, data, tmp_path):
     with pytest.raises(SystemExit):
         main(["split", "--data", data[0], "--out", str(tmp_path / "s"), "--datasets", "bbbp,nope", "--splitter", "random"])
