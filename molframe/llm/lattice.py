@@ -1,18 +1,16 @@
-"""SentencePiece encoding and decoding over a relational lattice.
+"""SentencePiece encoding and decoding over the lattice of pieces.
 
 A text is cut into units that no piece crosses: a run of blanks with the word
-after it. Units are made distinct inside blocks of documents, their substrings
-up to the longest piece are exploded and equi-joined to the piece table, the
-edges found are grouped by unit, and the path of the highest total score is
-folded from them (Viterbi) by ``aggregate`` expressions. A character that is no
-piece becomes its UTF-8 bytes. Documents are then spelled with their block's
-units. Of paths with equal scores the one whose last piece is longest wins, at
-every place.
-
-Documents are dealt to blocks by their position, so copies spread evenly; units
-become distinct in their block's partition. Units frequent in a sample of the rows,
-a bounded number, go through the same lattice once and are handed to all blocks. The piece table is a fixed file of
-bounded size; its rows are broadcast.
+after it. Units frequent in a sample of the rows, a bounded number, are counted
+and worked out once by Spark and handed to all tasks; a task works the others of its rows out, the
+distinct ones of some hundred rows together. The edges of a unit's lattice are found
+by reading the pieces backwards from every place, all places of all units of a
+batch together, and the path of the highest total score is folded place by
+place (Viterbi). A character that is no piece becomes its UTF-8 bytes. Of paths
+with equal scores the one whose last piece is longest wins, at every place.
+
+Rows are not moved. A task holds a batch of rows, the common units and a bounded
+number of others. The piece table is a fixed file of bounded size.
 
 Rows: null and empty texts have no ids. Each input row gives one output row,
 repeated ids too. An empty table gives an empty result.
@@ -21,6 +19,7 @@ repeated ids too. An empty table gives an empty result.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,10 +27,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.core.broadcast import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from molframe.functions.arrays import let
 from molframe.llm.registry import column
 from molframe.plans.lineage import cut
 
@@ -40,13 +38,15 @@ BLANK = "▁"
 UNIT = f"\\n|{BLANK}*[^{BLANK}\\n]+|{BLANK}+"
 #: Pieces a table may have to be broadcast.
 MOST_PIECES = 1 << 20
-#: Characters whose substrings are made together; edges folded together.
-WINDOW, FOLD = 128, 512
+#: Places whose edges are made together; characters of units worked out together.
+FOLD, CHARACTERS = 512, 1 << 18
 UNKNOWN_PENALTY = 10.0
 #: Units worked out once: from one row in ``SAMPLED``, at most so many in each of so many buckets, of so many characters.
 SAMPLED, BUCKETS, IN_BUCKET, COMMON_LENGTH = 8, 512, 1024, 64
-#: Units a task makes strings of, or sends, at once.
-AT_ONCE = 50_000
+#: Rows a task spells at once, and units it remembers beside the common ones.
+AT_ONCE, REMEMBERED = 256, 100_000
+#: Names from here on are code points of characters that are no piece.
+UNKNOWN = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -73,9 +73,6 @@ def read_pieces(path: str) -> Pieces:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     ids = range(model.get_piece_size())
-    too_long = [t for t in map(model.id_to_piece, ids) if len(t) >= 1 << LENGTH_BITS]
-    if too_long:
-        raise ValueError(f"pieces of {1 << LENGTH_BITS} and more characters do not fit an edge: {too_long[:5]}")
     if len(ids) > MOST_PIECES:
         raise ValueError(f"{len(ids)} pieces are too many to broadcast")
     texts = tuple(model.id_to_piece(i) for i in ids)
@@ -99,197 +96,176 @@ def units_of(text: Column) -> Column:
     return F.regexp_extract_all(normalized(F.coalesce(text, F.lit(""))), F.lit(UNIT), F.lit(0))
 
 
-def substrings(units: DataFrame, keys: list[str], longest: int) -> DataFrame:
-    """``keys, at, n, s``: every substring of at most ``longest`` characters, ``at`` from 0.
+@dataclass(frozen=True)
+class Trie:
+    """Ordinary pieces read from their last character on.
 
-    Long units are cut into windows first, since a place in a text is found by walking there.
+    ``steps`` holds, sorted, a node above ``CHARACTER_BITS`` bits of the character that leads on from it; the node
+    reached is the place of the step and one. ``names`` and ``scores`` are those of the piece read there, or -1.
     """
-    unit = F.col(keys[-1])
-    first = F.explode(F.sequence(F.lit(0), F.length(unit) - 1, F.lit(WINDOW))).alias("first")
-    windows = units.select(*keys, first).withColumn("w", F.substring(unit, F.col("first") + 1, F.lit(WINDOW + longest - 1)))
-    start = F.explode(F.sequence(F.lit(0), F.least(F.lit(WINDOW), F.length("w")) - 1)).alias("start")
-    starts = windows.select(*keys, "first", "w", start)
-    n = F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("w") - F.col("start")))).alias("n")
-    each = starts.select(*keys, "first", "w", "start", n)
-    text = F.substring(F.col("w"), F.col("start") + 1, F.col("n"))
-    return each.select(*keys, (F.col("first") + F.col("start")).alias("at"), "n", text.alias("s"))
 
-
-#: Names from here on are code points of characters that are no piece.
-UNKNOWN = 1 << 22
-# Where an edge stands, as one number that sorts by its end, then by its start: end, 31 - length.
-LENGTH_BITS = 5
-# What an edge is called, as one number: its end and its name.
-NAME_BITS = 23
+    steps: np.ndarray
+    names: np.ndarray
+    scores: np.ndarray
+    longest: int
+    unknown_score: float
+    first_byte: int
 
 
-def _end(mark: Column) -> Column:
-    return F.shiftright(mark, NAME_BITS).cast("int")
+CHARACTER_BITS = 21
 
 
-def _name(mark: Column) -> Column:
-    return mark.bitwiseAND(F.lit((1 << NAME_BITS) - 1)).cast("int")
+def trie_of(pieces: Pieces) -> Trie:
+    # Of pieces with one text the best stays, of equal scores the last.
+    ids = {pieces.texts[i][::-1]: i for i in sorted(pieces.ordinary, key=lambda i: (pieces.scores[i], i))}
+    # By length, then by character: the steps of the nodes numbered so are sorted.
+    read = sorted({text[:n] for text in ids for n in range(1, len(text) + 1)}, key=lambda t: (len(t), t))
+    number = {"": 0} | {text: i for i, text in enumerate(read, 1)}
+    return Trie(
+        np.array([number[t[:-1]] << CHARACTER_BITS | ord(t[-1]) for t in read], np.int64),
+        np.array([ids.get(t, -1) for t in read], np.int32),
+        np.array([pieces.scores[ids[t]] if t in ids else 0.0 for t in read]),
+        pieces.longest,
+        pieces.unknown_score,
+        pieces.first_byte,
+    )
 
 
-def viterbi(places: Column, longest: int) -> Column:
-    """Names of the pieces of the best path over places, each with the edges that end there.
+def _edges(trie: Trie, codes: np.ndarray, ends: np.ndarray, within: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Pieces that end before ``ends`` in ``codes``, and a character that is none: place in ``ends``, length, name, score.
 
-    An edge has ``score, length, mark``. Every place ends an edge of length one.
-    The fold appends to each place its best total with the edge chosen: of equal
-    totals the longest edge. It goes block by block, since appending to an array
-    copies it; a block begins with the last ``longest`` places of the one before.
+    ``within`` characters before an end belong to its unit.
     """
-    best = "array<struct<total:double,length:int,mark:bigint>>"
-    origin = F.array(F.struct(F.lit(0.0).alias("total"), F.lit(0).alias("length"), F.lit(0).alias("mark")))
-
-    def place(reached, edges):
-        # No edge reaches back before the unit's start or the places a block begins with.
-        candidates = F.transform(
-            edges,
-            lambda e: F.struct(
-                (F.element_at(reached, -e["length"])["total"] + e["score"]).alias("total"),
-                e["length"].alias("length"),
-                e["mark"].alias("mark"),
-            ),
-        )
-        return F.array_append(reached, F.array_max(candidates))
-
-    def forward_block(state, block):
-        reached = F.aggregate(block, state["last"], place)
-        return let(
-            reached,
-            lambda r: F.struct(
-                F.slice(r, F.greatest(F.size(r) - longest, F.lit(0)) + 1, longest).alias("last"),
-                # Without the places it began with.
-                F.array_append(state["parts"], F.slice(r, F.size(state["last"]) + 1, FOLD)).alias("parts"),
-            ),
-        )
-
-    def back(state, chosen):
-        on = F.struct(
-            (state["end"] - chosen["length"]).alias("end"),
-            F.array_append(state["names"], _name(chosen["mark"])).alias("names"),
-        )
-        return F.when(_end(chosen["mark"]) == state["end"], on).otherwise(state)
-
-    def back_block(state, block):
-        begun = F.struct(state["end"].alias("end"), F.array().cast("array<int>").alias("names"))
-        return let(
-            F.aggregate(F.reverse(block), begun, back),
-            lambda r: F.struct(r["end"].alias("end"), F.array_append(state["parts"], r["names"]).alias("parts")),
-        )
-
-    start = F.struct(origin.cast(best).alias("last"), F.array().cast(f"array<{best}>").alias("parts"))
-    end = F.struct(F.size(places).alias("end"), F.array().cast("array<array<int>>").alias("parts"))
-    parts = F.aggregate(_blocks(places), start, forward_block, lambda s: s["parts"])
-    return F.reverse(F.flatten(F.aggregate(F.reverse(parts), end, back_block, lambda s: s["parts"])))
-
-
-def _blocks(items: Column) -> Column:
-    starts = F.sequence(F.lit(1), F.greatest(F.size(items), F.lit(1)), F.lit(FOLD))
-    return F.transform(starts, lambda s: F.slice(items, s, FOLD))
-
-
-def _spelled(names: Column, first_byte: int) -> Column:
-    """Ids of names: an unknown character becomes the pieces of its UTF-8 bytes."""
-    flag = UNKNOWN
-
-    def tail(c, shift):
-        return F.shiftright(c, shift).bitwiseAND(F.lit(63)) + 128
-
-    def one(name):
-        c = name - flag
-        units = (
-            F.when(c < 0x80, F.array(c))
-            .when(c < 0x800, F.array(F.shiftright(c, 6) + 192, tail(c, 0)))
-            .when(c < 0x10000, F.array(F.shiftright(c, 12) + 224, tail(c, 6), tail(c, 0)))
-            .otherwise(F.array(F.shiftright(c, 18) + 240, tail(c, 12), tail(c, 6), tail(c, 0)))
-        )
-        return F.when(name < flag, F.array(name)).otherwise(F.transform(units, lambda u: u + first_byte))
-
-    def all_of(found):
-        return F.when(F.array_max(found) < flag, found).otherwise(F.flatten(F.transform(found, one)))
-
-    return let(names, all_of)
-
-
-def _gather(others: tuple[str, ...]):
-    def lists(edges: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
-        """One row per run of edges, those of one end together; a run has one unit, on one of its edges."""
-        where, ends = edges["at_n"].to_numpy(), np.append(starts, len(edges))
-        run = np.repeat(np.arange(len(starts)), np.diff(ends))
-        order = np.lexsort((where, run))
-        where = where[order]
-        length, end = 31 - (where & 31), where >> LENGTH_BITS
-        # A place begins where the end or the run changes.
-        firsts = np.concatenate(([0], np.flatnonzero((np.diff(end) != 0) | (np.diff(run) != 0)) + 1))
-        bounds = np.searchsorted(firsts, ends)
-        edge = pa.StructArray.from_arrays(
-            [
-                pa.array(edges["score"].to_numpy()[order]),
-                pa.array(length.astype(np.int32)),
-                pa.array(end << NAME_BITS | edges["name"].to_numpy()[order]),
-            ],
-            names=["score", "length", "mark"],
-        )
-        at_end = pa.ListArray.from_arrays(pa.array(np.append(firsts, len(order)), pa.int32()), edge)
-        made = {c: edges[c].take(pa.array(starts)).combine_chunks() for c in others}
-        made["unit"] = edges["unit"].drop_null().combine_chunks()
-        made["places"] = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), at_end)
-        return pa.RecordBatch.from_pydict(made)
-
-    def gather(batches):
-        rest = None
-        for batch in batches:
-            edges = pa.Table.from_batches([batch])
-            if rest is not None:
-                edges = pa.concat_tables([rest, edges])
-            if not len(edges):
-                continue
-            steps = np.diff(edges["u"].to_numpy())
-            if (steps < 0).any():
-                raise ValueError("edges of a unit are torn")
-            starts = np.concatenate(([0], np.flatnonzero(steps) + 1))
-            # The last run may go on in the next batch.
-            rest = edges.slice(starts[-1])
-            if len(starts) > 1:
-                yield lists(edges.slice(0, starts[-1]), starts[:-1])
-        if rest is not None:
-            yield lists(rest, np.zeros(1, np.int64))
-
-    return gather
+    found = []
+    at, node = np.arange(len(ends)), np.zeros(len(ends), np.int64)
+    for n in range(1, trie.longest + 1):
+        inside = within[at] >= n
+        at, node = at[inside], node[inside]
+        if not len(at):
+            break
+        code = codes[ends[at] - n]
+        wanted = node << CHARACTER_BITS | code
+        step = np.searchsorted(trie.steps, wanted)
+        step[step == len(trie.steps)] = 0
+        hit = trie.steps[step] == wanted if len(trie.steps) else np.zeros(len(at), bool)
+        name = np.full(len(at), -1, np.int32)
+        name[hit] = trie.names[step[hit]]
+        is_piece = name >= 0
+        found.append((at[is_piece], n, name[is_piece], trie.scores[step[is_piece]]))
+        if n == 1:
+            other = ~is_piece
+            found.append((at[other], 1, (code[other] + UNKNOWN).astype(np.int32), np.full(int(other.sum()), trie.unknown_score)))
+        at, node = at[hit], step[hit] + 1
+    lengths = np.concatenate([np.full(len(places), n) for places, n, _, _ in found])
+    return np.concatenate([f[0] for f in found]), lengths, np.concatenate([f[2] for f in found]), np.concatenate([f[3] for f in found])
+
+
+def best_paths(units: list[str], trie: Trie) -> tuple[np.ndarray, np.ndarray]:
+    """Number of ids of each unit, and all their ids: Viterbi, one place of all units at a time.
+
+    Of equal totals the longest edge is chosen. Edges of ``FOLD`` places are made together.
+    """
+    codes = np.frombuffer("".join(units).encode("utf-32-le"), "<u4").astype(np.int64)
+    sizes = np.fromiter(map(len, units), np.int64, len(units))
+    # A unit has one place more than characters.
+    first = np.cumsum(sizes + 1) - (sizes + 1)
+    total, length, name = np.zeros(len(codes) + len(units)), np.zeros(len(codes) + len(units), np.int32), np.zeros(len(codes) + len(units), np.int32)
+    for done in range(0, int(sizes.max(initial=0)), FOLD):
+        going = np.flatnonzero(sizes > done)
+        counts = np.minimum(sizes[going] - done, FOLD)
+        unit = np.repeat(going, counts)
+        within = done + 1 + np.arange(len(unit)) - np.repeat(np.cumsum(counts) - counts, counts)
+        at, n, called, score = _edges(trie, codes, first[unit] - unit + within, within)
+        order = np.argsort(((within[at] - done) * len(units) + unit[at]) * (trie.longest + 1) + n)
+        at, n, called, score = at[order], n[order], called[order], score[order]
+        end = first[unit[at]] + within[at]
+        start = end - n
+        heads = np.flatnonzero(np.diff(end, prepend=-1))
+        runs = np.diff(heads, append=len(end))
+        # Where the edges of each place begin, and their runs of one unit.
+        edges_at = np.searchsorted(within[at], np.arange(done + 1, done + FOLD + 2))
+        heads_at = np.searchsorted(heads, edges_at)
+        chosen = np.zeros(len(end), bool)
+        for a, b, c, d in zip(edges_at[:-1].tolist(), edges_at[1:].tolist(), heads_at[:-1].tolist(), heads_at[1:].tolist()):
+            if a == b:
+                break
+            reached = total[start[a:b]] + score[a:b]
+            best = np.maximum.reduceat(reached, heads[c:d] - a)
+            total[end[heads[c:d]]] = best
+            chosen[a:b] = reached == np.repeat(best, runs[c:d])
+        # The longest edge of a place comes last and stays.
+        length[end[chosen]], name[end[chosen]] = n[chosen], called[chosen]
+    steps = []
+    unit = np.flatnonzero(sizes)
+    place = (first + sizes)[unit]
+    while len(unit):
+        steps.append((unit, name[place]))
+        place = place - length[place]
+        going = place > first[unit]
+        unit, place = unit[going], place[going]
+    counts = np.bincount(np.concatenate([u for u, _ in steps]), minlength=len(units)) if steps else np.zeros(len(units), np.int64)
+    ends = np.cumsum(counts)
+    names = np.zeros(int(counts.sum()), np.int32)
+    for back, (unit, called) in enumerate(steps):
+        names[ends[unit] - 1 - back] = called
+    return _spelled(counts, names, trie.first_byte)
+
+
+def _spelled(counts: np.ndarray, names: np.ndarray, first_byte: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and ids of names: an unknown character becomes the pieces of its UTF-8 bytes."""
+    unknown = names >= UNKNOWN
+    if not unknown.any():
+        return counts, names
+    characters, which = np.unique(names[unknown], return_inverse=True)
+    spelled = [np.frombuffer(chr(c - UNKNOWN).encode(), np.uint8).astype(np.int32) + first_byte for c in characters.tolist()]
+    widths = np.ones(len(names), np.int64)
+    widths[unknown] = np.array([len(b) for b in spelled])[which]
+    starts = np.cumsum(widths) - widths
+    ids = np.repeat(names, widths)
+    for k in range(4):
+        byte = np.array([b[k] if k < len(b) else 0 for b in spelled], np.int32)
+        has = widths[unknown] > k
+        ids[starts[unknown][has] + k] = byte[which][has]
+    owner = np.repeat(np.arange(len(counts)), counts)
+    return np.bincount(owner, weights=widths, minlength=len(counts)).astype(np.int64), ids
+
+
+def _parts(units: list[str]) -> Iterator[list[str]]:
+    """Units of about ``CHARACTERS`` characters together."""
+    part, held = [], 0
+    for unit in units:
+        part.append(unit)
+        held += len(unit)
+        if held >= CHARACTERS:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
+
+
+def _paths_of(units: list[str], trie: Trie) -> tuple[np.ndarray, np.ndarray]:
+    found = [best_paths(part, trie) for part in _parts(units)]
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int32)
+    return np.concatenate([c for c, _ in found]), np.concatenate([i for _, i in found])
+
+
+def _lists(counts: np.ndarray, ids: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(ids, pa.int32()))
 
 
 def encode_units(units: DataFrame, keys: list[str], pieces: Pieces) -> DataFrame:
-    """``ids`` of each row of ``units``, whose last key is ``unit``.
-
-    Units are numbered and their edges stay in a row through the explosion and
-    the broadcast join, so they are gathered in passing, without a sort; only one
-    unit's edges and a batch are held.
-    """
-    spark: SparkSession = units.sparkSession
-    ids, others = pieces.ordinary, keys[:-1]
-    scores = pa.array([pieces.scores[i] for i in ids], pa.float64())
-    listed = pa.table({"piece": [pieces.texts[i] for i in ids], "id": pa.array(ids, pa.int32()), "score": scores})
+    """``ids`` of each row of ``units``, whose last key is ``unit``; a batch's edges are held at once."""
     # Bounded by MOST_PIECES.
-    table = F.broadcast(spark.createDataFrame(listed))
-    numbered = units.withColumn("u", F.monotonically_increasing_id())
-    found = substrings(numbered, [*others, "u", "unit"], pieces.longest).join(table, F.col("s") == F.col("piece"), "left")
-    # Every unit has this edge: its first character.
-    text = F.when((F.col("at") == 0) & (F.col("n") == 1), F.col("unit")).alias("unit")
-    end = F.shiftleft((F.col("at") + F.col("n")).cast("bigint"), LENGTH_BITS)
-    edges = found.filter("id IS NOT NULL OR n = 1").select(
-        *others,
-        "u",
-        text,
-        (end + 31 - F.col("n")).alias("at_n"),
-        F.coalesce("score", F.lit(pieces.unknown_score)).alias("score"),
-        F.coalesce("id", F.ascii("s") + UNKNOWN).alias("name"),
-    )
-    kinds = "".join(f"{c} {units.schema[c].dataType.simpleString()}, " for c in others)
-    kinds += "unit string, places array<array<struct<score:double,length:int,mark:bigint>>>"
-    lattice = edges.mapInArrow(_gather(tuple(others)), kinds)
-    return lattice.select(*keys, _spelled(viterbi(F.col("places"), pieces.longest), pieces.first_byte).alias("ids"))
+    trie = units.sparkSession.sparkContext.broadcast(trie_of(pieces))
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = _lists(*_paths_of(batch.column("unit").to_pylist(), trie.value))
+            yield pa.RecordBatch.from_arrays([*map(batch.column, keys), ids], [*keys, "ids"])
+
+    kinds = "".join(f"{c} {units.schema[c].dataType.simpleString()}, " for c in keys)
+    return units.select(*keys).mapInArrow(encoded, kinds + "ids array<int>")
 
 
 def common_units(rows: DataFrame, pieces: Pieces) -> DataFrame:
@@ -311,79 +287,57 @@ def _units_in(text: str | None, pattern: re.Pattern) -> list[str]:
     return pattern.findall(BLANK + text.replace(" ", BLANK)) if text else []
 
 
-def _rare(common: Broadcast):
-    """Distinct units of each block in a partition, without the common ones."""
-    pattern = re.compile(UNIT)
+def _bytes_by_unit(units: list[str], counts: np.ndarray, ids: np.ndarray) -> dict[str, bytes]:
+    raw, ends = ids.astype("<i4").tobytes(), (4 * np.cumsum(counts)).tolist()
+    return {unit: raw[a:b] for unit, a, b in zip(units, [0, *ends], ends)}
 
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, set[str]] = {}
-        for batch in batches:
-            for block, text in zip(batch.column("block").to_pylist(), batch.column("text").to_pylist()):
-                found.setdefault(block, set()).update(_units_in(text, pattern))
-        if found:
-            # A part at a time, so that few of them are strings at once.
-            for part in common.value.select(["unit"]).to_batches(AT_ONCE):
-                known = part.column(0).to_pylist()
-                for units in found.values():
-                    units.difference_update(known)
-            while found:
-                block, units = found.popitem()
-                yield from pa.table({"block": pa.array([block] * len(units), pa.int32()), "unit": pa.array(units, pa.string())}).to_batches(AT_ONCE)
-
-    return rare
-
-
-def _speller(named: tuple[str, ...], common: Broadcast):
+
+#: The common units of the call this worker process serves, with their ids.
+_COMMON: dict[str, dict[str, bytes]] = {}
+
+
+def _common_of(call: str, common: Broadcast) -> dict[str, bytes]:
+    if call not in _COMMON:
+        _COMMON.clear()
+        ids = common.value["ids"]
+        counts = pc.list_value_length(ids).to_numpy()
+        _COMMON[call] = _bytes_by_unit(common.value["unit"].to_pylist(), counts, pc.list_flatten(ids).to_numpy())
+    return _COMMON[call]
+
+
+def _speller(call: str, common: Broadcast, trie: Broadcast):
     pattern = re.compile(UNIT)
 
-    def lists(ids: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-        """Ends and values of lists of ids."""
-        sizes = pc.list_value_length(ids).to_numpy()
-        return np.cumsum(sizes, dtype=np.int64), pc.list_flatten(ids).to_numpy()
-
-    def spell(docs: pa.Table, units: pa.Table) -> pa.Table:
-        known_ends, known_ids = lists(common.value["ids"])
-        number = {u: i for i, u in enumerate(common.value["unit"].to_pylist() + units["unit"].to_pylist())}
-        ends, ids = lists(units["ids"])
-        offsets = np.concatenate(([0], known_ends, ends + len(known_ids)))
-        flat = np.concatenate((known_ids, ids))
-        made, sizes = [], []
-        for text in (t for part in docs.select(["text"]).to_batches(512) for t in part.column(0).to_pylist()):
-            found = _units_in(text, pattern)
-            which = np.fromiter(map(number.__getitem__, found), np.int64, len(found))
-            starts, counts = offsets[which], offsets[which + 1] - offsets[which]
-            ends = np.cumsum(counts)
-            total = int(ends[-1]) if len(ends) else 0
-            # Places of all units' ids, one after the other.
-            places = np.arange(total) + np.repeat(starts - (ends - counts), counts)
-            made.append(flat[places] if total else np.zeros(0, np.int32))
-            sizes.append(total)
-        ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-        values = np.concatenate(made).astype(np.int32) if made else np.zeros(0, np.int32)
-        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
-        return pa.table({**{c: docs[c] for c in named}, "ids": ids})
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, rare = _common_of(call, common), {}
+        for batch in batches:
+            for at in range(0, len(batch), AT_ONCE):
+                part = batch.slice(at, AT_ONCE)
+                split = [_units_in(text, pattern) for text in part.column("text").to_pylist()]
+                new = list(set().union(*split).difference(known, rare))
+                if len(rare) + len(new) > REMEMBERED:
+                    new += [unit for unit in set().union(*split).intersection(rare)]
+                    rare = {}
+                rare |= _bytes_by_unit(new, *_paths_of(new, trie.value))
+                made = [b"".join([known.get(u) or rare[u] for u in units]) for units in split]
+                counts = np.fromiter(map(len, made), np.int64, len(made)) // 4
+                ids = _lists(counts, np.frombuffer(b"".join(made), "<i4"))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], ["doc_id", "ids"])
 
     return spell
 
 
 def encode(df: DataFrame, id: str, text: str, pieces: Pieces, blocks: int | None = None) -> DataFrame:
-    """``doc_id, ids`` of each row."""
-    count = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """``doc_id, ids`` of each row; with ``blocks``, rows are dealt to so many partitions first."""
+    context = df.sparkSession.sparkContext
     rows = df.select(column(id).alias("doc_id"), column(text).alias("text"), F.monotonically_increasing_id().alias("at"))
     # Bounded by BUCKETS * IN_BUCKET; sent to the executors once, as Arrow.
-    common = df.sparkSession.sparkContext.broadcast(common_units(rows, pieces).toArrow())
-    # Both uses below read all columns of this exchange, so Spark runs it once.
-    block = F.pmod("at", F.lit(count)).cast("int").alias("block")
-    dealt = rows.select("doc_id", "text", block).repartition(count, "block")
-    distinct = dealt.mapInArrow(_rare(common), "block int, unit string")
-    spelled = encode_units(distinct, ["block", "unit"], pieces)
-    encoded = spelled.select(F.col("block").alias("of_block"), "unit", "ids")
-    kind = dealt.schema["doc_id"].dataType.simpleString()
-    return (
-        dealt.groupBy("block")
-        .cogroup(encoded.groupBy("of_block"))
-        .applyInArrow(_speller(("doc_id",), common), f"doc_id {kind}, ids array<int>")
-    )
+    common = context.broadcast(common_units(rows, pieces).toArrow())
+    if blocks:
+        rows = rows.repartition(blocks, "at")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    spell = _speller(uuid.uuid4().hex, common, context.broadcast(trie_of(pieces)))
+    return rows.select("doc_id", "text").mapInArrow(spell, f"doc_id {kind}, ids array<int>")
 
 
 def decode(ids: Column, pieces: Pieces) -> Column:
