@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from molframe.catalog.base import register, table
 from molframe.functions.arrays import joined
-from molframe.functions.hashing import hash32
-from molframe.functions.tokens import WORD_CLASSES, hashed_fp, mask_tokens, tokenize
+from molframe.functions.tokens import WORD_CLASSES, hash_each, hashed_fp, mask_tokens, tokenize
 from molframe.operators.features import describe, descriptor_labels, featurize, pad_and_mask, table_function
 from molframe.operators.vocab import build_vocab, encode
 from molframe.plans.lineage import cut, spread
@@ -27,7 +26,7 @@ def documents(spark, sf_dir):
 
 
 def hashed_ids(tokens):
-    return F.transform(tokens, lambda t: hash32(t) % (VOCAB_SIZE - 5) + 5)
+    return hash_each(tokens, VOCAB_SIZE - 5, 5)
 
 
 @register(

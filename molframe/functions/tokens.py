@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from molframe.functions.arrays import let
-from molframe.functions.hashing import hash32, seeded, unit_hash
+from molframe.functions.hashing import UINT32, seeded
+from molframe.functions.md5 import bytes_of, md5_words
 
 # Published token patterns.
 # SMILES tokens after Schwaller et al. 2018; prose splits on blanks and line ends.
@@ -42,6 +48,43 @@ def tokenize(sequence: Column, kind: str = "words") -> Column:
     return F.regexp_extract_all(sequence, F.lit(PATTERNS[kind]), F.lit(0))
 
 
+#: Rows whose tokens are hashed together, and the most cells of a table of their bits.
+ROWS, CELLS = 256, 1 << 24
+
+
+def _counts(lists: pa.Array) -> np.ndarray:
+    """Entries of each list; null has none."""
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _lists(counts: np.ndarray, values: pa.Array, like: pa.Array) -> pa.ListArray:
+    """Lists of so many values, null where ``like`` is."""
+    ends = pa.array(np.append(0, np.cumsum(counts)).astype(np.int32))
+    return pa.ListArray.from_arrays(ends, values, mask=like.is_null())
+
+
+def _in_parts(rows: int, work: Callable[..., pa.Array], *columns: pa.Array) -> pa.Array:
+    """``work`` on so many rows at a time."""
+    starts = range(0, max(len(columns[0]), 1), rows)
+    return pa.concat_arrays([work(*[c.slice(at, rows) for c in columns]) for at in starts])
+
+
+def hash_each(tokens: Column, modulus: int, shift: int = 0) -> Column:
+    """``hash32`` of each token modulo ``modulus``, plus ``shift``; each distinct token of some rows once."""
+
+    def part(lists: pa.Array) -> pa.Array:
+        coded = lists.flatten().dictionary_encode()
+        data, bounds = bytes_of(coded.dictionary)
+        hashes = md5_words(data, bounds[:-1], bounds[1:])[0].astype(np.int64) % modulus + shift
+        return _lists(_counts(lists), pa.array(hashes, pa.int64()).take(coded.indices), lists)
+
+    def hashed(lists: pa.Array) -> pa.Array:
+        return _in_parts(ROWS, part, lists)
+
+    hashed.__annotations__ = {"lists": pa.Array, "return": pa.Array}
+    return F.arrow_udf(hashed, "array<bigint>")(tokens)
+
+
 def hashed_fp(tokens: Column, size: int = 1024, radius: int = 2) -> Column:
     """Set bits of a folded neighbourhood fingerprint, ascending.
 
@@ -49,18 +92,26 @@ def hashed_fp(tokens: Column, size: int = 1024, radius: int = 2) -> Column:
     tokens at most r places away, cut at the ends of the sequence.
     """
 
-    def layer(toks, r):
-        def identifier(token, i):
-            # Places beyond the ends read as null, which the concatenation leaves out.
-            around = [token if d == 0 else F.get(toks, i + d) for d in range(-r, r + 1)]
-            return hash32(F.concat(F.lit(f"{r}:"), F.concat_ws(" ", *around))) % size
+    def part(lists: pa.Array) -> pa.Array:
+        counts = _counts(lists)
+        # With a blank after each token, the tokens of a neighbourhood lie in one piece. Null tokens have no bytes.
+        data, bounds = bytes_of(pc.binary_join_element_wise(lists.flatten(), "", " "))
+        ends = np.repeat(np.cumsum(counts), counts)
+        firsts = ends - np.repeat(counts, counts)
+        row, at = np.repeat(np.arange(len(counts)), counts), np.arange(len(ends))
+        seen = np.zeros(len(counts) * size, bool)
+        for r in range(radius + 1):
+            start = bounds[np.maximum(firsts, at - r)]
+            end = np.maximum(start, bounds[np.minimum(ends, at + r + 1)] - 1)
+            seen[row * size + md5_words(data, start, end, f"{r}:".encode())[0] % size] = True
+        bits = np.flatnonzero(seen)
+        return _lists(np.bincount(bits // size, minlength=len(counts)), pa.array(bits % size, pa.int64()), lists)
 
-        return F.transform(toks, identifier)
+    def bits(lists: pa.Array) -> pa.Array:
+        return _in_parts(max(1, min(ROWS, CELLS // size)), part, lists)
 
-    def bits(toks):
-        return F.sort_array(F.array_distinct(F.concat(*[layer(toks, r) for r in range(radius + 1)])))
-
-    return let(tokens, bits)
+    bits.__annotations__ = {"lists": pa.Array, "return": pa.Array}
+    return F.arrow_udf(bits, "array<bigint>")(tokens)
 
 
 def matching(tokens: Column, pattern: str) -> Column:
@@ -135,21 +186,25 @@ def mask_tokens(
     specials = len(SPECIALS)
     size = F.lit(vocab_size) if isinstance(vocab_size, int) else vocab_size
 
-    def choose(token, i):
-        key = seeded(seed, row_id, i)
-        chosen = unit_hash(key, 0) < rate
-        fate = unit_hash(key, 1)
-        other = hash32(key, 2) % (size - specials) + specials
-        replaced = F.when(fate < 0.8, F.lit(MASK_ID).cast("bigint")).when(fate < 0.9, other).otherwise(token)
-        return F.struct(
-            F.when(chosen, replaced).otherwise(token).alias("input"),
-            F.when(chosen, token).otherwise(F.lit(IGNORED).cast("bigint")).alias("label"),
-        )
-
-    def unzip(pairs):
-        return F.struct(
-            F.transform(pairs, lambda p: p["input"]).alias("input_ids"),
-            F.transform(pairs, lambda p: p["label"]).alias("labels"),
-        )
-
-    return let(F.transform(ids, choose), unzip)
+    def part(ids: pa.Array, keys: pa.Array, sizes: pa.Array) -> pa.Array:
+        counts, token = _counts(ids), ids.flatten().cast(pa.int64())
+        row = np.repeat(np.arange(len(counts)), counts)
+        places = pa.array(np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)).cast(pa.string())
+        data, bounds = bytes_of(pc.binary_join_element_wise(keys.take(pa.array(row)), places, "|"))
+        chosen, fate, word, _ = md5_words(data, bounds[:-1], bounds[1:])
+        ordinary = pc.fill_null(sizes, specials + 1).to_numpy(zero_copy_only=False).astype(np.int64)[row] - specials
+        unknown = sizes.is_null().to_numpy(zero_copy_only=False)[row]
+        other = pa.array(word.astype(np.int64) % ordinary + specials, mask=unknown)
+        is_chosen = pa.array(chosen / UINT32 < rate)
+        kept = pc.if_else(pa.array(fate / UINT32 < 0.9), other, token)
+        replaced = pc.if_else(pa.array(fate / UINT32 < 0.8), pa.scalar(MASK_ID, pa.int64()), kept)
+        inputs = pc.if_else(is_chosen, replaced, token)
+        labels = pc.if_else(is_chosen, token, pa.scalar(IGNORED, pa.int64()))
+        return pa.StructArray.from_arrays([_lists(counts, inputs, ids), _lists(counts, labels, ids)], ["input_ids", "labels"])
+
+    def masked(ids: pa.Array, keys: pa.Array, sizes: pa.Array) -> pa.Array:
+        return _in_parts(ROWS, part, ids, keys, sizes)
+
+    masked.__annotations__ = {"ids": pa.Array, "keys": pa.Array, "sizes": pa.Array, "return": pa.Array}
+    kind = "struct<input_ids:array<bigint>,labels:array<bigint>>"
+    return F.arrow_udf(masked, kind)(ids, seeded(seed, row_id), size)

@@ -2,12 +2,13 @@ import hashlib
 import math
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from molframe.functions.tokens import IGNORED, MASK_ID, SPECIALS, UNK_ID, descriptors, hashed_fp, mask_tokens, tokenize
+from molframe.functions.tokens import IGNORED, MASK_ID, SPECIALS, UNK_ID, descriptors, hash_each, hashed_fp, mask_tokens, tokenize
 from molframe.operators.features import describe, descriptor_labels, dummy, featurize, featurize_rows, pad_and_mask, table_function
 from molframe.operators.vocab import build_vocab, encode
 
@@ -155,3 +156,48 @@ def test_table_functions_state_their_columns_and_refuse_other_types(spark):
     assert got.schema.simpleString().endswith("half:string,n:int>") and sorted(map(tuple, got.collect())) == [(0, "ab", 4), (1, "", 0)]
     with pytest.raises(AnalysisException, match="halves takes one text"):
         spark.sql("SELECT * FROM halved, LATERAL halves(id)").collect()
+
+
+def test_md5_of_parts_of_a_buffer():
+    """Ends of blocks, several blocks, parts of others, empty ones."""
+    from molframe.functions.md5 import md5_words
+
+    data = np.random.default_rng(1).integers(0, 256, 500, np.uint8)
+    bounds = [(a, a + n) for a in (0, 7, 300) for n in (0, 1, 53, 54, 55, 56, 57, 61, 62, 63, 64, 65, 117, 118, 119, 120, 128, 200)]
+    for prefix in (b"", b"2:"):
+        got = md5_words(data, *np.array(bounds).T, prefix)
+        want = [hashlib.md5(prefix + data[a:b].tobytes()).hexdigest() for a, b in bounds]
+        assert ["".join(f"{w:08x}" for w in words) for words in got.T.tolist()] == want
+
+
+def test_hashes_take_whole_batches_in_tasks(spark):
+    """Null rows and tokens, empty tokens, long neighbourhoods; no expression hashes token by token."""
+    rows = [(0, ["a", None, "b", "", "c" * 90, "a"]), (1, None), (2, []), (3, [None]), (4, ["é漢" * 20, "d"])]
+    df = spark.createDataFrame(rows, "id bigint, t array<string>")
+    made = df.select("t", hashed_fp(F.col("t"), 512, 2).alias("x"), hash_each(F.col("t"), 1000, 5).alias("h"))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "md5(" not in plan
+    for r in made.collect():
+        if r["t"] is None:
+            assert r["x"] is None and r["h"] is None
+            continue
+        near = [(k, [w for w in r["t"][max(0, i - k) : i + k + 1] if w is not None]) for k in range(3) for i in range(len(r["t"]))]
+        assert r["x"] == sorted({int(hashlib.md5(f"{k}:{' '.join(ws)}".encode()).hexdigest()[:8], 16) % 512 for k, ws in near})
+        assert r["h"] == [None if t is None else int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % 1000 + 5 for t in r["t"]]
+
+
+def test_masking_of_odd_rows(spark):
+    """Null rows, tokens, ids and sizes; a row's choices hash its id and the places."""
+    rows = [(7, [9] * 300 + [None], 50), (None, [8] * 300, 60), (3, None, 50), (4, [], 50), (5, [6] * 300, None)]
+    df = spark.createDataFrame(rows, "id bigint, ids array<int>, size int")
+    got = df.select("*", mask_tokens(F.col("ids"), F.col("id"), F.col("size"), rate=0.5, seed=3).alias("m"))
+    for r in got.collect():
+        if r["ids"] is None:
+            assert r["m"]["input_ids"] is None and r["m"]["labels"] is None
+            continue
+        for i, token in enumerate(r["ids"]):
+            key = "|".join(str(p) for p in (3, r["id"], i) if p is not None)
+            words = [int(hashlib.md5(key.encode()).hexdigest()[8 * k : 8 * k + 8], 16) for k in range(3)]
+            other = None if r["size"] is None else words[2] % (r["size"] - 5) + 5
+            want = token if words[0] / 2**32 >= 0.5 else MASK_ID if words[1] / 2**32 < 0.8 else other if words[1] / 2**32 < 0.9 else token
+            assert r["m"]["input_ids"][i] == want and r["m"]["labels"][i] == (token if words[0] / 2**32 < 0.5 else IGNORED)
