@@ -4,11 +4,11 @@ from pyspark.sql import functions as F
 
 from molframe.catalog.base import DOC_TASKS, PART_TASKS, part_tasks, register, table
 from molframe.functions.tokens import hashed_fp, tokenize
-from molframe.operators.forest import bit_features, dense_features, fit_forest, fit_tasks, predict, run_repeated
+from molframe.operators.forest import bit_features, dense_features, fit_forest, fit_tasks, join_features, predict, run_repeated
 from molframe.operators.metrics import accuracy
 from molframe.operators.split import hash_split
 from molframe.operators.transform import fit_chain
-from molframe.plans.lineage import spread
+from molframe.plans.lineage import cut, spread
 
 SMALL = {"trees": 10, "depth": 5}
 
@@ -50,7 +50,7 @@ def _part_features(spark, sf_dir):
 @register("rf_regress")
 def rf_regress(spark, sf_dir):
     labels = part_tasks(spark, sf_dir).filter(F.col("task") == PART_TASKS[1])
-    rows = labels.join(_part_features(spark, sf_dir), "id")
+    rows = cut(join_features(labels, _part_features(spark, sf_dir), table(spark, sf_dir, "part").count(), "id"))
     model = fit_forest(rows.filter("split = 'train'"), "regression", **SMALL)
     return predict(model, rows, ["id", "split", "y"])
 
@@ -59,5 +59,5 @@ def rf_regress(spark, sf_dir):
 def rf_triplicate(spark, sf_dir):
     labels = part_tasks(spark, sf_dir).filter(F.col("task") == PART_TASKS[1])
     chain = fit_chain(["normalization"], labels.filter("split = 'train'"))
-    rows = labels.join(_part_features(spark, sf_dir), "id")
+    rows = join_features(labels, _part_features(spark, sf_dir), table(spark, sf_dir, "part").count(), "id")
     return run_repeated(rows, "regression", chain=chain, **SMALL)[1]

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from molframe.catalog.base import DOC_TASKS, PART_TASKS, labelled_documents, part_tasks, register, split_sql, table
 from molframe.functions.tokens import hashed_fp, tokenize
-from molframe.operators.forest import STUMP, bit_features, fit_forest, fit_tasks, load, predict, run_repeated, save
+from molframe.operators.forest import STUMP, bit_features, fit_forest, fit_tasks, join_features, load, predict, run_repeated, save
 from molframe.operators.metrics import accuracy
 from molframe.operators.split import hash_split
 from molframe.operators.transform import fit_chain
@@ -125,7 +125,7 @@ def _parts(spark, sf_dir):
     bits = hashed_fp(tokenize(F.concat_ws(" ", "p_name", "p_brand", "p_type")), SIZE, RADIUS)
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), bits.alias("bits"))
     labels = part_tasks(spark, sf_dir).filter(F.col("task") == PART_TASKS[1])
-    return cut(labels.join(bit_features(part, "bits", SIZE).drop("bits"), "id"))
+    return cut(join_features(labels, bit_features(part, "bits", SIZE).drop("bits"), table(spark, sf_dir, "part").count(), "id"))
 
 
 @register("stump_regress", f"WITH {PART_SQL} SELECT id, split, y, round(y_pred + 1e-9::DOUBLE, 6) AS y_pred FROM scored")

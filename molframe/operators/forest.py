@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from functools import reduce
+from math import ceil
 
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
@@ -18,6 +19,10 @@ from molframe.operators.transform import Chain, fit_balancing
 from molframe.plans.lineage import cut
 
 FEATURES = "_features"
+#: Feature values that a task holds when trees are fitted, at four bytes each.
+AT_ONCE = 1 << 23
+#: Rows of features that may be broadcast: a sparse vector has some hundred bytes, which no size estimate of Spark's counts.
+BROADCAST_ROWS = 50_000
 
 
 def dense_features(df: DataFrame, x: str) -> DataFrame:
@@ -34,6 +39,18 @@ def bit_features(df: DataFrame, bits: str, size: int) -> DataFrame:
     return model.transform(named).drop("_bits")
 
 
+def join_features(labels: DataFrame, features: DataFrame, rows: int, on: str) -> DataFrame:
+    """Labels next to feature vectors of ``rows`` rows, which are broadcast only if they are few."""
+    return labels.join(features if rows <= BROADCAST_ROWS else features.hint("merge"), on)
+
+
+def dealt(train: DataFrame) -> DataFrame:
+    """Rows in as many partitions as bound what a task holds while trees are fitted; ``train`` should be a table."""
+    one = train.select(FEATURES).first()
+    parts = ceil(train.count() * one[0].size / AT_ONCE) if one and one[0] is not None else 0
+    return train.repartition(parts) if parts > train.rdd.getNumPartitions() else train
+
+
 def forest(
     kind: str,
     label: str = "y",
@@ -74,7 +91,7 @@ def fit_forest(train: DataFrame, kind: str, label: str = "y", **params) -> Model
     known = train.filter(F.col(label).isNotNull()).withColumn(label, F.col(label).cast("double"))
     if params.get("weight"):
         known = known.filter(F.col(params["weight"]) > 0)
-    return forest(kind, label, **params).fit(known)
+    return forest(kind, label, **params).fit(dealt(known))
 
 
 #: A forest of one tree with one exact split.

@@ -82,3 +82,25 @@ def test_balancing_refuses_labels_that_are_no_classes(spark, monkeypatch):
     with pytest.raises(ValueError, match="balancing"):
         fit_balancing(rows)
     fit_balancing(rows.filter("y < 3"))
+
+
+def test_many_feature_vectors_are_not_broadcast(spark, monkeypatch):
+    """Neither the join nor the fit leaves the vectors of a large table to the driver or to one task."""
+    from molframe.operators import forest
+
+    rows = spark.range(300).selectExpr("id", "array(cast(id % 8 as double), cast(id % 3 as double)) x", "cast(id % 8 as double) y")
+    features = forest.dense_features(rows, "x").select("id", forest.FEATURES)
+    small = forest.join_features(rows.select("id", "y"), features, 300, "id")
+    monkeypatch.setattr(forest, "BROADCAST_ROWS", 299)
+    large = forest.join_features(rows.select("id", "y"), features, 300, "id")
+    assert "BroadcastHashJoin" not in large._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, small.collect())) == sorted(map(str, large.collect()))
+    monkeypatch.setattr(forest, "AT_ONCE", 20)
+    one = features.join(rows.select("id", "y"), "id").coalesce(1)
+    assert forest.dealt(one).rdd.getNumPartitions() == 30
+    assert forest.dealt(one.limit(0)).count() == 0
+    model = forest.fit_forest(one, "regression", trees=1, depth=1, bootstrap=False)
+    monkeypatch.setattr(forest, "AT_ONCE", 1 << 23)
+    assert forest.dealt(one).rdd.getNumPartitions() == 1
+    whole = forest.fit_forest(one, "regression", trees=1, depth=1, bootstrap=False)
+    assert model.toDebugString.split("\n")[1:] == whole.toDebugString.split("\n")[1:]
