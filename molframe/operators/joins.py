@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from molframe.plans.lineage import cut
+from molframe.plans.lineage import cut, partitions
 
 
 def attach_labels(df: DataFrame, labels: DataFrame, on: str) -> DataFrame:
@@ -72,6 +72,8 @@ def pairs_within_2(bonds: DataFrame, grid: int = GRID) -> DataFrame:
     cell. The output, about half the degree squared for each node, is what was
     asked for.
     """
+    bonds = cut(bonds.select("mol", "src", "dst"))
+    rows = 2 * bonds.count()
     arcs = two_way(bonds)
     one = arcs.filter("a < b").select("mol", F.col("a").alias("u"), F.col("b").alias("v"), F.lit(1).alias("distance"))
     # At most one row for every ``grid`` bonds.
@@ -82,6 +84,10 @@ def pairs_within_2(bonds: DataFrame, grid: int = GRID) -> DataFrame:
     dealt = ends.select("mol", "mid", "end", blocks.alias("blocks"), F.pmod(F.xxhash64("end"), blocks).cast("int").alias("block"))
     left = dealt.select("mol", "mid", F.col("end").alias("x"), F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
     right = dealt.select("mol", "mid", F.col("end").alias("y"), F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), "block")).alias("i"))
+    # What the cells hold and what they give: two rows at least for each arc.
+    cells, pairs = partitions(bonds, rows), partitions(bonds, 2 * rows)
+    key = ["mol", "mid", "i", "j"]
+    left, right = left.repartition(cells, *key), right.repartition(cells, *key)
     met = left.join(right, ["mol", "mid", "i", "j"]).filter("x < y OR (i < j AND x <> y)")
     two = met.select("mol", F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"), F.lit(2).alias("distance"))
-    return one.unionByName(two).groupBy("mol", "u", "v").agg(F.min("distance").alias("distance"))
+    return one.unionByName(two).repartition(pairs, "mol", "u", "v").groupBy("mol", "u", "v").agg(F.min("distance").alias("distance"))
