@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from molframe.operators.clean import unpivot_tasks
 from molframe.operators.runlog import global_step
 from molframe.operators.split import hash_split
-from molframe.plans.lineage import cut
+from molframe.plans.lineage import cut, partitions
 from molframe.plans.ordered import Running, running, slice_by_range
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,7 +83,7 @@ bonds AS (
 
 def molecule_graphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus", "l_quantity", *ATOM_ORDER)
-    placed = running(slice_by_range(lines, ATOM_ORDER, ["l_orderkey"]), pos=Running("count"))
+    placed = running(slice_by_range(lines, ATOM_ORDER, ["l_orderkey"], partitions(lines, lines.count())), pos=Running("count"))
     # Written once: every use of atoms or bonds would number the lines again.
     atoms = cut(
         placed.select(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from molframe.functions.hashing import hash32, hash60, seeded, unit_hash
 from molframe.functions.tokens import tokenize
 from molframe.operators.joins import two_way
-from molframe.plans.lineage import cut
+from molframe.plans.lineage import cut, partitions
 from molframe.plans.ordered import Running, running, slice_by_range
 
 # What each written token means.
@@ -137,16 +137,22 @@ def negative_edges(atoms: DataFrame, bonds: DataFrame, k: int = 1, seed: int = 0
     ``exact_negative_edges`` finds exactly as many. Here each bond proposes ``k`` hashed atom pairs of its molecule; proposals that
     repeat, loop or are bonds go. Linear in the bonds whatever the molecule size.
     """
-    real = bonds.select("mol", F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v"))
+    real = cut(bonds.select("mol", F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")))
+    rows = real.count()
     sizes = atoms.groupBy("mol").agg((F.max("pos") + 1).alias("n_atoms"))
-    tries = real.withColumn("j", F.explode(F.array(*[F.lit(j) for j in range(k)]))).join(sizes, "mol")
+    # By molecule for their sizes, then by pair: the last two steps share one shuffle.
+    by_mol, by_pair = partitions(real, rows), partitions(real, rows * k)
+    sizes = sizes.repartition(by_mol, "mol")
+    dealt = real.repartition(by_mol, "mol")
+    tries = dealt.join(sizes, "mol").withColumn("j", F.explode(F.array(*[F.lit(j) for j in range(k)])))
     key = seeded(seed, F.col("mol"), F.col("u"), F.col("v"), F.col("j"))
     ends = tries.select("mol", (hash32(key, 0) % F.col("n_atoms")).alias("x"), (hash32(key, 1) % F.col("n_atoms")).alias("y"))
     proposed = (
         ends.filter("x <> y")
         .select("mol", F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
+        .repartition(by_pair, "mol", "u", "v")
         .distinct()
-        .join(real, ["mol", "u", "v"], "left_anti")
+        .join(real.repartition(by_pair, "mol", "u", "v"), ["mol", "u", "v"], "left_anti")
     )
     return real.withColumn("label", F.lit(1)).unionByName(proposed.withColumn("label", F.lit(0)))
 
@@ -169,10 +175,13 @@ def exact_negative_edges(
     a null end or with an atom that is not there take no part.
     """
     sizes = atoms.groupBy("mol").agg((F.max("pos") + 1).cast("bigint").alias("n"))
+    # A molecule's keys are hashed once, not for each pair.
+    sizes = _PairOrder(seed).keyed(sizes)
     pairs = bonds.select("mol", F.least("src", "dst").cast("bigint").alias("u"), F.greatest("src", "dst").cast("bigint").alias("v"))
-    real = cut(pairs.filter("u < v").distinct().join(sizes, "mol").filter("u >= 0 AND v < n"))
-    real = real.join(real.groupBy("mol").agg(F.count(F.lit(1)).alias("m")), "mol")
+    bare = cut(pairs.filter("u < v").distinct().join(sizes, "mol").filter("u >= 0 AND v < n"))
+    real = bare.join(bare.groupBy("mol").agg(F.count(F.lit(1)).alias("m")), "mol")
     order = _PairOrder(seed)
+    slices = slices or partitions(bare, bare.count())
     sliced = slice_by_range(real.withColumn("place", order.place("u", "v")), ["place"], ["mol"], slices, derived=True)
     ranked = cut(running(sliced, rank=Running("count")))
     before = F.count_if(F.col("place") - (F.col("rank") - 1) < k * F.col("m")).alias("before")
@@ -188,13 +197,20 @@ def exact_negative_edges(
 
 
 class _PairOrder:
-    """Keyed order of the atom pairs of molecules with ``n`` atoms; columns ``mol`` and ``n`` must be there."""
+    """Keyed order of the atom pairs of molecules with ``n`` atoms; columns ``n``, ``shift`` and ``turn`` must be there."""
 
     def __init__(self, seed: int):
         self.n = F.col("n")
         self.pairs = F.expr("n * (n - 1) div 2")
-        self.shift = hash60(seeded(seed, F.col("mol"), F.lit("shift"))) % self.pairs
-        self.turn = hash60(seeded(seed, F.col("mol"), F.lit("turn"))) % self.n
+        self.seed = seed
+        self.shift, self.turn = F.col("shift"), F.col("turn")
+
+    def keyed(self, sizes: DataFrame) -> DataFrame:
+        """Molecules with their shift and turn; of an atom without another there is no pair."""
+        def key(name: str, of: Column) -> Column:
+            return F.when(self.n > 1, hash60(seeded(self.seed, F.col("mol"), F.lit(name))) % of).alias(name)
+
+        return sizes.select("mol", "n", key("shift", self.pairs), key("turn", self.n))
 
     def _stride(self, x: Column) -> Column:
         """(2n - 1) * x modulo the number of pairs; beyond 64 bits in decimals."""

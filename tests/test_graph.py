@@ -146,3 +146,34 @@ def test_a_hub_is_spread_over_cells(spark):
     assert counted == {(1, 1): 3000, (1, 2): 3000 * 2999 // 2, (2, 1): 3}
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(mol" in plan and "mid" in plan and ", i#" in plan
+
+
+def test_shuffles_of_pairs_grow_with_the_rows(spark, monkeypatch):
+    """A task holds so many rows of a pair step whatever the input; more partitions change no row."""
+    from molframe.operators import graph, joins
+    from molframe.plans import lineage
+
+    atoms = spark.range(400).selectExpr("id div 8 AS mol", "id % 8 AS pos")
+    bonds = atoms.filter("pos > 0").selectExpr("mol", "pos - 1 AS src", "pos AS dst")
+    made = {}
+    for most in (1 << 20, 20):
+        monkeypatch.setattr(graph, "partitions", lambda df, rows: lineage.partitions(df, rows, most))
+        monkeypatch.setattr(joins, "partitions", lambda df, rows: lineage.partitions(df, rows, most))
+        frames = [graph.negative_edges(atoms, bonds, 2), joins.pairs_within_2(bonds), graph.exact_negative_edges(atoms, bonds, 2)]
+        plans = [f._jdf.queryExecution().executedPlan().toString() for f in frames[:2]]
+        made[most] = (plans, [sorted(map(tuple, f.collect())) for f in frames])
+    # 350 bonds: two tries each, and two arcs with two pairs each.
+    assert "u#" in made[20][0][0] and ", 35)" in made[20][0][0] and ", 70)" in made[20][0][1]
+    assert ", 35)" not in made[1 << 20][0][0] and made[20][1] == made[1 << 20][1]
+
+
+def test_keys_of_a_molecule_are_hashed_once(spark):
+    """The keyed order reads shift and turn as columns; it hashes nothing pair by pair."""
+    from molframe.operators.graph import _PairOrder
+
+    order = _PairOrder(3)
+    pairs = spark.createDataFrame([(1, 5, 0, 3)], "mol bigint, n bigint, u bigint, v bigint")
+    keyed = pairs.join(order.keyed(pairs.select("mol", "n")), ["mol", "n"])
+    placed = keyed.withColumn("place", order.place("u", "v"))
+    assert placed.select(order.pair("place").alias("p")).first()["p"] == (0, 3)
+    assert "md5" not in str(order.place("u", "v")) and "md5" not in str(order.pair("place"))
