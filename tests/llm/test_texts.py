@@ -1,12 +1,16 @@
 """Text operators against brute force: nulls, empty texts, repeated rows, clashing columns, empty tables."""
 
 import hashlib
+import itertools
+import json
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -339,6 +343,114 @@ def test_token_file_equals_the_library(spark, monkeypatch):
     assert tokenfile.token_digest(df.limit(0), "doc_id", "text", path).count() == 0
 
 
+def test_coded_prose_is_smaller_than_zlib_and_blocks_are_read_alone():
+    rng = np.random.default_rng(3)
+    # Words of one to five ids, few of them often.
+    words = [rng.integers(300, 1500, rng.integers(1, 6)) for _ in range(4000)]
+    picked = np.minimum(rng.zipf(1.3, 60000), 4000) - 1
+    ids = np.concatenate([words[k] for k in picked]).astype(np.uint16)
+    blocks = [ids[i : i + 2048] for i in range(0, len(ids), 2048)] + [np.zeros(0, np.uint16), np.array([65535], np.uint16)]
+    lengths = [len(b) for b in blocks]
+    model, payloads = rangecoder.encode_together(blocks)
+    for a, b in zip(blocks, rangecoder.decode_together(model, payloads, lengths), strict=True):
+        assert (a == b).all()
+    assert (rangecoder.decode_together(model, payloads[7:8], lengths[7:8])[0] == blocks[7]).all()
+    single = sum(len(zlib.compress(b.astype("<u2").tobytes(), 6)) for b in blocks)
+    assert len(model) + sum(map(len, payloads)) < 0.9 * single
+    for hurt in (model[:-1] + bytes([model[-1] ^ 1]), model[:9]):
+        with pytest.raises(ValueError):
+            rangecoder.decode_together(hurt, payloads, lengths)
+
+
+def test_coder_carries_and_escapes():
+    # One id nearly always, all others once: ranges end on carries, and few ids have slots.
+    rng = np.random.default_rng(8)
+    for often in (0, 65535):
+        ids = np.where(rng.random(200000) < 0.9, often, rng.integers(0, 1 << 16, 200000)).astype(np.uint16)
+        blocks = [ids[i : i + 1000] for i in range(0, len(ids), 1000)]
+        model, payloads = rangecoder.encode_together(blocks)
+        back = rangecoder.decode_together(model, payloads, [len(b) for b in blocks])
+        assert (np.concatenate(back) == ids).all()
+
+
+def odd_texts(seed, n):
+    rng = random.Random(seed)
+    some = list("abzAZßÀÖØÞàöøÿ×÷İıſKé̱́HhẖΣσς09٣Ⅷ.,!?;:'\"<|>-_^`~@#$%&*()[]{}/\\=+\0\x01\x1c\x85\xa0\u3000\u200b漢각ﬁ🙂")
+    some += ["'s", "'LL", "don't,", "Word's.", "word.###", "<|endoftext|>", "<|ENDOFTEXT|>", "ción", "3.", " ", "  ", "\t", "\v", "\r\n"]
+    return [None, "", " "] + ["".join(rng.choice(some) for _ in range(rng.randint(0, 25))) for _ in range(n)]
+
+
+def encoded(encoder, texts, step):
+    out = []
+    for i in range(0, len(texts), step):
+        ids, sizes = encoder.encode(pa.array(texts[i : i + step], pa.string()))
+        out += [part.tolist() for part in np.split(ids, np.cumsum(sizes)[:-1])]
+    return out
+
+
+def test_words_encode_as_whole_texts_do(monkeypatch, tmp_path):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = odd_texts(4, 4000)
+    monkeypatch.setattr(tokenfile, "REMEMBERED", 900)
+    # Another tokenizer has other rules, and its words take no short way.
+    rules = json.loads(Path(path).read_text())
+    rules["normalizer"]["normalizers"].pop()
+    other = tmp_path / "cased.json"
+    other.write_text(json.dumps(rules))
+    for file, short in ((path, True), (str(other), False)):
+        encoder = tokenfile.WordEncoder(file)
+        assert bool(encoder.short) == short
+        library = Tokenizer.from_file(file)
+        assert encoded(encoder, texts, 701) == [library.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
+        assert len(encoder.words) == 900
+
+
+def test_few_texts_go_through_the_library(monkeypatch):
+    """Distinct words of letters share calls; case, closing signs and repeats make no new ones."""
+    encoder = tokenfile.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    words = ["".join(p) for p in itertools.product("abcdé", repeat=4)]
+    texts = [" ".join(words), " ".join(w.upper() + ".###" for w in words), " ".join(w + "," for w in words)]
+    given = []
+
+    class Counted:
+        def __init__(self, library):
+            self.library = library
+
+        def encode_batch_fast(self, texts, **more):
+            given.extend(texts)
+            return self.library.encode_batch_fast(texts, **more)
+
+    encoder.tokenizer, encoder.short = Counted(encoder.tokenizer), Counted(encoder.short)
+    encoded(encoder, texts, 3)
+    assert len(given) <= len(words) / 30 + 3
+    given.clear()
+    encoded(encoder, texts, 1)
+    assert not "".join(given)
+
+
+def test_segments_of_whole_documents(spark, monkeypatch):
+    """Documents that fill a segment, one that is larger, and batches that end inside one."""
+    monkeypatch.setattr(tokenfile, "SEGMENT", 50)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = prose(7, 40) + ["ab cd " * 3000]
+    encoder = tokenfile.WordEncoder(path)
+    batches = [
+        pa.RecordBatch.from_pydict(
+            {"doc_id": pa.array(range(i, i + len(t))), "text": pa.array(t), "part": pa.repeat(pa.scalar(2, pa.int32()), len(t))}
+        )
+        for i in range(0, len(texts), 9)
+        for t in [texts[i : i + 9]]
+    ]
+    rows = list(tokenfile._segments(path, 1)(iter(batches)))
+    assert len(rows) > 5 and [r["segment"][0].as_py() for r in rows] == list(range(len(rows)))
+    assert all(sum(r["lengths"][0].as_py()) >= 50 and sum(r["lengths"][0].as_py()[:-1]) < 50 for r in rows[:-1])
+    read = [d for b in tokenfile._read(iter(rows)) for d in b.to_pylist()]
+    assert [d["doc_id"] for d in read] == list(range(len(texts)))
+    assert [np.frombuffer(d["ids"], "<u4").tolist() for d in read] == encoded(encoder, texts, 50)
+
+
 # SentencePiece
 
 
